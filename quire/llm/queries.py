@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, html, language, licenses, quality, urls
+from quire.llm import bpe, decontaminate, html, language, licenses, quality, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_main_text": html.op5_main_text,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_language": language.op9_language,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_url_filter": urls.OP2_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
 }
