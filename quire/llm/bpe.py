@@ -14,8 +14,9 @@ import base64
 import codecs
 import functools
 import os
-from itertools import chain
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ from quire.llm.store import table
 from quire.llm.text import chunks
 
 #: Distinct matches kept by a worker, and the longest match that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -63,21 +64,22 @@ class Codec:
         self.tokenizer = Tokenizer(models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern).findall  # this library's \s is Unicode's White_Space, as the pattern means it
-        self.pieces: dict[str, list[int]] = {}
-        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.pieces: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.bytes = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as packed 32-bit integers."""
         split = [self.split(t) for t in texts]
         if len(self.pieces) > CACHE_ENTRIES:
             self.pieces = {}
         known = self.pieces
-        new = list({p for s in split for p in s} - known.keys())
-        found = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        known.update((p, ids) for p, ids in found.items() if len(p) <= CACHE_CHARS)
-        long = {p: ids for p, ids in found.items() if len(p) > CACHE_CHARS}
-        if long:
-            return [list(chain.from_iterable(known[p] if p in known else long[p] for p in s)) for s in split]
-        return [list(chain.from_iterable(map(known.__getitem__, s))) for s in split]
+        new = list(set().union(*split).difference(known))
+        found = dict(zip(new, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        if long := {p: found.pop(p) for p in new if len(p) > CACHE_CHARS}:
+            known.update(found)
+            return [b"".join([known[p] if p in known else long[p] for p in s]) for s in split]
+        known.update(found)
+        return [b"".join(map(known.__getitem__, s)) for s in split]
 
     def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """The characters that each id touches: a character split over ids belongs to all of them."""
@@ -112,7 +114,9 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(batch: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        return pa.chunked_array([pa.array(c.encode(run), pa.list_(pa.int32())) for _, run in chunks(batch.to_pylist())] or [pa.array([], pa.list_(pa.int32()))]).combine_chunks()
+        packed = [ids for _, run in chunks(batch.to_pylist()) for ids in c.encode(run)]
+        at = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+        return pa.ListArray.from_arrays(at, np.frombuffer(b"".join(packed), np.int32))
 
     return ids(text)
 
@@ -125,7 +129,8 @@ def encode_spans(text: Column, path: str, pattern: str) -> Column:
     def spans(batch: pa.Array) -> pa.Array:
         c, out = codec(path, pattern), []
         for _, run in chunks(batch.to_pylist()):
-            for t, ids in zip(run, c.encode(run), strict=True):
+            for t, packed in zip(run, c.encode(run), strict=True):
+                ids = np.frombuffer(packed, np.int32).tolist()
                 out.append([{"id": i, "start": a, "stop": b} for i, (a, b) in zip(ids, c.spans(t, ids), strict=True)])
         return pa.array(out, kind)
 
@@ -138,8 +143,8 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def raw(batch: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        values, at = batch.values.to_numpy(zero_copy_only=False).tolist(), batch.offsets.to_pylist()
-        return pa.array([c.decode(values[a:b]) if ok else b"" for a, b, ok in zip(at, at[1:], batch.is_valid().to_pylist(), strict=False)], pa.binary())
+        values, at = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
+        return pa.array([c.decode(values[a:b].tolist()) if ok else b"" for a, b, ok in zip(at, at[1:], batch.is_valid().to_pylist(), strict=False)], pa.binary())
 
     return raw(ids)
 
