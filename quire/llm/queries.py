@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, decontaminate, html, language, licenses, quality, urls
+from quire.llm import bpe, decontaminate, html, language, licenses, neardup, quality, urls
 
 QUERIES = {
     "op2_url_filter": urls.op2_url_filter,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_main_text": html.op5_main_text,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_url_filter": urls.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op6_near_duplicates": neardup.OP6_SQL,
 }
