@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, decontaminate, html, language, licenses, neardup, quality, urls
+from quire.llm import bpe, decontaminate, html, language, licenses, neardup, quality, topk, urls
 
 QUERIES = {
+    "op1_top_k": topk.op1_top_k,
     "op2_url_filter": urls.op2_url_filter,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_top_k": topk.OP1_SQL,
     "op2_url_filter": urls.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_near_duplicates": neardup.OP6_SQL,
