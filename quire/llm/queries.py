@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, decontaminate, html, language, licenses, neardup, quality, topk, urls
+from quire.llm import bpe, decontaminate, html, language, licenses, lm, neardup, quality, topk, urls
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_main_text": html.op5_main_text,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_suffix_tree": lm.op7_suffix_tree,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
