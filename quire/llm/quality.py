@@ -27,7 +27,8 @@ from quire.llm.store import table
 from quire.llm.text import chunks
 
 SAMPLE_ROWS, BINS, COST, EPOCHS, ALPHA = 8000, 1 << 18, 1.0, 30, 1.0
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+#: Tokens kept by a worker; a longer token than this is not kept.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 200
 
 #: Runs of a kind of character, and the sign that stands for them in a shape.
 _RUNS = [(regex.compile(p), r) for p, r in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}]+", "a"), (r"\p{N}+", "0"), (r"([^Aa0])\1+", r"\1\1"))]
@@ -39,42 +40,56 @@ def _hash(kind: bytes, s: str) -> int:
 
 
 class Features:
-    """Token to (word hash, shape hash), kept by a worker up to a bound."""
+    """Word hash and shape hash of each distinct token, kept by a worker up to a bound."""
 
     def __init__(self):
-        self.pairs: dict[str, tuple[int, int]] = {}
-
-    def pair(self, token: str) -> tuple[int, int]:
-        shape = token
-        for run, sign in _RUNS:
-            shape = run.sub(sign, shape)
-        found = _hash(b"w", _STRIP.sub("", token).lower()), _hash(b"s", shape[:16])
-        if len(token) <= CACHE_CHARS:
-            self.pairs[token] = found
-        return found
-
-    def bins(self, text: str) -> np.ndarray:
-        """Distinct features of a text, ascending."""
-        tokens = text.split()
-        if not tokens:
-            return np.zeros(0, np.int64)
-        if len(self.pairs) > CACHE_ENTRIES:
-            self.pairs = {}
-        known = self.pairs
-        both = np.array([known.get(t) or self.pair(t) for t in tokens], np.uint64)
-        word, s = both[:, 0], both[:, 1]
-        mixed = [word, s]
-        if len(s) > 1:
-            two = s[:-1] * np.uint64(0x9E3779B97F4A7C15) + s[1:]
-            mixed.append(two ^ (two >> np.uint64(29)))
-        if len(s) > 2:
-            three = (s[:-2] * np.uint64(0x9E3779B97F4A7C15) + s[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + s[2:]
-            mixed.append(three ^ (three >> np.uint64(31)))
-        if len(word) >= 8:  # how many of its word pairs are new, in five steps
-            pairs = word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:]
-            mixed.append(np.array([int(5 * len(np.unique(pairs)) / (len(pairs) + 1)) + 1], np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        h = np.concatenate(mixed)
-        return np.unique((h ^ (h >> np.uint64(32))) & np.uint64(BINS - 1)).astype(np.int64)
+        self.at: dict[str, int] = {}
+        self.pairs = np.zeros((0, 2), np.uint64)
+
+    def learn(self, tokens: list[str]) -> None:
+        rows = []
+        for t in tokens:
+            shape = t
+            for run, sign in _RUNS:
+                shape = run.sub(sign, shape)
+            rows.append((_hash(b"w", _STRIP.sub("", t).lower()), _hash(b"s", shape[:16])))
+        first = len(self.at)
+        self.at.update(zip(tokens, range(first, first + len(tokens)), strict=True))
+        if first + len(rows) > len(self.pairs):
+            grown = np.zeros((2 * (first + len(rows)), 2), np.uint64)
+            grown[:first] = self.pairs[:first]
+            self.pairs = grown
+        if rows:
+            self.pairs[first : first + len(rows)] = np.array(rows, np.uint64)
+
+    def bins(self, texts: list[str]) -> list[np.ndarray]:
+        """Distinct features of each text, ascending."""
+        split = [t.split() for t in texts]
+        new = list(set().union(*split).difference(self.at))
+        self.learn(new)
+        out = []
+        for tokens in split:
+            both = self.pairs[np.fromiter(map(self.at.__getitem__, tokens), np.int64, len(tokens))]
+            out.append(_bins(both[:, 0], both[:, 1]))
+        if len(self.at) > CACHE_ENTRIES or any(len(t) > CACHE_CHARS for t in new):
+            self.at = {}
+        return out
+
+
+def _bins(word: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    mixed = [word, shape]
+    if len(shape) > 1:
+        two = shape[:-1] * np.uint64(0x9E3779B97F4A7C15) + shape[1:]
+        mixed.append(two ^ (two >> np.uint64(29)))
+    if len(shape) > 2:
+        three = (shape[:-2] * np.uint64(0x9E3779B97F4A7C15) + shape[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + shape[2:]
+        mixed.append(three ^ (three >> np.uint64(31)))
+    if len(word) >= 8:  # how many of its word pairs are new, in five steps
+        pairs = np.sort(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:])
+        step = 5 * (1 + np.count_nonzero(pairs[1:] != pairs[:-1])) // (len(pairs) + 1) + 1
+        mixed.append(np.array([step], np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = np.concatenate(mixed)
+    return np.unique((h ^ (h >> np.uint64(32))) & np.uint64(BINS - 1)).astype(np.int64)
 
 
 _features = Features()
@@ -85,7 +100,7 @@ def features(text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def binned(batch: pa.Array) -> pa.Array:
-        return pa.array([_features.bins(t).astype(np.int32) for _, run in chunks(batch.to_pylist()) for t in run], pa.list_(pa.int32()))
+        return pa.array([b.astype(np.int32) for _, run in chunks(batch.to_pylist()) for b in _features.bins(run)], pa.list_(pa.int32()))
 
     return binned(text)
 
@@ -134,8 +149,7 @@ def judge(text: Column, model: Broadcast) -> Column:
         m, out = model.value, []
         w, bias, ratio = m[:BINS], m[BINS], m[BINS + 1 :]
         for _, run in chunks(batch.to_pylist()):
-            for t in run:
-                b = _features.bins(t)
+            for b in _features.bins(run):
                 margin = bias + (w[b] @ ratio[b] / max(np.sqrt((ratio[b] ** 2).sum()), 1e-9) if len(b) and len(ratio) else 0.0)
                 out.append(float(1 / (1 + np.exp(-np.clip(3 * margin, -50, 50)))))
         return pa.array(out, pa.float64())
