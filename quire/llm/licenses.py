@@ -1,6 +1,6 @@
 """License scan with ordered signature rules.
 
-Rules are regexes over lower-cased text, each behind a keyword: an Aho-Corasick pass finds the
+Rules are regexes over lower-cased text in which any run of white space counts as one space, each behind a keyword: an Aho-Corasick pass finds the
 keywords of a text, and only the rules of those keywords run. Detections are accepted by priority,
 then length, then place; one that lies inside an accepted detection is dropped. Base phrases, which
 stand as consecutive words, are counted apart from the rules and always keep their labels.
@@ -145,7 +145,7 @@ def rules() -> list[Rule]:
     for label, key, name in names:
         for form, priority, confidence, pattern in FORMS:
             out.append(Rule(f"{form}:{label}", label, key.encode(), pattern.replace("{name}", f"(?:{name})").replace("{v}", _V).encode(), priority, confidence))
-        if label.startswith("cc-"):
+        if label.startswith("cc-") or "licen" in name:  # names that need no word behind them
             out.append(Rule(f"code:{label}", label, key.encode(), name.encode(), 6, 0.6))
     return out
 
@@ -156,19 +156,20 @@ class Scanner:
     def __init__(self, phrases: tuple[tuple[str, str], ...]):
         import ahocorasick
 
-        self.rules = [(r, re.compile(rb"(?<![a-z0-9])" + r.pattern)) for r in rules()]
+        wide = lambda p: p.replace(b" ?", b"\0").replace(b" ", b" +").replace(b"\0", b" *")  # noqa: E731  any run of white space
+        self.rules = [(r, re.compile(rb"(?<![a-z0-9])" + wide(r.pattern))) for r in rules()]
         gates: dict[str, list[int]] = {}
         for i, (r, _) in enumerate(self.rules):
-            gates.setdefault(r.keyword.decode("latin-1"), []).append(i)
+            gates.setdefault(b" ".join(r.keyword.translate(LOWER_WORDS).split()).decode(), []).append(i)
         self.keywords = ahocorasick.Automaton()
         for k, ids in gates.items():
             self.keywords.add_word(k, (k, ids))
         self.keywords.make_automaton()
         self.phrases = [(p.encode(), label) for p, label in phrases]
 
-    def detections(self, low: bytes) -> list[tuple[Rule, int, int]]:
-        """Accepted detections of a lower-cased text with their byte spans, in page order."""
-        gate = {k: ids for _, (k, ids) in self.keywords.iter(low.decode("latin-1"))}
+    def detections(self, low: bytes, words: bytes) -> list[tuple[Rule, int, int]]:
+        """Accepted detections of a lower-cased text, also given as space-joined words, with their byte spans in page order."""
+        gate = {k: ids for _, (k, ids) in self.keywords.iter(words.decode("latin-1"))}
         if not gate:
             return []
         flat = re.sub(rb"[\t\n\r\x0b\x0c]", b" ", low)
@@ -218,7 +219,7 @@ def scan(text: Column, phrases: dict[str, str] = BASE_PHRASES) -> Column:
                 out.append({
                     "n_words": len(words),
                     "base": [{"label": x, "word": w} for x, w in s.base(joined)],
-                    "detections": [{"rule": r.name, "label": r.label, "start": a, "stop": b, "confidence": r.confidence} for r, a, b in s.detections(raw.translate(LOWER))],
+                    "detections": [{"rule": r.name, "label": r.label, "start": a, "stop": b, "confidence": r.confidence} for r, a, b in s.detections(raw.translate(LOWER), joined)],
                 })
         return pa.array(out, _KIND)
 
