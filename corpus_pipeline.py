@@ -1,19 +1,71 @@
-"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again.
+
+A document is kept unless a stage says why it goes: quality below a half, no language that stands
+out, another document of its near-duplicate group that stays, words of a benchmark. The last stage
+encodes what is left.
+
+Every stage takes whole texts of all rows that its predecessor kept. Null and empty texts pass the
+quality stage by their score and go in the language stage; rows that share a ``doc_id`` count as one
+document from the near-duplicate stage on; rows without ``doc_id`` are never duplicates; extra columns
+pass through up to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe
+from quire.llm import bpe, decontaminate, language, neardup, quality
 from quire.llm.store import keep, table
 
+#: Scores below this are as good as no language at all.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, does not reject."""
+    labels = table(spark, sf_dir, "labels")
+    judged = quality.with_quality(docs, labels, F.lit(True))
+    return judged.filter("quality_score >= 0.5").select(*docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language that stands out."""
+    judged = language.with_language(docs, F.lit(True))
+    return judged.filter((F.col("language.lang") != "und") & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every near-duplicate group: five-word shingles, similarity 0.8."""
+    kept = keep(neardup.with_components(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count(), "kept")
+    stay = docs.join(neardup.checked(kept.select("doc_id")), "doc_id", "left_semi")
+    repeated = neardup.checked(kept.filter("count > 1").select("doc_id"))
+    once = stay.join(repeated, "doc_id", "left_anti").unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    index = decontaminate.build(docs, table(spark, sf_dir, "benchmark"))
+    hit = keep(decontaminate.phrase_matches(index).select("doc", "digest").distinct(), "contaminated")
+    keyed = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(0))).withColumn("__digest", F.xxhash64("text"))
+    gone = decontaminate.checked(hit.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest")))
+    return keyed.join(gone, ["__doc", "__digest"], "left_anti").select(*docs.columns)
+
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of the ids of every text that is left."""
     return bpe.digests(docs, *bpe.vocabulary())
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("language ID", known_language),
+    ("MinHash near-dedup", one_of_each_group),
+    ("benchmark decontamination", decontaminated),
+    ("byte-level BPE", encoded),
+]
+#: The first two stages are fitted models.
 ORACLE_SQL = None
 
 

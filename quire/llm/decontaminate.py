@@ -33,15 +33,14 @@ END = ""
 BROADCAST_ROWS = 300_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_MIXED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lowered
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lowered
 
 DOC = ["doc", "digest"]
 
 
 def words(text: Column) -> Column:
     """Words of a text as they are written; lower each with ``lowered``."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_MIXED), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
 
 
 def lowered(word: Column) -> Column:
@@ -74,7 +73,7 @@ def build(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     placed = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.posexplode(F.concat(words(F.col(text)), F.array(F.lit(END)))).alias("pos", "w"))
     postings = placed.withColumn("w", lowered(F.col("w"))).join(checked(vocabulary), "w").select("doc_id", "digest", "term", "pos")
     stored = keep(postings.sortWithinPartitions("term", "doc_id", "digest", "pos"), "postings")
-    return Index(stored.withColumn("doc", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) if dict(stored.dtypes)["doc_id"] == "string" else stored.withColumn("doc", F.coalesce(F.col("doc_id"), F.lit(0).cast(dict(stored.dtypes)["doc_id"]))), items, -1)
+    return Index(stored.withColumn("doc", F.coalesce("doc_id", F.lit(0).cast(dict(stored.dtypes)["doc_id"]))), items, -1)
 
 
 def anchors(index: Index, window: int = WINDOW) -> DataFrame:
