@@ -15,6 +15,7 @@ row exists; equal sums go to the language that sorts first; repeated rows each g
 from __future__ import annotations
 
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from quire.llm.text import chunks
 
 ROWS_PER_LANGUAGE, WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE, MAX_LANGUAGES = 1000, 20_000, 20_000, 200
 LONGEST_GRAM = 5
-#: Tokens kept by a worker, and the longest token that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+#: Tokens kept by a worker; a longer token than this is not kept.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 200
 
 _WORDS = regex.compile(r"\p{L}+").findall
 
@@ -73,72 +74,81 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
 
 
 class Scorer:
-    """Sums of each language per text; one per Python worker and model."""
+    """Sums of each language per text; one per Python worker and model.
 
-    def __init__(self, langs: list[str], model: dict[str, np.ndarray]):
-        self.langs, self.model = langs, model
-        self.clear()
+    Every distinct token of a chunk of texts is looked up once; its sums stay in ``table``.
+    """
 
-    def clear(self) -> None:
+    def __init__(self, langs: list[str], model: dict[str, np.ndarray]):
+        self.langs = langs
+        self.entry = {name: i for i, name in enumerate(model)}
+        self.values = np.array(list(model.values()), np.float32).reshape(len(model), len(langs))
         self.at: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.table = np.zeros((0, len(self.langs) + 1), np.float32)
+        self.table = np.zeros((0, len(langs) + 1), np.float32)
 
-    def word(self, w: str) -> np.ndarray:
-        known = self.model.get("0" + w)
+    def entries(self, word: str) -> list[int]:
+        """The word itself, or its longest known n-grams; empty if there are none."""
+        known = self.entry.get("0" + word)
         if known is not None:
-            return known
-        padded = f" {w} "
+            return [known]
+        padded, get = f" {word} ", self.entry.get
         for n in range(min(LONGEST_GRAM, len(padded)), 0, -1):
-            found = [row for i in range(len(padded) - n + 1) if (row := self.model.get(f"{n}{padded[i : i + n]}")) is not None]
+            found = [i for k in range(len(padded) - n + 1) if (i := get(f"{n}{padded[k : k + n]}")) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def token(self, t: str) -> np.ndarray:
-        """Sum over the words of a token, and their number."""
-        words = _WORDS(t.lower())
-        return np.append(np.sum([self.word(w) for w in words], axis=0) if words else np.zeros(len(self.langs)), len(words)).astype(np.float32)
-
-    def sums(self, text: str) -> np.ndarray:
-        tokens, at, extra = text.split(), self.at, 0.0
-        if len(at) > CACHE_ENTRIES:
-            self.clear()
-            at = self.at
-        ids = list(map(at.get, tokens))
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    t = tokens[i]
-                    if t in at:
-                        ids[i] = at[t]
-                    elif len(t) <= CACHE_CHARS:
-                        ids[i] = at[t] = len(self.rows)
-                        self.rows.append(self.token(t))
-                    else:
-                        extra = extra + self.token(t)
-            ids = [x for x in ids if x is not None]
-        if len(self.rows) > len(self.table):
-            more = max(len(self.rows) - len(self.table), len(self.table) // 2, 1000)
-            grown = np.zeros((len(self.table) + more, len(self.langs) + 1), np.float32)
-            grown[: len(self.rows)] = self.rows if not len(self.table) else np.vstack([self.table[: self.filled], self.rows[self.filled :]])
-            self.table, self.filled = grown, len(self.rows)
-        elif self.filled < len(self.rows):
-            self.table[self.filled : len(self.rows)] = self.rows[self.filled :]
-            self.filled = len(self.rows)
-        return self.table[ids].sum(axis=0, dtype=np.float64) + extra
-
-    filled = 0
-
-    def judge(self, text: str) -> tuple[str, float]:
+                return found
+        return []
+
+    def learn(self, tokens: list[str]) -> None:
+        """Append the sums of new tokens, with their numbers of words, to the table."""
+        flat: list[int] = []
+        weights: list[float] = []
+        sizes, words_in = [], []
+        for t in tokens:
+            before, words = len(flat), _WORDS(t.lower())
+            for w in words:
+                found = self.entries(w)
+                flat += found
+                weights += [1 / len(found)] * len(found) if found else []
+            sizes.append(len(flat) - before)
+            words_in.append(len(words))
+        rows = np.zeros((len(tokens), len(self.langs) + 1), np.float32)
+        filled = np.flatnonzero(sizes)
+        if len(filled):
+            starts = (np.cumsum(sizes) - sizes)[filled]
+            rows[filled, :-1] = np.add.reduceat(self.values[flat] * np.array(weights, np.float32)[:, None], starts, axis=0)
+        rows[:, -1] = words_in
+        first = len(self.at)
+        self.at.update(zip(tokens, range(first, first + len(tokens)), strict=True))
+        if first + len(rows) > len(self.table):
+            grown = np.zeros((2 * (first + len(rows)), len(self.langs) + 1), np.float32)
+            grown[:first] = self.table[:first]
+            self.table = grown
+        self.table[first : first + len(rows)] = rows
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """Per text: the sum of each language, and the number of words."""
+        split = [t.split() for t in texts]
+        new = list(set().union(*split).difference(self.at))
+        self.learn(new)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        out = np.zeros((len(texts), len(self.langs) + 1))
+        filled = np.flatnonzero(sizes)
+        if len(filled):
+            ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+            out[filled] = np.add.reduceat(self.table[ids].astype(np.float64), (np.cumsum(sizes) - sizes)[filled], axis=0)
+        if len(self.at) > CACHE_ENTRIES or any(len(t) > CACHE_CHARS for t in new):
+            self.at = {}
+        return out
+
+    def judge(self, texts: list[str]) -> list[tuple[str, float]]:
         if not self.langs:
-            return "und", 0.0
-        total = self.sums(text)
-        if not total[-1]:
-            return "und", 0.0
-        mean = total[:-1] / total[-1] * min(total[-1], 10) * np.log(10)  # as sure as ten words at most
-        best = int(mean.argmax())
-        return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
+            return [("und", 0.0)] * len(texts)
+        total = self.sums(texts)
+        words = total[:, -1:]
+        mean = total[:, :-1] / np.maximum(words, 1) * np.minimum(words, 10) * np.log(10)  # as sure as ten words at most
+        best = mean.argmax(axis=1)
+        share = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
+        return [(self.langs[i], float(p)) if n else ("und", 0.0) for i, p, n in zip(best, share, words[:, 0], strict=True)]
 
 
 _scorers: dict[str, Scorer] = {}
@@ -158,7 +168,7 @@ def identify(text: Column, model: Broadcast) -> Column:
     @F.arrow_udf("lang string, score double")
     def judged(batch: pa.Array) -> pa.Array:
         s = scorer(name, model)
-        both = [s.judge(t) for _, run in chunks(batch.to_pylist()) for t in run]
+        both = [x for _, run in chunks(batch.to_pylist()) for x in s.judge(run)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in both], pa.string()), pa.array([x[1] for x in both], pa.float64())], ["lang", "score"])
 
     return judged(text)
