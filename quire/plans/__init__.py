@@ -3,6 +3,6 @@
 
 def load():
     """The registry with all queries."""
-    from quire.plans import flagship, registry, text_queries  # noqa: F401
+    from quire.plans import flagship, registry, segment_queries, text_queries  # noqa: F401
 
     return registry

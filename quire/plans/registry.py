@@ -123,3 +123,24 @@ LINES = f"""ln AS (SELECT doc_id, CAST(g.i - 1 AS INTEGER) AS line_no, l[g.i] AS
 def noise(line: str = "line", edge: str = "(line_no <= 2 OR line_no >= n_lines - 3)") -> str:
     t = whitespace(line)
     return f"""({t} <> '' AND ({has(t, T.NOISE_LINE)} OR ({edge} AND length({t}) <= 8 AND {meaningful(t)} <= 4) OR ({symbols(t, 'line')} > 0.5 AND {meaningful(t)} <= 6)))"""
+
+
+def groups(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Replacement steps with Java's group marks turned into RE2's."""
+    return [(p, t.replace("$1", "\\1").replace("$2", "\\2")) for p, t in pairs]
+
+
+def gather(lists: str, new: str, flags: dict[str, str], name: str = "f", state: dict[str, tuple[str, str]] | None = None) -> str:
+    """CTEs that fold the lists ``l`` of rows ``k`` in ``lists``: ``{name}(k, i, g, t, x...)`` with a group number for each element.
+
+    ``new`` sees the state ``s.len, s.strong, s.alone`` and the element ``x`` with ``flags``. ``state`` adds fields: (first, next), ``n`` says whether the element is new.
+    """
+    more = state or {}
+    own = {"len": "length(t)", "strong": strong("t"), "standalone": standalone("t"), "colon": has("t", T.STANDALONE[0]), "space": needs_space("b", "t")} | flags
+    fields = ", ".join(f"{e} AS {k}" for k, e in own.items())
+    grown = ", ".join(e for _, e in more.values())
+    return f"""{name}_e AS (SELECT k, i, t, {fields} FROM (SELECT k, CAST(g.i AS INTEGER) AS i, l[g.i] AS t, CASE WHEN g.i > 1 THEN l[g.i - 1] ELSE '' END AS b FROM {lists}, unnest(generate_series(1, len(l))) AS g(i))),
+{name} AS (SELECT k, i, 1 AS g, true AS n, len AS len, strong AS strong, standalone AS alone{"".join(f", {a} AS {k}" for k, (a, _) in more.items())} FROM {name}_e WHERE i = 1
+  UNION ALL SELECT k, i, g + CASE WHEN n THEN 1 ELSE 0 END, n, CASE WHEN n THEN xlen ELSE slen + CASE WHEN xspace THEN 1 ELSE 0 END + xlen END, xstrong, CASE WHEN n THEN xstandalone ELSE xcolon END{", " + grown if grown else ""}
+  FROM (SELECT x.k, x.i, s.g, s.len AS slen, x.len AS xlen, x.space AS xspace, x.strong AS xstrong, x.standalone AS xstandalone, x.colon AS xcolon, {new} AS n{"".join(f", s.{k} AS s{k}" for k in more)}{"".join(f", x.{k} AS x{k}" for k in flags)} FROM {name} AS s JOIN {name}_e AS x ON x.k = s.k AND x.i = s.i + 1)),
+{name}_g AS (SELECT k, g, min(i) AS first, count(*) AS size, string_agg(CASE WHEN space AND NOT n THEN ' ' ELSE '' END || t, '' ORDER BY i) AS t FROM (SELECT k, i, g, n FROM {name}) JOIN (SELECT k, i, t, space FROM {name}_e) USING (k, i) GROUP BY k, g)"""
