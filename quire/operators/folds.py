@@ -72,4 +72,6 @@ def fold(df: DataFrame, column: str, out: str, new: Callable[[Column, Column], C
     """
     staged = df.withColumn("__items", elements(F.col(column), **more))
     staged = staged.withColumn("__at", starts(F.col("__items"), gathered_init(), new, gathered))
-    return staged.withColumn(out, F.transform(groups(F.col("__items"), F.col("__at")), joined)).drop("__items", "__at")
+    # Made by a generator, so that no filter on it is pushed below and computed anew from the staged columns.
+    made = F.explode(F.array(F.transform(groups(F.col("__items"), F.col("__at")), joined))).alias(out)
+    return staged.select(*(c for c in df.columns if c != out), made)
