@@ -21,8 +21,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.store import table
-from quire.llm.text import chunks
+from quire.llm.decontaminate import checked
+from quire.llm.store import keep, table
+from quire.llm.text import chunks, texts_of
 from quire.llm.urls import split_url
 
 #: A path wins with this share of its host's votes.
@@ -204,27 +205,29 @@ def extract(html: str, paths: list[str]) -> str:
 @F.arrow_udf(T.StringType())
 def best_path(html: pa.Array) -> pa.Array:
     """Path that a page votes for."""
-    return pa.array([best(*parse(t)) if t else None for _, run in chunks(html.to_pylist()) for t in run], pa.string())
+    return pa.array([best(*parse(t)) if t else None for run in chunks(html) for t in run], pa.string())
 
 
 @F.arrow_udf(T.StringType())
 def extracted(html: pa.Array, paths: pa.Array) -> pa.Array:
     """Text of each page by the winning paths of its host."""
-    return pa.array([extract(t or "", p or []) for t, p in zip(html.to_pylist(), paths.to_pylist(), strict=True)], pa.string())
+    return pa.array([extract(t or "", p or []) for t, p in texts_of(html, paths)], pa.string())
 
 
 def winning_paths(pages: DataFrame, html: str = "html", url: str = "url", least_share: float = LEAST_SHARE) -> DataFrame:
     """``host, paths``: each host's paths with at least ``least_share`` of its votes, best first."""
-    votes = pages.select(split_url(pages[url])[0].alias("host"), best_path(pages[html]).alias("path")).filter("path IS NOT NULL").groupBy("host", "path").count()
-    shares = votes.withColumn("share", F.col("count") / F.sum("count").over(W.partitionBy("host"))).filter(F.col("share") >= least_share)
+    votes = pages.select(split_url(pages[url])[0].alias("host"), best_path(pages[html]).alias("path")).groupBy("host", "path").count()
+    # Pages without a path are left out here: a filter before would be pushed down, and every page parsed twice for it.
+    cast = F.sum(F.when(F.col("path").isNotNull(), F.col("count"))).over(W.partitionBy("host"))
+    shares = votes.withColumn("share", F.col("count") / cast).filter(F.col("path").isNotNull() & (F.col("share") >= least_share))
     return shares.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "path"))), lambda x: x.path).alias("paths"))
 
 
 def with_main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str = "main_text") -> DataFrame:
     """``pages`` with the main text in column ``out``."""
-    winners = winning_paths(pages, html, url).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
+    winners = keep(winning_paths(pages, html, url).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")), "winning_paths")
     hosted = pages.withColumn("__host", split_url(pages[url])[0])
-    return hosted.join(winners, "__host", "left").withColumn(out, extracted(F.col(html), F.col("__paths"))).drop("__host", "__paths")
+    return hosted.join(checked(winners), "__host", "left").withColumn(out, extracted(F.col(html), F.col("__paths"))).drop("__host", "__paths")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
