@@ -4,7 +4,7 @@ Each text's set of word shingles is hashed once. Of every bucket's smallest hash
 number of leading zeros and some mantissa bits; empty buckets borrow from others in an order of their
 own. Texts with equal sets are one class. Bands of registers deal class representatives into
 buckets; in each bucket all members are compared with a leader, first by the collision-corrected
-Jaccard estimate, then on the full sets. Buckets that still hold several components get more leaders,
+Jaccard estimate, then on the full sets of 64-bit shingle hashes. Buckets that still hold several components get more leaders,
 until every pair that shares a bucket is either in one component or compared. With 64 bands of 6
 registers a pair at a similarity of 0.8 is missed with a probability below 1e-8.
 
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from quire.llm.decontaminate import checked
 from quire.llm.store import keep, table
-from quire.llm.text import chunks, space_words
+from quire.llm.text import chunks, hold, space_words, texts_of
 
 BANDS, BAND_REGISTERS, MANTISSA_BITS = 64, 6, 10
 REGISTERS = BANDS * BAND_REGISTERS
+#: Registers that the estimate reads: a pair of signatures moves through a shuffle for it.
+ESTIMATE_REGISTERS = 128
 #: Words whose hashes a worker keeps.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 150_000
 #: Leaders of a bucket in the second round; each later round has so many times more.
 MORE_LEADERS = 16
 
@@ -64,6 +66,7 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """Distinct 64-bit hashes of the ``size``-word shingles; of the whole sequence if it is shorter."""
     if not words:
         return np.zeros(0, np.uint64)
+    hold("words", _words.clear)
     if len(_words) > CACHE_ENTRIES:
         _words.clear()
     w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -105,13 +108,16 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
-    """Jaccard estimate from two signatures, less the matches expected by chance."""
-    x, y = max(n_a / REGISTERS, 1e-9), max(n_b / REGISTERS, 1e-9)
-    low = 0.5 ** np.arange(1, 33)
-    chance = float((low * 2.0**-MANTISSA_BITS * (np.exp(-(x + y) * low) - np.exp(-(x + y) * 2 * low))).sum() * x * y / (x + y))
-    matched = float((a == b).mean())
-    return max(0.0, (matched - min(chance, 0.5)) / (1 - min(chance, 0.5)))
+#: Lower ends of the ranges that share a number of leading zeros.
+_LOW = 0.5 ** np.arange(1, 33)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of pairs from the rows of two register matrices, less the matches expected by chance."""
+    x, y = (np.maximum(np.asarray(n, float) / REGISTERS, 1e-9)[:, None] for n in (n_a, n_b))
+    chance = (_LOW * 2.0**-MANTISSA_BITS * (np.exp(-(x + y) * _LOW) - np.exp(-(x + y) * 2 * _LOW))).sum(axis=1) * (x * y / (x + y))[:, 0]
+    chance = np.minimum(chance, 0.5)
+    return np.maximum(0.0, ((a == b).mean(axis=1) - chance) / (1 - chance))
 
 
 _SIGNATURE = pa.struct([("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("registers", pa.binary())])
@@ -123,7 +129,7 @@ def signature(text: Column, size: int) -> Column:
     @F.arrow_udf("n_shingles long, c1 long, c2 long, registers binary")
     def signed(batch: pa.Array) -> pa.Array:
         n, c1, c2, packed = [], [], [], []
-        for _, run in chunks(batch.to_pylist()):
+        for run in chunks(batch):
             for t in run:
                 s = shingle_hashes(space_words(t), size)
                 n.append(len(s))
@@ -140,31 +146,38 @@ def may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Co
 
     @F.arrow_udf("boolean")
     def possible(ra: pa.Array, rb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        out, least = [], percent / 100
-        for x, y, n, m in zip(ra.to_pylist(), rb.to_pylist(), na.to_pylist(), nb.to_pylist(), strict=True):
-            slack = 5 * np.sqrt(least * (1 - least) / min(n, m, REGISTERS))
-            out.append(bool(100 * min(n, m) >= percent * max(n, m) and estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16), n, m) >= least - slack))
-        return pa.array(out, pa.bool_())
+        if not len(na):
+            return pa.array([], pa.bool_())
+        x, y = (np.frombuffer(b"".join(r.to_pylist()), np.uint16).reshape(len(na), -1) for r in (ra, rb))
+        n, m = (c.to_numpy().astype(float) for c in (na, nb))
+        least = percent / 100
+        slack = 5 * np.sqrt(least * (1 - least) / np.minimum(np.minimum(n, m), x.shape[1]))
+        return pa.array((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (estimate(x, y, n, m) >= least - slack))
 
     return possible(a, b, n_a, n_b)
 
 
-def linked(a: Column, b: Column, size: int, percent: int) -> Column:
-    """Whether the full shingle sets of two texts reach the similarity."""
+def shingle_set(text: Column, size: int) -> Column:
+    """All shingle hashes of a text, sorted and packed: 64 bits each."""
+
+    @F.arrow_udf("binary")
+    def packed(batch: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(space_words(t), size).tobytes() for run in chunks(batch) for t in run], pa.binary())
+
+    return packed(text)
+
 
-    def shingles(t: str) -> set:
-        w = space_words(t)
-        return set(zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else {tuple(w)}
+def linked(a: Column, b: Column, percent: int) -> Column:
+    """Whether two full shingle sets reach the similarity."""
 
     @F.arrow_udf("boolean")
     def exact(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, last, s = [], None, set()
-        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            if x != last:
-                last, s = x, shingles(x)
-            t = shingles(y)
-            both = len(s & t)
-            out.append(100 * both >= percent * (len(s) + len(t) - both))
+        out = []
+        for x, y in texts_of(left, right):
+            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.sort(np.concatenate((s, t)))
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            out.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
         return pa.array(out, pa.bool_())
 
     return exact(a, b)
@@ -231,16 +244,18 @@ def with_components(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
 
 def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: estimated on their registers first, then compared on full sets."""
+    """The pairs (a, b) that link: estimated on their first registers, then compared on full sets."""
     ids = checked(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    some = signed.filter("n_shingles > 0").join(ids, "id", "left_semi").select("id", "n_shingles", "registers").dropDuplicates(["id", "registers"])
+    some = signed.filter("n_shingles > 0").join(ids, "id", "left_semi").select("id", "n_shingles", F.substring("registers", 1, 2 * ESTIMATE_REGISTERS).alias("registers")).distinct()
     left, right = some.toDF("a", "na", "ra"), some.toDF("b", "nb", "rb")
     near = pairs.join(left, "a").join(right, "b").filter(may_link(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
     near = keep(near, "near")
     ids = checked(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi").filter("t IS NOT NULL")
-    joined = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return joined.filter(linked(F.col("ta"), F.col("tb"), size, percent)).select("a", "b").distinct()
+    # No filter on the sets: it would be pushed below the join, and the function run on every text.
+    sets = keep(texts.select("id", shingle_set(F.col("t"), size).alias("s")), "sets")
+    joined = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return joined.filter(linked(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

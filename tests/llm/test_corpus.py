@@ -123,7 +123,7 @@ def test_estimate_is_close():
         a = rng.integers(0, 1 << 62, n).astype(np.uint64)
         b = np.concatenate((a[: int(n * share)], rng.integers(0, 1 << 62, n - int(n * share)).astype(np.uint64)))
         truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert abs(neardup.estimate(neardup.registers(np.unique(a)), neardup.registers(np.unique(b)), n, n) - truth) < 0.12
+        assert abs(neardup.estimate(neardup.registers(np.unique(a))[None], neardup.registers(np.unique(b))[None], [n], [n])[0] - truth) < 0.12
 
 
 def test_component_chains(spark):
