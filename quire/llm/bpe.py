@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.store import table
-from quire.llm.text import chunks
+from quire.llm.text import chunks, give_back, hold
 
 #: Distinct matches kept by a worker, and the longest match that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -103,9 +103,16 @@ class Codec:
         return out
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
+def _codec(path: str, pattern: str) -> Codec:
+    made = Codec(path, pattern)
+    give_back()
+    return made
+
+
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    hold("bpe", _codec.cache_clear)
+    return _codec(path, pattern)
 
 
 def encode(text: Column, path: str, pattern: str) -> Column:
@@ -114,7 +121,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(batch: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        packed = [ids for _, run in chunks(batch.to_pylist()) for ids in c.encode(run)]
+        packed = [ids for run in chunks(batch) for ids in c.encode(run)]
         at = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
         return pa.ListArray.from_arrays(at, np.frombuffer(b"".join(packed), np.int32))
 
@@ -128,7 +135,7 @@ def encode_spans(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<struct<id:int,start:int,stop:int>>")
     def spans(batch: pa.Array) -> pa.Array:
         c, out = codec(path, pattern), []
-        for _, run in chunks(batch.to_pylist()):
+        for run in chunks(batch):
             for t, packed in zip(run, c.encode(run), strict=True):
                 ids = np.frombuffer(packed, np.int32).tolist()
                 out.append([{"id": i, "start": a, "stop": b} for i, (a, b) in zip(ids, c.spans(t, ids), strict=True)])

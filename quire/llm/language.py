@@ -26,12 +26,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.store import table
-from quire.llm.text import chunks
+from quire.llm.text import chunks, hold
 
 ROWS_PER_LANGUAGE, WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE, MAX_LANGUAGES = 1000, 20_000, 20_000, 200
 LONGEST_GRAM = 5
 #: Tokens kept by a worker; a longer token than this is not kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 200
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 200
 
 _WORDS = regex.compile(r"\p{L}+").findall
 
@@ -155,6 +155,7 @@ _scorers: dict[str, Scorer] = {}
 
 
 def scorer(name: str, model: Broadcast) -> Scorer:
+    hold("language", _scorers.clear)
     if name not in _scorers:
         _scorers.clear()
         _scorers[name] = Scorer(*model.value)
@@ -168,7 +169,7 @@ def identify(text: Column, model: Broadcast) -> Column:
     @F.arrow_udf("lang string, score double")
     def judged(batch: pa.Array) -> pa.Array:
         s = scorer(name, model)
-        both = [x for _, run in chunks(batch.to_pylist()) for x in s.judge(run)]
+        both = [x for run in chunks(batch) for x in s.judge(run)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in both], pa.string()), pa.array([x[1] for x in both], pa.float64())], ["lang", "score"])
 
     return judged(text)

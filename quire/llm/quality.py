@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.language import in_fold
 from quire.llm.store import table
-from quire.llm.text import chunks
+from quire.llm.text import chunks, hold
 
 SAMPLE_ROWS, BINS, COST, EPOCHS, ALPHA = 8000, 1 << 18, 1.0, 30, 1.0
 #: Tokens kept by a worker; a longer token than this is not kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 200
+CACHE_ENTRIES, CACHE_CHARS = 120_000, 200
 
 #: Runs of a kind of character, and the sign that stands for them in a shape.
 _RUNS = [(regex.compile(p), r) for p, r in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}]+", "a"), (r"\p{N}+", "0"), (r"([^Aa0])\1+", r"\1\1"))]
@@ -43,6 +43,9 @@ class Features:
     """Word hash and shape hash of each distinct token, kept by a worker up to a bound."""
 
     def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.pairs = np.zeros((0, 2), np.uint64)
 
@@ -64,6 +67,7 @@ class Features:
 
     def bins(self, texts: list[str]) -> list[np.ndarray]:
         """Distinct features of each text, ascending."""
+        hold("quality", self.clear)
         split = [t.split() for t in texts]
         new = list(set().union(*split).difference(self.at))
         self.learn(new)
@@ -100,7 +104,7 @@ def features(text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def binned(batch: pa.Array) -> pa.Array:
-        return pa.array([b.astype(np.int32) for _, run in chunks(batch.to_pylist()) for b in _features.bins(run)], pa.list_(pa.int32()))
+        return pa.array([b.astype(np.int32) for run in chunks(batch) for b in _features.bins(run)], pa.list_(pa.int32()))
 
     return binned(text)
 
@@ -148,7 +152,7 @@ def judge(text: Column, model: Broadcast) -> Column:
     def scored(batch: pa.Array) -> pa.Array:
         m, out = model.value, []
         w, bias, ratio = m[:BINS], m[BINS], m[BINS + 1 :]
-        for _, run in chunks(batch.to_pylist()):
+        for run in chunks(batch):
             for b in _features.bins(run):
                 margin = bias + (w[b] @ ratio[b] / max(np.sqrt((ratio[b] ** 2).sum()), 1e-9) if len(b) and len(ratio) else 0.0)
                 out.append(float(1 / (1 + np.exp(-np.clip(3 * margin, -50, 50)))))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 #: A-Z to a-z, all other bytes kept.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -20,14 +24,48 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER_WORDS).split() if text else []
 
 
-def chunks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of whole texts of about ``chars`` characters with the index of the first; null becomes empty."""
-    start, run, size = 0, [], 0
-    for i, t in enumerate(texts):
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= chars:
-            yield start, run
-            start, run, size = i + 1, [], 0
+#: Rows of a batch that are turned into Python strings at a time.
+SLICE_ROWS = 256
+
+
+def chunks(batch: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
+    """Runs of whole texts of about ``chars`` characters, in order; null becomes empty."""
+    run, size = [], 0
+    for at in range(0, len(batch), SLICE_ROWS):
+        for t in batch.slice(at, SLICE_ROWS).to_pylist():
+            run.append(t or "")
+            size += len(run[-1])
+            if size >= chars:
+                yield run
+                run, size = [], 0
     if run:
-        yield start, run
+        yield run
+
+
+def texts_of(*batches: pa.Array) -> Iterator[tuple]:
+    """Rows of parallel arrays as Python values, a slice at a time."""
+    for at in range(0, len(batches[0]), SLICE_ROWS):
+        yield from zip(*(b.slice(at, SLICE_ROWS).to_pylist() for b in batches), strict=True)
+
+
+_holder: list = ["", None]
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Make ``name`` the one operator of this Python worker that keeps caches; the one before clears its own.
+
+    Spark lends a worker to stage after stage, so the caches of all of them would add up.
+    """
+    if _holder[0] != name:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [name, clear]
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep it otherwise, and executors count it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
