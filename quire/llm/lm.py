@@ -1,16 +1,19 @@
 """Language-model scores with a probabilistic suffix tree over words.
 
-Counts of words and of the n-grams that the tree can need are taken over all training texts. A
-context of up to ``DEPTH`` words is a candidate when its share of all tokens reaches
-``LEAST_CONTEXT``; it is retained when its next-word distribution diverges from that of its suffix by
-enough for its count, or when a longer retained context ends in it. Next-word probabilities are
-discounted counts interpolated with the suffix's; the root is the add-one word distribution. A token
-is scored at the longest retained suffix of the words before it.
-
-A table of entries with at least a share p of all tokens has at most 1/p rows, whatever the corpus:
-that bounds what is broadcast. The counts of all other words stay in Spark and are joined.
-
-Words are known by their 64-bit hashes. Defined results: null and empty texts are the end token
+Texts are coded once, in chunks. Of the training texts all words are counted, and at each level up to
+``DEPTH`` the n-grams whose context occurs ``LEAST_CONTEXT`` times; those that occur ``LEAST_NEXT``
+times are next words of their context. A context is retained when its next-word distribution
+diverges from that of its suffix by enough for its count, or when a longer retained context ends in
+it. Next-word probabilities are discounted counts interpolated with the suffix's; the root is the
+add-one word distribution. A token is scored at the longest retained suffix of the words before it.
+
+The least counts do not depend on the corpus, so the tree grows with it: words, n-grams and contexts
+are Spark tables, and probabilities come from groupings and joins. For scoring, every chunk asks once
+for each of its words and n-grams, the questions are joined with the tree's entries, and the answers
+meet the chunk again. Only bitmaps of a fixed size are broadcast; they keep what surely is not in a
+table from being shuffled, and the joins behind them are exact.
+
+Words and n-grams are known by 64-bit hashes. Defined results: null and empty texts are the end token
 alone; a row without key is a training row; repeated rows each get their own score and count each in
 training; without training rows every token has the probability of the one unseen word.
 """
@@ -18,29 +21,33 @@ training; without training rows every token has the probability of the one unsee
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property, reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.language import in_fold
-from quire.llm.neardup import CACHE_ENTRIES, _words
+from quire.llm.neardup import CACHE_ENTRIES, _mix, _words
 from quire.llm.store import keep, table
 from quire.llm.text import chunks, hold, space_words
 
-DEPTH = 2
-#: Least shares of all tokens: of a word in the broadcast table, of a word inside n-grams, of a context, of a next word with its context.
-LEAST_WORD, LEAST_GRAM_WORD, LEAST_CONTEXT, LEAST_NEXT = 1e-6, 3e-5, 1e-4, 1e-6
+#: Words in the longest contexts.
+DEPTH = 3
+#: Least counts of a context and of a next word behind it.
+LEAST_CONTEXT, LEAST_NEXT = 4, 2
 #: Least divergence from the suffix's distribution times the context's count, in nats; and the discount.
 LEAST_DIVERGENCE, DISCOUNT = 20.0, 0.75
-BITS = 16  # of a word in a packed n-gram: 1 / LEAST_GRAM_WORD words fit
-
+#: Characters of a chunk, n-grams that are counted at a time, and bits of a hash that a bitmap tells apart.
+CHUNK_CHARS, RUN_GRAMS, BITMAP_BITS = 1_000_000, 1_000_000, 27
+BITS = 16  # of a word in the packed n-grams of ``Tree.levels``
 
 #: The end token: no word is empty.
 END = _words[b""]
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,24 +60,108 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((h for x in found for h in x), np.uint64, int(sizes.sum())), sizes
 
 
-def _counted(keys: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.RecordBatch:
-    key, count = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), kind), pa.array(count)], ["key", "c"])
+def coded(docs: DataFrame) -> DataFrame:
+    """One row per chunk of ``id, text, train``: the ids, and packed: train flags, sizes, distinct word hashes, places of the tokens in these."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            at = 0
+            for run in chunks(b.column("text"), CHUNK_CHARS):
+                hashes, sizes = token_hashes(run)
+                words, codes = np.unique(hashes, return_inverse=True)
+                ids = b.column("id").slice(at, len(run))
+                train = b.column("train").slice(at, len(run)).to_numpy(zero_copy_only=False).astype(np.uint8)
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (train, sizes, words, codes.astype(np.int32))]
+                ids = pa.ListArray.from_arrays(pa.array([0, len(run)], pa.int32()), pa.concat_arrays([ids]))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *packed], ["chunk", "ids", "train", "sizes", "words", "codes"])
+                at, number = at + len(run), number + 1
+
+    return docs.select("id", "text", "train").mapInArrow(code, f"chunk long, ids array<{kind}>, train binary, sizes binary, words binary, codes binary")
+
+
+class Chunk(NamedTuple):
+    train: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    codes: np.ndarray
+
+    def places(self) -> np.ndarray:
+        """Place of each token in its text."""
+        return np.arange(len(self.codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
+    def sequences(self, longest: int) -> list[np.ndarray]:
+        """Hashes of the 1 to ``longest`` tokens that end at each place; without meaning where they start before the text."""
+        words = self.words[self.codes]
+        out = [words]
+        for _ in range(longest - 1):
+            out.append(np.concatenate((words[:1], _mix(out[-1][:-1] * _K ^ words[1:]))))
+        return out
 
-def _text_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
-    for b in batches:
-        for run in chunks(b.column(0), 4_000_000):
-            yield run
 
+def _chunk(b: pa.RecordBatch | pa.Table, i: int) -> Chunk:
+    return Chunk(*(np.frombuffer(b.column(name)[i].as_buffer(), kind) for name, kind in (("train", np.uint8), ("sizes", np.int64), ("words", np.uint64), ("codes", np.int32))))
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``key, c``: hash and count of every token in the one text column of ``texts``."""
+
+def _longs(*columns: np.ndarray, names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names.split())
+
+
+def word_counts(chunked: DataFrame) -> DataFrame:
+    """``key, c``: hash and count of every training token."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _text_chunks(batches):
-            yield _counted(token_hashes(run)[0])
+        for b in batches:
+            for i in range(b.num_rows):
+                x = _chunk(b, i)
+                c = np.bincount(x.codes[np.repeat(x.train, x.sizes) > 0], minlength=len(x.words))
+                yield _longs(x.words[c > 0], c[c > 0], names="key c")
+
+    return chunked.select("train", "sizes", "words", "codes").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the lowest ``BITMAP_BITS`` bits of every ``key``, in bytes."""
+    place = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    rows = keys.groupBy(F.shiftright(place, 15).alias("page")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for r in rows:
+        out[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def possible(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of ``keys`` may be in a bitmap."""
+    place = keys & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
-    return texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+def gram_counts(chunked: DataFrame, contexts: Broadcast, length: int) -> DataFrame:
+    """``key, ctx, suf, c``: n-grams of the training texts behind possible contexts of ``length`` words, without their last word, without their first."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            key, ctx, suf = (np.concatenate(x) for x in zip(*run, strict=True))
+            key, first, c = np.unique(key, return_index=True, return_counts=True)
+            return _longs(key, ctx[first], suf[first], c, names="key ctx suf c")
+
+        for b in batches:
+            for i in range(b.num_rows):
+                x = _chunk(b, i)
+                *_, short, long = x.sequences(length + 1)
+                at = np.flatnonzero((np.repeat(x.train, x.sizes) > 0) & (x.places() >= length))
+                at = at[possible(contexts.value, short[at - 1])]
+                run.append((long[at], short[at - 1], short[at]))
+                size += len(at)
+                if size >= RUN_GRAMS:
+                    yield counted()
+                    run, size = [], 0
+        if size:
+            yield counted()
+
+    grams = chunked.select("train", "sizes", "words", "codes").mapInArrow(count, "key long, ctx long, suf long, c long")
+    return grams.groupBy("key").agg(F.max("ctx").alias("ctx"), F.max("suf").alias("suf"), F.sum("c").alias("c"))
 
 
 class Known(NamedTuple):
@@ -87,6 +178,11 @@ class Known(NamedTuple):
         found = self.keys[at] == keys
         return found, np.where(found, at, 0)
 
+    def values_of(self, keys: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and the value of each, ``other`` where there is none."""
+        found, at = self.find(keys)
+        return found, np.where(found, self.values[at] if len(self.values) else other, other)
+
 
 def known(keys, values) -> Known:
     keys, values = np.asarray(keys), np.asarray(values)
@@ -95,112 +191,110 @@ def known(keys, values) -> Known:
 
 
 class Grams(NamedTuple):
-    """Numbers of the words inside n-grams."""
+    """Numbers of the words inside packed n-grams."""
 
     words: Known
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        found, at = self.words.find(hashes.view(np.int64))
-        return np.where(found, self.words.values[at] if len(self.words.values) else 0, -1)
-
-
-def contexts(numbers: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
-    """Packed context of ``length`` numbers before each token; -1 where it has an unnumbered word or starts before the text."""
-    place = np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, ok = np.zeros(len(numbers), np.int64), place >= length
-    for back in range(length, 0, -1):
-        before = np.concatenate((np.full(min(back, len(numbers)), -1), numbers[:-back] if back < len(numbers) else numbers[:0]))
-        ok &= before >= 0
-        out = (out << BITS) | np.maximum(before, 0)
-    return np.where(ok, out, -1)
-
-
-def gram_counts(texts: DataFrame, grams: Broadcast, candidates: Broadcast, length: int) -> DataFrame:
-    """``key, c``: packed context and next word, for contexts of ``length`` among the candidates."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _text_chunks(batches):
-            hashes, sizes = token_hashes(run)
-            numbers = grams.value.numbers(hashes)
-            before = contexts(numbers, sizes, length)
-            ok = (before >= 0) & (numbers >= 0)
-            before, numbers = before[ok], numbers[ok]
-            ok = candidates.value.find(before)[0]
-            yield _counted((before[ok] << BITS) | numbers[ok])
-
-    return texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
 
 class Level(NamedTuple):
     backoff: Known  # context: log10 weight of the suffix
     next: Known  # context and next word: log10 probability
 
 
-class Tree(NamedTuple):
-    tokens: int
-    vocabulary: int
-    words: Known  # hash: count
-    grams: Grams
-    levels: list[Level]  # of contexts of length 1, 2, ...
+class Tables(NamedTuple):
+    """One level of the tree."""
+
+    grams: DataFrame  # key, ctx, suf, c, p: probability of the last word behind the context, retained or not
+    retained: DataFrame  # ctx, backoff
+
+
+class Tree:
+    def __init__(self, tokens: int, vocabulary: int, counts: DataFrame, tables: list[Tables]):
+        self.tokens, self.vocabulary, self.counts, self.tables = tokens, vocabulary, counts, tables
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1.0) / (self.tokens + self.vocabulary + 1.0))
 
-
-def _at_least(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    rows = counts.filter(F.col("c") >= max(least, 1)).toPandas()
-    return rows["key"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+    def entries(self, length: int) -> DataFrame:
+        """``key, kind, value`` of the tree's ``length`` words in a row: log10 of 0 a next word's probability, 1 a context's weight of the suffix, 2 a word's probability at the root."""
+        parts = []
+        if length == 1:
+            parts.append(self.counts.select("key", F.lit(2).alias("kind"), F.log10((F.col("c") + 1) / F.lit(float(self.tokens + self.vocabulary + 1))).alias("value")))
+        if 1 < length <= len(self.tables) + 1:
+            level = self.tables[length - 2]
+            parts.append(level.grams.join(level.retained, "ctx", "left_semi").select("key", F.lit(0).alias("kind"), F.log10("p").alias("value")))
+        if length <= len(self.tables):
+            parts.append(self.tables[length - 1].retained.select(F.col("ctx").alias("key"), F.lit(1).alias("kind"), F.log10("backoff").alias("value")))
+        return reduce(DataFrame.unionAll, parts)
+
+    # The tree in the driver's memory, to look into small ones.
+
+    @cached_property
+    def words(self) -> Known:
+        rows = self.counts.toPandas()
+        if len(rows) > 1 << BITS:
+            raise ValueError("a tree of more words than BITS can number stays in Spark")
+        return known(rows["key"].to_numpy(np.int64), rows["c"].to_numpy(np.int64))
+
+    @cached_property
+    def grams(self) -> Grams:
+        return Grams(Known(self.words.keys, np.arange(len(self.words.keys))))
+
+    @cached_property
+    def levels(self) -> list[Level]:
+        packed = last = dict(zip(self.words.keys.tolist(), range(len(self.words.keys)), strict=True))
+        out = []
+        for t in self.tables:
+            kept = {r.ctx: r.backoff for r in t.retained.collect()}
+            rows = t.grams.collect()
+            before, packed = packed, {r.key: packed[r.ctx] << BITS | last[r.suf] for r in rows}
+            last = {r.key: last[r.suf] for r in rows}
+            inside = [r for r in rows if r.ctx in kept]
+            out.append(Level(known([before[c] for c in kept], [np.log10(x) for x in kept.values()]), known([packed[r.key] for r in inside], [np.log10(r.p) for r in inside])))
+        return out
 
 
 def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     """The tree, and the counts of all words, from the one text column of ``texts``."""
-    spark = texts.sparkSession
-    sc = spark.sparkContext
-    counts = keep(word_counts(texts), "word_counts")
+    rows = texts.select(F.lit(None).cast("long").alias("id"), F.col(texts.columns[0]).alias("text"), F.lit(True).alias("train"))
+    tree = fit_coded(keep(coded(rows), "coded"), depth)
+    return tree, tree.counts
+
+
+def fit_coded(chunked: DataFrame, depth: int = DEPTH) -> Tree:
+    """The tree from the training texts of ``coded``."""
+    sc = chunked.sparkSession.sparkContext
+    counts = keep(word_counts(chunked), "word_counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    words = known(*_at_least(counts, LEAST_WORD * n))
-    inside = np.flatnonzero(words.values >= LEAST_GRAM_WORD * n)
-    if len(inside) > 1 << BITS:
-        raise ValueError("LEAST_GRAM_WORD lets more words into n-grams than BITS can number")
-    grams = Grams(Known(words.keys[inside], np.arange(len(inside))))
-    tree = Tree(n, v, words, grams, [])
-    root = tree.root(words.values[inside].astype(float))
-    shared = sc.broadcast(grams)
-    # Contexts of length 1: the end token precedes nothing.
-    frequent = (words.values[inside] >= LEAST_CONTEXT * n) & (words.keys[inside] != np.uint64(END).view(np.int64))
-    candidates = Known(np.flatnonzero(frequent), words.values[inside][frequent])
-    mask, found = (1 << BITS) - 1, []
+    found, diverging = [], []
+    # What a context or a suffix can be: sequences one word shorter, their counts and probabilities.
+    shorter = counts.withColumn("p", (F.col("c") + 1) / F.lit(float(n + v + 1)))
     for length in range(1, depth + 1):
-        if not len(candidates.keys):
+        candidates = shorter.filter(F.col("c") >= LEAST_CONTEXT).select("key", F.col("c").alias("n"))
+        bits = bitmap(candidates)
+        if not bits.any():
             break
-        pairs = keep(gram_counts(texts, shared, sc.broadcast(candidates), length), f"grams_{length}")
-        key, c = _at_least(pairs, max(LEAST_NEXT * n, 2))
-        order = np.argsort(key)
-        key, c = key[order], c[order].astype(float)
-        of, at = candidates.find(key >> BITS)
-        key, c, at = key[of], c[of], at[of]
-        context_count = candidates.values[at].astype(float)
-        suffix = _conditional([x[0] for x in found], root, key, length)
-        share = np.maximum(c - DISCOUNT, 0) / context_count
-        backoff = np.maximum(1 - np.bincount(at, share, len(candidates.keys)), 1e-9)
-        smooth = share + backoff[at] * 10**suffix
-        divergence = np.bincount(at, c * np.log(smooth / 10**suffix), len(candidates.keys))
-        covered = np.bincount(at, c / context_count, len(candidates.keys))
-        expected = np.bincount(at, 10**suffix, len(candidates.keys))
-        rest = np.maximum(1 - covered, 0)
-        divergence += candidates.values * rest * np.log(np.maximum(rest, 1e-9) / np.maximum(1 - expected, 1e-9))
-        found.append((Level(Known(candidates.keys, np.log10(backoff)), Known(key, np.log10(smooth))), divergence >= LEAST_DIVERGENCE))
-        frequent = (c >= LEAST_CONTEXT * n) & (key & mask != np.searchsorted(grams.words.keys, np.uint64(END).view(np.int64)))
-        candidates = Known(key[frequent], c[frequent])
+        pairs = gram_counts(chunked, sc.broadcast(bits), length).filter(F.col("c") >= LEAST_NEXT)
+        # An n-gram occurs no more often than what it ends in, so its suffix is in the level before.
+        pairs = pairs.join(candidates.withColumnRenamed("key", "ctx"), "ctx").join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("below")), "suf")
+        pairs = keep(pairs.withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
+        weights = pairs.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("backoff"))
+        grams = keep(pairs.join(weights, "ctx").withColumn("p", F.col("share") + F.col("backoff") * F.col("below")), f"grams_{length}")
+        rest, other = (F.greatest(1 - F.sum(x), F.lit(least)) for x, least in ((F.col("c") / F.col("n"), 0.0), (F.col("below"), 1e-9)))
+        divergence = F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))) + F.max("n") * rest * F.log(F.greatest(rest, F.lit(1e-9)) / other)
+        diverging.append(keep(grams.groupBy("ctx").agg(F.max("backoff").alias("backoff"), (divergence >= LEAST_DIVERGENCE).alias("own")), f"contexts_{length}"))
+        found.append(grams)
+        shorter = grams.select("key", "c", "p")
     # A suffix of a retained context is retained.
-    retained: list[np.ndarray] = [r.copy() for _, r in found]
-    for i in range(len(found) - 1, 0, -1):
-        needed = np.unique(found[i][0].backoff.keys[retained[i]] & ((1 << BITS * i) - 1))
-        retained[i - 1] |= np.isin(found[i - 1][0].backoff.keys, needed)
-    for (level, _), r in zip(found, retained, strict=True):
-        stays = np.isin(level.next.keys >> BITS, level.backoff.keys[r])
-        tree.levels.append(Level(Known(level.backoff.keys[r], level.backoff.values[r]), Known(level.next.keys[stays], level.next.values[stays])))
-    return tree, counts
+    tables: list[Tables] = []
+    for i in range(len(found) - 1, -1, -1):
+        retained = diverging[i].filter("own").select("ctx", "backoff")
+        if tables:
+            needed = found[i].join(tables[0].retained.select(F.col("ctx").alias("key")), "key", "left_semi").select(F.col("suf").alias("ctx")).distinct()
+            retained = diverging[i].join(needed.withColumn("needed", F.lit(True)), "ctx", "left").filter(F.col("own") | F.col("needed")).select("ctx", "backoff")
+        tables.insert(0, Tables(found[i], keep(retained, f"retained_{i + 1}")))
+    return Tree(n, v, counts, tables)
 
 
 def _conditional(levels: list[Level], root: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
@@ -216,68 +310,60 @@ def _conditional(levels: list[Level], root: np.ndarray, key: np.ndarray, length:
     return np.where(known_pair, level.next.values[at] if len(level.next.values) else 0, below)
 
 
-def score(text: Column, tree: Broadcast) -> Column:
-    """``struct<n_tokens, n_known, base, score, rest>``: sums over the words that the tree holds, and the hashes of the rest.
-
-    ``score`` lacks the root's share of ``rest``, whose counts the tree does not hold.
-    """
-    kind = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.int64()))])
-
-    @F.arrow_udf("n_tokens long, n_known long, base double, score double, rest array<long>")
-    def scored(batch: pa.Array) -> pa.Array:
-        m: Tree = tree.value
-        parts: list[list] = [[], [], [], [], [], []]
-        for run in chunks(batch, 4_000_000):
-            hashes, sizes = token_hashes(run)
-            starts = np.cumsum(sizes) - sizes
-            is_known, at = m.words.find(hashes.view(np.int64))
-            base = np.where(is_known, m.root(m.words.values[at].astype(float)) if len(m.words.values) else 0.0, 0.0)
-            numbers = m.grams.numbers(hashes)
-            total, open_ = np.zeros(len(hashes)), np.ones(len(hashes), bool)
-            for length in range(len(m.levels), 0, -1):
-                level = m.levels[length - 1]
-                before = contexts(numbers, sizes, length)
-                inside, where = level.backoff.find(before)
-                inside &= open_ & (before >= 0)
-                pair, place = level.next.find(np.where(numbers >= 0, (before << BITS) | np.maximum(numbers, 0), -1))
-                pair &= inside & (numbers >= 0)
-                if len(level.next.values):
-                    total[pair] += level.next.values[place[pair]]
-                open_ &= ~pair
-                back = inside & ~pair
-                total[back] += level.backoff.values[where[back]]
-            total += np.where(open_, base, 0.0)
-            parts[0].append(sizes)
-            parts[1].append(np.add.reduceat(is_known.astype(np.int64), starts))
-            parts[2].append(np.add.reduceat(base, starts))
-            parts[3].append(np.add.reduceat(total, starts))
-            parts[4].append(np.add.reduceat((~is_known).astype(np.int64), starts))
-            parts[5].append(hashes[~is_known].view(np.int64))
-        n, k, b, s, r, rest = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
-        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(r))).astype(np.int32), pa.array(rest))
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(k), pa.array(b, pa.float64()), pa.array(s, pa.float64()), lists], fields=list(kind))
-
-    return scored(text)
+def asked(chunked: DataFrame, bitmaps: Broadcast) -> DataFrame:
+    """``chunk, key``: each word of a chunk, and each of its longer sequences that may be in the tree, once."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x, keys = _chunk(b, i), []
+                places = x.places()
+                for back, (key, bits) in enumerate(zip(x.sequences(len(bitmaps.value) + 1)[1:], bitmaps.value, strict=True), 1):
+                    key = key[places >= back]
+                    keys.append(np.unique(key[possible(bits, key)]))
+                keys = np.concatenate((x.words, *keys))
+                yield _longs(np.full(len(keys), b.column("chunk")[i].as_py()), keys, names="chunk key")
+
+    return chunked.select("chunk", "train", "sizes", "words", "codes").mapInArrow(ask, "chunk long, key long")
+
+
+def score(chunked: DataFrame, tree: Tree) -> DataFrame:
+    """``id, n_tokens, n_known, base, score`` of every text of ``coded``."""
+    entries = [tree.entries(length) for length in range(1, len(tree.tables) + 2)]
+    entries = [entries[0], *(keep(e, f"entries_{i}") for i, e in enumerate(entries[1:], 2))]
+    bitmaps = chunked.sparkSession.sparkContext.broadcast([bitmap(e) for e in entries[1:]])
+    answers = asked(chunked, bitmaps).join(reduce(DataFrame.unionAll, entries), "key").select("chunk", "key", "kind", "value")
+    depth, unseen = len(tree.tables), float(tree.root(np.zeros(1))[0])
+    kind = chunked.schema["ids"].dataType.elementType.simpleString()
+
+    def scored(chunk: pa.Table, answer: pa.Table) -> pa.Table:
+        key, which, value = (answer.column(name).to_numpy() for name in ("key", "kind", "value"))
+        following, backoff, root = (known(key[which == k].view(np.uint64), value[which == k]) for k in range(3))
+        x = _chunk(chunk, 0)
+        is_known, base = (a[x.codes] for a in root.values_of(x.words, unseen))
+        sequences, places = x.sequences(depth + 1), x.places()
+        total, open_ = np.zeros(len(x.codes)), np.ones(len(x.codes), bool)
+        for length in range(depth, 0, -1):
+            at = np.flatnonzero(open_ & (places >= length))
+            inside, weight = backoff.values_of(sequences[length - 1][at - 1], 0.0)
+            at, weight = at[inside], weight[inside]
+            pair, p = following.values_of(sequences[length][at], 0.0)
+            total[at] += np.where(pair, p, weight)
+            open_[at[pair]] = False
+        total[open_] += base[open_]
+        starts = np.cumsum(x.sizes) - x.sizes
+        ids = chunk.column("ids").combine_chunks().flatten()
+        sums = [pa.array(np.add.reduceat(a, starts)) for a in (is_known.astype(np.int64), base, total)]
+        return pa.Table.from_arrays([ids, pa.array(x.sizes), *sums], ["id", "n_tokens", "n_known", "base", "score"])
+
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_tokens long, n_known long, base double, score double")
 
 
 def with_scores(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_tokens, n_known, train_tokens, base_score, score."""
-    tree, counts = fit(docs.filter(train).select(text))
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    rows = docs.select(F.col(key).alias("id"), score(F.col(text), shared).alias("s")).select("id", "s.*").withColumn("row", F.monotonically_increasing_id())
-    rows = keep(rows, "scored")
-    rest = rows.select("row", F.explode("rest").alias("key")).join(counts, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    root = F.log10((F.col("c") + 1) / F.lit(float(tree.tokens + tree.vocabulary + 1)))
-    sums = rest.groupBy("row").agg(F.sum(root).alias("rest_score"), F.count_if(F.col("c") > 0).alias("rest_known"))
-    rest_score = F.coalesce("rest_score", F.lit(0.0))
-    return rows.drop("rest").join(sums, "row", "left").select(
-        F.col("id").alias(key),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rest_score).alias("base_score"),
-        (F.col("score") + rest_score).alias("score"),
-    )
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    chunked = keep(coded(rows), "coded")
+    tree = fit_coded(chunked)
+    return score(chunked, tree).select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

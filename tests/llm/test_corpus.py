@@ -248,3 +248,23 @@ def test_descent_reaches_the_optimum():
     w = quality.descend([np.arange(3)] * 60, list(x), y, np.full(60, 1.0), 3, epochs=500)
     loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w[:3] + w[3])).sum()
     assert all(loss(w) <= loss(w + d) + 0.05 for d in rng.normal(scale=0.05, size=(200, 4)))
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A context that occurs a few times among 200,000 tokens, of three words, predicts its next word."""
+    rare = "red fox ran north"
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 5000}" for j in range(200))) for i in range(1000)]
+    rows += [(5000 + i, f"q{i} {rare} {w}") for i, w in enumerate(["home", "home", "away", "home", "home", "home"])]
+    docs = spark.createDataFrame([*rows, (9000, f"new {rare} home"), (9001, "north home")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.with_scores(docs, F.col("doc_id") < 9000).collect()}
+    assert len(got) == len(rows) + 2
+    n, c = got[9000].train_tokens, Counter(w for _, t in rows for w in [*t.split(), "</end>"])
+    root = lambda w: (c[w] + 1) / (n + len(c) + 1)
+    # By hand: discounted counts behind one word, interpolated with the root; contexts of one distribution add nothing.
+    want = (5 - lm.DISCOUNT) / 6 + (1 - (5 - lm.DISCOUNT) / 6) * root("home")
+    assert got[9001].score == pytest.approx(math.log10(root("north")) + math.log10(want) + _behind_home(root))
+    assert got[9000].score > got[9000].base_score + 8
+
+
+def _behind_home(root):
+    return math.log10((5 - lm.DISCOUNT) / 5 + lm.DISCOUNT / 5 * root("</end>"))
