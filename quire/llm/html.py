@@ -1,17 +1,19 @@
 """Main text of web pages by consensus paths of their hosts.
 
-Each page's containers are scored by the text that stands in them outside links. The best one votes
-for its generalised path, tags with their classes from the body down. Spark counts the votes of each
-host; pages are then read again, and the text of the containers on the host's winning paths is kept.
+Each page's containers are scored by the text that stands in them outside links. From the best one the
+page goes up to the ancestor that holds the article's other parts, and votes for its generalised path,
+tags with their classes from the body down. Spark counts the votes of each host; pages are then read
+again, and the text of the containers on all of the host's winning paths is kept.
 
 Defined results: null and empty html has an empty text; a page on which no winning path occurs, or
-whose containers there are empty, falls back to its own best container; pages without a host vote
+whose containers there are empty, falls back to its own path; pages without a host vote
 together as one; equal votes go to the path that sorts first; repeated rows each get their own text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html import unescape
 from typing import NamedTuple
 
@@ -174,7 +176,7 @@ def parse(html: str) -> tuple[list[Container], list[Block]]:
 
 
 def best(containers: list[Container], blocks: list[Block]) -> str | None:
-    """Path of the container that scores best, or None where there is no text."""
+    """Path of the container that scores best with the parts beside it, or None where there is no text."""
     scores = [0.0] * len(containers)
     for b in blocks:
         worth = max(0.0, len(b.text) - 2.0 * b.linked) + 1
@@ -186,20 +188,53 @@ def best(containers: list[Container], blocks: list[Block]) -> str | None:
         return None
     weight = {"article": 1.6, "main": 1.3}
     scores = [s * weight.get(c.tag, 1.0) * (1.25 if re.search(r"content|article|post|entry|story", c.path.rpartition(">")[2]) else 1.0) * (0.7 if not i else 1.0) for i, (s, c) in enumerate(zip(scores, containers, strict=True))]
-    return containers[max(range(len(scores)), key=lambda i: (scores[i], -i))].path
+    return _whole(containers, blocks, max(range(len(scores)), key=lambda i: (scores[i], -i)))
+
+
+def _within(containers: list[Container], top: Callable[[int], bool]) -> list[bool]:
+    """Which containers are, or are inside, one that is ``top``."""
+    out = [False] * len(containers)
+    for i, c in enumerate(containers):  # parents come before their children
+        out[i] = top(i) or (c.parent >= 0 and out[c.parent])
+    return out
+
+
+def _whole(containers: list[Container], blocks: list[Block], at: int) -> str:
+    """Path of the nearest ancestor of ``at``, or of itself, beside whose path no more text stands outside links.
+
+    ``main`` holds all of the article, and so does an ``article`` that has no other beside it.
+    """
+    texts = {b.container for b in blocks if len(b.text) > 2 * b.linked}
+    path = containers[at].path
+    covered = _within(containers, lambda i: containers[i].path == path)
+    while at > 0 and not all(covered[i] for i in texts):
+        c = containers[at]
+        if c.tag == "main" or (c.tag == "article" and sum(x.parent == c.parent and x.tag == "article" for x in containers) < 2):
+            break
+        at = up = c.parent
+        inside = _within(containers, lambda i, up=up: i == up)
+        if any(inside[i] and not covered[i] for i in texts):
+            path = containers[at].path
+            covered = _within(containers, lambda i, path=path: containers[i].path == path)
+    return path
 
 
 def extract(html: str, paths: list[str]) -> str:
-    """Text of the containers on the first of ``paths`` that has any, else of the page's best one."""
+    """Text of the containers on all of ``paths``, else of the page's best one.
+
+    The page's own path goes before the others. A path that only leads to one before it stands for
+    pages of another layout and is left out.
+    """
     containers, blocks = parse(html)
-    for path in [*paths, best(containers, blocks)]:
-        within = [False] * len(containers)
-        for i, c in enumerate(containers):  # parents come before their children
-            within[i] = c.path == path or (c.parent >= 0 and within[c.parent])
-        text = "\n\n".join(b.text for b in blocks if within[b.container])
-        if text:
-            return text
-    return ""
+    own = best(containers, blocks)
+    filled = {b.container for b in blocks}
+    kept: list[str] = []
+    for path in sorted(paths, key=lambda p: p != own):
+        on_path = _within(containers, lambda i, path=path: containers[i].path == path)
+        if any(on_path[i] for i in filled) and not any(k.startswith(f"{path}>") for k in kept):
+            kept.append(path)
+    within = _within(containers, lambda i: containers[i].path in (kept or [own]))
+    return "\n\n".join(b.text for b in blocks if within[b.container])
 
 
 @F.arrow_udf(T.StringType())

@@ -127,3 +127,28 @@ def test_base_places(text):
     words = text.split()
     base = licenses.scanner(tuple(licenses.BASE_PHRASES.items())).base(b" " + " ".join(words).encode() + b" ")
     assert [w for _, w in base] == [i for i in range(len(words) - 1) if words[i : i + 2] == ["mit", "license"]]
+
+
+def _text(n, word):
+    return f"<p>{word * n}</p>"
+
+
+def test_html_keeps_all_parts_of_an_article(spark):
+    split = [
+        f'<div class="content"><section class="intro">{_text(300, "a")}</section><section class="details">{_text(700, "b")}</section></div>',
+        f'<article><div class="body"><section class="a">{_text(400, "a")}</section><section class="b">{_text(600, "b")}</section></div></article>',
+        f'<div class="x"><div class="y"><section class="a">{_text(900, "a")}</section></div><section class="b">{_text(100, "b")}</section></div>',
+    ]
+    noise = '<nav>menu</nav>{}<div class="sidebar">more</div><div class="links"><a href="/x">a link that is long enough to count</a></div>'
+    rows = [(k * 10 + i, f"http://h{k}/{i}", noise.format(x)) for k, x in enumerate(split) for i in range(3)]
+    got = html.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 9 and all({"a", "b"} == set(r.main_text.replace("\n", "")) for r in got)
+
+
+def test_html_combines_winning_paths():
+    page = f'<div class="lead">{_text(50, "a")}</div><div class="story">{_text(90, "b")}</div><div class="other">{_text(20, "c")}</div>'
+    assert set(html.extract(page, [">div.story", ">div.lead"])) == {"a", "b", "\n"}
+    # The body is where pages of another layout keep their text.
+    assert set(html.extract(page, [">div.story", ""])) == {"a", "b", "c", "\n"}
+    inside = f'<article>{_text(90, "a")}</article><div class="y">{_text(9, "b")}</div>'
+    assert set(html.extract(inside, [">article", ""])) == {"a"} and set(html.extract(inside, ["", ">article"])) == {"a"}
