@@ -53,48 +53,62 @@ def quota_top_k(voices: DataFrame, selected_uri: str | None = None, cap: int = M
     return few.withColumn("shown", F.when(F.col("__total") <= cap, F.col("place")).otherwise(overall)).filter(F.col("shown") <= cap).drop("__total", "__chosen", "__key", "__n", "__within")
 
 
-def _rules(target: Column) -> list[Column]:
-    """Conditions on a voice for a target bucket, best first."""
-    bucket, base = F.col("bucket"), F.substring_index(target, "-", 1)
-    low = F.lower("name")
-    preferred = (target == "zh-cn") & (bucket == "zh-cn") & reduce(lambda a, b: a | b, [low.contains(x) for x in R.PREFERRED_CHINESE])
-    return [preferred, F.col("is_default") & (bucket == target), bucket == target, F.col("is_default") & bucket.startswith(base), bucket.startswith(base), F.col("is_default"), F.lit(True)]
+#: Per rule, best first: the kind of voices and what they are looked up by.
+_RULES = [("preferred", "target"), ("default", "target"), ("any", "target"), ("default", "base"), ("any", "base"), ("default", "all"), ("any", "all")]
+_FAILED = [("bridge", "failed"), ("any", "failed")]
 
 
-def _first_rule(rules: list[Column]) -> Column:
-    out = F.lit(None).cast("int")
-    for i, r in reversed(list(enumerate(rules))):
-        out = F.when(r, i).otherwise(out)
-    return out
+def _candidates(asked: DataFrame, voices: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``asked`` (distinct: catalog, target[, failed]) with ``found``: by rule the best two voices of the catalog, in order.
 
-
-def resolve_voice(texts: DataFrame, voices: DataFrame, key: str, lang: str, selected_uri: str | None) -> DataFrame:
-    """``key, voice_uri``: null for the default; the selected voice if it speaks the language or is neural; else the best by rule.
-
-    The voices are a catalog of one device; Spark broadcasts them when they are small.
+    Two, since one of them may be the voice that failed. The voices are grouped by what a rule looks
+    for before they meet what is asked, so no voice is paired with another.
+    """
+    # What is looked up: a bucket behind "=", the start of one behind "^", or all.
+    wanted = {"target": F.concat(F.lit("="), "target"), "base": F.concat(F.lit("^"), F.substring_index("target", "-", 1)), "all": F.lit("*")}
+    if "failed" in asked.columns:
+        wanted["failed"] = F.concat(F.lit("="), "failed")
+    looks = [F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("kind"), wanted[by].alias("look")) for i, (kind, by) in enumerate(rules)]
+    cases = asked.withColumn("x", F.explode(F.array(*looks))).select(*asked.columns, "x.*")
+    bucket, low = F.col("bucket"), F.lower("name")
+    preferred = (bucket == "zh-cn") & reduce(lambda a, b: a | b, [low.contains(x) for x in R.PREFERRED_CHINESE])
+    kinds = F.array(F.lit("any"), F.when(F.col("is_default"), "default"), F.when(F.col("source") == "bridge", "bridge"), F.when(preferred, "preferred"))
+    starts = F.transform(F.sequence(F.lit(0), F.length("bucket")), lambda n: F.concat(F.lit("^"), F.substring(bucket, F.lit(1), n)))
+    looks = F.concat(F.array(F.lit("*"), F.concat(F.lit("="), bucket)), starts)
+    pool = voices.filter("voice_uri IS NOT NULL").withColumn("bucket", R.voice_bucket(F.col("lang"))).select("catalog", "ord", "voice_uri", F.explode(F.array_compact(kinds)).alias("kind"), looks.alias("looks"))
+    pool = pool.select("catalog", "ord", "voice_uri", "kind", F.explode("looks").alias("look"))
+    group = ["catalog", "kind", "look"]
+    pool = pool.join(cases.select(*group).distinct(), group, "left_semi").groupBy(*group, "voice_uri").agg(F.min("ord").alias("ord"))
+    n = F.row_number().over(W.partitionBy(*group).orderBy("ord", "voice_uri"))
+    best = pool.withColumn("n", n).filter("n <= 2")
+    return cases.join(best, group).groupBy(*asked.columns).agg(F.array_sort(F.collect_list(F.struct("rule", "ord", "voice_uri"))).alias("found"))
+
+
+def resolve_voice(texts: DataFrame, voices: DataFrame, key: str, lang: str, selected: DataFrame | None) -> DataFrame:
+    """``catalog, key, voice_uri`` for texts with their reader's catalog: null for the default; the selected voice if it speaks the language or is neural; else the best by rule.
+
+    ``selected``: one ``voice_uri`` of each ``catalog``, or None where nobody has selected one.
     """
-    asked = texts.withColumn("__target", R.voice_bucket(F.col(lang)))
-    if selected_uri is None:
-        return asked.select(key, F.lit(None).cast("string").alias("voice_uri"))
-    pool = voices.withColumn("bucket", R.voice_bucket(F.col("lang"))).select("ord", "name", "voice_uri", "is_default", "source", "bucket")
-    targets = asked.select("__target").distinct().crossJoin(pool)  # languages by voices: both few
-    same = F.substring_index("bucket", "-", 1) == F.substring_index("__target", "-", 1)
-    selected = (F.col("voice_uri") == selected_uri) & ((F.col("source") == "neural-pack") | same)
-    best = targets.withColumn("rule", _first_rule([selected, *_rules(F.col("__target"))]))
-    best = best.withColumn("__n", F.row_number().over(W.partitionBy("__target").orderBy("rule", "ord"))).filter("__n = 1")
-    return asked.join(best.select("__target", "voice_uri"), "__target", "left").select(key, "voice_uri")
+    asked = texts.select("catalog", key, R.voice_bucket(F.col(lang)).alias("target"))
+    if selected is None:
+        return asked.select("catalog", key, F.lit(None).cast("string").alias("voice_uri"))
+    chosen = voices.join(selected.select("catalog", "voice_uri"), ["catalog", "voice_uri"]).select("catalog", "voice_uri", F.substring_index(R.voice_bucket(F.col("lang")), "-", 1).alias("b"), (F.col("source") == "neural-pack").alias("neural"))
+    chosen = chosen.groupBy("catalog").agg(F.max("voice_uri").alias("selected"), F.coalesce(F.bool_or("neural"), F.lit(False)).alias("neural"), F.collect_set("b").alias("bases"))
+    found = _candidates(asked.select("catalog", "target").distinct(), voices, _RULES)
+    speaks = F.col("neural") | F.array_contains("bases", F.substring_index("target", "-", 1))
+    best = F.when(speaks, F.col("selected")).otherwise(F.get("found", F.lit(0)).voice_uri)
+    return asked.join(found, ["catalog", "target"], "left").join(chosen, "catalog", "left").select("catalog", key, best.alias("voice_uri"))
 
 
 def fallback_voice(failures: DataFrame, voices: DataFrame, key: str) -> DataFrame:
-    """``key, voice_uri, reason`` for failures ``key, failed_uri, failed_lang, lang``: another voice of the same bucket, else the best one."""
-    pool = voices.withColumn("bucket", R.voice_bucket(F.col("lang"))).select("ord", "name", "voice_uri", "is_default", "source", "bucket")
-    asked = failures.withColumn("__failed", R.voice_bucket(F.col("failed_lang"))).withColumn("__target", R.voice_bucket(F.col("lang")))
-    cases = asked.select("failed_uri", "__failed", "__target").distinct().crossJoin(pool).filter("voice_uri <> failed_uri")
-    same = F.col("bucket") == F.col("__failed")
-    ruled = cases.withColumn("rule", _first_rule([same & (F.col("source") == "bridge"), same, *_rules(F.col("__target"))]))
-    best = ruled.withColumn("__n", F.row_number().over(W.partitionBy("failed_uri", "__failed", "__target").orderBy("rule", "ord"))).filter("__n = 1")
-    reason = F.when(F.col("rule") == 0, "same language, bridge").when(F.col("rule") == 1, "same language").otherwise("best available")
-    return asked.join(best.select("failed_uri", "__failed", "__target", "voice_uri", reason.alias("reason")), ["failed_uri", "__failed", "__target"], "left").select(key, "voice_uri", "reason")
+    """``catalog, key, voice_uri, reason`` for failures ``catalog, key, failed_uri, failed_lang, lang``: another voice of the same bucket in the catalog, else its best one."""
+    asked = failures.select("catalog", F.col(key).alias("__key"), "failed_uri", R.voice_bucket(F.col("failed_lang")).alias("failed"), R.voice_bucket(F.col("lang")).alias("target"))
+    found = _candidates(asked.select("catalog", "failed", "target").distinct(), voices, [*_FAILED, *_RULES])
+    other = F.get(F.filter("found", lambda x: x.voice_uri != F.col("failed_uri")), F.lit(0))
+    rule = F.col("best").rule
+    reason = F.when(rule == 0, "same language, bridge").when(rule == 1, "same language").when(rule > 1, "best available")
+    best = asked.join(found, ["catalog", "failed", "target"], "left").withColumn("best", other)
+    return best.select("catalog", F.col("__key").alias(key), F.col("best").voice_uri.alias("voice_uri"), reason.alias("reason"))
 
 
 def bucket_summary(voices: DataFrame, *key: str, lang: str = "lang") -> DataFrame:

@@ -110,19 +110,39 @@ _DOC_LANG = "CASE lang WHEN 'en' THEN 'en-US' WHEN 'fr' THEN 'fr-FR' WHEN 'de' T
 m AS (SELECT target, voice_uri FROM t, p QUALIFY row_number() OVER (PARTITION BY target ORDER BY {_first(["voice_uri = (SELECT min(voice_uri) FROM p) AND (source = 'neural-pack' OR string_split(bucket, '-')[1] = string_split(target, '-')[1])", *_rule('target')])}, ord) = 1)
 SELECT doc_id, voice_uri FROM d JOIN m USING (target)""")
 def resolved(spark, sf_dir):
-    voices = _voices(spark, sf_dir).filter("catalog = 3")
-    chosen = voices.agg(F.min("voice_uri")).first()[0]
+    """The readers of one catalog, as the SQL says; ``e09_all_catalogs`` has all."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang").withColumn("catalog", F.lit(3))
+    return _resolved(docs, _voices(spark, sf_dir).filter("catalog = 3")).select("doc_id", "voice_uri")
+
+
+@query("e09_all_catalogs")
+def resolved_everywhere(spark, sf_dir):
+    """Every document in every catalog."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang").crossJoin(F.broadcast(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("catalog"))))
+    return _resolved(docs, _voices(spark, sf_dir))
+
+
+def _resolved(docs, voices):
     lang = F.when(F.col("lang") == "en", "en-US").when(F.col("lang") == "fr", "fr-FR").when(F.col("lang") == "de", "de-DE").otherwise("zh-CN")
-    docs = read(spark, sf_dir, "documents", "doc_id", "lang").withColumn("lang", lang)
-    return C.resolve_voice(docs, voices, "doc_id", "lang", chosen)
+    chosen = voices.groupBy("catalog").agg(F.min("voice_uri").alias("voice_uri"))
+    return C.resolve_voice(docs.withColumn("lang", lang), voices, "doc_id", "lang", chosen)
 
 
 @query("e10_fallback_voices", f"""WITH {_B}, p AS (SELECT * FROM b WHERE catalog = 3), x AS (SELECT f.voice_uri AS failed_uri, f.bucket AS failed, v.* FROM p AS f JOIN p AS v ON v.voice_uri <> f.voice_uri)
 SELECT failed_uri, voice_uri, CASE {_first(["bucket = failed AND source = 'bridge'", "bucket = failed", *_rule("'fr-fr'")])} WHEN 0 THEN 'same language, bridge' WHEN 1 THEN 'same language' ELSE 'best available' END AS reason
 FROM x QUALIFY row_number() OVER (PARTITION BY failed_uri ORDER BY {_first(["bucket = failed AND source = 'bridge'", "bucket = failed", *_rule("'fr-fr'")])}, ord) = 1""")
 def fallback(spark, sf_dir):
-    voices = _voices(spark, sf_dir).filter("catalog = 3")
-    failures = voices.select(F.col("voice_uri").alias("failed_uri"), F.col("lang").alias("failed_lang"), F.lit("fr-FR").alias("lang"), F.col("voice_uri").alias("key"))
+    """The failures of one catalog, as the SQL says; ``e10_all_catalogs`` has all."""
+    return _fallbacks(_voices(spark, sf_dir).filter("catalog = 3")).select("failed_uri", "voice_uri", "reason")
+
+
+@query("e10_all_catalogs")
+def fallback_everywhere(spark, sf_dir):
+    return _fallbacks(_voices(spark, sf_dir))
+
+
+def _fallbacks(voices):
+    failures = voices.select("catalog", F.col("voice_uri").alias("failed_uri"), F.col("lang").alias("failed_lang"), F.lit("fr-FR").alias("lang"), F.col("voice_uri").alias("key"))
     return C.fallback_voice(failures, voices, "key").withColumnRenamed("key", "failed_uri")
 
 
