@@ -45,7 +45,17 @@ _LINE_LIST = f"list_filter(list_transform(string_split({S.breaks('text')}, chr(1
 
 @query("d08_tiny_paragraphs", f"WITH RECURSIVE tl AS (SELECT doc_id AS k, {_LINE_LIST} AS l FROM documents), {S.gather('tl', f'NOT (x.len < {G.MIN_PARAGRAPH} AND s.len < {G.MAX_PARAGRAPH} AND NOT x.standalone)', {}, 'tp')} SELECT k AS doc_id, CAST(g - 1 AS INTEGER) AS paragraph_no, md5(t) AS text FROM tp_g")
 def tiny(spark, sf_dir):
-    lines = F.filter(F.transform(F.split(T.normalize_line_breaks(F.col("text")), "\n"), T.normalize_whitespace), lambda x: (x != "") & ~x.rlike("[0-9¹²³]"))
+    """The lines that the SQL can follow; ``d08_all_lines`` has all."""
+    return _tiny(spark, sf_dir, lambda x: (x != "") & ~x.rlike("[0-9¹²³]"))
+
+
+@query("d08_all_lines")
+def tiny_everywhere(spark, sf_dir):
+    return _tiny(spark, sf_dir, lambda x: x != "")
+
+
+def _tiny(spark, sf_dir, taken):
+    lines = F.filter(F.transform(F.split(T.normalize_line_breaks(F.col("text")), "\n"), T.normalize_whitespace), taken)
     staged = G.merge_tiny_paragraphs(_docs(spark, sf_dir).withColumn("l", lines), "l", "s")
     return G.exploded(staged, "s", "paragraph_no", "t", "doc_id").select("doc_id", "paragraph_no", F.md5("t").alias("text"))
 

@@ -45,11 +45,23 @@ n AS (SELECT *, {S.steps(S.rr(S.rr(S.breaks('t'), rf'(?m)^{T.WS}*[0-9]{{1,3}}{T.
 SELECT doc_id, line_no, s AS stripped, {S.readable('s')} AS display, {S.rr('t', T.REFERENCE_SECTION)} AS cut FROM n WHERE NOT {S.has('line', rf'^{T.WS}*[0-9]|[(（【\[][0-9]')} """,
 )
 def references(spark, sf_dir):
+    """The lines that the SQL can follow; ``b05_b08_all_lines`` has all."""
+    return _references(_marked_lines(spark, sf_dir).filter(~F.col("line").rlike(rf"^{T.WS}*[0-9]|[(（【\[][0-9]")))
+
+
+@query("b05_b08_all_lines")
+def all_references(spark, sf_dir):
+    return _references(_marked_lines(spark, sf_dir))
+
+
+def _marked_lines(spark, sf_dir):
     n = (F.col("line_no") % 90 + 1).cast("string")
     mark = R.lookup((F.col("line_no") % 5).cast("string"), {str(i): m for i, m in enumerate(_MARKED)}, F.lit(""))
     tail = F.when(F.col("line_no") % 7 == 3, "References\nx").otherwise("")
-    marked = L.explode_lines(read(spark, sf_dir, "documents", "doc_id", "text")).withColumn("t", F.concat("line", F.replace(mark, F.lit("{n}"), n), F.lit("\n"), tail))
-    marked = marked.filter(~F.col("line").rlike(rf"^{T.WS}*[0-9]|[(（【\[][0-9]"))
+    return L.explode_lines(read(spark, sf_dir, "documents", "doc_id", "text")).withColumn("t", F.concat("line", F.replace(mark, F.lit("{n}"), n), F.lit("\n"), tail))
+
+
+def _references(marked):
     t = F.col("t")
     return marked.select("doc_id", "line_no", T.strip_reference_artifacts(t).alias("stripped"), T.clean_display_text(t).alias("display"), T.cut_reference_section(t).alias("cut"))
 
