@@ -92,12 +92,11 @@ def next_readable(spark, sf_dir):
 @query("i02_append_sections", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY role, turn) AS INTEGER) AS section_no, md5(text) AS text FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)")
 def append(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").distinct()
-    roles = sorted(r.role for r in rows.select("role").distinct().limit(10).collect())
-    out = None
-    for role in roles:
-        part = rows.filter(F.col("role") == role).select("conv_id", F.col("turn").cast("int").alias("section_no"), F.md5("text").alias("text"))
-        out = X.renumber_sections(part.withColumnRenamed("section_no", "o"), "conv_id", "o").select("conv_id", "section_no", "text") if out is None else X.append_sections(out, part, "conv_id")
-    return out
+    order = F.struct(F.col("role").isNull(), "role", F.col("turn").isNull(), "turn").alias("o")  # nulls last
+    early = F.coalesce(F.col("role") < "b", F.lit(False))
+    rows = rows.select("conv_id", F.md5("text").alias("text"), order, early.alias("early"))
+    existing = X.renumber_sections(rows.filter("early"), "conv_id", "o").select("conv_id", "section_no", "text")
+    return X.append_sections(existing, rows.filter("NOT early"), "conv_id", "o")
 
 
 @query("f01_book_totals", "SELECT conv_id, count(*) AS section_count, sum(length(text)) AS total_characters, sum(greatest(turn % 4, 1)) AS total_paragraphs FROM conversations GROUP BY 1")

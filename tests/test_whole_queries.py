@@ -22,3 +22,24 @@ def test_lines_with_digits_are_merged_too(spark, tmp_path):
     got = [r.text for r in load().QUERIES["d08_all_lines"](spark, folder).orderBy("paragraph_no").collect()]
     # Short lines go to the paragraph before; a long one starts its own, and takes none when it is beyond the longest.
     assert got == [hashlib.md5(t.encode()).hexdigest() for t in (" ".join(lines[:3]), *lines[3:])]
+
+
+def test_all_roles_are_appended(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, t, None if k == 12 else f"{'az'[k % 2]}{k:02d}", f"{c}/{t}/{k}") for c in (1, 2) for t in (0, 1) for k in range(13)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in load().QUERIES["i02_append_sections"](spark, str(tmp_path)).collect())
+    assert len(got) == 52 and got == sorted(con.execute(load().ORACLE_SQL["i02_append_sections"]).fetchall())
+
+
+def test_append_equals_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet{'/*.parquet' if __import__('os').path.isdir(folder + '/conversations.parquet') else ''}')")
+    got = sorted(tuple(r) for r in load().QUERIES["i02_append_sections"](spark, folder).collect())
+    assert got == sorted(con.execute(load().ORACLE_SQL["i02_append_sections"]).fetchall())
