@@ -104,13 +104,28 @@ def speech_position(spark, sf_dir):
 p AS (SELECT event_id, event_id % 1000 AS doc_id, {_MS} % 3000 AS place, CAST(event_id % 3 AS INTEGER) AS cur FROM events)
 SELECT event_id, greatest(cur, max(line_no) FILTER (start <= place)) AS sentence_no FROM p LEFT JOIN b USING (doc_id) GROUP BY event_id, cur""")
 def position_at(spark, sf_dir):
+    """Probes of the places that the SQL names; ``e07_all_documents`` has all documents and whole texts."""
+    probes = _events(spark, sf_dir).select("event_id", (F.col("event_id") % 1000).alias("doc_id"), (F.col("ms") % 3000).alias("at"), (F.col("event_id") % 3).cast("int").alias("cur"))
+    return P.position_at(_line_starts(spark, sf_dir), probes, "doc_id", "at", "cur").select("event_id", "sentence_no")
+
+
+@query("e07_all_documents")
+def position_anywhere(spark, sf_dir):
+    """Event ids are dealt over all document ids, and hashed to a place in the whole text."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    ids = docs.agg(F.min("doc_id").alias("low"), (F.max("doc_id") - F.min("doc_id") + 1).alias("span"))
+    dealt = read(spark, sf_dir, "events", "event_id").crossJoin(F.broadcast(ids)).select("event_id", (F.col("low") + F.pmod("event_id", "span")).alias("doc_id"), (F.col("event_id") % 3).cast("int").alias("cur"))  # one row
+    at = F.pmod(F.xxhash64("event_id"), F.coalesce("n", F.lit(0)) + 1)
+    probes = dealt.join(docs, "doc_id", "left").select("event_id", "doc_id", at.alias("at"), "cur")
+    return P.position_at(_line_starts(spark, sf_dir), probes, "doc_id", "at", "cur").select("event_id", "doc_id", "at", "sentence_no")
+
+
+def _line_starts(spark, sf_dir):
     from quire.operators.lines import explode_lines
 
     lines = explode_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
     before = F.coalesce(F.sum(F.length("line") + 1).over(W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bounds = lines.select("doc_id", F.col("line_no").alias("sentence_no"), before.alias("start"))
-    probes = _events(spark, sf_dir).select("event_id", (F.col("event_id") % 1000).alias("doc_id"), (F.col("ms") % 3000).alias("at"), (F.col("event_id") % 3).cast("int").alias("cur"))
-    return P.position_at(bounds, probes, "doc_id", "at", "cur").select("event_id", "sentence_no")
+    return lines.select("doc_id", F.col("line_no").alias("sentence_no"), before.alias("start"))
 
 
 @query("e08_restore_position", """SELECT user_id, least(greatest(s, 0), greatest(n - 1, 0)) AS section_index, least(greatest(t, 0), greatest(m - 1, 0)) AS sentence_index FROM

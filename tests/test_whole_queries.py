@@ -43,3 +43,14 @@ def test_append_equals_sql(spark):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet{'/*.parquet' if __import__('os').path.isdir(folder + '/conversations.parquet') else ''}')")
     got = sorted(tuple(r) for r in load().QUERIES["i02_append_sections"](spark, folder).collect())
     assert got == sorted(con.execute(load().ORACLE_SQL["i02_append_sections"]).fetchall())
+
+
+def test_probes_reach_all_documents_and_whole_texts(spark, tmp_path):
+    texts = [f"{'a' * (i % 7 + 1)}\n{'b' * 9000}\nc" for i in range(1500)]
+    folder = _documents(spark, tmp_path, *texts)
+    spark.range(6000).withColumnRenamed("id", "event_id").write.parquet(f"{folder}/events.parquet")
+    got = load().QUERIES["e07_all_documents"](spark, folder).collect()
+    assert len(got) == 6000 and {r.doc_id for r in got} == set(range(1500)) and max(r["at"] for r in got) > 8900
+    for r in got:
+        starts = [0, len(texts[r.doc_id].split("\n")[0]) + 1, len(texts[r.doc_id]) - 1]
+        assert r.sentence_no == max(r.event_id % 3, sum(s <= r["at"] for s in starts) - 1)
