@@ -13,8 +13,11 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+import hashlib
 import os
 from array import array
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from quire.llm.store import table
 from quire.llm.text import chunks, give_back, hold
 
 #: Distinct matches kept by a worker, and the longest match that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 120_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -50,6 +53,25 @@ def _last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
     return parts[0], parts[1]
 
 
+class Pool(NamedTuple):
+    """Byte strings by number, end to end."""
+
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    def join(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings of ``numbers`` in a row, and where each ends."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.start[numbers] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def pool(strings: list[bytes]) -> Pool:
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    return Pool(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size)
+
+
 class Codec:
     """Encoder and decoder of one rank file; one per Python worker."""
 
@@ -59,37 +81,39 @@ class Codec:
 
         ranks = read_ranks(path)
         shown = byte_characters()
+        byte_of = {c: b for b, c in enumerate(shown)}
         name = lambda token: "".join(shown[b] for b in token)
         merges = [tuple(map(name, _last_merge(t, ranks))) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1]
         self.tokenizer = Tokenizer(models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern).findall  # this library's \s is Unicode's White_Space, as the pattern means it
         self.pieces: dict[str, bytes] = {}  # ids as 32-bit integers
-        self.bytes = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        vocabulary = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
+        self.bytes = [bytes(map(byte_of.__getitem__, shown_as)) for shown_as, _ in vocabulary]
+        self.raw, self.decimal = pool(self.bytes), pool([b" %d" % i for i in range(len(self.bytes))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as packed 32-bit integers."""
         split = [self.split(t) for t in texts]
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces = {}
+        distinct = set().union(*split)
         known = self.pieces
-        new = list(set().union(*split).difference(known))
-        found = dict(zip(new, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        if long := {p: found.pop(p) for p in new if len(p) > CACHE_CHARS}:
-            known.update(found)
-            return [b"".join([known[p] if p in known else long[p] for p in s]) for s in split]
-        known.update(found)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
-
-    def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
-        """The characters that each id touches: a character split over ids belongs to all of them."""
-        at_byte = [i for i, c in enumerate(text) for _ in range(len(c.encode()))]
-        spans, at = [], 0
-        for i in ids:
-            n = len(self.bytes[i])
-            spans.append((at_byte[at], at_byte[at + n - 1] + 1))
-            at += n
-        return spans
+        new = list(distinct.difference(known))
+        known.update(zip(new, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        for long in (p for p in new if len(p) > CACHE_CHARS):
+            del known[long]
+        if len(known) > CACHE_ENTRIES:  # what the last texts hold is common
+            self.pieces = {p: known[p] for p in distinct if p in known}
+        return out
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """Each id with the characters that it touches: a character split over ids belongs to all of them."""
+        out, at = [], 0
+        pieces = self.split(text)
+        for piece, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
+            out += [(i, at + a, at + b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
+            at += len(piece)
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -102,6 +126,23 @@ class Codec:
             out[-1] += decoder.decode(b"", True)
         return out
 
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: how many ids, and the SHA-256 of the ids as text and of the bytes that they decode to."""
+        packed = self.encode(texts)
+        stop = np.cumsum([len(p) // 4 for p in packed])
+        ids = np.frombuffer(b"".join(packed), np.int32)
+        cuts = []
+        for strings in (self.decimal, self.raw):
+            data, ends = strings.join(ids)
+            ends = np.concatenate(([0], ends))[stop]
+            cuts.append((memoryview(data), ends.tolist()))
+        (decimal, d_ends), (raw, r_ends) = cuts
+        d = r = 0
+        for p, d_end, r_end in zip(packed, d_ends, r_ends, strict=True):
+            # Every decimal has a space in front; the first one's is no part of the text.
+            yield len(p) // 4, hashlib.sha256(decimal[min(d + 1, d_end) : d_end]).hexdigest(), hashlib.sha256(raw[r:r_end]).hexdigest()
+            d, r = d_end, r_end
+
 
 @functools.lru_cache(1)
 def _codec(path: str, pattern: str) -> Codec:
@@ -134,11 +175,8 @@ def encode_spans(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<struct<id:int,start:int,stop:int>>")
     def spans(batch: pa.Array) -> pa.Array:
-        c, out = codec(path, pattern), []
-        for run in chunks(batch):
-            for t, packed in zip(run, c.encode(run), strict=True):
-                ids = np.frombuffer(packed, np.int32).tolist()
-                out.append([{"id": i, "start": a, "stop": b} for i, (a, b) in zip(ids, c.spans(t, ids), strict=True)])
+        c = codec(path, pattern)
+        out = [[{"id": i, "start": a, "stop": b} for i, a, b in c.spans(t)] for run in chunks(batch) for t in run]
         return pa.array(out, kind)
 
     return spans(text)
@@ -167,16 +205,22 @@ def decode_pieces(ids: Column, path: str, pattern: str) -> Column:
     return texts(ids)
 
 
+def digest(text: Column, path: str, pattern: str) -> Column:
+    """``struct<n_tokens, ids_sha256, decoded_sha256>``: encode, decode the ids, and digest both."""
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digested(batch: pa.Array) -> pa.Array:
+        c = codec(path, pattern)
+        rows = [x for run in chunks(batch) for x in c.digests(run)]
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digested(text)
+
+
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode ``text``, decode the ids, and return counts and digests of both per row."""
-    ids = docs.select(F.col(key), encode(F.col(text), path, pattern).alias("ids"))
-    both = ids.select(key, "ids", decode(F.col("ids"), path, pattern).alias("raw"))
-    return both.select(
-        key,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("raw", 256).alias("decoded_sha256"),
-    )
+    return docs.select(F.col(key), digest(F.col(text), path, pattern).alias("d")).select(key, "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 def vocabulary() -> tuple[str, str]:

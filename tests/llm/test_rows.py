@@ -40,9 +40,20 @@ def test_codec_equals_tiktoken(text):
     assert ids == _reference_once().encode_ordinary(text)
     assert c.decode(ids).decode() == text
     assert "".join(c.decode_pieces(ids)) == text
-    spans = c.spans(text, ids)
-    assert all(0 <= a < b <= len(text) for a, b in spans)
-    assert not text or (spans[0][0], spans[-1][1]) == (0, len(text))
+    spans = c.spans(text)
+    assert [i for i, _, _ in spans] == ids and all(0 <= a < b <= len(text) for _, a, b in spans)
+    assert not text or (spans[0][1], spans[-1][2]) == (0, len(text))
+    assert all(a == x or c.bytes[i][0] & 0xC0 == 0x80 for (i, a, _), (_, _, x) in zip(spans[1:], spans, strict=False))  # only a split character belongs to two
+
+
+def test_codec_keeps_what_is_common(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    c = bpe.Codec(*bpe.vocabulary())
+    for text in ("the cat sat on the mat", "x" * 60 + " the cat", "one two three four five six seven", ""):
+        (n, ids, raw), _ = c.digests([text, "the cat"])
+        want = _reference_once().encode_ordinary(text)
+        assert (n, ids) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()) and raw == hashlib.sha256(text.encode()).hexdigest()
+        assert len(c.pieces) <= 10 and "x" * 60 not in c.pieces
 
 
 _kept = []
