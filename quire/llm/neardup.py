@@ -3,48 +3,45 @@
 Each text's set of word shingles is hashed once. Of every bucket's smallest hash a register keeps the
 number of leading zeros and some mantissa bits; empty buckets borrow from others in an order of their
 own. Texts with equal sets are one class. Bands of registers deal class representatives into
-buckets; in each bucket all members are compared with a leader, first by the collision-corrected
-Jaccard estimate, then on the full sets of 64-bit shingle hashes. Buckets that still hold several components get more leaders,
-until every pair that shares a bucket is either in one component or compared. With 64 bands of 6
-registers a pair at a similarity of 0.8 is missed with a probability below 1e-8.
+buckets; all members of a bucket are compared with its leader, the member that meets the most others,
+first by the collision-corrected Jaccard estimate, then on the full sets of 64-bit shingle hashes.
+A bucket of up to ``FEW`` members that still holds several components is compared in full by the
+estimate, where it lies, and only pairs that may link leave it. A larger one is dealt again, ``SPLITS``
+independent times, by one more band each, and so on; work grows with the rows of buckets and not with
+their square. With 64 bands of 6 registers a pair at a
+similarity of 0.8 shares no bucket with a probability below 1e-8; that it shares one at first, but
+none that is settled or compared in full, has a probability below 1e-7, and the estimate allows for five standard deviations.
 
 Defined results: null texts, empty ones and those without words are empty and linked with nothing;
-rows that share a ``doc_id`` are one document; a row without ``doc_id`` is linked with nothing and kept.
+rows that share a ``doc_id`` are one document, whatever their texts, and get one component; a row
+without ``doc_id`` is linked with nothing, has no component and is kept.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.decontaminate import checked
-from quire.llm.store import keep, table
-from quire.llm.text import chunks, hold, space_words, texts_of
+from quire.llm.store import bound_batches, discard, keep, table
+from quire.llm.text import chunks, mix, word_codes
 
 BANDS, BAND_REGISTERS, MANTISSA_BITS = 64, 6, 10
 REGISTERS = BANDS * BAND_REGISTERS
-#: Registers that the estimate reads: a pair of signatures moves through a shuffle for it.
-ESTIMATE_REGISTERS = 128
-#: Words whose hashes a worker keeps.
-CACHE_ENTRIES = 150_000
-#: Leaders of a bucket in the second round; each later round has so many times more.
-MORE_LEADERS = 16
+#: Members up to which a bucket is compared in full, how many times a larger one is dealt again, and how often in a row.
+FEW, SPLITS, DEEPEST = 2000, 8, 7
+#: Leaders up to which their registers are broadcast, and pairs of a bucket that are estimated at a time.
+LEADERS, PAIRS = 50_000, 1 << 15
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
 
-def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    x = x ^ np.uint64(salt)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 @functools.lru_cache(1)
 def _borrowing() -> tuple[np.ndarray, np.ndarray]:
     """For each bucket the order in which it asks others, and its inverse."""
@@ -53,33 +50,27 @@ def _borrowing() -> tuple[np.ndarray, np.ndarray]:
     return order, np.argsort(order, axis=1)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    s = np.full(len(words) - size + 1, size * 0x9E37, np.uint64)
+    for i in range(size):
+        s = mix(s + words[i : len(words) - size + 1 + i] * _K[i % 5], i)
+    return s
 
-_words = WordHashes()
 
-
-def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the ``size``-word shingles; of the whole sequence if it is shorter."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    hold("words", _words.clear)
-    if len(_words) > CACHE_ENTRIES:
-        _words.clear()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(w))
-    s = np.full(len(w) - n + 1, n * 0x9E37, np.uint64)
-    for i in range(n):
-        s = _mix(s + w[i : len(w) - n + 1 + i] * _K[i % 5], i)
-    return np.unique(s)
+def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
+    """Of each text the distinct 64-bit hashes of its ``size``-word shingles; of the whole sequence if it is shorter."""
+    codes, hashes, sizes = word_codes(texts)
+    words, at = hashes[codes], 0
+    windows = _windows(words, size) if len(words) >= size else words[:0]
+    for n in sizes.tolist():
+        yield np.unique(windows[at : at + n - size + 1]) if n >= size else _windows(words[at : at + n], n)[: n and 1]
+        at += n
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """The HyperMinHash registers of a set of hashes that is not empty."""
-    x = _mix(hashes, 0x51ED270B)
+    x = mix(hashes, 0x51ED270B)
     bucket = ((x >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
     packed = np.sort((bucket << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF)))
     at = (packed >> np.uint64(32)).astype(np.int64)
@@ -112,75 +103,107 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 _LOW = 0.5 ** np.arange(1, 33)
 
 
+def folded(registers: np.ndarray) -> np.ndarray:
+    """Registers in a byte each, to compare them."""
+    return ((registers * np.uint16(0x9E37)) >> np.uint16(8)).astype(np.uint8)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of pairs from the rows of two register matrices, less the matches expected by chance."""
-    x, y = (np.maximum(np.asarray(n, float) / REGISTERS, 1e-9)[:, None] for n in (n_a, n_b))
-    chance = (_LOW * 2.0**-MANTISSA_BITS * (np.exp(-(x + y) * _LOW) - np.exp(-(x + y) * 2 * _LOW))).sum(axis=1) * (x * y / (x + y))[:, 0]
-    chance = np.minimum(chance, 0.5)
+    """Jaccard estimates of pairs from the rows of two matrices of folded registers, less the matches expected by chance."""
+    x, y = (np.maximum(np.asarray(n, float) / REGISTERS, 1e-9) for n in (n_a, n_b))
+    both = (x + y)[:, None] * _LOW
+    chance = (_LOW * 2.0**-MANTISSA_BITS * (np.exp(-both) - np.exp(-2 * both))).sum(axis=1) * x * y / (x + y)
+    chance = np.minimum(chance, 0.5) + 1 / 256
     return np.maximum(0.0, ((a == b).mean(axis=1) - chance) / (1 - chance))
 
 
-_SIGNATURE = pa.struct([("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("registers", pa.binary())])
+def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and estimate leave a link possible: five standard deviations are allowed for."""
+    least, small, large = percent / 100, np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    slack = 5 * np.sqrt(least * (1 - least) / np.minimum(small, REGISTERS))
+    return (100 * small >= percent * large) & (estimate(a, b, n_a, n_b) >= least - slack)
+
+
+def _matrix(registers: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(registers.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
+_SIGNATURE = "n_shingles long, c1 long, c2 long, registers binary, folded binary"
 
 
 def signature(text: Column, size: int) -> Column:
-    """``struct<n_shingles, c1, c2, registers>``: set size, a 128-bit digest of the set, and its registers."""
+    """``struct<n_shingles, c1, c2, registers, folded>``: set size, a 128-bit digest of the set, its registers, and these in a byte each."""
 
-    @F.arrow_udf("n_shingles long, c1 long, c2 long, registers binary")
+    @F.arrow_udf(_SIGNATURE)
     def signed(batch: pa.Array) -> pa.Array:
-        n, c1, c2, packed = [], [], [], []
-        for run in chunks(batch):
-            for t in run:
-                s = shingle_hashes(space_words(t), size)
-                n.append(len(s))
-                c1.append(int(_mix(s, 1).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                c2.append(int(_mix(s, 2).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                packed.append(registers(s).tobytes() if len(s) else None)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(packed, pa.binary())], fields=list(_SIGNATURE))
+        n, c1, c2, packed, small = [], [], [], [], []
+        for s in chain.from_iterable(shingle_sets(run, size) for run in chunks(batch)):
+            r = registers(s) if len(s) else None
+            n.append(len(s))
+            c1.append(int(mix(s, 1).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+            c2.append(int(mix(s, 2).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+            packed.append(r.tobytes() if len(s) else None)
+            small.append(folded(r).tobytes() if len(s) else None)
+        columns = [pa.array(x, kind) for x, kind in ((n, pa.int64()), (c1, pa.int64()), (c2, pa.int64()), (packed, pa.binary()), (small, pa.binary()))]
+        return pa.StructArray.from_arrays(columns, ["n_shingles", "c1", "c2", "registers", "folded"])
 
     return signed(text)
 
 
 def may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
-    """Whether sizes and estimate leave a link possible: five standard deviations are allowed for."""
+    """Whether sizes and the estimate from folded registers leave a link possible."""
 
     @F.arrow_udf("boolean")
-    def possible(ra: pa.Array, rb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        if not len(na):
-            return pa.array([], pa.bool_())
-        x, y = (np.frombuffer(b"".join(r.to_pylist()), np.uint16).reshape(len(na), -1) for r in (ra, rb))
+    def judged(ra: pa.Array, rb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         n, m = (c.to_numpy().astype(float) for c in (na, nb))
-        least = percent / 100
-        slack = 5 * np.sqrt(least * (1 - least) / np.minimum(np.minimum(n, m), x.shape[1]))
-        return pa.array((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (estimate(x, y, n, m) >= least - slack))
+        return pa.array(possible(_matrix(ra), _matrix(rb), n, m, percent), pa.bool_())
 
-    return possible(a, b, n_a, n_b)
+    return judged(a, b, n_a, n_b)
 
 
-def shingle_set(text: Column, size: int) -> Column:
-    """All shingle hashes of a text, sorted and packed: 64 bits each."""
+def near_in_buckets(few: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: members of a bucket with different labels whose estimate leaves a link possible, from ``bucket, id, s, label, folded``.
 
-    @F.arrow_udf("binary")
-    def packed(batch: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(space_words(t), size).tobytes() for run in chunks(batch) for t in run], pa.binary())
-
-    return packed(text)
+    Buckets come one after the other; a task holds one of them at a time, or an Arrow batch.
+    """
+    kind = few.schema["id"].dataType.simpleString()
+
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        s, label, ids = t.column("s").to_numpy().astype(float), t.column("label").to_numpy(), t.column("id").combine_chunks()
+        registers = _matrix(t.column("folded"))
+        left, right = np.nonzero(np.triu((label[:, None] != label) & (100 * np.minimum(s[:, None], s) >= percent * np.maximum(s[:, None], s)), 1))
+        for at in range(0, len(left), PAIRS):
+            i, j = left[at : at + PAIRS], right[at : at + PAIRS]
+            keep_ = possible(registers[i], registers[j], s[i], s[j], percent)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[keep_])) for x in (i, j)], ["a", "b"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            bucket = t.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist()]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                yield from pairs_of(t.slice(x, y - x))
+            rest = t.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield from pairs_of(rest)
+
+    rows = few.select("bucket", "id", "s", F.xxhash64("label").alias("label"), "folded").repartition("bucket").sortWithinPartitions("bucket")
+    found = rows.mapInArrow(compared, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked(a: Column, b: Column, percent: int) -> Column:
-    """Whether two full shingle sets reach the similarity."""
+def shingle_set(text: Column, size: int) -> Column:
+    """All shingle hashes of a text: ``array<long>``."""
 
-    @F.arrow_udf("boolean")
-    def exact(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in texts_of(left, right):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate((s, t)))
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            out.append(common > 0 and 100 * common >= percent * (len(s) + len(t) - common))
-        return pa.array(out, pa.bool_())
+    @F.arrow_udf("array<long>")
+    def hashed(batch: pa.Array) -> pa.Array:
+        sets = [s for run in chunks(batch) for s in shingle_sets(run, size)]
+        at = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        return pa.ListArray.from_arrays(at, np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))
 
-    return exact(a, b)
+    return hashed(text)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,70 +215,124 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        now = keep(small, "edges")
+        least = keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = keep(both.filter("b > a").join(checked(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        down = keep(large.groupBy("a").agg(F.min("b").alias("m")), "down")
+        small = large.join(checked(down), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
+        before, now = now, keep(small, "edges")
+        discard(before, least, large, down)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         seen = state
 
 
+def _band(registers: Column, band: Column) -> Column:
+    return F.substring(registers, band * (2 * BAND_REGISTERS) + 1, F.lit(2 * BAND_REGISTERS))
+
+
+def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def star_pairs(level: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: each bucket's leader with its other members, from ``bucket, n, id, s``."""
+    meets = level.groupBy("id").agg(F.sum("n").alias("meets"))
+    leaders = keep(level.join(meets, "id").groupBy("bucket").agg(F.max(F.struct("meets", "id", "s")).alias("top")).select("bucket", F.col("top.id").alias("leader"), F.col("top.s").alias("leader_s")), "leaders")
+    met = level.join(checked(leaders), "bucket").filter((F.col("id") != F.col("leader")) & _sizes_allow(F.col("s"), F.col("leader_s"), percent))
+    return met.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def crowded(dealt: DataFrame, name: str) -> DataFrame:
+    """``dealt`` (bucket, band, id, s) with the number of rows of each bucket, for the buckets of more than one."""
+    counts = keep(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}_counts")
+    return keep(dealt.join(checked(counts), "bucket").distinct(), name)
+
+
+def deal_again(large: DataFrame, signed: DataFrame) -> DataFrame:
+    """Members of large buckets, each bucket dealt by its own key and one of the next ``SPLITS`` bands."""
+    ids = checked(keep(large.select("id").distinct(), "large_ids"))
+    registers = signed.filter("n_shingles > 0").join(ids, "id", "left_semi").select("id", F.col("n_shingles").alias("s"), "registers").distinct()
+    steps = F.explode(F.sequence(F.lit(1), F.lit(SPLITS))).alias("step")
+    next_ = large.select("bucket", "id", "s", "band", steps).withColumn("band", (F.col("band") + F.col("step")) % BANDS)
+    return next_.join(registers, ["id", "s"]).select(F.xxhash64("bucket", "band", _band(F.col("registers"), F.col("band"))).alias("bucket"), "band", "id", "s")
+
+
+def unsettled_buckets(level: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets in ``level`` whose members have several labels, with these; of buckets with the same members one is enough."""
+    labelled = level.join(checked(labels), F.col("id") == F.col("node"), "left").select("bucket", "n", "band", "id", "s", F.coalesce("component", "id").alias("label"))
+    members = F.sum(F.xxhash64("id", "s").cast("decimal(38,0)"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("n").alias("n"), members.alias("members")).filter("x <> y")
+    mixed = keep(mixed.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket"), "mixed")
+    return keep(labelled.join(checked(mixed), "bucket", "left_semi"), "unsettled")
+
+
+def linked_components(single: DataFrame, signed: DataFrame, docs: DataFrame, edges: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node, component`` from ``edges`` and all links between the rows of ``single``; ``docs`` has their texts."""
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(_band(F.col("registers"), i), i))
+    dealt = single.select("id", F.col("n_shingles").alias("s"), F.posexplode(hashes).alias("band", "bucket"))
+    folded_of = signed.filter("n_shingles > 0").select("id", F.col("n_shingles").alias("s"), "folded")
+    level = crowded(dealt, "members")
+    labels, tested = components(edges), None
+
+    def joined(labels: DataFrame, near: DataFrame) -> DataFrame:
+        """Labels with the links among pairs that may link."""
+        nonlocal tested
+        near = keep(near.join(tested, ["a", "b"], "left_anti") if tested else near, "near")
+        tested = tested.unionByName(near) if tested else near
+        return labels if near.isEmpty() else components(labels.toDF("a", "b").unionByName(verified(near, docs, size, percent)))
+
+    for depth in range(DEEPEST + 1):
+        labels = joined(labels, estimated(star_pairs(level, percent), folded_of, percent))
+        unsettled = unsettled_buckets(level, labels)
+        large = (F.col("n") > FEW) & F.lit(depth < DEEPEST)  # what is together in so many bands is compared in full
+        few = unsettled.filter(~large)
+        if not few.isEmpty():
+            ids = checked(keep(few.select("id").distinct(), "few_ids"))
+            some = folded_of.join(ids, "id", "left_semi").distinct()
+            labels = joined(labels, near_in_buckets(few.join(some, ["id", "s"]), percent))
+        if unsettled.filter(large).isEmpty():
+            break
+        level = crowded(deal_again(unsettled.filter(large), signed), "members")
+    return labels
+
+
 def with_components(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component, kept."""
-    signed = docs.select(F.col(key).alias("id"), signature(F.col(text), size).alias("s"))
-    signed = keep(signed.select("id", "s.n_shingles", "s.c1", "s.c2", "s.registers"), "signatures")
+    bound_batches(docs.sparkSession)
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    signed = keep(docs.select("id", signature(F.col("text"), size).alias("s")).select("id", "s.n_shingles", "s.c1", "s.c2", "s.registers", "s.folded"), "signatures")
     real = signed.filter("n_shingles > 0 AND id IS NOT NULL")
     of_class = ["n_shingles", "c1", "c2"]
     copies = keep(real.groupBy(*of_class).agg(F.count("*").alias("rows"), F.min("id").alias("first")).filter("rows > 1").drop("rows"), "copies")
-    real = real.join(checked(copies), of_class, "left")
-    single = real.filter("first IS NULL OR first = id")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring("registers", i * (2 * BAND_REGISTERS) + 1, F.lit(2 * BAND_REGISTERS)), i))
-    banded = single.select("id", F.explode(keys).alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
-    members = keep(banded.join(buckets, "bucket").select("bucket", "n", "leader", "id"), "members")
-    pairs = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = tested = keep(pairs, "pairs")
-    links = keep(verified(pairs, signed, docs, text, key, size, percent), "links")
-    labels = components(links)
-    leaders = 2  # a bucket of two is settled now
-    while True:
-        # Buckets that were not compared in full and still hold several components get more leaders.
-        labelled = members.filter(F.col("n") > leaders).join(labels, F.col("id") == F.col("node"), "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-        unsettled = keep(labelled.join(mixed, "bucket", "left_semi"), "unsettled")
-        if not unsettled.limit(1).count():
-            break
-        leaders *= MORE_LEADERS
-        chosen = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 30)) < F.lit(float((1 << 30) * leaders)) / F.col("n")
-        lead = unsettled.filter(chosen).select("bucket", F.col("id").alias("l"), F.col("label").alias("ll"))
-        more = lead.join(unsettled, "bucket").filter("label <> ll").select(F.least("l", "id").alias("a"), F.greatest("l", "id").alias("b")).distinct()
-        pairs = keep(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            tested = tested.unionByName(pairs)
-            links = keep(links.unionByName(verified(pairs, signed, docs, text, key, size, percent)), "links")
-            labels = components(links)
+    classed = real.join(checked(copies), of_class, "left")
+    # The classes that a document with several texts is in are linked by it.
+    differ = [F.min(c) != F.max(c) for c in of_class]
+    several = keep(real.groupBy("id").agg((differ[0] | differ[1] | differ[2]).alias("differ")).filter("differ").select("id"), "several")
+    shared = classed.join(checked(several), "id", "left_semi").select(F.coalesce("first", "id").alias("a"), F.col("id").alias("b")).distinct()
+    labels = linked_components(classed.filter("first IS NULL OR first = id"), signed, docs, shared, size, percent)
     every = signed.join(checked(copies), of_class, "left").withColumn("first", F.coalesce("first", "id")).join(checked(labels), F.col("first") == F.col("node"), "left")
-    alone = F.col("n_shingles") == 0
-    component = F.when(alone, F.col("id")).otherwise(F.coalesce("component", "first"))
+    component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.coalesce("component", "first"))
     return every.select(F.col("id").alias(key), "n_shingles", component.alias("component"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: estimated on their first registers, then compared on full sets."""
-    ids = checked(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    some = signed.filter("n_shingles > 0").join(ids, "id", "left_semi").select("id", "n_shingles", F.substring("registers", 1, 2 * ESTIMATE_REGISTERS).alias("registers")).distinct()
-    left, right = some.toDF("a", "na", "ra"), some.toDF("b", "nb", "rb")
-    near = pairs.join(left, "a").join(right, "b").filter(may_link(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    near = keep(near, "near")
-    ids = checked(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi").filter("t IS NOT NULL")
+def estimated(pairs: DataFrame, folded_of: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their folded registers."""
+    pairs = keep(pairs, "pairs")
+    sides = [folded_of.join(checked(keep(pairs.select(F.col(c).alias("id")).distinct(), f"side_{c}")), "id", "left_semi").distinct() for c in "ab"]
+    left, right = keep(sides[0], "left").toDF("a", "na", "ra"), sides[1].toDF("b", "nb", "rb")
+    met = pairs.join(right, "b").join(checked(left, LEADERS), "a")
+    return met.filter(may_link(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(near: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link on their full sets."""
+    ids = checked(keep(near.select("a").union(near.select("b")).toDF("id").distinct(), "near_ids"))
     # No filter on the sets: it would be pushed below the join, and the function run on every text.
-    sets = keep(texts.select("id", shingle_set(F.col("t"), size).alias("s")), "sets")
-    joined = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return joined.filter(linked(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
+    sets = keep(docs.join(ids, "id", "left_semi").filter("text IS NOT NULL").select("id", shingle_set(F.col("text"), size).alias("s")), "sets")
+    joined = near.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return keep(joined.filter((common > 0) & (100 * common >= percent * (F.size("sa") + F.size("sb") - common))).select("a", "b").distinct(), "links")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

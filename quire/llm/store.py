@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage with files that survive a lost executor.
+    This cuts the lineage with files that survive a lost executor. All tables of an application are in one folder.
     """
-    path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}/{name}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _kept[out] = path
+    return out
+
+
+_kept: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables of ``keep`` that nothing reads any more."""
+    for df in kept:
+        if path := _kept.pop(df, None):
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: The setting that ends an Arrow batch by bytes, Spark's default and ours: some texts are very long, and a worker holds a batch or two.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of the session end at ``BATCH_BYTES``, unless it has a bound of its own."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

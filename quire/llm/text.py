@@ -5,8 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: A-Z to a-z, all other bytes kept.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -24,6 +27,27 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER_WORDS).split() if text else []
 
 
+def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads their bits."""
+    x = x ^ np.uint64(salt)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_codes(texts: list[str], end: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words between white space of all texts, ``end`` behind each text's: their places among the distinct ones, the hashes of these, and how many words each text has."""
+    found = [space_words(t) for t in texts]
+    if end is not None:
+        for x in found:
+            x.append(end)
+    distinct = list(set().union(*found))
+    place = dict(zip(distinct, range(len(distinct)), strict=True))
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    codes = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int32, int(sizes.sum()))
+    return codes, np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct)), sizes
+
+
 #: Rows of a batch that are turned into Python strings at a time.
 SLICE_ROWS = 256
 

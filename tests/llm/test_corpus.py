@@ -44,6 +44,38 @@ def test_top_k_with_ties_copies_and_odd_vectors(spark, blocks):
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
 
 
+def test_top_k_of_large_integers(spark):
+    """Products beyond 2^53, ties one apart, and products that no long holds."""
+    frame = lambda rows: spark.createDataFrame(rows, "id long, v array<long>")
+    data = frame([(1, [6, 0]), (2, [7, 0]), (3, [-5, 1])])
+    assert [tuple(r) for r in topk.top_k(data, frame([(50, [1, 1 << 40])]), 1).select("vec_id", "score").collect()] == [(3, (1 << 40) - 5)]
+    assert [tuple(r) for r in topk.top_k(data.filter("id < 3"), frame([(50, [1, 1 << 40])]), 1).select("vec_id", "score").collect()] == [(2, 7)]
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(-(1 << 29), 1 << 29) for _ in range(5)]) for i in range(300)]
+    rows += [(i + 300, [x + (j == 0) for j, x in enumerate(v)]) for i, v in rows]
+    got = topk.top_k(frame(rows), frame(rows).filter("id % 50 = 0"), 5, 50, 7).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == _brute(rows, 5)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(frame([(1, [1 << 40])]), frame([(2, [1 << 40])]), 1).collect()
+
+
+def test_far_regions_are_not_sent(spark, monkeypatch):
+    """Clusters around ten corners: a query meets its own, and vectors of a third length meet none of another."""
+    rng = random.Random(2)
+    rows = [(i, [1000 * (j == i % 10) + rng.randrange(20) for j in range(10)]) for i in range(2000)] + [(5000, [3, 4]), (5050, [1, 2]), (5100, [9])]
+    seen, inner = [], topk.in_regions
+
+    def counting(data, asked, *a):
+        seen.append(asked.count())
+        return inner(data, asked, *a)
+
+    monkeypatch.setattr(topk, "in_regions", counting)
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = topk.top_k(df, df.filter("id % 50 = 0"), 5, 100, 16).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == _brute(rows, 5)
+    assert seen[0] == 43 and seen[1] <= 4 * 43  # of 20 regions
+
+
 def test_cover_tree_covers():
     x = np.random.default_rng(1).normal(size=(500, 4)).round(1)
     t = topk.cover_tree(x, leaf=8)
@@ -61,6 +93,7 @@ def _shingles(t, size):
 
 
 def _components(rows, size):
+    """Documents are ids: links between any of their texts, and all texts of one id, join them."""
     sets = [(i, _shingles(t, size)) for i, t in rows]
     root = {i: i for i, _ in rows if i is not None}
 
@@ -73,7 +106,7 @@ def _components(rows, size):
         if a and b and 100 * len(a & b) >= 80 * len(a | b):
             x, y = sorted((find(i), find(j)))
             root[y] = x
-    return Counter((i, len(s), find(i) if i is not None else None) for i, s in sets)
+    return Counter((i, len(s), find(i) if i is not None and s else i) for i, s in sets)
 
 
 def _near_rows():
@@ -103,9 +136,9 @@ def test_components_equal_brute_force(spark, size):
     assert neardup.with_components(df.limit(0)).count() == 0
 
 
-def test_leaders_settle_large_buckets(spark, monkeypatch):
-    """A cloud whose members link in chains only, with few leaders a round."""
-    monkeypatch.setattr(neardup, "MORE_LEADERS", 2)
+def test_chains_in_large_buckets(spark, monkeypatch):
+    """A cloud whose members link in chains only, in buckets that are dealt again at once."""
+    monkeypatch.setattr(neardup, "FEW", 2)
     rng = random.Random(9)
     base = [f"a{i}" for i in range(120)]
     rows = []
@@ -117,13 +150,47 @@ def test_leaders_settle_large_buckets(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component) for r in got) == _components(rows, 4)
 
 
+def test_repeated_and_missing_ids_near_copies(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (7, a), (3, b), (5, b), (9, c), (None, c), (None, a), (8, ""), (8, c)]
+    got = neardup.with_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component, r.kept) for r in got) == Counter(
+        [(5, 3, False), (7, 3, False), (3, 3, True), (5, 3, False), (9, 8, False), (None, None, True), (None, None, True), (8, 8, True), (8, 8, True)]
+    )
+
+
+def test_unlinked_clouds_are_not_compared_in_full(spark, monkeypatch):
+    """Hundreds of texts that share two thirds of their words: few pairs, and the links among them are found."""
+    monkeypatch.setattr(neardup, "FEW", 30)
+    seen, inner = [], neardup.verified
+
+    def counting(near, *a):
+        seen.append(near.count())
+        return inner(near, *a)
+
+    monkeypatch.setattr(neardup, "verified", counting)
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(160)]
+    rows = []
+    for g in range(150):
+        own = [f"o{g}_{i}" for i in range(60)]
+        for _ in range(1 + (g % 5 == 0) + 2 * (g % 25 == 0)):
+            t = shared + own
+            t[rng.randrange(160, 220)] = f"r{rng.random()}"
+            rows.append((len(rows), " ".join(t)))
+    got = neardup.with_components(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
+    want = _components(rows, 4)
+    assert Counter((r.doc_id, r.n_shingles, r.component) for r in got) == want
+    assert len({c for _, _, c in want}) == 150 and sum(seen) < 10 * len(rows)
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(2)
     for n, share in ((40, 0.9), (300, 0.8), (3000, 0.5)):
         a = rng.integers(0, 1 << 62, n).astype(np.uint64)
         b = np.concatenate((a[: int(n * share)], rng.integers(0, 1 << 62, n - int(n * share)).astype(np.uint64)))
         truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert abs(neardup.estimate(neardup.registers(np.unique(a))[None], neardup.registers(np.unique(b))[None], [n], [n])[0] - truth) < 0.12
+        assert abs(neardup.estimate(*(neardup.folded(neardup.registers(np.unique(x)))[None] for x in (a, b)), [n], [n])[0] - truth) < 0.12
 
 
 def test_component_chains(spark):
@@ -177,42 +244,89 @@ def test_proximity(spark):
 # Language model
 
 
-def test_suffix_tree_base_and_normalisation(spark):
+def _tokens(t):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), "</end>"]
+
+
+def _tree(texts, depth=3):
+    """A suffix tree of token tuples, by counting: total, word counts, and per level next-word probabilities and the retained contexts' weights."""
+    lists = [_tokens(t) for t in texts]
+    c = Counter(w for x in lists for w in x)
+    n = sum(c.values())
+    shorter = {(w,): (k, (k + 1) / (n + len(c) + 1)) for w, k in c.items()}
+    levels, own = [], []
+    for length in range(1, depth + 1):
+        grams = Counter(tuple(x[i : i + length + 1]) for x in lists for i in range(len(x) - length))
+        grams = {g: k for g, k in grams.items() if k >= lm.LEAST_NEXT and shorter.get(g[:-1], (0,))[0] >= lm.LEAST_CONTEXT and shorter.get(g[1:], (0,))[0] >= lm.LEAST_NEXT}
+        behind = {}
+        for g, k in grams.items():
+            behind.setdefault(g[:-1], []).append((g, k))
+        probability, weight, keep = {}, {}, set()
+        for ctx, found in behind.items():
+            m = shorter[ctx][0]
+            weight[ctx] = max(1 - sum((k - lm.DISCOUNT) / m for _, k in found), 1e-9)
+            for g, k in found:
+                probability[g] = (k - lm.DISCOUNT) / m + weight[ctx] * shorter[g[1:]][1]
+            gain = sum(k * math.log(probability[g] / shorter[g[1:]][1]) for g, k in found)
+            rest = max(1 - sum(k for _, k in found) / m, 0)
+            gain += m * rest * math.log(max(rest, 1e-9) / max(1 - sum(shorter[g[1:]][1] for g, _ in found), 1e-9))
+            if gain >= lm.LEAST_DIVERGENCE:
+                keep.add(ctx)
+        levels.append((probability, weight))
+        own.append(keep)
+        shorter = {g: (grams[g], p) for g, p in probability.items()}
+    for i in range(depth - 2, -1, -1):
+        own[i] |= {ctx[1:] for ctx in own[i + 1] if ctx[1:] in levels[i][1]}
+    return n, c, [(p, {x: w[x] for x in keep}) for (p, w), keep in zip(levels, own, strict=True)]
+
+
+def _tree_score(t, n, c, levels):
+    x, total = _tokens(t), 0.0
+    for i, w in enumerate(x):
+        for length in range(min(i, len(levels)), 0, -1):
+            p, weight = levels[length - 1]
+            if (ctx := tuple(x[i - length : i])) in weight:
+                if (*ctx, w) in p:
+                    total += math.log10(p[(*ctx, w)])
+                    break
+                total += math.log10(weight[ctx])
+        else:
+            total += math.log10((c[w] + 1) / (n + len(c) + 1))
+    return total
+
+
+@pytest.mark.parametrize("slots", [20, 4])
+def test_suffix_tree_equals_counting(spark, monkeypatch, slots):
+    monkeypatch.setattr(lm, "HEAD_BITS", slots)
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 100_000)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
-    extra = spark.createDataFrame([(-1, None), (-2, ""), (None, "the of and the of and")], "doc_id long, text string")
+    held_id = next(-i for i in range(100, 200) if zlib.crc32(str(-i).encode()) % 7 == 2)
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (None, "the of and the of and"), (held_id, "the of and " * 30_000), (-4, "the of and"), (-4, "the of and")], "doc_id long, text string")
     docs = docs.union(extra).withColumn("key", F.lit(0)).withColumn("c", F.lit(0))
     held = language.in_fold("doc_id", 7, 2)
-    got = {r.doc_id: r for r in lm.with_scores(docs, ~held).collect()}
+    got = lm.with_scores(docs, ~held).collect()
     rows = docs.collect()
-    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), "</end>"]
-    c = Counter(w for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for w in tokens(r.text))
-    n, v = sum(c.values()), len(c)
+    train = [r.text for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    n, c, levels = _tree(train)
+    assert all(weight for _, weight in levels)
+    texts = {}
     for r in rows:
-        w, g = tokens(r.text), got[r.doc_id]
+        texts.setdefault(r.doc_id, r.text)
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in rows)
+    for g in got:
+        w = _tokens(texts[g.doc_id])
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert g.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-    test = [g for i, g in got.items() if i and zlib.crc32(str(i).encode()) % 7 == 2]
+        assert g.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + len(c) + 1)) for x in w))
+        assert g.score == pytest.approx(_tree_score(texts[g.doc_id], n, c, levels), rel=1e-5)
+    test = [g for g in got if (g.doc_id or 0) > 0 and zlib.crc32(str(g.doc_id).encode()) % 7 == 2]
     assert sum(g.score for g in test) > sum(g.base_score for g in test)
 
 
-def test_suffix_tree_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([("a b c a b d a b c b c a",), ("a b c b a",)] * 40, "text string")
-    tree, _ = lm.fit(texts)
-    assert tree.levels
-    words = np.arange(len(tree.grams.words.keys))
-    root = tree.root(tree.words.values[np.searchsorted(tree.words.keys, tree.grams.words.keys)].astype(float))
-    unseen = 10 ** float(tree.root(np.zeros(1))[0])
-    for length, level in enumerate(tree.levels, 1):
-        for context in level.backoff.keys:
-            p = 10 ** lm._conditional(tree.levels, root, (context << lm.BITS) | words, length)
-            full = np.array([10 ** level.next.values[level.next.find(np.array([(context << lm.BITS) | w]))[1][0]] if level.next.find(np.array([(context << lm.BITS) | w]))[0][0] else 10 ** level.backoff.values[level.backoff.find(np.array([context]))[1][0]] * q for w, q in zip(words, p, strict=True)])
-            assert full.sum() <= 1 + 1e-9 and full.sum() > 1 - unseen * 5
-
-
 def test_empty_training(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = lm.with_scores(docs, F.lit(False)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+    assert lm.with_scores(docs.limit(0), F.lit(True)).count() == 0
 
 
 # Language and quality
@@ -229,6 +343,54 @@ def test_language_held_out_accuracy(spark):
     assert {tuple(r) for r in none} == {("und", 0.0)}
 
 
+def test_language_model_equals_counting(spark):
+    """Words, the longest known n-grams of others, and no score for the rest: sums by hand over a small sample."""
+    rows = [(1, "alpha beta beta", "aa"), (2, "gamma beta", "bb"), (3, "delta", "bb"), (4, "delta", "bb"), (5, None, "aa"), (6, "x y", None)]
+    asked = ["alpha", "beta BETA gamma", "alphx", "l'beta", "", "qqq", "ALPHA " * 5000, "zz delta"]
+    docs = spark.createDataFrame(rows + [(10 + i, t, None) for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    model = language.fit(docs, F.col("doc_id") < 10)
+    assert model.langs == ["aa", "bb"]
+    words = {"aa": Counter({"alpha": 1, "beta": 2}), "bb": Counter({"gamma": 1, "beta": 1, "delta": 2})}
+    names = {x: Counter() for x in words}
+    for x, found in words.items():
+        for w, k in found.items():
+            names[x]["0" + w] += k
+            for n in range(1, 6):
+                for i in range(len(w) + 3 - n):
+                    names[x][f"{n}" + f" {w} "[i : i + n]] += k
+    total = {(x, o): sum(k for name, k in found.items() if name[0] == o) for x, found in names.items() for o in "012345"}
+    value = lambda x, name: math.log10((names[x][name] or 0.5) / (total[x, name[0]] + 1))
+
+    def word_sum(x, w):
+        if any(names[y]["0" + w] for y in names):
+            return value(x, "0" + w)
+        for n in range(5, 0, -1):
+            found = [g for g in (f"{n}" + f" {w} "[i : i + n] for i in range(len(w) + 3 - n)) if any(names[y][g] for y in names)]
+            if found:
+                return sum(value(x, g) for g in found) / len(found)
+        return 0.0
+
+    scorer = language.Scorer(model)
+    sums, n = scorer.sums(asked)
+    for i, t in enumerate(asked):
+        split = re.findall(r"[^\W\d_]+", t.lower())
+        assert n[i] == len(split)
+        for j, x in enumerate(model.langs):
+            assert sums[i, j] == pytest.approx(sum(word_sum(x, w) for w in split), rel=1e-5, abs=1e-6)
+    assert scorer.sums(asked)[0] == pytest.approx(sums)
+
+
+def test_language_sample_is_bounded_and_keeps_all_languages(spark, monkeypatch):
+    rows = [(None, f"w{i}", "aa") for i in range(3000)] + [(i, "q".join("abcdefghij"[int(d)] for d in f"{i % 300:03}") + " word", f"l{i % 300:03}") for i in range(900)] + [(7, "same text", "zz")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.lit(1)).withColumn("n", F.lit(1))
+    sample = language.sample_rows(docs, F.lit(True), "text", "lang", "doc_id", 10, 100_000).groupBy("l").count().collect()
+    counts = {r.l: r["count"] for r in sample}
+    assert len(counts) == 302 and counts["aa"] <= 10 and counts["zz"] == 1 and counts["l000"] == 3
+    model = language.fit(docs, F.lit(True))
+    assert len(model.langs) == 302
+    assert [x for x, _ in language.Scorer(model).judge(["aqaqf", "cqjqj word", "12"])] == ["l005", "l299", "und"]
+
+
 def test_quality_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string")).withColumn("label", F.lit("x")).withColumn("bins", F.lit("x"))
@@ -239,6 +401,21 @@ def test_quality_held_out_accuracy(spark):
     assert sum((r.quality_score >= 0.5) == (r.quality == 1) for r in rows) >= 0.97 * len(rows)
     assert all(0 <= r.quality_score <= 1 for r in judged.filter("doc_id < 0").collect())
     assert {r.quality_score for r in quality.with_quality(docs.limit(5), labels.limit(0), F.lit(True)).collect()} == {0.5}
+    assert quality.with_quality(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
+def test_labels_of_unknown_documents_take_no_room(spark):
+    """Thousands of labels without documents, repeated rows, a very long text, and a bound of 60 rows."""
+    good, bad = "the quiet river flows past old stone houses", "WIN $$$ now!!! click >>> free ###"
+    rows = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}") for i in range(200)] + [(1, f"{good} 1"), (300, f"{bad} " * 20_000), (None, good)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("x")).withColumn("h", F.lit(0))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(1000 + i, i % 2) for i in range(20_000)] + [(None, 1), (3, None), (4, 7)], "doc_id long, quality int")
+    judged = {r.doc_id: r.quality_score for r in quality.with_quality(docs, labels, F.lit(True), sample_rows=60).collect()}
+    assert all((judged[i] >= 0.5) == (i % 2 == 1) for i in range(100, 200)) and judged[300] < 0.5 and judged[None] > 0.5
+    sampled = quality.sample(docs, labels, F.lit(True), "text", "doc_id", "quality", 60)
+    assert sampled.count() == 60
+    sizes = [len(r.bins) for r in sampled.collect()]
+    assert quality.sample(docs, labels, F.lit(True), "text", "doc_id", "quality", 60, sum(sizes[:20])).count() == 20
 
 
 def test_descent_reaches_the_optimum():

@@ -128,7 +128,7 @@ def test_license_scan_against_counting(spark):
 
 
 def test_rules_are_hundreds_and_contained_ones_are_dropped():
-    assert len(licenses.rules()) > 300
+    assert len(licenses.rules()) > 300 and len(licenses.FAMILIES) + len(licenses.SENTENCES) > 150
     found = licenses.scanner(()).detections(*[b"licensed under the gnu general public license version 2"] * 2)
     assert [r.label for r, _, _ in found] == ["gpl-2.0"]
 
@@ -163,3 +163,111 @@ def test_html_combines_winning_paths():
     assert set(html.extract(page, [">div.story", ""])) == {"a", "b", "c", "\n"}
     inside = f'<article>{_text(90, "a")}</article><div class="y">{_text(9, "b")}</div>'
     assert set(html.extract(inside, [">article", ""])) == {"a"} and set(html.extract(inside, ["", ">article"])) == {"a"}
+
+
+MARKUP = {
+    '<span class="ad">x <span>y</span> leak</span> kept': ["kept"],
+    '<head><script>var a = "<body x>";</script><title>t</title><body><p>one': ["one"],
+    "<head><meta x><p>body": ["body"],
+    "<p>one</p><select><option>a<p>two</p>": ["one", "two"],
+    '<p class="share-of-market">m<div class="search-history">s</div><div class="ad-box">no</div>': ["m", "s"],
+    '<article><div class="share-of-market">x</div><div class="share-buttons">no</div><b class="hidden">no</b> yes</article>': ["x", "yes"],
+    "<svg><text>no</text><p>yes</p>": ["yes"],
+    '<p>a<svg><path d="x"/><g></svg>b</p>': ["a", "b"],
+    "<svg/><p>yes": ["yes"],
+    "<script src=x />no</script><p>yes": ["yes"],
+    "<object>no<p>no</p></object>yes": ["yes"],
+    '<div class="sidebar-content">no</div><div id="nav2"><p>no</p></div><p>yes': ["yes"],
+}
+
+
+@pytest.mark.parametrize("page", MARKUP)
+def test_html_markup(page):
+    assert [b.text for b in html.parse(page)[1]] == MARKUP[page]
+
+
+def test_html_against_a_parser_of_its_own(spark):
+    """The blocks of whole pages against the standard library's tag reader with a plain stack."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.blocks, self.buffer = [], [], ""
+
+        def block(self):
+            text = " ".join(self.buffer.split())
+            if text and not any(hidden for _, hidden in self.open):
+                self.blocks.append(text)
+            self.buffer = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.buffer += " "
+            if tag in html.BLOCKS or tag in ("script", "style", "title"):
+                self.block()
+                if tag == "p" and self.open and self.open[-1][0] == "p":
+                    self.open.pop()
+                values = {k: v or "" for k, v in attrs}
+                self.open.append((tag, tag in ("script", "style", "title") or html._outside(tag, values, any(x in ("main", "article") for x, _ in self.open))))
+
+        def handle_endtag(self, tag):
+            if tag in (x for x, _ in self.open):
+                self.block()
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            self.buffer += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    same = 0
+    for r in pages:
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.block()
+        same += sorted(" ".join(plain.blocks).split()) == sorted(" ".join(b.text for b in html.parse(r.html or "")[1]).split())
+    assert same >= 0.98 * len(pages)
+
+
+def _all_hits(text):
+    """Every rule's matches behind its keyword, and what is left of them by comparing each with all before it."""
+    import re
+
+    words = b" " + b" ".join(text.encode().translate(licenses.LOWER_WORDS).split()) + b" "
+    hits = []
+    for r, p in licenses.scanner(()).rules:
+        if b" ".join(r.keyword.translate(licenses.LOWER_WORDS).split()) in words:
+            hits += [(r, m.start(), m.end()) for m in p.finditer(re.sub(rb"[\t\n\r\x0b\x0c]", b" ", text.encode()))]
+    hits.sort(key=lambda h: (h[0].priority, h[1] - h[2], h[1], h[0].name))
+    taken = []
+    for r, a, b in hits:
+        if not any(x <= a and b <= y for _, x, y in taken):
+            taken.append((r, a, b))
+    return sorted(taken, key=lambda h: (h[1], h[2]))
+
+
+def test_detections_equal_comparing_all(spark):
+    import random
+
+    rng = random.Random(6)
+    parts = ["licensed under the mit license", "the apache license, version 2.0", "gnu general public license version 3", "lesser general public license version 2.1", "all rights reserved", "spdx-license-identifier: mit", "license: bsd-3-clause", "either version 2 of the license, or (at your option) any later version", "creative commons attribution 4.0", "and so on", "this software is provided 'as-is', without any express or implied warranty"]
+    for _ in range(60):
+        text = rng.choice([" ", "\n"]).join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        words = b" " + b" ".join(text.encode().translate(licenses.LOWER_WORDS).split()) + b" "
+        assert licenses.scanner(()).detections(text.encode().translate(licenses.LOWER), words) == _all_hits(text)
+    assert licenses.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_detections_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = b"mit license all rights reserved " * n
+        began = time.process_time()
+        s = licenses.scanner(tuple(licenses.BASE_PHRASES.items()))
+        assert len(s.detections(text, b" " + text)) >= 2 * n and len(s.base(b" " + text)) == n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(50_000) < 40 * seconds(5_000)
