@@ -10,8 +10,9 @@ add-one word distribution. A token is scored at the longest retained suffix of t
 The least counts do not depend on the corpus, so the tree grows with it: words, n-grams and contexts
 are Spark tables, and probabilities come from groupings and joins. For scoring, every chunk asks once
 for each of its words and n-grams, the questions are joined with the tree's entries, and the answers
-meet the chunk again. Only bitmaps of a fixed size are broadcast; they keep what surely is not in a
-table from being shuffled, and the joins behind them are exact.
+meet the chunk again. Two things of a fixed size are broadcast: bitmaps, which keep what surely is not
+in a table from being shuffled, and the commonest entry of each of ``1 << HEAD_BITS`` slots, which need not be
+asked for. The joins behind them are exact.
 
 Words and n-grams are known by 64-bit hashes. Defined results: null and empty texts are the end token
 alone; a row without key is a training row; repeated rows each get their own score and count each in
@@ -21,7 +22,7 @@ training; without training rows every token has the probability of the one unsee
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property, reduce
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -30,10 +31,10 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.decontaminate import checked
 from quire.llm.language import in_fold
-from quire.llm.neardup import CACHE_ENTRIES, _mix, _words
-from quire.llm.store import keep, table
-from quire.llm.text import chunks, hold, space_words
+from quire.llm.store import bound_batches, discard, keep, table
+from quire.llm.text import chunks, mix, word_codes
 
 #: Words in the longest contexts.
 DEPTH = 3
@@ -41,25 +42,14 @@ DEPTH = 3
 LEAST_CONTEXT, LEAST_NEXT = 4, 2
 #: Least divergence from the suffix's distribution times the context's count, in nats; and the discount.
 LEAST_DIVERGENCE, DISCOUNT = 20.0, 0.75
-#: Characters of a chunk, n-grams that are counted at a time, and bits of a hash that a bitmap tells apart.
-CHUNK_CHARS, RUN_GRAMS, BITMAP_BITS = 1_000_000, 1_000_000, 27
-BITS = 16  # of a word in the packed n-grams of ``Tree.levels``
+#: Characters of a chunk, n-grams that are counted at a time, and bits of a hash that a bitmap and the slots of common entries tell apart.
+CHUNK_CHARS, RUN_GRAMS, BITMAP_BITS, HEAD_BITS = 1_000_000, 1_000_000, 27, 20
 
 #: The end token: no word is empty.
-END = _words[b""]
+END = b""
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, each with its end, and how many each text has."""
-    hold("words", _words.clear)
-    if len(_words) > CACHE_ENTRIES:
-        _words.clear()
-    found = [[*map(_words.__getitem__, space_words(t)), END] for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((h for x in found for h in x), np.uint64, int(sizes.sum())), sizes
-
-
 def coded(docs: DataFrame) -> DataFrame:
     """One row per chunk of ``id, text, train``: the ids, and packed: train flags, sizes, distinct word hashes, places of the tokens in these."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -69,11 +59,11 @@ def coded(docs: DataFrame) -> DataFrame:
         for b in batches:
             at = 0
             for run in chunks(b.column("text"), CHUNK_CHARS):
-                hashes, sizes = token_hashes(run)
-                words, codes = np.unique(hashes, return_inverse=True)
+                codes, words, sizes = word_codes(run, END)
                 ids = b.column("id").slice(at, len(run))
                 train = b.column("train").slice(at, len(run)).to_numpy(zero_copy_only=False).astype(np.uint8)
-                packed = [pa.array([x.tobytes()], pa.binary()) for x in (train, sizes, words, codes.astype(np.int32))]
+                small = codes.astype(np.uint16 if len(words) <= 1 << 16 else np.int32)
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (train, sizes, words, small)]
                 ids = pa.ListArray.from_arrays(pa.array([0, len(run)], pa.int32()), pa.concat_arrays([ids]))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *packed], ["chunk", "ids", "train", "sizes", "words", "codes"])
                 at, number = at + len(run), number + 1
@@ -87,6 +77,10 @@ class Chunk(NamedTuple):
     words: np.ndarray
     codes: np.ndarray
 
+    def trained(self) -> np.ndarray:
+        """Whether each token is of a training text."""
+        return np.repeat(self.train, self.sizes) > 0
+
     def places(self) -> np.ndarray:
         """Place of each token in its text."""
         return np.arange(len(self.codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
@@ -96,12 +90,14 @@ class Chunk(NamedTuple):
         words = self.words[self.codes]
         out = [words]
         for _ in range(longest - 1):
-            out.append(np.concatenate((words[:1], _mix(out[-1][:-1] * _K ^ words[1:]))))
+            out.append(np.concatenate((words[:1], mix(out[-1][:-1] * _K ^ words[1:]))))
         return out
 
 
 def _chunk(b: pa.RecordBatch | pa.Table, i: int) -> Chunk:
-    return Chunk(*(np.frombuffer(b.column(name)[i].as_buffer(), kind) for name, kind in (("train", np.uint8), ("sizes", np.int64), ("words", np.uint64), ("codes", np.int32))))
+    raw = {name: b.column(name)[i].as_buffer() for name in Chunk._fields}
+    sizes, words = np.frombuffer(raw["sizes"], np.int64), np.frombuffer(raw["words"], np.uint64)
+    return Chunk(np.frombuffer(raw["train"], np.uint8), sizes, words, np.frombuffer(raw["codes"], np.uint16 if len(words) <= 1 << 16 else np.int32))
 
 
 def _longs(*columns: np.ndarray, names: str) -> pa.RecordBatch:
@@ -110,11 +106,12 @@ def _longs(*columns: np.ndarray, names: str) -> pa.RecordBatch:
 
 def word_counts(chunked: DataFrame) -> DataFrame:
     """``key, c``: hash and count of every training token."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 x = _chunk(b, i)
-                c = np.bincount(x.codes[np.repeat(x.train, x.sizes) > 0], minlength=len(x.words))
+                c = np.bincount(x.codes[x.trained()], minlength=len(x.words))
                 yield _longs(x.words[c > 0], c[c > 0], names="key c")
 
     return chunked.select("train", "sizes", "words", "codes").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
@@ -136,9 +133,11 @@ def possible(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def gram_counts(chunked: DataFrame, contexts: Broadcast, length: int) -> DataFrame:
-    """``key, ctx, suf, c``: n-grams of the training texts behind possible contexts of ``length`` words, without their last word, without their first."""
+def gram_counts(chunked: DataFrame, bitmaps: Broadcast, length: int) -> DataFrame:
+    """``key, ctx, suf, c``: n-grams of the training texts with a possible context of ``length`` words and a possible suffix of as many, and these two."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, suffixes = bitmaps.value
         run, size = [], 0
 
         def counted() -> pa.RecordBatch:
@@ -150,8 +149,9 @@ def gram_counts(chunked: DataFrame, contexts: Broadcast, length: int) -> DataFra
             for i in range(b.num_rows):
                 x = _chunk(b, i)
                 *_, short, long = x.sequences(length + 1)
-                at = np.flatnonzero((np.repeat(x.train, x.sizes) > 0) & (x.places() >= length))
-                at = at[possible(contexts.value, short[at - 1])]
+                at = np.flatnonzero(x.trained() & (x.places() >= length))
+                at = at[possible(contexts, short[at - 1])]
+                at = at[possible(suffixes, short[at])]
                 run.append((long[at], short[at - 1], short[at]))
                 size += len(at)
                 if size >= RUN_GRAMS:
@@ -164,163 +164,112 @@ def gram_counts(chunked: DataFrame, contexts: Broadcast, length: int) -> DataFra
     return grams.groupBy("key").agg(F.max("ctx").alias("ctx"), F.max("suf").alias("suf"), F.sum("c").alias("c"))
 
 
-class Known(NamedTuple):
-    """Sorted keys with values."""
-
-    keys: np.ndarray
-    values: np.ndarray
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are known, and the places to read values at (0 for the others)."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[at] == keys
-        return found, np.where(found, at, 0)
-
-    def values_of(self, keys: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are known, and the value of each, ``other`` where there is none."""
-        found, at = self.find(keys)
-        return found, np.where(found, self.values[at] if len(self.values) else other, other)
-
-
-def known(keys, values) -> Known:
-    keys, values = np.asarray(keys), np.asarray(values)
-    order = np.argsort(keys)
-    return Known(keys[order], values[order])
-
-
-class Grams(NamedTuple):
-    """Numbers of the words inside packed n-grams."""
-
-    words: Known
-
-
 class Level(NamedTuple):
-    backoff: Known  # context: log10 weight of the suffix
-    next: Known  # context and next word: log10 probability
-
-
-class Tables(NamedTuple):
     """One level of the tree."""
 
     grams: DataFrame  # key, ctx, suf, c, p: probability of the last word behind the context, retained or not
-    retained: DataFrame  # ctx, backoff
-
-
-class Tree:
-    def __init__(self, tokens: int, vocabulary: int, counts: DataFrame, tables: list[Tables]):
-        self.tokens, self.vocabulary, self.counts, self.tables = tokens, vocabulary, counts, tables
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1.0) / (self.tokens + self.vocabulary + 1.0))
-
-    def entries(self, length: int) -> DataFrame:
-        """``key, kind, value`` of the tree's ``length`` words in a row: log10 of 0 a next word's probability, 1 a context's weight of the suffix, 2 a word's probability at the root."""
-        parts = []
-        if length == 1:
-            parts.append(self.counts.select("key", F.lit(2).alias("kind"), F.log10((F.col("c") + 1) / F.lit(float(self.tokens + self.vocabulary + 1))).alias("value")))
-        if 1 < length <= len(self.tables) + 1:
-            level = self.tables[length - 2]
-            parts.append(level.grams.join(level.retained, "ctx", "left_semi").select("key", F.lit(0).alias("kind"), F.log10("p").alias("value")))
-        if length <= len(self.tables):
-            parts.append(self.tables[length - 1].retained.select(F.col("ctx").alias("key"), F.lit(1).alias("kind"), F.log10("backoff").alias("value")))
-        return reduce(DataFrame.unionAll, parts)
-
-    # The tree in the driver's memory, to look into small ones.
-
-    @cached_property
-    def words(self) -> Known:
-        rows = self.counts.toPandas()
-        if len(rows) > 1 << BITS:
-            raise ValueError("a tree of more words than BITS can number stays in Spark")
-        return known(rows["key"].to_numpy(np.int64), rows["c"].to_numpy(np.int64))
-
-    @cached_property
-    def grams(self) -> Grams:
-        return Grams(Known(self.words.keys, np.arange(len(self.words.keys))))
-
-    @cached_property
-    def levels(self) -> list[Level]:
-        packed = last = dict(zip(self.words.keys.tolist(), range(len(self.words.keys)), strict=True))
-        out = []
-        for t in self.tables:
-            kept = {r.ctx: r.backoff for r in t.retained.collect()}
-            rows = t.grams.collect()
-            before, packed = packed, {r.key: packed[r.ctx] << BITS | last[r.suf] for r in rows}
-            last = {r.key: last[r.suf] for r in rows}
-            inside = [r for r in rows if r.ctx in kept]
-            out.append(Level(known([before[c] for c in kept], [np.log10(x) for x in kept.values()]), known([packed[r.key] for r in inside], [np.log10(r.p) for r in inside])))
-        return out
+    retained: DataFrame  # ctx, n, backoff: weight of the suffix
+
 
+class Tree(NamedTuple):
+    tokens: int
+    vocabulary: int
+    counts: DataFrame  # key, c
+    levels: list[Level]
 
-def fit(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree, and the counts of all words, from the one text column of ``texts``."""
-    rows = texts.select(F.lit(None).cast("long").alias("id"), F.col(texts.columns[0]).alias("text"), F.lit(True).alias("train"))
-    tree = fit_coded(keep(coded(rows), "coded"), depth)
-    return tree, tree.counts
+    def entries(self) -> DataFrame:
+        """``key, weight, c, next, backoff``: all that is known of a sequence: its count, that as a word, and log10 of its last word's probability and of its suffix's weight as a context."""
+        none, words = F.lit(None).cast("float"), F.lit(0).cast("long")
+        parts = [self.counts.select("key", F.col("c").alias("weight"), "c", none.alias("next"), none.alias("backoff"))]
+        for grams, retained in self.levels:
+            parts.append(grams.join(checked(retained), "ctx", "left_semi").select("key", F.col("c").alias("weight"), words.alias("c"), F.log10("p").cast("float").alias("next"), none.alias("backoff")))
+            parts.append(retained.select(F.col("ctx").alias("key"), F.col("n").alias("weight"), words.alias("c"), none.alias("next"), F.log10("backoff").cast("float").alias("backoff")))
+        return reduce(DataFrame.unionAll, parts).groupBy("key").agg(*(F.max(c).alias(c) for c in ("weight", "c", "next", "backoff")))
 
 
-def fit_coded(chunked: DataFrame, depth: int = DEPTH) -> Tree:
+def fit(chunked: DataFrame, depth: int = DEPTH) -> Tree:
     """The tree from the training texts of ``coded``."""
     sc = chunked.sparkSession.sparkContext
     counts = keep(word_counts(chunked), "word_counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    found, diverging = [], []
+    found = []
     # What a context or a suffix can be: sequences one word shorter, their counts and probabilities.
-    shorter = counts.withColumn("p", (F.col("c") + 1) / F.lit(float(n + v + 1)))
+    shorter = counts.select("key", "c", ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("p"))
     for length in range(1, depth + 1):
-        candidates = shorter.filter(F.col("c") >= LEAST_CONTEXT).select("key", F.col("c").alias("n"))
-        bits = bitmap(candidates)
-        if not bits.any():
+        candidates = shorter.filter(F.col("c") >= LEAST_CONTEXT).select(F.col("key").alias("ctx"), F.col("c").alias("n"))
+        # An n-gram occurs no more often than what it ends in.
+        suffixes = shorter.filter(F.col("c") >= LEAST_NEXT).select(F.col("key").alias("suf"), F.col("p").alias("below"))
+        bits = [bitmap(x.toDF("key", "_")) for x in (candidates, suffixes)]
+        if not bits[0].any():
             break
-        pairs = gram_counts(chunked, sc.broadcast(bits), length).filter(F.col("c") >= LEAST_NEXT)
-        # An n-gram occurs no more often than what it ends in, so its suffix is in the level before.
-        pairs = pairs.join(candidates.withColumnRenamed("key", "ctx"), "ctx").join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("below")), "suf")
-        pairs = keep(pairs.withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
-        weights = pairs.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("backoff"))
-        grams = keep(pairs.join(weights, "ctx").withColumn("p", F.col("share") + F.col("backoff") * F.col("below")), f"grams_{length}")
-        rest, other = (F.greatest(1 - F.sum(x), F.lit(least)) for x, least in ((F.col("c") / F.col("n"), 0.0), (F.col("below"), 1e-9)))
-        divergence = F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))) + F.max("n") * rest * F.log(F.greatest(rest, F.lit(1e-9)) / other)
-        diverging.append(keep(grams.groupBy("ctx").agg(F.max("backoff").alias("backoff"), (divergence >= LEAST_DIVERGENCE).alias("own")), f"contexts_{length}"))
-        found.append(grams)
+        counted = keep(gram_counts(chunked, sc.broadcast(bits), length).filter(F.col("c") >= LEAST_NEXT), f"counted_{length}")
+        pairs = keep(counted.join(checked(candidates), "ctx").join(checked(suffixes), "suf").withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
+        weights = keep(pairs.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("backoff"), F.max("n").alias("n")), f"weights_{length}")
+        p = F.col("share") + F.col("backoff") * F.col("below")
+        grams = keep(pairs.join(checked(weights.drop("n")), "ctx").select("key", "ctx", "suf", "c", "below", p.alias("p")), f"grams_{length}")
+        gain = grams.groupBy("ctx").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))).alias("gain"), F.sum("c").alias("seen"), F.sum("below").alias("below"))
+        rest, other = F.greatest(1 - F.col("seen") / F.col("n"), F.lit(0.0)), F.greatest(1 - F.col("below"), F.lit(1e-9))
+        divergence = F.col("gain") + F.col("n") * rest * F.log(F.greatest(rest, F.lit(1e-9)) / other)
+        contexts = keep(weights.join(gain, "ctx").select("ctx", "n", "backoff", (divergence >= LEAST_DIVERGENCE).alias("own")), f"contexts_{length}")
+        found.append((grams, contexts))
         shorter = grams.select("key", "c", "p")
+        discard(counted, pairs, weights)
     # A suffix of a retained context is retained.
-    tables: list[Tables] = []
-    for i in range(len(found) - 1, -1, -1):
-        retained = diverging[i].filter("own").select("ctx", "backoff")
-        if tables:
-            needed = found[i].join(tables[0].retained.select(F.col("ctx").alias("key")), "key", "left_semi").select(F.col("suf").alias("ctx")).distinct()
-            retained = diverging[i].join(needed.withColumn("needed", F.lit(True)), "ctx", "left").filter(F.col("own") | F.col("needed")).select("ctx", "backoff")
-        tables.insert(0, Tables(found[i], keep(retained, f"retained_{i + 1}")))
-    return Tree(n, v, counts, tables)
-
-
-def _conditional(levels: list[Level], root: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
-    """log10 probability of each n-gram's last word after the suffix of its context."""
-    word = key & ((1 << BITS) - 1)
-    if length == 1:
-        return root[word]
-    short = key & ((1 << BITS * length) - 1)
-    level = levels[length - 2]
-    known_pair, at = level.next.find(short)
-    known_context, where = level.backoff.find(short >> BITS)
-    below = _conditional(levels, root, short, length - 1) + np.where(known_context, level.backoff.values[where] if len(level.backoff.values) else 0, 0)
-    return np.where(known_pair, level.next.values[at] if len(level.next.values) else 0, below)
-
-
-def asked(chunked: DataFrame, bitmaps: Broadcast) -> DataFrame:
-    """``chunk, key``: each word of a chunk, and each of its longer sequences that may be in the tree, once."""
+    levels: list[Level] = []
+    for length, (grams, contexts) in reversed(list(enumerate(found, 1))):
+        retained = contexts.filter("own").select("ctx", "n", "backoff")
+        if levels:
+            needed = grams.join(levels[0].retained.select(F.col("ctx").alias("key")), "key", "left_semi").select(F.col("suf").alias("ctx")).distinct()
+            retained = contexts.join(needed.withColumn("needed", F.lit(True)), "ctx", "left").filter(F.col("own") | F.col("needed")).select("ctx", "n", "backoff")
+        levels.insert(0, Level(grams, keep(retained, f"retained_{length}")))
+    return Tree(n, v, counts, levels)
+
+
+class Known(NamedTuple):
+    """Keys with their counts as words and values; either sorted, or each key in the slot of its lowest bits."""
+
+    keys: np.ndarray
+    c: np.ndarray
+    next: np.ndarray
+    backoff: np.ndarray
+
+    def find(self, keys: np.ndarray, slots: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and where these are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+        at = (keys & np.uint64(len(self.keys) - 1)).astype(np.int64) if slots else np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[at] == keys
+        return found, at[found]
+
+
+def common(entries: DataFrame) -> Known:
+    """The commonest of the ``entries`` that fall in each slot."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))
+    rows = entries.groupBy(slot.alias("slot")).agg(F.max(F.struct("weight", "key", "c", "next", "backoff")).alias("e")).select("slot", "e.key", "e.c", "e.next", "e.backoff").toArrow()
+    at = rows.column("slot").to_numpy()
+    out = Known(np.zeros(1 << HEAD_BITS, np.uint64), np.zeros(1 << HEAD_BITS, np.int64), *(np.full(1 << HEAD_BITS, np.nan, np.float32) for _ in "nb"))
+    out.keys[:] = ~np.arange(1 << HEAD_BITS, dtype=np.uint64)  # an empty slot has a key of another slot
+    out.keys[at] = rows.column("key").to_numpy().view(np.uint64)
+    for name in ("c", "next", "backoff"):
+        getattr(out, name)[at] = rows.column(name).to_numpy()
+    return out
+
+
+def asked(chunked: DataFrame, shared: Broadcast, depth: int) -> DataFrame:
+    """``chunk, key``: each sequence of a chunk that may be among the entries and is none of the common ones, once."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, head = shared.value
         for b in batches:
             for i in range(b.num_rows):
                 x, keys = _chunk(b, i), []
                 places = x.places()
-                for back, (key, bits) in enumerate(zip(x.sequences(len(bitmaps.value) + 1)[1:], bitmaps.value, strict=True), 1):
-                    key = key[places >= back]
-                    keys.append(np.unique(key[possible(bits, key)]))
-                keys = np.concatenate((x.words, *keys))
+                for back, key in enumerate((x.words, *x.sequences(depth + 1)[1:])):
+                    key = key[places >= back] if back else key
+                    key = key[possible(bits, key)]
+                    keys.append(np.unique(key[~head.find(key, True)[0]]))
+                keys = np.concatenate(keys)
                 yield _longs(np.full(len(keys), b.column("chunk")[i].as_py()), keys, names="chunk key")
 
     return chunked.select("chunk", "train", "sizes", "words", "codes").mapInArrow(ask, "chunk long, key long")
@@ -328,31 +277,55 @@ def asked(chunked: DataFrame, bitmaps: Broadcast) -> DataFrame:
 
 def score(chunked: DataFrame, tree: Tree) -> DataFrame:
     """``id, n_tokens, n_known, base, score`` of every text of ``coded``."""
-    entries = [tree.entries(length) for length in range(1, len(tree.tables) + 2)]
-    entries = [entries[0], *(keep(e, f"entries_{i}") for i, e in enumerate(entries[1:], 2))]
-    bitmaps = chunked.sparkSession.sparkContext.broadcast([bitmap(e) for e in entries[1:]])
-    answers = asked(chunked, bitmaps).join(reduce(DataFrame.unionAll, entries), "key").select("chunk", "key", "kind", "value")
-    depth, unseen = len(tree.tables), float(tree.root(np.zeros(1))[0])
+    entries = keep(tree.entries(), "entries")
+    depth, total = len(tree.levels), tree.tokens + tree.vocabulary + 1.0
+    for grams, retained in tree.levels:
+        discard(grams, retained)
+    discard(tree.counts)
+    shared = chunked.sparkSession.sparkContext.broadcast((bitmap(entries), common(entries)))
+    answers = asked(chunked, shared, depth).join(entries.drop("weight"), "key")
     kind = chunked.schema["ids"].dataType.elementType.simpleString()
 
     def scored(chunk: pa.Table, answer: pa.Table) -> pa.Table:
-        key, which, value = (answer.column(name).to_numpy() for name in ("key", "kind", "value"))
-        following, backoff, root = (known(key[which == k].view(np.uint64), value[which == k]) for k in range(3))
+        bits, head = shared.value
+        keys = answer.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        tail = Known(keys[order], *(answer.column(name).to_numpy()[order] for name in ("c", "next", "backoff")))
+
+        def look_up(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Count as a word, next and backoff of each key."""
+            out = np.zeros(len(keys), np.int64), np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+            open_ = np.flatnonzero(possible(bits, keys))
+            for known, slots in ((head, True), (tail, False)):
+                found, at = known.find(keys[open_], slots)
+                for values, source in zip(out, known[1:], strict=True):
+                    values[open_[found]] = source[at]
+                open_ = open_[~found]
+            return out
+
         x = _chunk(chunk, 0)
-        is_known, base = (a[x.codes] for a in root.values_of(x.words, unseen))
+        c, _, backoff = look_up(x.words)
         sequences, places = x.sequences(depth + 1), x.places()
-        total, open_ = np.zeros(len(x.codes)), np.ones(len(x.codes), bool)
-        for length in range(depth, 0, -1):
-            at = np.flatnonzero(open_ & (places >= length))
-            inside, weight = backoff.values_of(sequences[length - 1][at - 1], 0.0)
-            at, weight = at[inside], weight[inside]
-            pair, p = following.values_of(sequences[length][at], 0.0)
-            total[at] += np.where(pair, p, weight)
-            open_[at[pair]] = False
-        total[open_] += base[open_]
+        following, weights = [], [backoff[x.codes]]
+        for back in range(1, depth + 1):
+            inside = np.flatnonzero(places >= back)
+            columns = np.full((2, len(x.codes)), np.nan)
+            columns[:, inside] = look_up(sequences[back][inside])[1:]
+            following.append(columns[0])
+            weights.append(columns[1])
+        base = np.log10((c + 1.0) / total)[x.codes]
+        whole, open_ = np.zeros(len(x.codes)), np.ones(len(x.codes), bool)
+        for back in range(depth, 0, -1):
+            at = np.flatnonzero(open_ & (places >= back))
+            weight = weights[back - 1][at - 1]
+            at, weight = at[~np.isnan(weight)], weight[~np.isnan(weight)]
+            p = following[back - 1][at]
+            whole[at] += np.where(np.isnan(p), weight, p)
+            open_[at[~np.isnan(p)]] = False
+        whole[open_] += base[open_]
         starts = np.cumsum(x.sizes) - x.sizes
         ids = chunk.column("ids").combine_chunks().flatten()
-        sums = [pa.array(np.add.reduceat(a, starts)) for a in (is_known.astype(np.int64), base, total)]
+        sums = [pa.array(np.add.reduceat(a, starts)) for a in ((c > 0).astype(np.int64)[x.codes], base, whole)]
         return pa.Table.from_arrays([ids, pa.array(x.sizes), *sums], ["id", "n_tokens", "n_known", "base", "score"])
 
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_tokens long, n_known long, base double, score double")
@@ -360,9 +333,10 @@ def score(chunked: DataFrame, tree: Tree) -> DataFrame:
 
 def with_scores(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_tokens, n_known, train_tokens, base_score, score."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     chunked = keep(coded(rows), "coded")
-    tree = fit_coded(chunked)
+    tree = fit(chunked)
     return score(chunked, tree).select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
