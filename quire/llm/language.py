@@ -4,151 +4,196 @@ Words that the training rows know score by their log frequency in each language.
 scores by its longest n-grams that are known: order 5 first, then 4, down to 1. A text's language is
 the one with the largest sum over its words.
 
-The model is fitted on a bounded sample: the ``rows_per_language`` training rows of each language
-with the smallest hashed keys. It keeps the ``words_per_language`` and ``grams_per_language``
-commonest entries, so what is broadcast has a bound whatever the corpus.
+The model is fitted on a bounded sample: of each language the ``rows_per_language`` training rows with
+the smallest hashed keys and texts, fewer where there are more languages than ``all_rows`` has room for,
+but ``LEAST_ROWS`` of each. All words and n-grams of the sample are in the model, which holds one
+number for each entry and language that occur together.
 
 Defined results: ``und`` with score 0 for null texts, texts without letters, and where no training
-row exists; equal sums go to the language that sorts first; repeated rows each get their own result.
+row exists; equal sums go to the language that sorts first; repeated rows each get their own result
+and count once in the sample.
 """
 
 from __future__ import annotations
 
 import uuid
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.store import table
+from quire.llm.decontaminate import checked
+from quire.llm.store import bound_batches, discard, keep, table
 from quire.llm.text import chunks, hold
 
-ROWS_PER_LANGUAGE, WORDS_PER_LANGUAGE, GRAMS_PER_LANGUAGE, MAX_LANGUAGES = 1000, 20_000, 20_000, 200
+ROWS_PER_LANGUAGE, ALL_ROWS, LEAST_ROWS = 1000, 20_000, 20
 LONGEST_GRAM = 5
 #: Tokens kept by a worker; a longer token than this is not kept.
-CACHE_ENTRIES, CACHE_CHARS = 120_000, 200
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 200
+#: Seed of Spark's ``xxhash64``.
+SEED = 42
 
 _WORDS = regex.compile(r"\p{L}+").findall
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANGUAGE, words: int = WORDS_PER_LANGUAGE, grams: int = GRAMS_PER_LANGUAGE) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Languages, and for each known entry its log frequency in each; n-grams carry their order in front."""
-    rows_in = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key)).alias("h"))
-    ranked = rows_in.select("l", "h").withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h"))).filter(F.col("n") <= rows)
-    last = ranked.groupBy("l").agg(F.max("h").alias("last"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "l").limit(MAX_LANGUAGES)
-    sample = rows_in.join(F.broadcast(last), "l").filter(F.col("h") <= F.col("last"))
-    counted = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("c"))
+class Model(NamedTuple):
+    """Log frequencies over those of an entry that a language lacks, by entry; entries are known by the hash of their order and text."""
+
+    langs: list[str]
+    floors: np.ndarray  # orders (0 for words) x languages: the log frequency of what a language lacks
+    keys: np.ndarray  # sorted
+    start: np.ndarray  # of each key, and the end of the last
+    lang: np.ndarray
+    gain: np.ndarray
+
+
+def sample_rows(docs: DataFrame, train: Column, text: str, lang: str, key: str, rows: int, all_rows: int) -> DataFrame:
+    """``l, t``: the sample. Most rows are left out by their hash alone, before any are ranked."""
+    usable = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("t"))
+    place = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counts = keep(usable.groupBy("l").agg(F.approx_count_distinct("h").alias("n"), F.min(place).alias("least")), "language_counts")
+    most = min(rows, max(LEAST_ROWS, all_rows // max(1, counts.count())))
+    low = usable.join(checked(counts), "l").filter((place < 2.0 * most / F.col("n")) | (place == F.col("least"))).select("l", "h").distinct()
+    chosen = keep(low.withColumn("rank", F.row_number().over(W.partitionBy("l").orderBy("h"))).filter(F.col("rank") <= most).select("l", "h"), "chosen")
+    return usable.join(checked(chosen), ["l", "h"], "left_semi").dropDuplicates(["l", "h"]).select("l", "t")
+
+
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_PER_LANGUAGE, all_rows: int = ALL_ROWS) -> Model:
+    """The model of a bounded sample of the training rows."""
+    sample = sample_rows(docs, train, text, lang, key, rows, all_rows)
+    words = keep(sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("c")), "language_words")
     padded = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
 
     def spans(n: int) -> Column:
         found = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.concat(F.lit(str(n)), F.substring(padded, i, F.lit(n))))
         return F.when(F.length(padded) >= n, found).otherwise(F.array().cast("array<string>"))
 
-    parts = counted.select("l", F.explode(F.concat(*map(spans, range(1, LONGEST_GRAM + 1)))).alias("w"), "c").groupBy("l", "w").agg(F.sum("c").alias("c"))
-    kinds = []
-    for kind, df, most in ((0, counted, words), (1, parts, grams)):
-        order = F.substring("w", 1, 1) if kind else F.lit("")
-        total = df.groupBy("l", order.alias("o")).agg(F.sum("c").alias("total"))
-        top = df.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy(F.desc("c"), "w"))).filter(F.col("n") <= most)
-        kinds.append(top.withColumn("o", order).join(F.broadcast(total), ["l", "o"]).select(F.lit(kind).alias("kind"), "l", "w", "c", "total"))
-    found = kinds[0].unionByName(kinds[1]).toPandas()
-    langs = sorted(found["l"].unique())
+    grams = words.select("l", F.explode(F.concat(*map(spans, range(1, LONGEST_GRAM + 1)))).alias("name"), "c").groupBy("l", "name").agg(F.sum("c").alias("c"))
+    named = words.select("l", F.concat(F.lit("0"), F.col("w")).alias("name"), "c").unionByName(grams)
+    entries = keep(named.select("l", F.substring("name", 1, 1).cast("int").alias("order"), F.xxhash64("name").alias("key"), "c"), "language_entries")
+    totals = entries.groupBy("l", "order").agg(F.sum("c").alias("total")).collect()
+    langs = sorted({r.l for r in totals})
     at = {x: i for i, x in enumerate(langs)}
-    floors: dict[str, np.ndarray] = {}
-    for (kind, l, order), g in found.groupby([found["kind"], found["l"], found["w"].where(found["kind"] == 1, "").str[:1]]):
-        floors.setdefault(f"{kind}{order}", np.full(len(langs), np.nan))[at[l]] = np.log10(0.5 / (g["total"].iloc[0] + 1))
-    floors = {k: np.where(np.isnan(v), np.nanmin(v), v) for k, v in floors.items()}
-    model: dict[str, np.ndarray] = {}
-    for kind, l, w, c, total in found.itertuples(index=False):
-        name = w if kind else f"0{w}"  # words under order 0
-        row = model.get(name)
-        if row is None:
-            row = model[name] = floors[f"{kind}{w[0] if kind else ''}"].astype(np.float32).copy()
-        row[at[l]] = np.log10(c / (total + 1))
-    return langs, model
+    total = np.full((LONGEST_GRAM + 1, len(langs)), np.nan)
+    for r in totals:
+        total[r.order, at[r.l]] = r.total
+    floors = np.log10(0.5 / (total + 1))
+    if langs:
+        floors = np.where(np.isnan(floors), np.nanmin(floors, axis=1, keepdims=True, initial=0.0), floors)
+    found = entries.toArrow()
+    discard(words, entries)
+    number = found.column("l").combine_chunks().dictionary_encode() if found.num_rows else pa.array([], pa.string()).dictionary_encode()
+    l = np.array([at[x] for x in number.dictionary.to_pylist()], np.int32)[number.indices.to_numpy()]
+    order, key_, c = (found.column(name).to_numpy() for name in ("order", "key", "c"))
+    value = np.log10(c / (total[order, l] + 1)) - floors[order, l]
+    place = np.lexsort((l, key_.view(np.uint64)))
+    keys, first = np.unique(key_.view(np.uint64)[place], return_index=True)
+    return Model(langs, floors, keys, np.append(first, len(place)), l[place], value[place].astype(np.float32))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Scorer:
     """Sums of each language per text; one per Python worker and model.
 
-    Every distinct token of a chunk of texts is looked up once; its sums stay in ``table``.
+    Every distinct token of a chunk of texts is looked up once. Kept of it are its gains by language and how
+    many of its words were found at each order; the last column counts all words.
     """
 
-    def __init__(self, langs: list[str], model: dict[str, np.ndarray]):
-        self.langs = langs
-        self.entry = {name: i for i, name in enumerate(model)}
-        self.values = np.array(list(model.values()), np.float32).reshape(len(model), len(langs))
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.table = np.zeros((0, len(langs) + 1), np.float32)
-
-    def entries(self, word: str) -> list[int]:
-        """The word itself, or its longest known n-grams; empty if there are none."""
-        known = self.entry.get("0" + word)
-        if known is not None:
-            return [known]
-        padded, get = f" {word} ", self.entry.get
-        for n in range(min(LONGEST_GRAM, len(padded)), 0, -1):
-            found = [i for k in range(len(padded) - n + 1) if (i := get(f"{n}{padded[k : k + n]}")) is not None]
-            if found:
-                return found
-        return []
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.orders = np.zeros((0, LONGEST_GRAM + 2), np.int32)
+        self.lang, self.gain = np.zeros(0, np.int32), np.zeros(0, np.float32)
+
+    def _find(self, names: list[str]) -> np.ndarray:
+        """Place of each name's entry, or -1."""
+        hashes = np.fromiter((xxhash.xxh64_intdigest(n, SEED) for n in names), np.uint64, len(names))
+        at = np.minimum(np.searchsorted(self.model.keys, hashes), len(self.model.keys) - 1)
+        return np.where(self.model.keys[at] == hashes, at, -1)
 
     def learn(self, tokens: list[str]) -> None:
-        """Append the sums of new tokens, with their numbers of words, to the table."""
-        flat: list[int] = []
-        weights: list[float] = []
-        sizes, words_in = [], []
-        for t in tokens:
-            before, words = len(flat), _WORDS(t.lower())
-            for w in words:
-                found = self.entries(w)
-                flat += found
-                weights += [1 / len(found)] * len(found) if found else []
-            sizes.append(len(flat) - before)
-            words_in.append(len(words))
-        rows = np.zeros((len(tokens), len(self.langs) + 1), np.float32)
-        filled = np.flatnonzero(sizes)
-        if len(filled):
-            starts = (np.cumsum(sizes) - sizes)[filled]
-            rows[filled, :-1] = np.add.reduceat(self.values[flat] * np.array(weights, np.float32)[:, None], starts, axis=0)
-        rows[:, -1] = words_in
-        first = len(self.at)
-        self.at.update(zip(tokens, range(first, first + len(tokens)), strict=True))
-        if first + len(rows) > len(self.table):
-            grown = np.zeros((2 * (first + len(rows)), len(self.langs) + 1), np.float32)
-            grown[:first] = self.table[:first]
-            self.table = grown
-        self.table[first : first + len(rows)] = rows
-
-    def sums(self, texts: list[str]) -> np.ndarray:
+        """Keep new tokens."""
+        split = [_WORDS(t.lower()) for t in tokens]
+        words = list(chain.from_iterable(split))
+        owner = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, split), np.int64, len(split)))
+        orders = np.zeros((len(tokens), LONGEST_GRAM + 2), np.int32)
+        np.add.at(orders[:, -1], owner, 1)
+        found = self._find([f"0{w}" for w in words]) if words else np.zeros(0, np.int64)
+        entries, owners, weights = [found[found >= 0]], [owner[found >= 0]], [np.ones(int((found >= 0).sum()))]
+        np.add.at(orders[:, 0], owners[0], 1)
+        left = np.flatnonzero(found < 0)
+        for n in range(LONGEST_GRAM, 0, -1):
+            grams, of = [], []
+            for i in left.tolist():
+                padded = f" {words[i]} "
+                grams += [f"{n}{padded[k : k + n]}" for k in range(len(padded) - n + 1)]
+                of += [i] * max(0, len(padded) - n + 1)
+            if not grams:
+                continue
+            found, of = self._find(grams), np.array(of)
+            of, found = of[found >= 0], found[found >= 0]
+            many = np.bincount(of, minlength=len(words))
+            entries.append(found)
+            owners.append(owner[of])
+            weights.append(1.0 / many[of])
+            np.add.at(orders[:, n], owner[np.flatnonzero(many)], 1)
+            left = left[many[left] == 0]
+        entry, own, weight = map(np.concatenate, (entries, owners, weights))
+        by_token = np.argsort(own, kind="stable")
+        entry, own, weight = entry[by_token], own[by_token], weight[by_token]
+        size = self.model.start[entry + 1] - self.model.start[entry]
+        places = _ranges(self.model.start[entry], size)
+        self.size = np.concatenate((self.size, np.bincount(own, weights=size, minlength=len(tokens)).astype(np.int64)))
+        self.start = np.cumsum(self.size) - self.size
+        self.lang = np.concatenate((self.lang, self.model.lang[places]))
+        self.gain = np.concatenate((self.gain, self.model.gain[places] * np.repeat(weight, size).astype(np.float32)))
+        self.orders = np.concatenate((self.orders, orders))
+        self.at.update(zip(tokens, range(len(self.at), len(self.at) + len(tokens)), strict=True))
+
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: the sum of each language, and the number of words."""
         split = [t.split() for t in texts]
         new = list(set().union(*split).difference(self.at))
         self.learn(new)
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        out = np.zeros((len(texts), len(self.langs) + 1))
+        ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        places = _ranges(self.start[ids], self.size[ids])
+        cell = np.repeat(text, self.size[ids]) * len(self.model.langs) + self.lang[places]
+        gains = np.bincount(cell, weights=self.gain[places], minlength=len(texts) * len(self.model.langs)).reshape(len(texts), -1)
+        orders = np.zeros((len(texts), LONGEST_GRAM + 2))
         filled = np.flatnonzero(sizes)
         if len(filled):
-            ids = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-            out[filled] = np.add.reduceat(self.table[ids].astype(np.float64), (np.cumsum(sizes) - sizes)[filled], axis=0)
+            orders[filled] = np.add.reduceat(self.orders[ids], (np.cumsum(sizes) - sizes)[filled], axis=0)
         if len(self.at) > CACHE_ENTRIES or any(len(t) > CACHE_CHARS for t in new):
-            self.at = {}
-        return out
+            self.clear()
+        return gains + orders[:, :-1] @ self.model.floors, orders[:, -1]
 
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:
-        if not self.langs:
+        if not self.model.langs:
             return [("und", 0.0)] * len(texts)
-        total = self.sums(texts)
-        words = total[:, -1:]
-        mean = total[:, :-1] / np.maximum(words, 1) * np.minimum(words, 10) * np.log(10)  # as sure as ten words at most
+        total, words = self.sums(texts)
+        words = words[:, None]
+        mean = total / np.maximum(words, 1) * np.minimum(words, 10) * np.log(10)  # as sure as ten words at most
         best = mean.argmax(axis=1)
         share = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
-        return [(self.langs[i], float(p)) if n else ("und", 0.0) for i, p, n in zip(best, share, words[:, 0], strict=True)]
+        return [(self.model.langs[i], float(p)) if n else ("und", 0.0) for i, p, n in zip(best, share, words[:, 0], strict=True)]
 
 
 _scorers: dict[str, Scorer] = {}
@@ -158,7 +203,7 @@ def scorer(name: str, model: Broadcast) -> Scorer:
     hold("language", _scorers.clear)
     if name not in _scorers:
         _scorers.clear()
-        _scorers[name] = Scorer(*model.value)
+        _scorers[name] = Scorer(model.value)
     return _scorers[name]
 
 
@@ -182,6 +227,7 @@ def in_fold(key: str, parts: int, part: int) -> Column:
 
 def with_language(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """``docs`` with a struct column ``language``: fit on the training rows, judge all."""
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, train, text, lang, key))
     return docs.withColumn("language", identify(F.col(text), model))
 
