@@ -4,12 +4,13 @@ A text's features are indicators of its words, of the 1- to 3-grams of its token
 step that its share of distinct word pairs falls in, hashed to ``BINS``. Each is scaled by the log ratio of its counts in the two classes; a linear hinge-loss
 model is then fitted by dual coordinate descent.
 
-The model is fitted on a bounded sample: the ``SAMPLE_ROWS`` labelled training rows with the
-smallest hashed keys.
+The model is fitted on a bounded sample: of the training labels whose documents exist, the
+``SAMPLE_ROWS`` with the smallest hashed keys, as far as they have ``SAMPLE_BINS`` features in all.
 
 Defined results: null and empty texts have no features and score by the bias alone; without labels
 of both classes every score is 0.5; labels for unknown documents, null labels and labels other than
-0 and 1 are ignored; a document labelled twice counts twice; repeated rows each get their own score.
+0 and 1 are ignored and take no room in the sample; a document labelled twice counts twice; repeated
+rows each get their own score.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ import regex
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.language import in_fold
-from quire.llm.store import table
+from quire.llm.store import bound_batches, keep, table
 from quire.llm.text import chunks, hold
 
-SAMPLE_ROWS, BINS, COST, EPOCHS, ALPHA = 8000, 1 << 18, 1.0, 30, 1.0
+SAMPLE_ROWS, SAMPLE_BINS, BINS, COST, EPOCHS, ALPHA = 8000, 20_000_000, 1 << 18, 1.0, 30, 1.0
 #: Tokens kept by a worker; a longer token than this is not kept.
-CACHE_ENTRIES, CACHE_CHARS = 120_000, 200
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 200
 
 #: Runs of a kind of character, and the sign that stands for them in a shape.
 _RUNS = [(regex.compile(p), r) for p, r in ((r"\p{Lu}+", "A"), (r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}]+", "a"), (r"\p{N}+", "0"), (r"([^Aa0])\1+", r"\1\1"))]
@@ -55,7 +57,7 @@ class Features:
             shape = t
             for run, sign in _RUNS:
                 shape = run.sub(sign, shape)
-            rows.append((_hash(b"w", _STRIP.sub("", t).lower()), _hash(b"s", shape[:16])))
+            rows.append((_hash(b"w", _STRIP.sub("", t).lower()), _hash(b"s", shape)))
         first = len(self.at)
         self.at.update(zip(tokens, range(first, first + len(tokens)), strict=True))
         if first + len(rows) > len(self.pairs):
@@ -129,13 +131,13 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray,
     return w
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights of the bins and the bias, from rows of ``bins array<int>, label int``; at most ``sample_rows`` of them."""
-    got = labelled.select("bins", "label").toPandas()
-    labels = got["label"].to_numpy(int)
+def fit(labelled: DataFrame) -> np.ndarray:
+    """Weights of the bins and the bias, from a bounded sample: rows of ``bins array<int>, label int``."""
+    got = labelled.select("bins", "label").toArrow()
+    labels = got.column("label").to_numpy()
     if len(set(labels)) < 2:
         return np.zeros(BINS + 1)
-    rows = [np.asarray(x, np.int64) for x in got["bins"]]
+    rows = [x.values.to_numpy().astype(np.int64) for x in got.column("bins")]
     counts = [np.bincount(np.concatenate([r for r, l in zip(rows, labels, strict=True) if l == c] or [np.zeros(0, np.int64)]), minlength=BINS) + ALPHA for c in (0, 1)]
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     values = [ratio[r] / max(np.sqrt((ratio[r] ** 2).sum()), 1e-9) for r in rows]
@@ -161,12 +163,22 @@ def judge(text: Column, model: Broadcast) -> Column:
     return scored(text)
 
 
+def sample(docs: DataFrame, labels: DataFrame, train: Column, text: str, key: str, label: str, rows: int, bins: int = SAMPLE_BINS) -> DataFrame:
+    """``bins, label`` of the bounded sample. Keys are chosen before any text is read."""
+    usable = labels.filter(train & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label"))
+    known = usable.join(docs.select(F.col(key).alias("k")), "k", "left_semi")
+    chosen = keep(known.withColumn("h", F.xxhash64("k")).orderBy("h", "k", "label").limit(rows), "chosen")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k")
+    found = keep(texts.select("h", "k", "label", F.xxhash64("t").alias("ht"), features(F.col("t")).alias("bins")), "sampled")
+    order = W.partitionBy(F.lit(0)).orderBy("h", "k", "ht", "label")  # of a bounded number of rows
+    first = found.orderBy("h", "k", "ht", "label").limit(rows)
+    return first.withColumn("all", F.sum(F.size("bins")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter(F.col("all") <= bins).orderBy("h", "k", "ht", "label").select("bins", "label")
+
+
 def with_quality(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with a column ``quality_score``; ``train`` is a condition on the labels' rows."""
-    usable = labels.filter(train & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label"))
-    sample = usable.orderBy(F.xxhash64("k"), "label").limit(sample_rows)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    weights = fit(texts.join(F.broadcast(sample), "k").orderBy(F.xxhash64("k"), F.xxhash64("t"), "label").limit(sample_rows).select(features(F.col("t")).alias("bins"), "label"), sample_rows)
+    bound_batches(docs.sparkSession)
+    weights = fit(sample(docs, labels, train, text, key, label, sample_rows))
     model = docs.sparkSession.sparkContext.broadcast(weights)
     return docs.withColumn("quality_score", judge(F.col(text), model))
 
