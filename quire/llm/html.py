@@ -24,15 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.decontaminate import checked
-from quire.llm.store import keep, table
+from quire.llm.store import bound_batches, keep, table
 from quire.llm.text import chunks, texts_of
 from quire.llm.urls import split_url
 
 #: A path wins with this share of its host's votes.
 LEAST_SHARE = 0.2
 
-#: Elements whose content is no text of the page.
-RAW = "script style noscript template iframe object svg math canvas audio video head title select textarea datalist"
+#: Elements whose content is raw up to their own end tag.
+RAW = "script style iframe title textarea noembed noframes xmp"
+#: Elements that hold no text of the page.
+SILENT = set("noscript template object svg math canvas audio video select datalist head".split())
+#: What a head can hold; any other element ends it. A block inside these others ends them.
+IN_HEAD, BROKEN_OFF = set("head base basefont bgsound link meta noscript template".split()), {"svg", "math", "select"}
 #: Elements that are never part of an article.
 OUTSIDE = set("nav footer aside form menu dialog button fieldset".split())
 ROLES = set("navigation banner contentinfo search complementary dialog alert alertdialog menu menubar form".split())
@@ -43,6 +47,12 @@ NAMES_OUTSIDE = set(
     "popup privacy promo promoted promotion recommended related reply replies respond responses rail search share sharing sidebar signup skip social sponsor sponsored sponsors "
     "subscribe subscription taboola teaser toolbar topbar widget widgets".split()
 )
+#: Words that say nothing beside those.
+NAMES_PLAIN = set(
+    "a an area articles bar block body bottom box btn button buttons center col column container content feed field foot form group head header heading home icon icons id inner input item items "
+    "js large left line link links list logo main media medium menu message mobile module more news nav navigation new outer page panel post posts right row section site small "
+    "stories story sub tab tabs text the title top ui unit view wrap wrapper".split()
+)
 #: Words that name the article itself; they overrule the others.
 NAMES_INSIDE = set("article body content entry main post story text".split())
 #: Elements that end a run of text.
@@ -57,7 +67,7 @@ CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dd", {"dl"}), "dd": ("dt",
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:(?<=/>)|.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z))"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?][^>]*>|<[/!?]?[a-z][^>]*\Z",
     re.S | re.I,
 )
@@ -77,19 +87,29 @@ class Block(NamedTuple):
     linked: int
 
 
-def _names(attrs: dict[str, str]) -> list[str]:
-    return [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()) if x]
+def _names(value: str) -> list[str]:
+    """Words of a class or id."""
+    return [x for x in re.split(r"[\W\d_]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if x]
+
+
+def _all_outside(value: str) -> bool:
+    """Whether a class or id has a word for something outside the article, and no word that says something else."""
+    names = _names(value)
+    return any(x in NAMES_OUTSIDE for x in names) and all(x in NAMES_OUTSIDE or x in NAMES_PLAIN or x in NAMES_INSIDE or len(x) == 1 for x in names)
 
 
 def _outside(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    if tag in OUTSIDE or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+    if tag in OUTSIDE or tag in SILENT or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     if tag == "header":
         return not inside_article
     if tag in ("html", "body", "main", "article"):
         return False
-    names = set(_names(attrs))
-    return bool(names & NAMES_OUTSIDE) and not (names & NAMES_INSIDE and not names & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "menu", "header", "related", "share"})
+    values = [*attrs.get("class", "").split(), attrs.get("id", "")]
+    names = {x for v in values for x in _names(v)}
+    if not names & NAMES_OUTSIDE or (names & NAMES_INSIDE and not names & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "menu", "header", "related", "share"}):
+        return False
+    return any(map(_all_outside, values))
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -137,18 +157,34 @@ def parse(html: str) -> tuple[list[Container], list[Block]]:
             in_link = 0 if m["end"] else 1
         elif tag == "br":
             buffer.append(" ")
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            flush()
+            stack.pop()
         if tag not in BLOCKS:
-            # An inline element can be hidden or an advert too.
-            if m["attrs"] and not m["end"] and tag not in VOID and tag != "a" and re.search(r"class|id|hidden|role|style", m["attrs"]) and not m["attrs"].endswith("/"):
+            # An inline element can be hidden or an advert too; inside one, all are kept track of.
+            hidden = stack[-1][0] not in BLOCKS and len(stack) > 1
+            if m["end"]:
+                if hidden:
+                    flush()
+                    close(tag, BLOCKS)
+            elif tag in VOID or (m["attrs"].endswith("/") and (tag in BROKEN_OFF or any(x[0] in ("svg", "math") for x in stack))):
+                pass
+            elif hidden:
+                stack.append((tag, stack[-1][1], True))
+            elif tag in SILENT or (m["attrs"] and tag != "a" and re.search(r"class|id|hidden|role|style", m["attrs"])):
                 attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m["attrs"])}
                 if _outside(tag, attrs, articles > 0):
                     flush()
                     stack.append((tag, stack[-1][1], True))
-            elif m["end"] and stack[-1][0] == tag:
-                flush()
-                stack.pop()
             continue
         flush()
+        if not m["end"] and tag != "option":
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in BROKEN_OFF:
+                    del stack[i:]
+                    break
+                if stack[i][0] in BLOCKS - {"option"}:
+                    break
         if m["end"]:
             close(tag, {"td", "th", "table"} - {tag} if tag != "body" and tag != "html" else frozenset())
             continue
@@ -260,6 +296,7 @@ def winning_paths(pages: DataFrame, html: str = "html", url: str = "url", least_
 
 def with_main_text(pages: DataFrame, html: str = "html", url: str = "url", out: str = "main_text") -> DataFrame:
     """``pages`` with the main text in column ``out``."""
+    bound_batches(pages.sparkSession)
     winners = keep(winning_paths(pages, html, url).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")), "winning_paths")
     hosted = pages.withColumn("__host", split_url(pages[url])[0])
     return hosted.join(checked(winners), "__host", "left").withColumn(out, extracted(F.col(html), F.col("__paths"))).drop("__host", "__paths")
