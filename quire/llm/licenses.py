@@ -11,6 +11,7 @@ each get their own result; texts are scanned whole, whatever their length.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from typing import NamedTuple
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.store import table
+from quire.llm.store import bound_batches, table
 from quire.llm.text import LOWER, LOWER_WORDS, chunks
 
 #: Phrase: label.
@@ -90,6 +91,52 @@ FAMILIES = [
     ("mulan-psl-2.0", "mulan", rf"(?:the )?mulan (?:psl|permissive software license){_V}2(?:\.0)?"),
     ("openrail-m", "openrail", r"(?:the )?(?:creativeml )?openrail(?:[-+]+m)?"),
     ("proprietary", "proprietary", r"(?:a |the )?proprietary"),
+    ("apsl-2.0", "apple public", rf"(?:the )?apple public source license(?:{_V}2(?:\.0)?)?"),
+    ("blueoak-1.0.0", "blue oak", rf"(?:the )?blue oak model license(?:{_V}1(?:\.0){{0,2}})?"),
+    ("cpal-1.0", "common public attribution", rf"(?:the )?common public attribution license(?:{_V}1(?:\.0)?)?"),
+    ("cpl-1.0", "common public license", rf"(?:the )?common public license(?:{_V}1(?:\.0)?)?"),
+    ("ecl-2.0", "educational community", rf"(?:the )?educational community license(?:{_V}2(?:\.0)?)?"),
+    ("efl-2.0", "eiffel forum", rf"(?:the )?eiffel forum license(?:{_V}2)?"),
+    ("elastic-2.0", "elastic license", rf"(?:the )?elastic license(?:{_V}2(?:\.0)?)?"),
+    ("etalab-2.0", "etalab", r"(?:the )?etalab open(?: license)?(?: 2\.0)?"),
+    ("ftl", "freetype", r"(?:the )?freetype(?: project)?"),
+    ("hpnd", "historical permission", r"(?:the )?historical permission notice and disclaimer"),
+    ("ijg", "independent jpeg", r"(?:the )?independent jpeg group"),
+    ("imagemagick", "imagemagick", r"(?:the )?imagemagick"),
+    ("ipl-1.0", "ibm public", rf"(?:the )?ibm public license(?:{_V}1(?:\.0)?)?"),
+    ("json", "json", r"(?:the )?json"),
+    ("lppl-1.3c", "latex project", rf"(?:the )?latex project public license(?:{_V}1\.3c?)?"),
+    ("lppl-1.3c", "lppl", rf"(?:the )?lppl(?:{_V}1\.3c?)?"),
+    ("miros", "miros", r"(?:the )?miros"),
+    ("ms-lpl", "microsoft limited", r"(?:the )?microsoft limited public license"),
+    ("nasa-1.3", "nasa", rf"(?:the )?nasa open source agreement(?:{_V}1\.3)?"),
+    ("npl-1.1", "netscape", rf"(?:the )?netscape public license(?:{_V}1\.[01])?"),
+    ("oclc-2.0", "oclc", rf"(?:the )?oclc research public license(?:{_V}2(?:\.0)?)?"),
+    ("oldap-2.8", "openldap", rf"(?:the )?openldap public license(?:{_V}2\.8)?"),
+    ("opl-1.0", "open publication", rf"(?:the )?open publication license(?:{_V}1(?:\.0)?)?"),
+    ("php-3.0", "php", rf"(?:the )?php license{_V}3\.0(?!1)"),
+    ("polyform-nc-1.0.0", "polyform", r"(?:the )?polyform noncommercial(?: license)?(?: 1\.0\.0)?"),
+    ("qpl-1.0", "q public", rf"(?:the )?q public license(?:{_V}1(?:\.0)?)?"),
+    ("rpl-1.5", "reciprocal public", rf"(?:the )?reciprocal public license(?:{_V}1\.5)?"),
+    ("sgi-b-2.0", "sgi free", rf"(?:the )?sgi free software license b(?:{_V}2(?:\.0)?)?"),
+    ("sissl", "sun industry", r"(?:the )?sun industry standards source license"),
+    ("sleepycat", "sleepycat", r"(?:the )?sleepycat"),
+    ("spl-1.0", "sun public", rf"(?:the )?sun public license(?:{_V}1(?:\.0)?)?"),
+    ("sspl-1.0", "server side public", rf"(?:the )?server side public license(?:{_V}1)?"),
+    ("sspl-1.0", "sspl", rf"(?:the )?sspl(?:{_V}1)?"),
+    ("tcl", "tcl", r"(?:the )?tcl/tk"),
+    ("vim", "vim", r"(?:the )?vim"),
+    ("vsl-1.0", "vovida", rf"(?:the )?vovida software license(?:{_V}1(?:\.0)?)?"),
+    ("w3c", "w3c", r"(?:the )?w3c(?: software(?: and document)?)?"),
+    ("watcom-1.0", "watcom", rf"(?:the )?sybase open watcom public license(?:{_V}1(?:\.0)?)?"),
+    ("zend-2.0", "zend", rf"(?:the )?zend(?: engine)? license{_V}2(?:\.0)?"),
+    ("zpl-2.1", "zope", rf"(?:the )?zope public license{_V}2\.1"),
+    ("zpl-2.0", "zope", rf"(?:the )?zope public license{_V}2\.0"),
+    ("commons-clause", "commons clause", r"(?:the )?commons clause"),
+    ("ogl-3.0", "open government", rf"(?:the )?open government licen[cs]e(?:{_V}3(?:\.0)?)?"),
+    ("cdla-permissive-2.0", "community data", r"(?:the )?community data license agreement"),
+    ("gust-font", "gust font", r"(?:the )?gust font"),
+    ("bitstream-vera", "bitstream vera", r"(?:the )?bitstream vera"),
 ]
 #: The Creative Commons terms; each comes in the versions 1.0 to 4.0.
 CC_TERMS = {"by": "attribution", "by-sa": "attribution-sharealike", "by-nc": "attribution-noncommercial", "by-nd": "attribution-noderiv(?:ative)?s", "by-nc-sa": "attribution-noncommercial-sharealike", "by-nc-nd": "attribution-noncommercial-noderiv(?:ative)?s"}
@@ -112,6 +159,43 @@ SENTENCES = [
     ("wtfpl", "do what the fuck", r"do what the fuck you want to"),
     ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
     ("all-rights-reserved", "all rights reserved", r"all rights reserved"),
+    ("mit", "the software is provided", r"the software is provided [\"']?as is[\"']?, without warranty of any kind"),
+    ("mit", "substantial portions", r"shall be included in all copies or substantial portions of the software"),
+    ("bsd", "in binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "of source code must retain", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software"),
+    ("apache-2.0", "limitations under the license", r"see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", "distributed on an", r"distributed on an [\"']?as is[\"']? basis, without warranties or conditions of any kind"),
+    ("apache-1.1", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project"),
+    ("gpl", "received a copy of the gnu", r"you should have received a copy of the gnu general public license"),
+    ("lgpl", "received a copy of the gnu", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl-3.0", "received a copy of the gnu", r"you should have received a copy of the gnu affero general public license"),
+    ("gpl", "implied warranty of", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "can redistribute it", r"free software[;:,]? you can redistribute it and/?(?:or)? modify it"),
+    ("gfdl", "copy, distribute and", r"permission is granted to copy, distribute and/?(?:or)? modify this document"),
+    ("cc0-1.0", "waived all copyright", r"has waived all copyright and related or neighboring rights"),
+    ("epl-1.0", "eclipse.org/legal/epl-v10", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", "eclipse.org/legal/epl-2.0", r"eclipse\.org/legal/epl-2\.0"),
+    ("bsl-1.0", "boost.org", r"boost\.org/license_1_0"),
+    ("isc", "opensource.org/licenses", r"opensource\.org/licen[cs]es/isc"),
+    ("mit", "opensource.org/licenses", r"opensource\.org/licen[cs]es/mit"),
+    ("bsd-3-clause", "opensource.org/licenses", r"opensource\.org/licen[cs]es/bsd-3-clause"),
+    ("bsd-2-clause", "opensource.org/licenses", r"opensource\.org/licen[cs]es/bsd-2-clause"),
+    ("ofl-1.1", "scripts.sil.org", r"scripts\.sil\.org/ofl"),
+    ("unlicense", "unlicense.org", r"unlicense\.org"),
+    ("wtfpl", "wtfpl.net", r"wtfpl\.net"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("json", "for good, not evil", r"the software shall be used for good, not evil"),
+    ("beerware", "beer in return", r"you can buy me a beer in return"),
+    ("curl", "copyright holder shall not be used in advertising", r"the name of a copyright holder shall not be used in advertising"),
+    ("ncsa", "contributors may be used", r"nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("proprietary", "confidential and proprietary", r"(?:strictly )?confidential and proprietary"),
+    ("proprietary", "unauthorized copying", r"unauthori[sz]ed (?:copying|reproduction|distribution|use)[^.]{0,60}? is (?:strictly )?prohibited"),
+    ("proprietary", "end user license", r"end[- ]user licen[cs]e agreement"),
+    ("non-commercial", "non commercial", r"for non[- ]commercial (?:use|purposes) only"),
+    ("non-commercial", "noncommercial", r"for noncommercial (?:use|purposes) only"),
+    ("no-derivatives", "no derivative", r"no derivative works(?: are)? (?:allowed|permitted)"),
 ]
 #: Wordings around a name: what they are called, priority (lower first), confidence, and the regex.
 FORMS = [
@@ -176,18 +260,25 @@ class Scanner:
         hits = [(r, m.start(), m.end()) for i in sorted(i for ids in gate.values() for i in ids) for r, p in [self.rules[i]] for m in p.finditer(flat)]
         hits.sort(key=lambda h: (h[0].priority, h[1] - h[2], h[1], h[0].name))
         taken: list[tuple[Rule, int, int]] = []
+        starts: list[int] = []  # of the spans taken that lie in no other one: both ends ascend
+        stops: list[int] = []
         for r, a, b in hits:
-            if not any(x <= a and b <= y for _, x, y in taken):
-                taken.append((r, a, b))
+            at = bisect.bisect_right(starts, a)
+            if at and stops[at - 1] >= b:
+                continue
+            taken.append((r, a, b))
+            first, last = bisect.bisect_left(starts, a), bisect.bisect_right(stops, b)
+            starts[first : max(first, last)], stops[first : max(first, last)] = [a], [b]
         return sorted(taken, key=lambda h: (h[1], h[2]))
 
     def base(self, words: bytes) -> list[tuple[str, int]]:
         """Labels and word numbers of the base phrases in space-joined words with a space at both ends."""
         out = []
         for phrase, label in self.phrases:
-            at = words.find(b" " + phrase + b" ")
+            number, seen, at = 0, 0, words.find(b" " + phrase + b" ")
             while at >= 0:
-                out.append((label, words.count(b" ", 0, at)))
+                number, seen = number + words.count(b" ", seen, at), at
+                out.append((label, number))
                 at = words.find(b" " + phrase + b" ", at + 1)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
@@ -228,6 +319,7 @@ def scan(text: Column, phrases: dict[str, str] = BASE_PHRASES) -> Column:
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Counts, first and last base places, labels and confidence per row."""
+    bound_batches(docs.sparkSession)
     found = docs.select(F.col(key), scan(F.col(text)).alias("s")).select(key, "s.n_words", "s.base", "s.detections")
     base_labels, words = F.col("base.label"), F.col("base.word")
     confidence = F.coalesce(F.array_max("detections.confidence"), F.lit(0.0))
