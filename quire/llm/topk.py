@@ -50,8 +50,9 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _net(x: np.ndarray, points: np.ndarray, reach: float) -> list[np.ndarray]:
     """Groups of points within ``reach`` of their first one; the first ones lie further apart than that."""
-    groups, chunk = [], 256
-    x = x - x[points[0]]  # distances among near points keep their digits
+    groups, chunk, all_ = [], 256, points
+    x = x[points] - x[points[0]]  # distances among near points keep their digits
+    points = np.arange(len(points))
     while len(points):
         front = points[:chunk]
         near = _distance(x[front], x[front]) <= reach
@@ -69,7 +70,7 @@ def _net(x: np.ndarray, points: np.ndarray, reach: float) -> list[np.ndarray]:
         for h in range(len(heads)):
             members = points[order[cut[h] : cut[h + 1]]]
             head = front[heads[h]]
-            groups.append(np.concatenate(([head], members[members != head])))
+            groups.append(all_[np.concatenate(([head], members[members != head]))])
         points = points[np.sort(order[: cut[0]])]
     return groups
 
