@@ -1,7 +1,8 @@
 """Greedy left folds over the elements of a row's array.
 
 Flags of each element are computed once, natively; the fold itself carries only small values and
-returns the places where a new group starts, so its cost is linear and no text is copied in it.
+returns the places where a new group starts. These are carried in runs of ``RUN``, so that no long
+list is copied for each of its elements, and no text is copied at all.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 
+#: Starts in a run.
+RUN = 64
+
+
 def elements(texts: Column, **more: Callable[[Column, Column], Column]) -> Column:
     """Array of structs with each text's ``t, len, strong, standalone, colon, space`` and ``more``.
 
@@ -34,14 +39,17 @@ def starts(items: Column, init: dict[str, Column], new: Callable[[Column, Column
 
     ``new(state, x)`` decides; ``step(state, x, is_new)`` gives the next state. The first element always starts.
     """
-    zero = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("at"), *(c.alias(k) for k, c in init.items()))
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("i"), none.alias("at"), F.array().cast("array<array<int>>").alias("before"), *(c.alias(k) for k, c in init.items()))
 
     def merge(s: Column, x: Column) -> Column:
         is_new = (s.i == 0) | new(s, x)
-        at = F.when(is_new, F.array_append(s["at"], s.i + 1)).otherwise(s["at"])
-        return F.struct((s.i + 1).alias("i"), at.alias("at"), *(c.alias(k) for k, c in step(s, x, is_new).items()))
+        full = is_new & (F.size(s["at"]) >= RUN)
+        at = F.when(full, F.array(s.i + 1)).when(is_new, F.array_append(s["at"], s.i + 1)).otherwise(s["at"])
+        before = F.when(full, F.array_append(s["before"], s["at"])).otherwise(s["before"])
+        return F.struct((s.i + 1).alias("i"), at.alias("at"), before.alias("before"), *(c.alias(k) for k, c in step(s, x, is_new).items()))
 
-    return F.aggregate(items, zero, merge)["at"]
+    return F.aggregate(items, zero, merge, lambda s: F.concat(F.flatten(s["before"]), s["at"]))
 
 
 def groups(items: Column, at: Column) -> Column:

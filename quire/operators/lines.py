@@ -57,7 +57,9 @@ def drop_repeated_lines(lines: DataFrame, key: str = "doc_id", scope: str = "doc
     else:
         keyed = ranked.withColumn("line_key", T.line_key(F.col("line")))
         often = keyed.filter("line_key <> ''").select(key, "line_key").distinct().groupBy("line_key").count().filter(F.col("count") >= min_count).select("line_key", F.lit(True).alias("often"))
-        flagged = keyed.join(often, "line_key", "left").withColumn("repeated", F.coalesce("often", F.lit(False)) & (F.length(T.normalize_whitespace(F.col("line"))) <= max_len))
+        # Lines without a key are the commonest of all: a random number keeps them from meeting in one task.
+        spread = F.when(F.col("line_key") == "", F.concat(F.lit("\0"), F.rand(7).cast("string"))).otherwise(F.col("line_key"))
+        flagged = keyed.withColumn("__spread", spread).join(often.withColumnRenamed("line_key", "__spread"), "__spread", "left").withColumn("repeated", F.coalesce("often", F.lit(False)) & (F.length(T.normalize_whitespace(F.col("line"))) <= max_len))
     return flagged.filter(~F.col("repeated") & ~is_noise(F.col("line"), F.col("near_edge"))).select(*lines.columns)
 
 

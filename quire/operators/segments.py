@@ -15,7 +15,7 @@ from quire.operators import folds
 from quire.operators.lines import wrapped
 
 # They must equal the source application's for equal results.
-ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|Mt|Nos|No|Figs|Fig|Eqs|Eq|Dept|Univ|Inc|Ltd|Corp|Co|vs|etc|MD|PhD"
+ABBREVIATIONS = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|Mt|No|Nos|Fig|Figs|Eq|Eqs|Dept|Univ|Inc|Ltd|Co|Corp|vs|etc|MD|PhD"
 NUMBERED = "ID|No|Ref|MRN|DOB|Tel|Fax|Vol"
 MIN_PARAGRAPH, IDEAL_PARAGRAPH, MAX_PARAGRAPH, SHORT_FRAGMENT, SHORT_SENTENCE = 56, 148, 250, 34, 16
 UNIT_IDEAL, UNIT_MAX, STICKY_CHARS, QUICK_POINTS = 240, 360, 20, 5

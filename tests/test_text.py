@@ -1,4 +1,4 @@
-"""Cases of the source application's own tests, on tiny frames."""
+"""Cases of each rule, on tiny frames."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,24 +15,24 @@ def one(spark, text, f):
 @pytest.mark.parametrize(
     ("f", "text", "want"),
     [
-        (T.clean_display_text, "研究表明[12]，全球气温上升趋势明显（3），详见附录¹。", "研究表明，全球气温上升趋势明显，详见附录。"),
-        (T.clean_display_text, "持 续 买 入 ，基 于 百 年 金 融 数 据 。", "持续买入，基于百年金融数据。"),
-        (T.strip_intra_cjk_space, "使用 Windows 声线 朗读 效果", "使用 Windows 声线朗读效果"),
-        (T.normalize_readable, "第一章　总则　与　范围", "第一章总则与范围"),
-        (T.has_strong_ending, "他说完了。", True),
-        (T.has_strong_ending, "他还没说完", False),
-        (T.has_strong_ending, "“结束了。”", True),
-        (T.is_major_title, "第十二章 起航", True),
-        (T.is_major_title, "Chapter 3", True),
-        (T.is_major_title, "随便的一句话", False),
+        (T.clean_display_text, "据统计[7]，河水流量逐年减少（4），数据见表格²。", "据统计，河水流量逐年减少，数据见表格。"),
+        (T.clean_display_text, "慢 慢 走 路 ，看 看 路 边 的 野 花 。", "慢慢走路，看看路边的野花。"),
+        (T.strip_intra_cjk_space, "打开 Spark 任务 查看 日志", "打开 Spark 任务查看日志"),
+        (T.normalize_readable, "第七章　河流　和　山谷", "第七章河流和山谷"),
+        (T.has_strong_ending, "雨停了。", True),
+        (T.has_strong_ending, "雨还没有停", False),
+        (T.has_strong_ending, "“走吧。”", True),
+        (T.is_major_title, "第八章 渡口", True),
+        (T.is_major_title, "Chapter 9", True),
+        (T.is_major_title, "桌上有一杯茶", False),
         (T.is_generic_title, "正文", False),
-        (T.is_generic_title, "Chapter 12 The Storm", True),
-        (T.detect_lang, "今天天气很好，我们去公园。", "zh-CN"),
-        (T.detect_lang, "The weather is nice today.", "en-US"),
-        (T.detect_lang, "今日はとても良い天気です。", "ja-JP"),
-        (T.count_meaningful, "你好 hello 123 ——！", 10),
-        (T.preview, "短句。", "短句。"),
-        (T.line_key, "晨光文摘 第12/13/14期 月刊合订本", "晨光文摘第###期月刊合订本"),
+        (T.is_generic_title, "Chapter 5 A Long Road", True),
+        (T.detect_lang, "山上的雪还没有化，路很滑。", "zh-CN"),
+        (T.detect_lang, "A heron stood by the old mill.", "en-US"),
+        (T.detect_lang, "駅前の本屋で地図を買いました。", "ja-JP"),
+        (T.count_meaningful, "茶杯 cup 42 ……？", 7),
+        (T.preview, "就这样。", "就这样。"),
+        (T.line_key, "河岸通讯 第31/32/33号 双月合刊", "河岸通讯第###号双月合刊"),
     ],
 )
 def test_functions(spark, f, text, want):
@@ -40,16 +40,16 @@ def test_functions(spark, f, text, want):
 
 
 def test_speech_text(spark):
-    got = one(spark, "他翻开《百年孤独》——那本旧书（第3页），轻声读了起来……", T.sanitize_for_speech)
-    assert "百年孤独" in got and not set("《》—（）") & set(got)
+    got = one(spark, "她合上《河边旧事》——借来的册子（第9页），慢慢想了一会儿……", T.sanitize_for_speech)
+    assert "河边旧事" in got and not set("《》—（）") & set(got)
 
 
 @pytest.mark.parametrize(
     ("text", "n"),
     [
-        ("今天下雨了。明天晴。我们出门。", 1),
-        ("Dr. Smith finished the report at 3.14 pm. He went home afterwards and slept deeply.", 1),
-        ("那座城市在漫长的雨季里总是显得格外安静，仿佛所有的声音都被湿润的空气吸走了一样，只剩下街道和行人。人们撑着伞匆匆走过，没有谁愿意停下脚步，去看一看那些被雨水打湿的旧墙和窗台上的花。后来的很多年里，他总是会想起那个下午，想起那些模糊的面孔和远处传来的钟声，以及自己的沉默。", 3),
+        ("门开了。没有人。风很大。", 1),
+        ("Prof. Lind weighed the stone at 2.75 kg. It went back into the river that evening without a sound.", 1),
+        ("山脚下的村子只有一条石板路，路的两边种着桂花树，每到九月整个村子都是甜的，连井水里也有香味。老人们坐在门口剥豆子，说的都是几十年前的事情，谁家盖了房子，谁家的牛走丢了又自己回来。等到天黑的时候，灯一盏一盏地亮起来，远远看去就像一串落在山谷里的星星，过路的人总要停下来看一看。", 3),
     ],
 )
 def test_sentences(spark, text, n):
@@ -58,15 +58,15 @@ def test_sentences(spark, text, n):
 
 
 def test_paragraphs(spark):
-    text = "The keeper climbed the narrow\nstairway before dawn and checked\nthe great lamp once more.\n\n灯塔的守望者在黎明之前走上了狭窄的楼梯，仔细地检查了那盏巨大的灯，然后坐在窗边，静静地看着海面上渐渐亮起来的第一道光，心里想着许多年前的那场风暴。"
+    text = "A miller walked along the frozen\ncanal at dusk and counted\nthe boats that lay there.\n\n渡船的老人在天亮之前解开了缆绳，仔细地看了看水面上的薄雾，然后慢慢地把船撑到对岸，等着第一个赶集的人从山路上走下来，心里盘算着今年的收成和孩子们回家的日子。"
     got = G.split_paragraphs(spark.createDataFrame([(1, text)], "id int, text string"), "id").first().paragraphs
-    assert len(got) == 2 and "stairway before dawn and checked the great lamp" in got[0]
+    assert len(got) == 2 and "canal at dusk and counted the boats" in got[0]
 
 
 def test_repeated_lines(spark):
-    text = "第一行正文内容在这里。\n晨光文摘 第12/13/14期 月刊合订本\n第二行正文内容也在这里。\n晨光文摘 第15/16/17期 月刊合订本"
+    text = "上游的水位比去年低。\n河岸通讯 第31/32/33号 双月合刊\n下游的桥下个月修好。\n河岸通讯 第34/35/36号 双月合刊"
     lines = L.explode_lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))
-    assert [r.line for r in L.drop_repeated_lines(lines).orderBy("line_no").collect()] == ["第一行正文内容在这里。", "第二行正文内容也在这里。"]
+    assert [r.line for r in L.drop_repeated_lines(lines).orderBy("line_no").collect()] == ["上游的水位比去年低。", "下游的桥下个月修好。"]
 
 
 def test_idempotence(spark):
