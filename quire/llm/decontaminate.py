@@ -48,8 +48,9 @@ def lowered(word: Column) -> Column:
     return F.when(word == F.lower(word), word).otherwise(F.translate(word, _UPPER, _LOWER))
 
 
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``rows`` rows."""
+def checked(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows, ``BROADCAST_ROWS`` unless given."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -88,7 +89,8 @@ def anchors(index: Index, window: int = WINDOW) -> DataFrame:
 
 def candidates(index: Index, rarest: DataFrame) -> DataFrame:
     """Alignments of items with documents at the rarest terms: item word 0 would stand at ``at``."""
-    return index.postings.join(checked(rarest), F.col("term") == F.col("term1")).select(*DOC, "item", "n", (F.col("pos") - F.col("o1")).alias("at"), "o2", "term2")
+    terms = checked(rarest.select(F.col("term1").alias("term")).distinct())  # far fewer, so postings of other terms are left where they are
+    return index.postings.join(terms, "term", "left_semi").join(checked(rarest), F.col("term") == F.col("term1")).select(*DOC, "item", "n", (F.col("pos") - F.col("o1")).alias("at"), "o2", "term2")
 
 
 def phrase_matches(index: Index, window: int = WINDOW) -> DataFrame:
@@ -116,7 +118,8 @@ def proximity_matches(index: Index, slop: int, window: int = WINDOW) -> DataFram
     windows = keep(windows.withColumn("rare", rare).filter(F.col("rare").c > 0), "windows")
     starts = index.postings.join(checked(windows), F.col("term") == F.col("rare.term")).select(*DOC, "item", "id", "first", (F.col("pos") - F.col("rare.o")).alias("at"), "w")
     probes = starts.select(*DOC, "item", "id", "first", "at", F.size("w").alias("need"), F.explode("w").alias("x")).select("*", "x.o", "x.term")
-    hits = probes.join(index.postings.select(*DOC, "term", "pos"), [*DOC, "term"]).filter(F.abs(F.col("pos") - F.col("at") - F.col("o")) <= slop)
+    off = F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("off")  # places are looked up one by one, not all of a word's in a document
+    hits = probes.select("*", off).withColumn("pos", F.col("at") + F.col("o") + F.col("off")).join(index.postings.select(*DOC, "term", "pos"), [*DOC, "term", "pos"])
     return hits.groupBy(*DOC, "item", "id", "first", "at", "need").agg(F.count_distinct("o").alias("got")).filter("got = need").select(*DOC, "item", "id", "first", "at")
 
 

@@ -193,6 +193,23 @@ def test_estimate_is_close():
         assert abs(neardup.estimate(*(neardup.folded(neardup.registers(np.unique(x)))[None] for x in (a, b)), [n], [n])[0] - truth) < 0.12
 
 
+@pytest.mark.parametrize("n", [5, 9, 18, 45, 130, 500, 2000])
+def test_spread_of_the_estimate(n):
+    """Pairs at a similarity of 0.8 (two thirds for five shingles) stay within the slack, by more than a deviation."""
+    rng = np.random.default_rng(n)
+    common = math.ceil(2 * n * 0.8 / 1.8) if n > 5 else 4
+    rows = []
+    for _ in range(100):
+        a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        b = np.concatenate((a[:common], rng.integers(0, 1 << 62, n - common).astype(np.uint64)))
+        rows.append([neardup.folded(neardup.registers(np.unique(x))) for x in (a, b)])
+    left, right = (np.array(x) for x in zip(*rows, strict=True))
+    percent = 100 * common // (2 * n - common)
+    assert neardup.possible(left, right, np.full(100, float(n)), np.full(100, float(n)), percent).all()
+    spread = neardup.estimate(left, right, np.full(100, n), np.full(100, n)).std()
+    assert spread < np.sqrt(0.16 / neardup.REGISTERS) * (1 + 1.5 / np.sqrt(n)) * 1.2
+
+
 def test_component_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 150), (150, 300), (7, 7)]
     got = dict(map(tuple, neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -207,7 +224,9 @@ def _windows(t, n=10):
     return w, [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
     rng = random.Random(4)
     words = ["the", "a", "of", *(f"w{i}" for i in range(40)), "É", "é", "x1"]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))

@@ -40,3 +40,15 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = keep(stage(spark, docs, SMALL), "empty")
     assert docs.count() == 0
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    """Whatever the order of rows, the same text of an id with several stays, and its group has one document."""
+    rows = [(1, "one two three four five six"), (1, "another text that has words of its own"), (2, "one two three four five six"), (3, "quite alone with its words here"), (None, "one two three four five six"), (3, "quite alone with its words here")]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").withColumn("__row", F.lit(1)).drop("__row")
+        out = corpus_pipeline.one_of_each_group(spark, docs, SMALL).collect()
+        assert sorted((r.doc_id or 0) for r in out) == [0, 1, 3]
+        seen.add(frozenset((r.doc_id, r.text) for r in out))
+    assert len(seen) == 1
