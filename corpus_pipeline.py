@@ -5,8 +5,8 @@ out, another document of its near-duplicate group that stays, words of a benchma
 encodes what is left.
 
 Every stage takes whole texts of all rows that its predecessor kept. Null and empty texts pass the
-quality stage by their score and go in the language stage; rows that share a ``doc_id`` count as one
-document from the near-duplicate stage on; rows without ``doc_id`` are never duplicates; extra columns
+quality stage by their score and go in the language stage; rows that share a ``doc_id`` are one
+document for the near-duplicate stage, which keeps the one with the smallest hash; rows without ``doc_id`` are never duplicates; extra columns
 pass through up to the last stage.
 """
 
@@ -36,12 +36,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group: five-word shingles, similarity 0.8."""
+    """The document with the smallest id of every near-duplicate group: five-word shingles, similarity 0.8.
+
+    Of several rows of one id, whatever their texts, the one with the smallest hash stays.
+    """
     kept = keep(neardup.with_components(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count(), "kept")
-    stay = docs.join(neardup.checked(kept.select("doc_id")), "doc_id", "left_semi")
-    repeated = neardup.checked(kept.filter("count > 1").select("doc_id"))
-    once = stay.join(repeated, "doc_id", "left_anti").unionByName(stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return once.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    stay = docs.join(decontaminate.checked(kept.select("doc_id")), "doc_id", "left_semi")
+    repeated = decontaminate.checked(kept.filter("count > 1").select("doc_id"))
+    rows = stay.join(repeated, "doc_id", "left_semi").withColumn("__row", F.xxhash64(*docs.columns))
+    first = decontaminate.checked(keep(rows.groupBy("doc_id").agg(F.min("__row").alias("__row")), "first"))
+    one = rows.join(first, ["doc_id", "__row"], "left_semi").dropDuplicates(["doc_id", "__row"])
+    return stay.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
