@@ -42,7 +42,7 @@ DEPTH = 3
 LEAST_CONTEXT, LEAST_NEXT = 4, 2
 #: Least divergence from the suffix's distribution times the context's count, in nats; and the discount.
 LEAST_DIVERGENCE, DISCOUNT = 20.0, 0.75
-#: Characters of a chunk, n-grams that are counted at a time, and bits of a hash that a bitmap and the slots of common entries tell apart.
+#: Characters of a chunk, n-grams that are counted at a time, and most bits of a hash that a bitmap and the slots of common entries tell apart.
 CHUNK_CHARS, RUN_GRAMS, BITMAP_BITS, HEAD_BITS = 1_000_000, 1_000_000, 27, 20
 
 #: The end token: no word is empty.
@@ -117,11 +117,17 @@ def word_counts(chunked: DataFrame) -> DataFrame:
     return chunked.select("train", "sizes", "words", "codes").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
+def _bits(keys: DataFrame, spare: int, least: int, most: int) -> int:
+    """Bits that tell this many keys apart, and ``spare`` more, within bounds."""
+    return min(most, max(least, keys.count().bit_length() + spare))
+
+
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the lowest ``BITMAP_BITS`` bits of every ``key``, in bytes."""
-    place = F.col("key").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    """Bits of the lowest bits of every ``key``, in bytes."""
+    size = 1 << _bits(keys, 4, 15, BITMAP_BITS)
+    place = F.col("key").bitwiseAND(F.lit(size - 1))
     rows = keys.groupBy(F.shiftright(place, 15).alias("page")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")).collect()
-    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:
         out[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
     return out
@@ -129,7 +135,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
 def possible(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each of ``keys`` may be in a bitmap."""
-    place = keys & np.uint64((1 << BITMAP_BITS) - 1)
+    place = keys & np.uint64(8 * len(bits) - 1)
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
@@ -203,7 +209,9 @@ def fit(chunked: DataFrame, depth: int = DEPTH) -> Tree:
         bits = [bitmap(x.toDF("key", "_")) for x in (candidates, suffixes)]
         if not bits[0].any():
             break
-        counted = keep(gram_counts(chunked, sc.broadcast(bits), length).filter(F.col("c") >= LEAST_NEXT), f"counted_{length}")
+        shared = sc.broadcast(bits)
+        counted = keep(gram_counts(chunked, shared, length).filter(F.col("c") >= LEAST_NEXT), f"counted_{length}")
+        shared.destroy()
         pairs = keep(counted.join(checked(candidates), "ctx").join(checked(suffixes), "suf").withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
         weights = keep(pairs.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("backoff"), F.max("n").alias("n")), f"weights_{length}")
         p = F.col("share") + F.col("backoff") * F.col("below")
@@ -245,11 +253,12 @@ class Known(NamedTuple):
 
 def common(entries: DataFrame) -> Known:
     """The commonest of the ``entries`` that fall in each slot."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << HEAD_BITS) - 1))
+    size = 1 << _bits(entries, 0, 4, HEAD_BITS)
+    slot = F.col("key").bitwiseAND(F.lit(size - 1))
     rows = entries.groupBy(slot.alias("slot")).agg(F.max(F.struct("weight", "key", "c", "next", "backoff")).alias("e")).select("slot", "e.key", "e.c", "e.next", "e.backoff").toArrow()
     at = rows.column("slot").to_numpy()
-    out = Known(np.zeros(1 << HEAD_BITS, np.uint64), np.zeros(1 << HEAD_BITS, np.int64), *(np.full(1 << HEAD_BITS, np.nan, np.float32) for _ in "nb"))
-    out.keys[:] = ~np.arange(1 << HEAD_BITS, dtype=np.uint64)  # an empty slot has a key of another slot
+    # An empty slot has a key of another slot.
+    out = Known(~np.arange(size, dtype=np.uint64), np.zeros(size, np.int64), *(np.full(size, np.nan, np.float32) for _ in "nb"))
     out.keys[at] = rows.column("key").to_numpy().view(np.uint64)
     for name in ("c", "next", "backoff"):
         getattr(out, name)[at] = rows.column(name).to_numpy()
