@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import reading as R
@@ -55,3 +58,58 @@ def clip_stats(clips: DataFrame) -> DataFrame:
     """``clip_id, rms, seconds`` of ``clip_id, sample_rate, samples``."""
     energy = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return clips.select("clip_id", F.sqrt(energy / F.greatest(F.size("samples"), F.lit(1))).alias("rms"), (F.size("samples") / F.col("sample_rate")).alias("seconds"))
+
+
+# Frame, hop, searched frequencies, least correlation and loudness of the source application's estimate.
+FRAME, HOP, LOWEST_HZ, HIGHEST_HZ, LEAST_CORRELATION, GATE = 0.04, 0.02, 80, 400, 0.5, 0.2
+
+
+def _pitch(samples: np.ndarray, rate: int) -> tuple[float, float]:
+    """Median pitch of the voiced frames, and their share."""
+    frame, hop, shortest, longest = int(rate * FRAME), max(1, int(rate * HOP)), max(1, rate // HIGHEST_HZ), rate // LOWEST_HZ
+    starts = np.arange(0, max(0, len(samples) - frame - longest), hop)
+    if not len(starts) or not frame:
+        return 0.0, 0.0
+    gate, found = max(1e-5, GATE * np.sqrt(np.mean(samples * samples))), []
+    for at in starts:
+        part = samples[at : at + frame + longest]
+        part = part - part[:frame].mean()
+        energy = part[:frame] @ part[:frame]
+        if np.sqrt(energy / frame) < gate:
+            continue
+        windows = np.lib.stride_tricks.sliding_window_view(part, frame)[shortest : longest + 1]
+        r = windows @ part[:frame] / np.sqrt(energy * (windows * windows).sum(axis=1) + 1e-12)
+        if r.max() > LEAST_CORRELATION:
+            found.append(rate / (shortest + int(r.argmax())))
+    return (sorted(found)[len(found) // 2] if found else 0.0), len(found) / len(starts)
+
+
+def pitch(clips: DataFrame) -> DataFrame:
+    """``clip_id, pitch, voiced`` of ``clip_id, sample_rate, samples``: normalised cross-correlation of frames; 0 where no frame is voiced."""
+
+    @F.arrow_udf("pitch double, voiced double")
+    def estimated(rate: pa.Array, samples: pa.Array) -> pa.Array:
+        both = [_pitch(np.array(s if s is not None else [], np.float64), r or 0) for r, s in zip(rate.to_pylist(), (x.values.to_numpy() if x.is_valid else None for x in samples), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in both], pa.float64()) for i in (0, 1)], ["pitch", "voiced"])
+
+    return clips.select("clip_id", estimated(F.col("sample_rate"), F.col("samples")).alias("p")).select("clip_id", "p.pitch", "p.voiced")
+
+
+#: Least loudness, the pitch that parts low from high voices, and how many of each.
+LEAST_RMS, HIGH_HZ, SPEAKERS = 0.01, 165, 2
+
+
+def pick_speakers(rows: DataFrame, *keys: str, order: str = "sid") -> DataFrame:
+    """``keys, id, sid``: of each group of ``keys, sid, pitch, rms`` the two lowest and two highest voices; without any pitch four evenly spaced ones."""
+    loud = rows.filter(F.col("rms") >= LEAST_RMS)
+    group = W.partitionBy(*keys, "__high")
+    pitched = loud.filter("pitch > 0").withColumn("__high", F.col("pitch") >= HIGH_HZ)
+    up = F.row_number().over(group.orderBy("pitch", order))
+    down = F.row_number().over(group.orderBy(F.desc("pitch"), F.desc(order)))
+    ranked = pitched.withColumn("__n", F.when(F.col("__high"), down).otherwise(up)).filter(F.col("__n") <= SPEAKERS)
+    chosen = ranked.select(*keys, F.concat(F.when(F.col("__high"), "female-").otherwise("male-"), F.col("__n").cast("string")).alias("id"), order)
+    numbered = loud.join(pitched.select(*keys).distinct(), list(keys), "left_anti").withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).withColumn("__of", F.count("*").over(W.partitionBy(*keys)))
+    n = F.col("__of")
+    places = F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(n / 3), F.floor(n * 2 / 3), n - 1))
+    spaced = numbered.withColumn("__p", F.array_position(places, F.col("__i").cast("long"))).filter("__p > 0")
+    return chosen.unionByName(spaced.select(*keys, F.concat(F.lit("voice-"), F.col("__p").cast("string")).alias("id"), order))

@@ -233,3 +233,50 @@ def active_toc_title(spine: DataFrame, markers: DataFrame, key: str = "doc_id")
     last = markers.groupBy(key, "spine_index").agg(F.max_by("title", "entry_no").alias("__t"))
     line = W.partitionBy(key).orderBy("spine_index").rowsBetween(W.unboundedPreceding, 0)
     return spine.join(last, [key, "spine_index"], "left").withColumn("toc_title", F.last("__t", ignorenulls=True).over(line)).drop("__t")
+
+
+def merge_spine_sections(spine: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, section_no, title, text, source_hint`` from spine items ``key, spine_index, title, toc_title, text``.
+
+    A new entry of the table of contents, a new title, a length or a number of items starts a section. An
+    item without any title is called by the sections before it, and so is not looked for in its text.
+    """
+    real = lambda c: F.when(T.js_trim(F.col(c)) != "", F.col(c))
+    named = spine.withColumn("__title", T.clean_heading(F.coalesce(real("toc_title"), real("title"))))
+    named = named.withColumn("text", strip_leading_heading(T.normalize_whitespace(F.coalesce("text", F.lit(""))), F.coalesce("__title", F.lit("")))).filter("text <> ''")
+    ends = T.has_strong_ending(F.col("text")) | T.is_short_heading(F.element_at(F.split("text", "\n"), -1))
+    item = F.struct("spine_index", F.col("__title").alias("title"), "text", F.length("text").alias("len"), T.section_key(F.coalesce("toc_title", F.lit(""))).alias("toc"), T.section_key(F.col("__title")).alias("called"), ends.alias("ends"), T.is_heading_line(F.substring_index("text", "\n", 1)).alias("starts"))
+    books = named.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__s"))
+    before = F.concat(F.array(F.lit("")), F.slice(F.transform("__s", lambda x: x.text), 1, F.greatest(F.size("__s") - 1, F.lit(0))))
+    books = books.withColumn("__items", F.zip_with("__s", before, lambda x, b: F.struct(x.alias("p"), F.when(T.needs_space(b, x.text), " ").otherwise("").alias("blank"))))
+
+    def untitled(number: Column) -> Column:
+        return F.concat(F.lit("章节 "), number.cast("string"))
+
+    def name(s: Column, x: Column) -> Column:
+        return F.coalesce(x.p.called, F.concat(F.lit("章节"), F.greatest(s.groups, F.lit(1)).cast("string")))
+
+    def new(s: Column, x: Column) -> Column:
+        other = F.when(x.p.toc != "", (x.p.toc != s.toc) & (s.len >= SPINE_TOC_CHARS)).otherwise((name(s, x) != "") & (name(s, x) != s.called) & (s.len >= SPINE_TITLE_CHARS))
+        return other | (s.len >= SPINE_HARD_CHARS) | (s.items >= SPINE_ITEMS)
+
+    def step(s: Column, x: Column, is_new: Column) -> dict[str, Column]:
+        grown = s.len + F.when(s.ends | x.p.starts, 2).otherwise(F.length(x.blank)) + x.p.len
+        takes = is_new | s.nameless
+        first = lambda own, old: F.when(is_new | (s.nameless & (own != "")), own).otherwise(old)
+        return {"groups": s.groups + is_new.cast("int"), "len": F.when(is_new, x.p.len).otherwise(grown), "items": F.when(is_new, 1).otherwise(s["items"] + 1), "toc": F.when(is_new, x.p.toc).otherwise(first(x.p.toc, s.toc)), "called": F.when(is_new, name(s, x)).otherwise(first(name(s, x), s.called)), "ends": x.p.ends, "nameless": F.when(takes, x.p.title.isNull() | x.p.title.startswith("章节 ")).otherwise(F.lit(False))}
+
+    init = {"groups": F.lit(0), "len": F.lit(0), "items": F.lit(0), "toc": F.lit(""), "called": F.lit(""), "ends": F.lit(False), "nameless": F.lit(False)}
+    books = books.withColumn("__at", folds.starts(F.col("__items"), init, new, step))
+
+    def section(g: Column, i: Column) -> Column:
+        zero = F.struct(F.lit("").alias("t"), F.lit(False).alias("end"))
+        text = F.aggregate(g, zero, lambda s, x: F.struct(F.when(s.t == "", x.p.text).when(s.end | x.p.starts, F.concat(s.t, F.lit("\n\n"), x.p.text)).otherwise(F.concat(s.t, x.blank, x.p.text)).alias("t"), x.p.ends.alias("end"))).t
+        titled = F.filter(F.transform(g, lambda x: x.p.title), lambda t: t.isNotNull() & ~t.startswith("章节 "))
+        a, b = F.get(g, F.lit(0)).p.spine_index.cast("string"), F.element_at(g, -1).p.spine_index.cast("string")
+        hint = F.concat(F.lit("EPUB spine "), a, F.when(a == b, "").otherwise(F.concat(F.lit(" - "), b)))
+        placeholder = F.coalesce(F.element_at(F.transform(g, lambda x: x.p.title), -1), untitled(F.when(F.size(g) > 1, i + 1).otherwise(F.greatest(i, F.lit(1)))))
+        return F.struct(F.coalesce(F.get(titled, F.lit(0)), placeholder).alias("title"), T.js_trim(text).alias("text"), hint.alias("source_hint"))
+
+    made = books.withColumn("__groups", folds.groups(F.col("__items"), F.col("__at"))).withColumn("__sections", F.transform("__groups", section))
+    return G.exploded(made, "__sections", "n", "s", key).select(key, (F.col("n") + 1).alias("section_no"), "s.*")

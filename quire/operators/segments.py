@@ -189,3 +189,9 @@ def audio_frames(clips: DataFrame, frame: float = 0.04, hop: float = 0.02) -> Da
     last = F.size("samples") - size
     places = F.when(last >= 0, F.sequence(F.lit(0), last, step)).otherwise(F.array().cast("array<int>"))
     return clips.select("clip_id", "sample_rate", "samples", size.alias("n"), F.posexplode(places).alias("frame_no", "at")).select("clip_id", "sample_rate", "frame_no", F.slice("samples", F.col("at") + 1, F.col("n")).alias("frame"))
+
+
+def unit_of_sentence(units: DataFrame, sentences: DataFrame, *keys: str) -> DataFrame:
+    """``sentences`` (keys, sentence_no) with ``unit_no``: the first unit (keys, unit_no, first, size) that holds each, or null."""
+    members = units.select(*keys, "unit_no", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("sentence_no"))
+    return sentences.join(members.groupBy(*keys, "sentence_no").agg(F.min("unit_no").alias("unit_no")), [*keys, "sentence_no"], "left")

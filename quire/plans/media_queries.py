@@ -52,3 +52,24 @@ def items(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
     rows = rows.select("l_orderkey", F.col("l_linenumber").alias("item_no"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "章").otherwise("")).alias("str"), (F.col("l_partkey") % 50).cast("double").alias("x"), F.col("l_quantity").cast("double").alias("y"))
     return M.items_to_lines(rows, "l_orderkey")
+
+
+@query("f11_pitch")
+def pitch(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.lit(800).alias("sample_rate"), F.col("embedding").alias("samples"))
+    return M.pitch(rows)
+
+
+@query(
+    "g12_speakers",
+    """WITH r AS (SELECT vec_id % 20 AS pack, vec_id AS sid, CASE WHEN vec_id % 20 < 3 THEN 0.0 ELSE floor(abs(CAST(embedding[1] AS DOUBLE)) * 1000) END AS pitch, abs(CAST(embedding[2] AS DOUBLE)) AS rms FROM embeddings),
+l AS (SELECT * FROM r WHERE rms >= 0.01),
+p AS (SELECT pack, sid, pitch >= 165 AS high, CASE WHEN pitch >= 165 THEN row_number() OVER (PARTITION BY pack, pitch >= 165 ORDER BY pitch DESC, sid DESC) ELSE row_number() OVER (PARTITION BY pack, pitch >= 165 ORDER BY pitch, sid) END AS n FROM l WHERE pitch > 0),
+s AS (SELECT pack, sid, row_number() OVER (PARTITION BY pack ORDER BY sid) - 1 AS i, count(*) OVER (PARTITION BY pack) AS m FROM l WHERE pack NOT IN (SELECT pack FROM p)),
+q AS (SELECT pack, sid, CASE WHEN i = 0 THEN 1 WHEN i = m // 3 THEN 2 WHEN i = m * 2 // 3 THEN 3 WHEN i = m - 1 THEN 4 END AS n FROM s)
+SELECT pack, CASE WHEN high THEN 'female-' ELSE 'male-' END || n AS id, sid FROM p WHERE n <= 2 UNION ALL SELECT pack, 'voice-' || n, sid FROM q WHERE n IS NOT NULL""",
+)
+def speakers(spark, sf_dir):
+    pitch = F.when(F.col("vec_id") % 20 < 3, 0.0).otherwise(F.floor(F.abs(F.col("embedding")[0].cast("double")) * 1000).cast("double"))
+    rows = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 20).alias("pack"), F.col("vec_id").alias("sid"), pitch.alias("pitch"), F.abs(F.col("embedding")[1].cast("double")).alias("rms"))
+    return M.pick_speakers(rows, "pack")

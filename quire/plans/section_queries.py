@@ -128,3 +128,31 @@ def toc(spark, sf_dir):
 def by_pages(spark, sf_dir):
     pages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), "text", (F.col("role") == "assistant").alias("ocr_used"))
     return X.split_sections_by_pages(pages)
+
+
+@query("d13_repaired")
+def repaired(spark, sf_dir):
+    from quire.operators.repair import repair_line_breaks
+
+    return repair_line_breaks(read(spark, sf_dir, "documents", "doc_id", "text").dropDuplicates(["doc_id"]))
+
+
+@query("d15_d17_c03_c05_normalized")
+def normalized(spark, sf_dir):
+    """Every conversation as a book, a turn as a raw section."""
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    raw = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("section_no"), F.concat(F.lit("Chapter "), F.col("turn").cast("string"), F.lit(" "), F.col("role")).alias("title"), "text", F.col("role").alias("source_hint"))
+    return X.normalize_sections(raw)
+
+
+@query("d19_merged_spine")
+def merged_spine(spark, sf_dir):
+    """Every host as a book, its pages in order as spine items."""
+    from pyspark.sql import Window as W
+
+    from quire.functions import reading as R
+
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("doc_id", F.regexp_extract("url", "://([^/?#]*)", 1))
+    order = F.row_number().over(W.partitionBy("doc_id").orderBy("page_id")) - 1
+    spine = pages.select("doc_id", order.alias("spine_index"), F.regexp_extract("url", "([^/?#]*)[?#]*$", 1).alias("title"), F.regexp_extract("url", "://[^/]*/([^/?#]*)/", 1).alias("toc_title"), R.html_to_text(F.col("html")).alias("text"))
+    return X.merge_spine_sections(spine)
