@@ -7,11 +7,14 @@ follow JavaScript's wider set, and word boundaries are ASCII's.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # They must equal the source application's for equal results.
 WS = "[\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = "一-龥"
 CHAPTER_UNITS = "[章节卷部篇回]"
 CHAPTER_NUMBERS = "[一二三四五六七八九十百千万0-9]"
@@ -22,6 +25,7 @@ CAPITAL_HEADING = rf"^[A-Z](?:[A-Z:&/-]|{WS}){{3,}}\z"
 MAJOR_TITLE = rf"(?i)^(?:chapter|part|section){WS}+[0-9]+|^第[{CJK}0-9零一二三四五六七八九十百千万两〇]+{CHAPTER_UNITS}"
 REFERENCE_HEADING = r"(?i)^(?:参考文献|references|bibliography)\z"
 REFERENCE_SECTION = rf"(?is)(?:^|\n){WS}*(?:参考文献|references|bibliography){WS}*(?:\n|\z).*\z"
+STRONG_CHARS, CLOSERS = "。！？!?…", "\"”’')]"
 STRONG_END = r"[。！？!?…][\"”’')\]]*\z"
 STRONG_END_DOT = r"[。！？!?….][\"”’')\]]*\z"
 HARD_BREAK_LIST = rf"^(?:[-*•●▪◦]|(?:[0-9]+|[A-Za-z])[.)、]){WS}+"
@@ -52,16 +56,23 @@ def chain(c: Column, steps: list[tuple[str, str]]) -> Column:
     return c
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is computed once: plain expressions are computed again wherever they stand behind a condition."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
-    return chain(c, TRIM)
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def normalize_line_breaks(c: Column) -> Column:
-    return chain(c, LINE_BREAKS)
+    for pattern, to in LINE_BREAKS:
+        c = F.replace(c, F.lit(pattern), F.lit(to))
+    return c
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return chain(c, [*WHITESPACE, *TRIM])
+    return js_trim(chain(normalize_line_breaks(c), WHITESPACE[len(LINE_BREAKS) :]))
 
 
 #: A blank between two of these carries no meaning.
@@ -73,7 +84,7 @@ def strip_intra_cjk_space(c: Column) -> Column:
 
 
 def normalize_readable(c: Column) -> Column:
-    return js_trim(strip_intra_cjk_space(chain(c, READABLE)))
+    return js_trim(strip_intra_cjk_space(chain(normalize_line_breaks(c), READABLE[len(LINE_BREAKS) :])))
 
 
 _NUMBERS = r"[0-9]{1,3}(?:\s*[-,–]\s*[0-9]{1,3})*"
@@ -151,14 +162,20 @@ def detect_lang(c: Column, default: str = "zh-CN", english: str = "en-US", chine
 
 
 def has_strong_ending(c: Column, dot_is_strong: bool = False) -> Column:
-    return js_trim(c).rlike(STRONG_END_DOT if dot_is_strong else STRONG_END)
+    last = F.right(F.rtrim(js_trim(c), F.lit(CLOSERS)), F.lit(1))
+    return last.isin(*(STRONG_CHARS + "." if dot_is_strong else STRONG_CHARS))
 
 
 SPACE_LEFT = r"[A-Za-z0-9](?:[.!?;:,][\"”’')\]]*)?\z"
 
 
 def needs_space(left: Column, right: Column) -> Column:
-    return js_trim(right).rlike("^[A-Za-z0-9]") & js_trim(left).rlike(SPACE_LEFT)
+    def ends(t: Column) -> Column:
+        bare = F.rtrim(t, F.lit(CLOSERS))
+        alnum = lambda at: F.substring(bare, at, 1).rlike("[A-Za-z0-9]")
+        return ((bare == t) & alnum(-1)) | (F.right(bare, F.lit(1)).isin(*".!?;:,") & (F.length(bare) > 1) & alnum(-2))
+
+    return F.left(js_trim(right), F.lit(1)).rlike("[A-Za-z0-9]") & ends(js_trim(left))
 
 
 def join_text(left: Column, right: Column) -> Column:

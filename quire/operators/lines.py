@@ -27,11 +27,13 @@ def edge_rank(lines: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def is_noise(line: Column, near_edge: Column) -> Column:
     """Rule lines, page numbers, tiny codes, scraps at page edges, mostly symbols. Empty lines are not noise."""
-    t = T.normalize_whitespace(line)
-    meaningful = T.count_meaningful(t)
-    scrap = near_edge & (F.length(t) <= 8) & (meaningful <= 4)
-    symbols = (T.symbol_ratio(t) > 0.5) & (meaningful <= 6)
-    return (t != "") & (t.rlike(T.NOISE_LINE) | scrap | symbols)
+
+    def noise(x: Column) -> Column:
+        scrap = near_edge & (F.length(x.t) <= 8) & (x.meaningful <= 4)
+        symbols = (x.meaningful <= 6) & (T.symbol_ratio(x.t) > 0.5)
+        return (x.t != "") & (x.t.rlike(T.NOISE_LINE) | scrap | symbols)
+
+    return T.let(T.normalize_whitespace(line), lambda t: T.let(F.struct(t.alias("t"), T.count_meaningful(t).alias("meaningful")), noise))
 
 
 def drop_noise_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -126,27 +128,33 @@ MIN_TEXT_CHARS = 36
 
 def low_quality(c: Column) -> Column:
     """Whether page text is empty, wrongly decoded, mostly symbols or in scraps."""
-    t = T.normalize_whitespace(c)
-    compact = F.regexp_replace(t, T.WS, "")
-    lines = _lines_of(c)
-    size = F.greatest(F.size(lines), F.lit(1))
-    tiny = F.size(F.filter(lines, lambda x: T.count_meaningful(x) <= 2)) / size
-    average = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x)) / size
-    share = T.count_meaningful(t) / F.greatest(F.length(compact), F.lit(1))
-    return (
-        (t == "")
-        | t.rlike(MOJIBAKE)
-        | ((F.length(compact) >= 30) & (share < 0.45))
-        | (T.symbol_ratio(t, "page") > 0.32)
-        | ((F.size(lines) >= 8) & (tiny > 0.45))
-        | ((F.size(lines) >= 12) & (average < 5))
-    )
+
+    def judged(t: Column) -> Column:
+        lines = _lines_of(c)
+        stats = F.struct(t.alias("t"), F.length(F.regexp_replace(t, T.WS, "")).alias("compact"), T.count_meaningful(t).alias("meaningful"), F.size(lines).alias("lines"), lines.alias("all"))
+        return T.let(stats, poor)
+
+    def poor(x: Column) -> Column:
+        tiny = F.size(F.filter(x["all"], lambda y: T.count_meaningful(y) <= 2)) / F.greatest(x.lines, F.lit(1))
+        average = F.aggregate(x["all"], F.lit(0), lambda a, y: a + F.length(y)) / F.greatest(x.lines, F.lit(1))
+        return (
+            (x.t == "")
+            | ((x.compact >= 30) & (x.meaningful / F.greatest(x.compact, F.lit(1)) < 0.45))
+            | ((x.lines >= 12) & (average < 5))
+            | ((x.lines >= 8) & (tiny > 0.45))
+            | x.t.rlike(MOJIBAKE)
+            | (T.symbol_ratio(x.t, "page") > 0.32)
+        )
+
+    return T.let(T.normalize_whitespace(c), judged)
 
 
-def needs_ocr(c: Column, mode: str = "auto", min_chars: int = MIN_TEXT_CHARS) -> Column:
+def needs_ocr(c: Column, mode: str = "auto", min_chars: int = MIN_TEXT_CHARS, low: Column | None = None) -> Column:
+    """Whether a page is to be recognised; ``low`` is its ``low_quality`` if that is known already."""
     if mode in ("off", "always"):
         return F.lit(mode == "always")
-    return (T.count_meaningful(F.coalesce(c, F.lit(""))) < min_chars) | low_quality(F.coalesce(c, F.lit("")))
+    text = F.coalesce(c, F.lit(""))
+    return (T.count_meaningful(text) < min_chars) | (low_quality(text) if low is None else low)
 
 
 def non_empty(df: DataFrame, column: str) -> DataFrame:

@@ -232,7 +232,8 @@ _LOW = f"""({S.whitespace('text')} = '' OR {S.has(S.whitespace('text'), L.MOJIBA
 @query("c07_c08_text_quality", f"SELECT doc_id, {_LOW} AS low_quality, {S.meaningful('text')} < {L.MIN_TEXT_CHARS} OR {_LOW} AS needs_ocr FROM documents")
 def text_quality(spark, sf_dir):
     c = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", L.low_quality(c).alias("low_quality"), L.needs_ocr(c).alias("needs_ocr"))
+    judged = read(spark, sf_dir, "documents").select("doc_id", "text", L.low_quality(c).alias("low_quality"))
+    return judged.select("doc_id", "low_quality", L.needs_ocr(c, low=F.col("low_quality")).alias("needs_ocr"))
 
 
 @query("c12_f07_rejoined", f"WITH {S.LINES} SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text FROM ln WHERE {S.trim('line')} <> '' GROUP BY 1")

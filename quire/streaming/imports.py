@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,32 +22,51 @@ def windowed_counts(df: DataFrame, window: str, slide: str | None = None, by: st
     return held.groupBy(*keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *([by] if by else []), "n")
 
 
-def release_in_order(pages: DataFrame, min_pages: int = P.MIN_PAGES, min_remaining: int = P.MIN_REMAINING, min_chars: int = P.MIN_CHARS, batch: int = P.BATCH_PAGES) -> DataFrame:
-    """Pages (``doc_id, page_number, total, text``) released without gaps, each with the batch that publishes it.
+def release_in_order(pages: DataFrame, min_pages: int = P.MIN_PAGES, min_remaining: int = P.MIN_REMAINING, min_chars: int = P.MIN_CHARS, after_ms: int = P.AFTER_MS, force_pages: int = P.FORCE_PAGES, batch: int = P.BATCH_PAGES, timeout_ms: int | None = None) -> DataFrame:
+    """Pages (``doc_id, page_number, total, text, ts``) released without gaps, each with the batch that publishes it.
 
-    State per document: the pages that wait for an earlier one, the next page, the characters so far,
-    and the page of the first publication. What waits is bounded by the document's pages.
+    The first publication waits for pages, characters, what remains, and for ``after_ms`` of event time unless
+    the document has ``force_pages``. A document ends with its last page: a row without page says ``empty`` if
+    there was no text in it. With ``timeout_ms`` a document of which nothing has come for so long ends too:
+    what waits behind a gap is released in order, and a row without page says ``gap``. An ended document has
+    no state; what was released before stays.
+
+    State per document: the pages that wait for an earlier one, the next page, the characters so far, the
+    page of the first publication, and the time of the first page. What waits is bounded by the document's pages.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, next_page, chars, first, pending = state.get if state.exists else ("", 1, 0, 0, "")
-        held = pd.read_json(pd.io.common.StringIO(waiting), orient="records", dtype=False) if waiting else None
-        rows = pd.concat([x for x in (held, *batches) if x is not None and len(x)]).sort_values("page_number").drop_duplicates("page_number")
-        rows = rows[rows["page_number"] >= next_page]
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.page_number != next_page:
-                break
-            chars, next_page = chars + len(r.text or ""), next_page + 1
-            if not first and r.page_number >= min_pages and r.total - r.page_number >= min_remaining and chars >= min_chars:
-                first = int(r.page_number)
-            number = 0 if not first or r.page_number <= first else (r.page_number - first - 1) // batch + 1
-            out.append((key[0], int(r.page_number), r.text, int(number)))
-        rest = rows[rows["page_number"] >= next_page]
-        state.update((rest[["doc_id", "page_number", "total", "text"]].to_json(orient="records") if len(rest) else "", int(next_page), int(chars), int(first), pending))
-        yield pd.DataFrame(out, columns=["doc_id", "page_number", "text", "batch_no"])
-
-    return pages.select("doc_id", "page_number", "total", "text").groupBy("doc_id").applyInPandasWithState(step, "doc_id string, page_number int, text string, batch_no int", "waiting string, next_page int, chars long, first int, pending string", "append", GroupStateTimeout.NoTimeout)
+        waiting, next_page, chars, first, began = state.get if state.exists else ("[]", 1, 0, 0, 0)
+        held = {r["page_number"]: r for r in json.loads(waiting)}
+        for rows in batches:
+            for r in zip(*(rows[c].tolist() for c in ("page_number", "total", "text", "ms")), strict=True):
+                if r[0] >= next_page:
+                    held.setdefault(r[0], dict(zip(("page_number", "total", "text", "ms"), r, strict=True)))
+        out, ended = [], False
+        while held and (next_page in held or state.hasTimedOut):
+            r = held.pop(min(held))
+            chars, next_page, began = chars + len(r["text"] or ""), r["page_number"] + 1, began or r["ms"]
+            late = r["total"] >= force_pages or r["ms"] - began >= after_ms
+            if not first and late and r["page_number"] >= min_pages and r["total"] - r["page_number"] >= min_remaining and chars >= min_chars:
+                first = r["page_number"]
+            number = 0 if not first or r["page_number"] <= first else (r["page_number"] - first - 1) // batch + 1
+            out.append((key[0], r["page_number"], r["text"], number, None))
+            ended = r["page_number"] >= r["total"]
+        if ended and not chars:
+            out.append((key[0], None, None, None, "empty"))
+        if state.hasTimedOut and not ended:
+            out.append((key[0], None, None, None, "gap"))
+        if ended or state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((json.dumps(list(held.values())), next_page, chars, first, began))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame(out, columns=["doc_id", "page_number", "text", "batch_no", "error"]).astype({"page_number": "Int32", "batch_no": "Int32"})
+
+    timed = pages.select("doc_id", "page_number", "total", "text", F.unix_millis("ts").alias("ms"))
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return timed.groupBy("doc_id").applyInPandasWithState(step, "doc_id string, page_number int, text string, batch_no int, error string", "waiting string, next_page int, chars long, first int, began long", "append", timeout)
 
 
 def ewma_stream(events: DataFrame, alpha: float = LEARNING) -> DataFrame:

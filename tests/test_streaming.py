@@ -1,5 +1,7 @@
 """Streams against their batch twins."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from quire.operators import pages as P
 from quire.operators import progress as G
 from quire.streaming import imports as I
 
-PAGES = "doc_id string, page_number int, total int, text string"
+PAGES = "doc_id string, page_number int, total int, text string, ts timestamp"
 
 
 def run(spark, frame, tmp_path, mode="append"):
@@ -16,19 +18,48 @@ def run(spark, frame, tmp_path, mode="append"):
     return spark.table(name)
 
 
+def _stream(spark, tmp_path, *parts):
+    """A stream of pages (doc_id, page_number, total, text), each part a micro-batch, a page for each second."""
+    for i, rows in enumerate(parts):
+        frame = spark.createDataFrame([(*r, f"2024-01-01 00:{r[1] // 60:02}:{r[1] % 60:02}") for r in rows], PAGES.replace("timestamp", "string"))
+        frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+
+
 def test_release_in_order_equals_batch(spark, tmp_path):
-    rows = [(d, n, 30, "x" * 150) for d in ("a", "b") for n in range(1, 31) if (d, n) != ("b", 12)]
-    pages = spark.createDataFrame(rows, PAGES)
-    # Odd pages arrive first.
-    pages.filter("page_number % 2 = 1").coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
-    pages.filter("page_number % 2 = 0").coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
-    stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    got = {(r.doc_id, r.page_number, r.batch_no) for r in run(spark, I.release_in_order(stream), tmp_path).collect()}
+    rows = [(d, n, 30, "x" * 350) for d in ("a", "b") for n in range(1, 31) if (d, n) != ("b", 12)]
+    odd = lambda wanted: [r for r in rows if r[1] % 2 == wanted]  # noqa: E731  odd pages arrive first
+    got = {(r.doc_id, r.page_number, r.batch_no) for r in run(spark, I.release_in_order(_stream(spark, tmp_path, odd(1), odd(0))), tmp_path).collect()}
+    pages = spark.createDataFrame([(*r, None) for r in rows], PAGES)
     batch = P.publish_batches(P.contiguous_prefix(pages, "doc_id"), "doc_id", min_remaining=-100).filter("doc_id = 'a'")
     assert {x for x in got if x[0] == "a"} == {(r.doc_id, r.page_number, r.batch_no) for r in batch.collect()}
     assert {n for d, n, _ in got if d == "b"} == set(range(1, 12))
 
 
+def test_first_publication_waits_for_time(spark, tmp_path):
+    rows = [("a", n, 30, "x" * 1000) for n in range(1, 31)] + [("l", n, 60, "x" * 1000) for n in range(1, 61)]
+    got = {(r.doc_id, r.page_number): r.batch_no for r in run(spark, I.release_in_order(_stream(spark, tmp_path, rows), after_ms=9000), tmp_path).collect()}
+    assert got[("a", 10)] == 0 and got[("a", 11)] == 1 and got[("l", 6)] == 0 and got[("l", 7)] == 1
+
+
+def test_documents_end(spark, tmp_path):
+    """An empty one says so; one with a gap is flushed when nothing more comes; what was released stays."""
+    first = [("e", 1, 2, ""), ("e", 2, 2, None), ("g", 1, 4, "one"), ("g", 3, 4, "three"), ("f", 1, 1, "x")]
+    later = [("z", n, 9, "z") for n in (1,)]
+    stream = I.release_in_order(_stream(spark, tmp_path, first, later, [("z", 2, 9, "z")]), timeout_ms=1)
+    query = stream.writeStream.format("memory").queryName("ends").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:  # a stream with such a time-out looks for it again and again
+        for _ in range(80):
+            got = [(r.doc_id, r.page_number, r.error) for r in spark.table("ends").collect()]
+            if ("g", None, "gap") in got:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert sorted((d, n) for d, n, _ in got if d in "egf" and n) == [("e", 1), ("e", 2), ("f", 1), ("g", 1), ("g", 3)]
+    assert {(d, x) for d, _, x in got if x and d != "z"} == {("e", "empty"), ("g", "gap")}
+
+
 def test_ewma_equals_batch(spark, tmp_path):
     rows = [(k, i, float(v)) for k in "xy" for i, v in enumerate([50, 100, 80, 60])]
     events = spark.createDataFrame(rows, "key string, ts int, ms_per_char double")
