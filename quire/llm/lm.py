@@ -215,6 +215,7 @@ def fit(chunked: DataFrame, depth: int = DEPTH) -> Tree:
         pairs = keep(counted.join(checked(candidates), "ctx").join(checked(suffixes), "suf").withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
         weights = keep(pairs.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("backoff"), F.max("n").alias("n")), f"weights_{length}")
         p = F.col("share") + F.col("backoff") * F.col("below")
+        discard(counted)
         grams = keep(pairs.join(checked(weights.drop("n")), "ctx").select("key", "ctx", "suf", "c", "below", p.alias("p")), f"grams_{length}")
         gain = grams.groupBy("ctx").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))).alias("gain"), F.sum("c").alias("seen"), F.sum("below").alias("below"))
         rest, other = F.greatest(1 - F.col("seen") / F.col("n"), F.lit(0.0)), F.greatest(1 - F.col("below"), F.lit(1e-9))
@@ -222,7 +223,7 @@ def fit(chunked: DataFrame, depth: int = DEPTH) -> Tree:
         contexts = keep(weights.join(gain, "ctx").select("ctx", "n", "backoff", (divergence >= LEAST_DIVERGENCE).alias("own")), f"contexts_{length}")
         found.append((grams, contexts))
         shorter = grams.select("key", "c", "p")
-        discard(counted, pairs, weights)
+        discard(pairs, weights)
     # A suffix of a retained context is retained.
     levels: list[Level] = []
     for length, (grams, contexts) in reversed(list(enumerate(found, 1))):

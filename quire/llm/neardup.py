@@ -246,10 +246,14 @@ def star_pairs(level: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def crowded(dealt: DataFrame, name: str) -> DataFrame:
-    """``dealt`` (bucket, band, id, s) with the number of rows of each bucket, for the buckets of more than one."""
-    counts = keep(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}_counts")
-    return keep(dealt.join(checked(counts), "bucket").distinct(), name)
+def crowded(dealt: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` of the buckets with two rows of ``dealt`` (bucket, band, id, s), and the rows of the larger ones with their number ``n``.
+
+    Most buckets that are shared hold two rows, and their counting says which: only larger ones are looked for again.
+    """
+    counts = keep(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).filter("n > 1"), f"{name}_counts")
+    large = counts.filter("n > 2").select("bucket", "n")
+    return counts.filter("n = 2 AND a <> b").select("a", "b"), keep(dealt.join(checked(large), "bucket").distinct(), name)
 
 
 def deal_again(large: DataFrame, signed: DataFrame) -> DataFrame:
@@ -275,7 +279,7 @@ def linked_components(single: DataFrame, signed: DataFrame, docs: DataFrame, edg
     hashes = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(_band(F.col("registers"), i), i))
     dealt = single.select("id", F.col("n_shingles").alias("s"), F.posexplode(hashes).alias("band", "bucket"))
     folded_of = signed.filter("n_shingles > 0").select("id", F.col("n_shingles").alias("s"), "folded")
-    level = crowded(dealt, "members")
+    twos, level = crowded(dealt, "members")
     labels, tested = components(edges), None
 
     def joined(labels: DataFrame, near: DataFrame) -> DataFrame:
@@ -286,7 +290,8 @@ def linked_components(single: DataFrame, signed: DataFrame, docs: DataFrame, edg
         return labels if near.isEmpty() else components(labels.toDF("a", "b").unionByName(verified(near, docs, size, percent)))
 
     for depth in range(DEEPEST + 1):
-        labels = joined(labels, estimated(star_pairs(level, percent), folded_of, percent))
+        pairs = star_pairs(level, percent).unionByName(twos.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+        labels = joined(labels, estimated(pairs, folded_of, percent))
         unsettled = unsettled_buckets(level, labels)
         large = (F.col("n") > FEW) & F.lit(depth < DEEPEST)  # what is together in so many bands is compared in full
         few = unsettled.filter(~large)
@@ -296,7 +301,7 @@ def linked_components(single: DataFrame, signed: DataFrame, docs: DataFrame, edg
             labels = joined(labels, near_in_buckets(few.join(some, ["id", "s"]), percent))
         if unsettled.filter(large).isEmpty():
             break
-        level = crowded(deal_again(unsettled.filter(large), signed), "members")
+        twos, level = crowded(deal_again(unsettled.filter(large), signed), "members")
     return labels
 
 
