@@ -15,10 +15,10 @@ from quire.operators import pages as P
 from quire.operators.progress import LEARNING
 
 
-def windowed_counts(df: DataFrame, window: str, slide: str | None = None, by: str | None = None, watermark: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """``start[, by], n``: events per window of event time; late events beyond the watermark are dropped when ``df`` is a stream."""
+def windowed_counts(df: DataFrame, window: str, slide: str | None = None, by: str | None = None, watermark: str = "10 minutes", ts: str = "ts", session: bool = False) -> DataFrame:
+    """``start[, by], n``: events per window of event time, or per session that a gap of ``window`` ends; late events beyond the watermark are dropped when ``df`` is a stream."""
     held = df.withWatermark(ts, watermark) if df.isStreaming else df
-    keys = [F.window(ts, window, slide or window).alias("w"), *([by] if by else [])]
+    keys = [(F.session_window(ts, window) if session else F.window(ts, window, slide or window)).alias("w"), *([by] if by else [])]
     return held.groupBy(*keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *([by] if by else []), "n")
 
 

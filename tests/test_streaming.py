@@ -83,3 +83,10 @@ def test_progress_upserts(spark, tmp_path):
     stream = spark.readStream.schema("book_id string, section_index int, updated_at int, seq int").parquet(str(tmp_path / "in"))
     I.upsert_progress(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {(r.book_id, r.section_index) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", 3), ("b", 9)}
+
+
+def test_sessions(spark):
+    rows = [("a", f"2024-01-01 00:00:{s:02d}") for s in (0, 5, 9, 40, 41)] + [("b", "2024-01-01 00:00:07")]
+    events = spark.createDataFrame(rows, "k string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((r.k, r.start.second, r.n) for r in I.windowed_counts(events, "10 seconds", by="k", session=True).collect())
+    assert got == [("a", 0, 3), ("a", 40, 2), ("b", 7, 1)]
