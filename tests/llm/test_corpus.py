@@ -126,8 +126,7 @@ def _near_rows():
     return rows
 
 
-@pytest.mark.parametrize("size", [4, 5])
-def test_components_equal_brute_force(spark, size):
+def test_components_equal_brute_force(spark, size=5):
     rows = _near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit(1)).withColumn("label", F.lit("l"))
     got = neardup.with_components(df, size=size).collect()
