@@ -29,7 +29,7 @@ from quire.llm.store import bound_batches, table
 from quire.llm.text import chunks, give_back, hold
 
 #: Distinct matches kept by a worker, and the longest match that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 
 
 def byte_characters() -> list[str]:

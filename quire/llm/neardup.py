@@ -33,7 +33,7 @@ from quire.llm.store import bound_batches, discard, keep, table
 from quire.llm.text import chunks, mix, word_codes
 
 BANDS, BAND_REGISTERS, MANTISSA_BITS = 64, 6, 10
-REGISTERS = BANDS * BAND_REGISTERS
+REGISTERS, SECOND_SALT = BANDS * BAND_REGISTERS, 0x2545F491
 #: Members up to which a bucket is compared in full, how many times a larger one is dealt again, and how often in a row.
 FEW, SPLITS, DEEPEST = 2000, 8, 7
 #: Leaders up to which their registers are broadcast, and pairs of a bucket that are estimated at a time.
@@ -68,9 +68,9 @@ def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
         at += n
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
+def registers(hashes: np.ndarray, salt: int = 0x51ED270B) -> np.ndarray:
     """The HyperMinHash registers of a set of hashes that is not empty."""
-    x = mix(hashes, 0x51ED270B)
+    x = mix(hashes, salt)
     bucket = ((x >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
     packed = np.sort((bucket << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF)))
     at = (packed >> np.uint64(32)).astype(np.int64)
@@ -103,9 +103,10 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 _LOW = 0.5 ** np.arange(1, 33)
 
 
-def folded(registers: np.ndarray) -> np.ndarray:
-    """Registers in a byte each, to compare them."""
-    return ((registers * np.uint16(0x9E37)) >> np.uint16(8)).astype(np.uint8)
+def folded(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The registers ``of`` a set of hashes, and as many of a second sketch of it, in a byte each: what the estimate compares."""
+    both = np.concatenate((of, registers(hashes, SECOND_SALT)))
+    return ((both * np.uint16(0x9E37)) >> np.uint16(8)).astype(np.uint8)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -123,19 +124,19 @@ def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, per
     Borrowed registers spread the estimates of small sets by up to 1.5 / sqrt(size) more (measured for sizes from 5 to 3,000).
     """
     least, small, large = percent / 100, np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    slack = 5 * np.sqrt(least * (1 - least) / REGISTERS) * (1 + 1.5 / np.sqrt(np.maximum(small, 1)))
+    slack = 5 * np.sqrt(least * (1 - least) / (2 * REGISTERS)) * (1 + 1.5 / np.sqrt(np.maximum(small, 1)))
     return (100 * small >= percent * large) & (estimate(a, b, n_a, n_b) >= least - slack)
 
 
 def _matrix(registers: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(registers.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(registers.to_pylist()), np.uint8).reshape(-1, 2 * REGISTERS)
 
 
 _SIGNATURE = "n_shingles long, c1 long, c2 long, registers binary, folded binary"
 
 
 def signature(text: Column, size: int) -> Column:
-    """``struct<n_shingles, c1, c2, registers, folded>``: set size, a 128-bit digest of the set, its registers, and these in a byte each."""
+    """``struct<n_shingles, c1, c2, registers, folded>``: set size, a 128-bit digest of the set, its registers, and what the estimate compares."""
 
     @F.arrow_udf(_SIGNATURE)
     def signed(batch: pa.Array) -> pa.Array:
@@ -146,7 +147,7 @@ def signature(text: Column, size: int) -> Column:
             c1.append(int(mix(s, 1).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
             c2.append(int(mix(s, 2).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
             packed.append(r.tobytes() if len(s) else None)
-            small.append(folded(r).tobytes() if len(s) else None)
+            small.append(folded(s, r).tobytes() if len(s) else None)
         columns = [pa.array(x, kind) for x, kind in ((n, pa.int64()), (c1, pa.int64()), (c2, pa.int64()), (packed, pa.binary()), (small, pa.binary()))]
         return pa.StructArray.from_arrays(columns, ["n_shingles", "c1", "c2", "registers", "folded"])
 
