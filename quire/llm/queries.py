@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, decontaminate, html, language, licenses, lm, merkle, neardup, quality, topk, urls
+from quire.llm import ann, bpe, decontaminate, html, language, licenses, lm, merkle, neardup, quality, topk, urls
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
+    "op11_adaptive_scan": ann.op11_adaptive_scan,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
