@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import ann, bpe, decontaminate, html, language, licenses, lm, merkle, neardup, quality, topk, urls
+from quire.llm import ann, bpe, decontaminate, html, language, licenses, lm, merkle, neardup, quality, topk, trie, urls
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_quality": quality.op10_quality,
     "op11_adaptive_scan": ann.op11_adaptive_scan,
+    "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op2_url_filter": urls.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_near_duplicates": neardup.OP6_SQL,
+    "op12_prefix_trie": trie.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
