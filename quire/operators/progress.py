@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import reading as R
 
 # They must equal the source application's for equal results.
-MS_PER_CHAR, SLOWEST, FASTEST, LEARNING = 150.0, 1200, 20, 0.4
+MS_PER_CHAR, SLOWEST, FASTEST, LEARNING, GAP = 150.0, 1200, 20, 0.4, "1200 milliseconds"
 
 
 def chars_before(sentences: DataFrame, *keys: str, order: str = "sentence_no", text: str = "sentence") -> DataFrame:
@@ -77,9 +77,22 @@ def restore_position(progress: DataFrame, sections: DataFrame, key: str) -> Data
     return joined.withColumn("section_index", section).withColumn("sentence_index", sentence)
 
 
-def debounce(events: DataFrame, key: str, gap: str = "1200 milliseconds", ts: str = "ts", value: Column | None = None) -> DataFrame:
-    """``key, start, saved``: of each run of updates closer than ``gap`` the last value is saved."""
-    return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.max_by(value if value is not None else F.col("value"), ts).alias("saved"), F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "saved", "n")
+def debounce(events: DataFrame, key: str, gap: str = GAP, ts: str = "ts", value: Column | None = None, by: Column | None = None) -> DataFrame:
+    """``key, start, saved, n``: of each run of updates closer than ``gap`` the last value, in order of ``by``, is saved."""
+    value, by = (F.col("value") if value is None else value), (F.col(ts) if by is None else by)
+    runs = events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.max_by(value, by).alias("saved"), F.count("*").alias("n"))
+    return runs.select(key, F.col("w.start").alias("start"), "saved", "n")
+
+
+def saves(updates: DataFrame, key: str = "book_id", gap: str = GAP, ts: str = "ts", seq: str = "seq", immediate: str = "immediate") -> DataFrame:
+    """``key, seq, saved_ms, cause``: updates that nothing follows for ``gap``, and immediate ones at once, which end a wait before them."""
+    line = W.partitionBy(key).orderBy("__ms", seq)
+    wait = F.expr(f"unix_millis(timestamp_millis(0) + INTERVAL {gap})")
+    staged = updates.withColumn("__ms", F.unix_millis(ts)).withColumn("__next", F.lead("__ms").over(line))
+    paused = F.col("__next").isNull() | (F.col("__next") - F.col("__ms") >= wait)
+    cause = F.when(F.col(immediate), "chapter").when(paused, "pause")
+    at = F.when(F.col(immediate), F.col("__ms")).otherwise(F.col("__ms") + wait)
+    return staged.select(key, seq, at.alias("saved_ms"), cause.alias("cause")).filter("cause IS NOT NULL")
 
 
 def apply_sleep_timer(events: DataFrame, timers: DataFrame, key: str, ts_ms: str = "ts_ms", ends_ms: str = "ends_ms") -> DataFrame:
@@ -94,6 +107,16 @@ def drop_superseded(results: DataFrame, key: str, gen: str = "gen") -> DataFrame
     return results.join(newest, [key, gen], "left_semi")
 
 
-def resume_after_append(waiting: DataFrame, appended: DataFrame, key: str) -> DataFrame:
-    """Readers that wait at the end of a book, at the section that came next: ``waiting`` has ``last_section``."""
-    return waiting.join(appended.withColumn("last_section", F.col("section_no") - 1), [key, "last_section"])
+def resume_after_append(waiting: DataFrame, appended: DataFrame, key: str, within: str | None = None, ts: str = "ts") -> DataFrame:
+    """Readers that wait at the end of a book, at the section that came next: ``waiting`` has ``last_section``.
+
+    With ``within``, ``waiting`` (with ``ts``) keeps the readers for whom none came in that time: ``section_no`` and
+    ``resumed_at`` are null then.
+    """
+    if within is None:
+        return waiting.join(appended.withColumn("last_section", F.col("section_no") - 1), [key, "last_section"])
+    came = appended.select(key, "section_no", F.col(ts).alias("resumed_at"), (F.col("section_no") - 1).alias("last_section")).alias("a")
+    w = waiting.alias("w")
+    match = (F.col(f"w.{key}") == F.col(f"a.{key}")) & (F.col("w.last_section") == F.col("a.last_section"))
+    near = F.expr(f"a.resumed_at >= w.{ts} AND a.resumed_at <= w.{ts} + INTERVAL {within}")
+    return w.join(came, match & near, "left").select("w.*", "a.section_no", "a.resumed_at")
