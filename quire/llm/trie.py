@@ -59,6 +59,10 @@ def double_array(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 break
         if at < 0:
             at = max(0, top - int(codes[0]))
+        if at + codes[-1] >= size:  # codes that lie far apart
+            more = int(at + codes[-1] + size)
+            base, check = np.pad(base, (0, more - size)), np.pad(check, (0, more - size), constant_values=-1)
+            size = more
         base[state] = at
         slots = at + codes
         check[slots] = state

@@ -87,9 +87,12 @@ def test_no_turns_and_no_conversations(spark, tmp_path):
     assert result(spark, [(lost, 0, "user", "x")], tmp_path, "turnless") == [(lost, 0, None, 1, 0, 1, 0, sha256(str(lost).encode()).hexdigest())]
 
 
-def test_double_array_holds_what_it_was_given():
+@pytest.mark.parametrize("codes", [60, 20_000])
+def test_double_array_holds_what_it_was_given(codes):
+    """Codes that lie far apart too."""
     rng = np.random.default_rng(2)
-    rows = np.unique(np.concatenate([np.pad(rng.integers(1, 60, (300, n)), ((0, 0), (0, 6 - n))) for n in range(1, 7)]), axis=0)
+    rows = np.unique(np.concatenate([np.pad(rng.integers(1, codes, (300, n)), ((0, 0), (0, 6 - n))) for n in range(1, 7)]), axis=0)
+    rows = np.concatenate([rows, np.pad([[codes, 1], [codes, codes - 1], [codes, codes]], ((0, 0), (0, 4)))])
     base, check = trie.double_array(rows)
     states = {}
     for row in rows:
