@@ -133,7 +133,9 @@ def cached_pages(rows: DataFrame, lifetime: str = f"{CACHE_DAYS} days") -> DataF
     """Lookups answered from the pages that came before: ``rows`` are ``file_key, lang, page_number, text, ts``, a null text asks for the page.
 
     The store lets go of a page ``lifetime`` after it was written, without a scan; a page that is as old by event time is no
-    hit either. An empty text is one. Rows without key, language or page number take no part.
+    hit either. An empty text is one. Rows without key, language or page number take no part. A store by the clock makes
+    batches without data as long as the query runs: one that is to end by itself needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
     """
     whole = rows.filter("file_key IS NOT NULL AND file_key <> '' AND lang IS NOT NULL AND page_number IS NOT NULL")
     asked = whole.select("file_key", "lang", F.col("page_number").cast("int").alias("page_number"), "text", F.unix_millis("ts").alias("ms"))

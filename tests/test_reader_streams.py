@@ -26,11 +26,13 @@ def batch_of(spark, schema, rows):
     return spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_millis((F.col("ts") * 1000).cast("long")))
 
 
-def run(spark, frame, tmp_path, mode="append"):
+def run(spark, frame, tmp_path, mode="append", by_the_clock=False):
     name = f"r{abs(hash(str(tmp_path))) % 10**9}"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", not by_the_clock)
     with typed_state(spark):
         query = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        query.awaitTermination()
+        assert query.awaitTermination(120), query.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     return spark.table(name).collect(), query
 
 
@@ -91,7 +93,7 @@ def test_newest_run_in_any_order(spark, tmp_path, order):
 
 def test_a_run_is_remembered_for_a_time(spark, tmp_path):
     """An old result after the newest was given out changes nothing, until the document is forgotten."""
-    late = [[("a", 2, 1, 0.0)], [("z", 1, 1, 8000.0)], [("a", 1, 9, 7900.0)], [("z", 1, 2, 20_000.0)]]
+    late = [[("a", 2, 1, 1.0)], [("z", 1, 1, 8000.0)], [("a", 1, 9, 7900.0)], [("z", 1, 2, 20_000.0)]]
     got, _ = run(spark, R.newest_runs(stream_of(spark, tmp_path, RESULTS, *late), remember="1 hour", watermark="10 minutes"), tmp_path)
     assert [tuple(r) for r in got if r.doc_id == "a"] == [("a", 2, 1)]
     assert "a" not in {s.key.doc_id for s in states(spark, tmp_path, "top")}
@@ -106,7 +108,7 @@ def test_cached_pages_live_as_long_as_the_batch_keeps_them(spark, tmp_path):
     day = 86_400.0
     rows = [("f", "eng", 1, "one", 0.0), ("f", "eng", 2, "", 10 * day), ("f", "deu", 1, "eins", 20 * day), ("f", "eng", 1, "older", -1.0), (None, "eng", 1, "x", 0.0), ("", "eng", 1, "x", 0.0), ("f", None, 1, "x", 0.0), ("f", "eng", None, "x", 0.0)]
     asked = [("f", lang, n, None, at * day) for at in (44.9, 45, 54.9, 55, 64.9, 65) for lang, n in (("eng", 1), ("eng", 2), ("deu", 1), ("deu", 2))]
-    got, _ = run(spark, R.cached_pages(stream_of(spark, tmp_path, CACHE, rows, asked)), tmp_path)
+    got, _ = run(spark, R.cached_pages(stream_of(spark, tmp_path, CACHE, rows, asked)), tmp_path, by_the_clock=True)
     cache = batch_of(spark, CACHE, rows).withColumnRenamed("ts", "updated_at")
     saved = B.save_cache(cache.limit(0), cache)
     for at in (44.9, 45, 54.9, 55, 64.9, 65):
@@ -119,12 +121,19 @@ def test_the_store_lets_go_of_old_pages(spark, tmp_path):
     """By the clock, without an event that asks for them."""
     now = time.time()
     stream = stream_of(spark, tmp_path, CACHE, [("f", "eng", 1, "one", now), ("f", "eng", 2, "two", now)])
-    run(spark, R.cached_pages(stream, "8 seconds"), tmp_path)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)
+
+    def once():
+        with typed_state(spark):
+            R.cached_pages(stream, "8 seconds").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+
+    once()
     assert len(states(spark, tmp_path, "pages")) == 2
     time.sleep(9)
     frame = spark.createDataFrame([("g", "eng", 1, None, now)], CACHE).withColumn("ts", F.timestamp_millis((F.col("ts") * 1000).cast("long")))
     frame.coalesce(1).write.parquet(str(tmp_path / "in" / "later"))
-    got, _ = run(spark, R.cached_pages(stream, "8 seconds"), tmp_path)
+    once()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert not states(spark, tmp_path, "pages")
 
 
@@ -149,8 +158,8 @@ def test_readers_resume_in_any_order(spark, tmp_path, first):
 
 def test_late_sections_are_dropped_and_state_shrinks(spark, tmp_path):
     """The watermark is the lower one of both sides; behind it neither side keeps rows, nor takes them."""
-    w = stream_of(spark, tmp_path, WAITING, [("a", 3, 100.0)], [("end", 0, 20_000.0)], [("end", 0, 20_001.0)], [("end", 0, 20_002.0)], name="w")
-    a = stream_of(spark, tmp_path, APPENDED, [("x", 1, 100.0)], [("end", 9, 20_000.0)], [("a", 4, 150.0)], [("end", 9, 20_002.0)], name="a")
+    w = stream_of(spark, tmp_path, WAITING, [("a", 3, 100.0)], *([("end", 0, 20_000.0 + i)] for i in range(4)), name="w")
+    a = stream_of(spark, tmp_path, APPENDED, [("x", 1, 100.0)], [("end", 9, 20_000.0)], [("end", 9, 20_001.0)], [("a", 4, 150.0)], [("end", 9, 20_003.0)], name="a")
     got, query = run(spark, R.resumed_readers(w, a), tmp_path)
     assert [(r.book_id, r.section_no) for r in got] == [("a", None)]
     last = [s for p in query.recentProgress for s in p["stateOperators"]]
@@ -198,11 +207,11 @@ EVENTS = "k string, ts double"
 @pytest.mark.parametrize("kind", ["tumbling", "sliding", "session"])
 def test_late_rows_count_before_the_watermark_only(spark, tmp_path, kind):
     minute = 60.0
-    parts = [[("a", 0.0), ("a", 5 * minute), ("b", 6 * minute)], [("a", 30 * minute)], [("a", 21 * minute), ("a", 1 * minute)], [("z", 300 * minute)], [("z", 301 * minute)]]
+    parts = [[("a", 2 * minute), ("a", 5 * minute), ("b", 6 * minute)], [("a", 30 * minute)], [("z", 31 * minute)], [("a", 22 * minute), ("a", 1 * minute)], [("z", 300 * minute)], [("z", 301 * minute)]]
     how = {"tumbling": {}, "sliding": {"slide": "5 minutes"}, "session": {"session": True}}[kind]
     counted = I.windowed_counts(stream_of(spark, tmp_path, EVENTS, *parts), "10 minutes", by="k", watermark="10 minutes", **how)
     got, query = run(spark, counted, tmp_path)
-    taken = [r for p in parts for r in p if r != ("a", 1 * minute)]  # behind the watermark of 20 minutes, the other late row is not
+    taken = [r for p in parts for r in p if r != ("a", 1 * minute)]  # behind the watermark of 20 minutes, which holds from the batch after next; the other late row is not
     want = I.windowed_counts(batch_of(spark, EVENTS, taken), "10 minutes", by="k", **how).filter("k <> 'z'").collect()
     assert sorted(tuple(r) for r in got if r.k != "z") == sorted(map(tuple, want))
     progress = [p["stateOperators"][0] for p in query.recentProgress]
