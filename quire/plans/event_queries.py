@@ -180,9 +180,8 @@ def superseded(spark, sf_dir):
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e)
 SELECT user_id, min(ts) AS start, arg_max(event_id, (ts, event_id)) AS saved, count(*) AS n FROM s GROUP BY user_id, run""")
 def debounce(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("key", F.struct("ts", "event_id"))
-    runs = e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.max_by("event_id", "key").alias("saved"), F.count("*").alias("n"))
-    return runs.select("user_id", F.col("w.start").alias("start"), "saved", "n")
+    e = read(spark, sf_dir, "events")
+    return P.debounce(e, "user_id", "6 hours", value=F.col("event_id"), by=F.struct("ts", "event_id"))
 
 
 @query("k10_resume", "SELECT w.user_id, w.last_section, a.event_id FROM (SELECT user_id, max(event_id % 50) AS last_section FROM events WHERE event_id % 50 < 40 GROUP BY 1) AS w JOIN (SELECT user_id, event_id % 50 AS section_no, event_id FROM events) AS a ON a.user_id = w.user_id AND a.section_no = w.last_section + 1")

@@ -107,7 +107,7 @@ def release_in_order(pages: DataFrame, min_pages: int = P.MIN_PAGES, min_remaini
     rows = timed(pages.select("doc_id", "page_number", "total", "text", "ts", failed.alias("failed")), "ts", watermark)
     limits = {"min_pages": min_pages, "min_remaining": min_remaining, "min_chars": min_chars, "after_ms": after_ms, "force_pages": force_pages, "batch": batch}
     step = _Release(limits, None if wait is None else milliseconds(wait), milliseconds(remember))
-    return rows.groupBy("doc_id").transformWithState(step, "doc_id string, page_number int, text string, batch_no int, error string", "append", "eventTime")
+    return rows.groupBy("doc_id").transformWithState(step, f"doc_id {dict(pages.dtypes)['doc_id']}, page_number int, text string, batch_no int, error string", "append", "eventTime")
 
 
 def ewma_stream(events: DataFrame, alpha: float = LEARNING) -> DataFrame:
