@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,12 +62,58 @@ HTML_TO_TEXT = [
     (rf"(?i)</(?:{HTML_BREAK_AFTER})\s*>", "\n"),
     (r"(?s)<[!/?a-zA-Z][^>]*>", ""),
 ]
+#: Names of character references with what they stand for, the commonest first: a lookup goes through them in order.
+REFERENCES = {n: html5[n] for n in [*(n for n in ("amp;", "quot;", "lt;", "gt;", "nbsp;", "copy;", "middot;", "amp")), *html5]}
+#: Names that need no semicolon, longer ones before their beginnings.
+BARE_REFERENCES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: Numbers that stand for other characters than theirs: those of Windows-1252, and two more.
+ODD_NUMBERS = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(128, 160)}
+LAST_CODE_POINT, REFERENCE_NAME = 0x10FFFF, r"\A[^\t\n\f <&#;]{1,32};?"
+REFERENCE_NUMBER = r"\A#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+
+
+def _table(values: dict[str, str]) -> Column:
+    """A map that the optimiser turns into a literal."""
+    side = lambda texts: F.split(F.lit("\x01".join(texts)), "\x01")
+    return F.map_from_arrays(side(values.keys()), side(values.values()))
+
+
+def _number(c: Column) -> Column:
+    """The character that a number refers to; nothing for one that is none."""
+    kept = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    none = ((c >= 1) & (c <= 8)) | (c == 11) | ((c >= 14) & (c <= 31)) | (c == 127) | ((c >= 0xFDD0) & (c <= 0xFDEF)) | (c % 65536 >= 0xFFFE)
+    out = F.when((c > LAST_CODE_POINT) | ((c >= 0xD800) & (c <= 0xDFFF)), "\ufffd").when(none, "").otherwise(kept)
+    odd = _table({str(k): v for k, v in ODD_NUMBERS.items()})
+    return F.when((c <= 13) | ((c >= 128) & (c < 160)), F.coalesce(F.try_element_at(odd, c.cast("string")), out)).otherwise(out)
+
+
+def _reference(x: Column) -> Column:
+    """What stands behind an ampersand, with the reference at its start put in."""
+    number = F.regexp_extract(x, REFERENCE_NUMBER, 0)
+    digits = F.regexp_replace(F.regexp_extract(x, r"\A#[xX]?0*([0-9a-fA-F]*)", 1), r"\A\z", "0")
+    base = F.when(F.lower(F.substring(number, 2, 1)) == "x", 16).otherwise(10)
+    decimal = F.regexp_replace(F.regexp_extract(x, r"\A#0*([0-9]*)", 1), r"\A\z", "0")
+    value = F.when(base == 16, F.when(F.length(digits) <= 8, F.conv(digits, 16, 10).cast("bigint"))).otherwise(F.when(F.length(decimal) <= 9, decimal.cast("bigint")))
+    name = F.regexp_extract(x, REFERENCE_NAME, 0)
+    bare = F.regexp_extract(x, rf"\A(?:{'|'.join(BARE_REFERENCES)})", 0)
+    table = _table(REFERENCES)
+    whole, start = F.try_element_at(table, name), F.try_element_at(table, bare)
+    behind = lambda found: F.substring(x, F.length(found) + 1, F.length(x))
+    named = F.coalesce(F.concat(whole, behind(name)), F.concat(start, behind(bare)), F.concat(F.lit("&"), x))
+    plain = F.when(x.startswith("amp;"), F.concat(F.lit("&"), F.substring(x, F.lit(5), F.length(x))))  # most of them
+    return plain.when(number != "", F.concat(_number(F.coalesce(value, F.lit(LAST_CODE_POINT + 1))), behind(number))).when(name != "", named).otherwise(F.concat(F.lit("&"), x))
+
+
+def unescape(c: Column) -> Column:
+    """Text with numeric and named character references put in, those without semicolon too."""
+    pieces = F.split(c, "&", -1)
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _reference), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:
     """Text content of markup, with a line feed after block elements."""
-    c = T.chain(c, HTML_TO_TEXT)
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), HTML_ENTITIES.items(), c)
+    return unescape(T.chain(c, HTML_TO_TEXT))
 
 
 def voice_bucket(lang: Column) -> Column:
@@ -182,6 +229,16 @@ def fade_volume(now_ms: Column, ends_at_ms: Column) -> Column:
     return F.when(ends_at_ms.isNull() | (left >= FADE_MS), F.lit(1.0)).otherwise(clamp(left / FADE_MS, FADE_FLOOR, 1.0))
 
 
+def speech_request(request: Column) -> Column:
+    """``struct<text, voice, lang, rate, pitch, error_code>`` of a request in JSON: trimmed, with defaults for what is missing or zero."""
+    r = F.from_json(request, "text string, voice string, lang string, rate string, pitch string")
+    text = T.js_trim(F.coalesce(r.text, F.lit("")))
+    number = lambda c: F.coalesce(F.nullif(F.coalesce(c.try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    lang = F.coalesce(F.nullif(T.js_trim(F.coalesce(r.lang, F.lit(""))), F.lit("")), F.lit("en-US"))
+    voice = T.js_trim(F.coalesce(r.voice, F.lit("")))
+    return F.struct(text.alias("text"), voice.alias("voice"), lang.alias("lang"), number(r.rate).alias("rate"), number(r.pitch).alias("pitch"), validate_request(r.text).alias("error_code"))
+
+
 def validate_request(text: Column, limit: int = SPEECH_CHARS_LIMIT) -> Column:
     """Error code of a synthesis request, or null."""
     t = T.js_trim(F.coalesce(text, F.lit("")))

@@ -127,3 +127,8 @@ def check_complete(files: DataFrame, patterns: list[str], *key: str, path: str =
     """``key, complete``: whether every pattern is matched by a file of the key."""
     found = [F.bool_or(F.col(path).rlike(p)) for p in patterns]
     return files.groupBy(*key).agg(reduce(lambda a, b: a & b, found).alias("complete"))
+
+
+def rank_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates by score, the highest first, equal ones by id."""
+    return candidates.orderBy(F.desc("score"), "id")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,15 +93,63 @@ def prune_cache(cache: DataFrame, now: Column, max_age_days: int = CACHE_DAYS) -
     return cache.filter(F.col("updated_at") > now - F.expr(f"INTERVAL {max_age_days} DAYS"))
 
 
-def export_backup(meta: DataFrame, contents: DataFrame, path: str) -> None:
-    """One line of JSON per book under ``path``."""
-    load_books(meta, contents).withColumn("format", F.lit(BACKUP_FORMAT)).withColumn("version", F.lit(BACKUP_VERSION)).write.mode("overwrite").json(path)
+class Restored(NamedTuple):
+    books: DataFrame
+    settings: str | None
+    exported_at: str | None
+    #: Counts of the books that were taken, and of those without id or sections.
+    restored: int
+    skipped: int
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Whole backups in ``path``, the oldest first: those whose manifest was written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    whole = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/manifest/_SUCCESS"))
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and whole(n))
 
 
-def restore_backup(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Books of a backup of the right format with an id and sections; ``schema`` is that of the books."""
-    rows = spark.read.schema(f"{schema}, format string, version int").json(path)
-    return rows.filter((F.col("format") == BACKUP_FORMAT) & (F.col("version") == BACKUP_VERSION) & F.col("id").isNotNull() & (F.size("sections") > 0)).drop("format", "version")
+def export_backup(meta: DataFrame, contents: DataFrame, path: str, settings: str | None = None, app_version: str | None = None, exported_at: str | None = None) -> int:
+    """Write all books with their sections as a new version below ``path``, one line of JSON each; how many there are.
+
+    The books are counted as they are written. The manifest (format, version, time, settings, books) follows
+    them, and only a version that has one is read, so readers never see half of a backup.
+    """
+    spark, counted = meta.sparkSession, Observation()
+    target = f"{path}/v{max(_versions(spark, path), default=0) + 1}"
+    load_books(meta, contents).observe(counted, F.count("*").alias("books")).write.mode("overwrite").json(f"{target}/books")
+    books = counted.get["books"]
+    at = F.coalesce(F.lit(exported_at), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    row = spark.range(1).select(F.lit(BACKUP_FORMAT).alias("format"), F.lit(BACKUP_VERSION).alias("version"), F.lit(app_version).alias("appVersion"), at.alias("exportedAt"), F.lit(settings).alias("settings"), F.lit(books).alias("books"))
+    row.coalesce(1).write.mode("overwrite").json(f"{target}/manifest")
+    return books
+
+
+def restore_backup(spark: SparkSession, path: str, schema: str, save: Callable[[DataFrame], DataFrame], version: int | None = None) -> Restored:
+    """Take the books of the newest backup below ``path``, or of ``version``, to ``save``, which writes them and gives back what it wrote.
+
+    Books without id or sections are skipped, and counted as they are read; ``schema`` is that of the books. A folder
+    without a whole backup of this format is refused.
+    """
+    whole = _versions(spark, path)
+    if not whole or (version is not None and version not in whole):
+        raise ValueError(f"no whole backup in {path}")
+    source = f"{path}/v{version or whole[-1]}"
+    about = spark.read.schema("format string, version int, exportedAt string, settings string").json(f"{source}/manifest").first()
+    if about is None or (about.format, about.version) != (BACKUP_FORMAT, BACKUP_VERSION):
+        raise ValueError(f"not a backup of this format: {source}")
+    counted, fine = Observation(), F.col("id").isNotNull() & (F.col("id").cast("string") != "") & F.coalesce(F.size("sections") > 0, F.lit(False))
+    rows = spark.read.schema(schema).json(f"{source}/books").observe(counted, F.count("*").alias("all"), F.count_if(fine).alias("fine"))
+    saved = save(rows.filter(fine))
+    n = counted.get
+    return Restored(saved, about.settings, about.exportedAt, n["fine"], n["all"] - n["fine"])
+
+
+def missing_from(required: DataFrame, present: DataFrame) -> DataFrame:
+    """Rows that are required more often than they are there."""
+    return required.exceptAll(present.select(*required.columns))
 
 
 def parse_settings(df: DataFrame, json: str = "json") -> DataFrame:

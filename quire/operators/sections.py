@@ -228,6 +228,12 @@ def match_toc(toc: DataFrame, spine: DataFrame, key: str = "doc_id") -> DataFram
     return exact.join(alike, [key, "entry_no"], "left").select(key, "entry_no", "title", F.coalesce("exact", "alike").alias("spine_index")).filter("spine_index IS NOT NULL")
 
 
+def order_markers(markers: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``markers`` with their ``place`` from 0 in each document: by spine item, those of one in the order of their entries; dealt by ranges and sorted."""
+    line = W.partitionBy(key).orderBy("spine_index", "entry_no")
+    return markers.withColumn("place", F.row_number().over(line) - 1).orderBy(key, "place")
+
+
 def active_toc_title(spine: DataFrame, markers: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds ``toc_title``: that of the last marker at or before each spine item."""
     last = markers.groupBy(key, "spine_index").agg(F.max_by("title", "entry_no").alias("__t"))

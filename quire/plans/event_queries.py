@@ -38,6 +38,47 @@ def requests(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", R.validate_request(F.col("text")).alias("error_code"))
 
 
+_REQUEST = """CASE doc_id % 4 WHEN 0 THEN ' de-DE ' WHEN 1 THEN '' WHEN 2 THEN 'fr-FR' END"""
+
+
+@query("b37_speech_requests", f"""SELECT doc_id, {S.trim("coalesce(text, '')")} AS text, trim(coalesce(source, '')) AS voice, coalesce(nullif(trim({_REQUEST}), ''), 'en-US') AS lang, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 * 0.75 END AS DOUBLE) AS rate, CASE doc_id % 5 WHEN 1 THEN 1.25 ELSE 1.0 END::DOUBLE AS pitch,
+  CASE WHEN {S.trim("coalesce(text, '')")} = '' THEN 'empty_text' WHEN length({S.trim("coalesce(text, '')")}) > 5000 THEN 'text_too_long' END AS error_code FROM documents""")
+def speech_requests(spark, sf_dir):
+    """Requests in JSON with languages, rates and pitches that are missing, empty, zero or no number."""
+    d = F.col("doc_id")
+    lang = F.when(d % 4 == 0, " de-DE ").when(d % 4 == 1, "").when(d % 4 == 2, "fr-FR")
+    pitch = F.when(d % 5 == 1, "1.25").when(d % 5 == 2, "none").when(d % 5 == 3, "0")
+    request = F.to_json(F.struct("text", F.col("source").alias("voice"), lang.alias("lang"), (d % 3 * 0.75).alias("rate"), pitch.alias("pitch")))
+    return read(spark, sf_dir, "documents").select("doc_id", R.speech_request(request).alias("r")).select("doc_id", "r.*")
+
+
+@query("i04_missing_assets", """SELECT file_key, page_number, count(*) AS missing FROM (SELECT user_id AS file_key, event_id % 25 AS page_number FROM events WHERE event_type <> 'error' EXCEPT ALL SELECT user_id, event_id % 20 FROM events WHERE event_type <> 'view') GROUP BY 1, 2""")
+def missing_assets(spark, sf_dir):
+    e = read(spark, sf_dir, "events", "user_id", "event_id", "event_type")
+    pages = lambda n: (F.col("event_id") % n).alias("page_number")
+    required = e.filter("event_type <> 'error'").select(F.col("user_id").alias("file_key"), pages(25))
+    present = e.filter("event_type <> 'view'").select(F.col("user_id").alias("file_key"), pages(20))
+    return B.missing_from(required, present).groupBy("file_key", "page_number").agg(F.count("*").alias("missing"))
+
+
+@query("a09_a10_e05_backup", """SELECT 'd' || doc_id AS id, n_chars, length(text) AS chars, (SELECT count(*) FROM documents WHERE text <> '') AS restored, (SELECT count(*) FROM documents WHERE coalesce(text, '') = '') AS skipped, '{"rate":1.5}' AS settings, '2024-01-02T03:04:05.000Z' AS exported_at FROM documents WHERE text <> ''""")
+def backup(spark, sf_dir):
+    """All documents as books, out to a backup and back; those without text have no sections."""
+    from quire.plans.stream_queries import place_for
+
+    docs = read(spark, sf_dir, "documents").withColumn("id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    meta, contents = docs.select("id", "n_chars"), docs.filter("text <> ''").select("id", F.array(F.struct(F.col("source").alias("title"), "text")).alias("sections"))
+    place = place_for(spark, "backup")
+    B.export_backup(meta, contents, place, settings='{"rate":1.5}', app_version="1", exported_at="2024-01-02T03:04:05.000Z")
+
+    def save(books):
+        books.write.parquet(f"{place}/restored")
+        return spark.read.parquet(f"{place}/restored")
+
+    got = B.restore_backup(spark, place, "id string, n_chars long, sections array<struct<title: string, text: string>>", save)
+    return got.books.select("id", "n_chars", F.length(F.get("sections", F.lit(0)).text).alias("chars"), F.lit(got.restored).cast("long").alias("restored"), F.lit(got.skipped).cast("long").alias("skipped"), F.lit(got.settings).alias("settings"), F.lit(got.exported_at).alias("exported_at"))
+
+
 @query("b41_h05_candidates", """SELECT p_partkey, name, CASE WHEN regexp_matches(name, 'zipvoice') THEN 0 WHEN regexp_matches(name, 'aishell') THEN 5 WHEN regexp_matches(name, 'kokoro') THEN 4 WHEN regexp_matches(name, 'vits|matcha|melo') THEN 3 ELSE 2 END AS score,
   regexp_matches(name, 'tts|text-to-speech') AND regexp_matches(name, 'wasm|web-assembly|webassembly') AND regexp_matches(name, 'zh|chinese|aishell|melo|kokoro|cantonese|zipvoice') AS candidate
 FROM (SELECT p_partkey, lower(p_name) || CASE p_partkey % 5 WHEN 0 THEN '-tts-wasm-aishell' WHEN 1 THEN '-tts-webassembly-zipvoice' WHEN 2 THEN '-kokoro' WHEN 3 THEN '-text-to-speech-wasm-zh' ELSE '' END AS name FROM part)""")

@@ -106,22 +106,35 @@ def totals(spark, sf_dir):
 
 
 
-@query("a05_d18_e01_e02_toc", """WITH s AS (SELECT page_id // 10 AS book, CAST(page_id % 10 AS INTEGER) AS spine_index, 'text/p' || page_id % 10 || '.html' AS href FROM pages),
+_BOOKS = """s AS (SELECT page_id // 10 AS book, CAST(page_id % 10 AS INTEGER) AS spine_index, 'text/p' || page_id % 10 || '.html' AS href FROM pages),
 t AS (SELECT page_id // 10 AS book, CAST(row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id % 3, page_id % 10) - 1 AS INTEGER) AS entry_no, 'Title ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'text/p' ELSE 'p' END || page_id % 10 || '.html' AS href FROM pages WHERE page_id % 4 < 3),
 m AS (SELECT t.book, t.entry_no, any_value(t.title) AS title, coalesce(min(spine_index) FILTER (s.href = t.href), min(spine_index) FILTER (ends_with(s.href, t.href) OR ends_with(t.href, s.href))) AS spine_index FROM t JOIN s USING (book) GROUP BY 1, 2),
-l AS (SELECT book, spine_index, arg_max(title, entry_no) AS title FROM m WHERE spine_index IS NOT NULL GROUP BY 1, 2)
-SELECT s.book, s.spine_index, last_value(l.title IGNORE NULLS) OVER (PARTITION BY s.book ORDER BY s.spine_index ROWS UNBOUNDED PRECEDING) AS toc_title FROM s LEFT JOIN l USING (book, spine_index)""")
-def toc(spark, sf_dir):
+l AS (SELECT book, spine_index, arg_max(title, entry_no) AS title FROM m WHERE spine_index IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _spine_and_toc(spark, sf_dir):
     pages = read(spark, sf_dir, "pages", "page_id")
     n = F.col("page_id") % 10
     book = F.floor(F.col("page_id") / 10).alias("book")
     spine = pages.select(book, n.cast("int").alias("spine_index"), F.concat(F.lit("./text/P"), n.cast("string"), F.lit(".html#top")).alias("href"))
     href = F.concat(F.when(F.col("page_id") % 2 == 0, "text/p").otherwise("p"), n.cast("string"), F.lit(".html#a"))
     entries = pages.filter("page_id % 4 < 3").select(book, F.array((F.col("page_id") % 3).cast("int"), n.cast("int")).alias("path"), F.concat(F.lit("# Title  "), F.col("page_id").cast("string")).alias("label"), href.alias("href"))
-    markers = X.match_toc(entries.withColumnRenamed("book", "doc_id"), spine.withColumnRenamed("book", "doc_id"))
-    return X.active_toc_title(spine.withColumnRenamed("book", "doc_id"), markers).select(F.col("doc_id").alias("book"), "spine_index", "toc_title")
+    return spine.withColumnRenamed("book", "doc_id"), entries.withColumnRenamed("book", "doc_id")
+
+
+@query("a05_d18_e01_e02_toc", f"""WITH {_BOOKS}
+SELECT s.book, s.spine_index, last_value(l.title IGNORE NULLS) OVER (PARTITION BY s.book ORDER BY s.spine_index ROWS UNBOUNDED PRECEDING) AS toc_title FROM s LEFT JOIN l USING (book, spine_index)""")
+def toc(spark, sf_dir):
+    spine, entries = _spine_and_toc(spark, sf_dir)
+    return X.active_toc_title(spine, X.match_toc(entries, spine)).select(F.col("doc_id").alias("book"), "spine_index", "toc_title")
+
+
 
 
+@query("h04_ordered_markers", f"WITH {_BOOKS} SELECT book, entry_no, title, spine_index, CAST(row_number() OVER (PARTITION BY book ORDER BY spine_index, entry_no) - 1 AS INTEGER) AS place FROM m WHERE spine_index IS NOT NULL")
+def ordered_markers(spark, sf_dir):
+    spine, entries = _spine_and_toc(spark, sf_dir)
+    return X.order_markers(X.match_toc(entries, spine)).select(F.col("doc_id").alias("book"), "entry_no", "title", "spine_index", "place")
 
 
 @query("d12_pages_to_sections")

@@ -143,16 +143,37 @@ def paths(spark, sf_dir):
     return pages.select("page_id", R.strip_extension(u).alias("stem"), R.get_extension(u).alias("extension"), R.guess_mime(u).alias("mime"), R.book_format(u).alias("format"), R.book_format(u).isNull().alias("rejected"), R.normalize_href(u).alias("href"))
 
 
-_TEXT = S.steps("html", R.HTML_TO_TEXT)
-for _e, _c in R.HTML_ENTITIES.items():
-    _TEXT = f"replace({_TEXT}, {q(_e)}, {q(_c)})"
-
-
-@query("b27_html_to_text", f"SELECT page_id, {_TEXT} AS text FROM pages")
+def _unescaped(rows: str, key: str) -> str:
+    """SQL of ``key, text`` from ``rows`` (``key, text``) with character references put in."""
+    names = ", ".join(f"({q(n)}, {q(c)})" for n, c in R.REFERENCES.items())
+    odd = " ".join(f"WHEN {n} THEN chr({ord(c)})" for n, c in R.ODD_NUMBERS.items())
+    bare = "^(?:" + "|".join(R.BARE_REFERENCES) + ")"
+    return f"""WITH d AS ({rows}), cut AS (SELECT {key}, string_split(text, '&') AS l FROM d), p AS (SELECT {key}, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS x FROM cut), refs(name, c) AS (VALUES {names}),
+n AS (SELECT *, regexp_extract(x, '^#(?:[0-9]+|[xX][0-9a-fA-F]+);?') AS number, regexp_extract(x, '^[^\\t\\n\\f <&#;]{{1,32}};?') AS name, regexp_extract(x, '{bare}') AS bare, regexp_extract(x, '^#0*([0-9]*)', 1) AS dec, regexp_extract(x, '^#[xX]0*([0-9a-fA-F]*)', 1) AS hex FROM p),
+v AS (SELECT *, CASE WHEN number SIMILAR TO '#[xX].*' THEN CASE WHEN hex = '' THEN 0 WHEN length(hex) <= 8 THEN list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(lower(hex), ''), lambda z: CAST(instr('0123456789abcdef', z) - 1 AS BIGINT))), lambda s, z: s * 16 + z) ELSE 1114112 END
+  WHEN dec = '' THEN 0 WHEN length(dec) <= 9 THEN CAST(dec AS BIGINT) ELSE 1114112 END AS c FROM n),
+o AS (SELECT v.{key}, v.i, CASE WHEN v.i = 1 THEN x WHEN number <> '' THEN (CASE v.c {odd} ELSE CASE WHEN v.c > 1114111 OR v.c BETWEEN 55296 AND 57343 THEN chr(65533) WHEN v.c BETWEEN 1 AND 8 OR v.c = 11 OR v.c BETWEEN 14 AND 31 OR v.c = 127 OR v.c BETWEEN 64976 AND 65007 OR v.c % 65536 >= 65534 THEN '' ELSE chr(CAST(v.c AS INTEGER)) END END) || x[length(number) + 1:]
+  WHEN v.name <> '' THEN coalesce(a.c || x[length(v.name) + 1:], b.c || x[length(bare) + 1:], '&' || x) ELSE '&' || x END AS piece FROM v LEFT JOIN refs AS a ON a.name = v.name LEFT JOIN refs AS b ON b.name = v.bare)
+SELECT {key}, string_agg(piece, '' ORDER BY i) AS text FROM o GROUP BY {key}"""
+
+
+@query("b27_html_to_text", _unescaped(f"SELECT page_id, {S.steps('html', R.HTML_TO_TEXT)} AS text FROM pages", "page_id"))
 def html_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", R.html_to_text(F.col("html")).alias("text"))
 
 
+_REFERENCES = list(R.REFERENCES)
+
+
+@query("b27_references", _unescaped(f"SELECT doc_id, text || ' a&#' || doc_id * 37 % 1200000 || ';b&#x' || lower(to_base(doc_id * 91 % 70000, 16)) || '&#' || doc_id % 200 || ' &' || [{', '.join(map(q, _REFERENCES))}][doc_id % {len(_REFERENCES)} + 1] || 'tail; &' || [{', '.join(map(q, _REFERENCES))}][doc_id * 7 % {len(_REFERENCES)} + 1] AS text FROM documents WHERE text IS NOT NULL", "doc_id"))
+def references(spark, sf_dir):
+    """Texts with references of every kind behind them: in range, out of it, odd, named, named without end."""
+    d, names = F.col("doc_id"), F.split(F.lit(" ".join(_REFERENCES)), " ")
+    name = lambda n: F.get(names, (n % len(_REFERENCES)).cast("int"))
+    text = F.concat("text", F.lit(" a&#"), (d * 37 % 1_200_000).cast("string"), F.lit(";b&#x"), F.lower(F.hex(d * 91 % 70_000)), F.lit("&#"), (d % 200).cast("string"), F.lit(" &"), name(d), F.lit("tail; &"), name(d * 7))
+    return read(spark, sf_dir, "documents", "doc_id", "text").filter("text IS NOT NULL").select("doc_id", R.unescape(text).alias("text"))
+
+
 _ROLL = "list_reduce(list_prepend(CAST({start} AS HUGEINT), list_transform(string_split({seed}, ''), lambda c: CAST(CASE WHEN c = '' THEN 0 ELSE unicode(c) END AS HUGEINT))), lambda a, c: (a * {factor} + c) % 4294967296)"
 _SEED = "(source || '::' || coalesce(lang, '') || '::' || coalesce(n_chars, 0))"
 

@@ -1,11 +1,15 @@
 """Library tables, backups, settings and voice packs on small fixtures."""
 
 import json
+import re
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import library as B
 from quire.operators import pages as P
+from quire.operators.catalog import rank_candidates
 from quire.sources import books, voices
 
 BOOK = "id string, title string, rate double, sections array<struct<title:string,text:string>>"
@@ -16,10 +20,43 @@ def test_migration_and_backup_round_trip(spark, tmp_path):
     meta, contents = B.migrate_inline(old)
     assert {(r.id, r.section_count) for r in meta.collect()} == {("a", 1), ("b", 0)} and "sections" not in meta.columns
     assert [r.id for r in contents.collect()] == ["a"]
-    B.export_backup(meta, contents, str(tmp_path / "b"))
-    spark.createDataFrame([("c", "other", 1)], "id string, format string, version int").write.mode("append").json(str(tmp_path / "b"))
-    got = B.restore_backup(spark, str(tmp_path / "b"), BOOK).collect()
-    assert [(r.id, r.rate, r.sections[0].text) for r in got] == [("a", 1.7, "t")]
+    path = str(tmp_path / "b")
+    assert B.export_backup(meta, contents, path, settings='{"tone":"dark"}', app_version="2.0") == 2
+    saved = []
+    got = B.restore_backup(spark, path, BOOK, lambda books: saved.extend(books.collect()) or books)
+    assert [(r.id, r.rate, r.sections[0].text) for r in saved] == [("a", 1.7, "t")]
+    assert (got.restored, got.skipped, got.settings) == (1, 1, '{"tone":"dark"}') and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z", got.exported_at)
+    about = json.loads(next((tmp_path / "b" / "v1" / "manifest").glob("*.json")).read_text())
+    assert about == {"format": B.BACKUP_FORMAT, "version": 1, "appVersion": "2.0", "exportedAt": got.exported_at, "settings": '{"tone":"dark"}', "books": 2}
+
+
+def test_half_written_and_strange_backups(spark, tmp_path):
+    """A version without manifest is not read, an older whole one is; another format is refused."""
+    book = spark.createDataFrame([("a", "A", 1.0, [("s", "t")]), (None, "N", 1.0, [("s", "t")]), ("", "E", 1.0, [("s", "t")])], BOOK)
+    meta, contents = B.migrate_inline(book)
+    path, keep = str(tmp_path / "b"), lambda books: spark.createDataFrame(books.collect(), books.schema)
+    with pytest.raises(ValueError, match="no whole backup"):
+        B.restore_backup(spark, path, BOOK, keep)
+    B.export_backup(meta, contents, path)
+    B.export_backup(meta.limit(0), contents.limit(0), path)
+    assert (B.restore_backup(spark, path, BOOK, keep).restored, B.restore_backup(spark, path, BOOK, keep, version=1).restored) == (0, 1)
+    shutil.rmtree(tmp_path / "b" / "v2" / "manifest")
+    got = B.restore_backup(spark, path, BOOK, keep)
+    assert ([r.id for r in got.books.collect()], got.skipped, got.settings) == (["a"], 2, None)
+    manifest = next((tmp_path / "b" / "v1" / "manifest").glob("*.json"))
+    for crc in manifest.parent.glob(".*.crc"):
+        crc.unlink()
+    manifest.write_text(manifest.read_text().replace(B.BACKUP_FORMAT, "other"))
+    with pytest.raises(ValueError, match="not a backup"):
+        B.restore_backup(spark, path, BOOK, keep)
+
+
+def test_missing_assets_and_candidates(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "name string, part int")
+    got = B.missing_from(frame([("a", 1), ("a", 1), ("b", None), ("c", 2)]), frame([("a", 1), ("c", 2), ("c", 2), ("d", 1)]))
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 1), ("b", None)]
+    ranked = rank_candidates(spark.createDataFrame([("b", 2), ("c", 5), ("a", 2)], "id string, score int"))
+    assert [r.id for r in ranked.collect()] == ["c", "a", "b"]
 
 
 def test_settings(spark):
