@@ -87,13 +87,13 @@ def split_sections_by_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     A heading starts a section; so does a length, at the end of a sentence or at a hard limit. The fold
     runs over one array of pages per book and carries lengths and flags; texts are joined behind it.
     """
-    flagged = pages.withColumn("text", T.js_trim(F.col("text"))).withColumn("heading", detect_page_heading(F.col("text")))
+    line = W.partitionBy(key).orderBy("page_number").rowsBetween(W.unboundedPreceding, -1)
+    flagged = pages.withColumn("text", T.js_trim(F.coalesce("text", F.lit("")))).withColumn("heading", detect_page_heading(F.col("text")))
+    flagged = flagged.withColumn("__before", F.coalesce(F.last(F.nullif(F.col("text"), F.lit("")), ignorenulls=True).over(line), F.lit("")))  # past blank pages
     first_line, last_line = F.substring_index("text", "\n", 1), F.element_at(F.split("text", "\n"), -1)
     page = F.struct("page_number", "text", "ocr_used", "heading", F.length("text").alias("len"), T.has_strong_ending(F.col("text")).alias("strong"), T.is_short_heading(last_line).alias("heads"), T.is_heading_line(first_line).alias("starts"))
-    books = flagged.groupBy(key).agg(F.array_sort(F.collect_list(page)).alias("__pages"))
-    before = F.concat(F.array(F.lit("")), F.slice(F.transform("__pages", lambda p: p.text), 1, F.greatest(F.size("__pages") - 1, F.lit(0))))
-    joined = F.zip_with("__pages", before, lambda p, b: F.struct(p.alias("p"), F.when(T.needs_space(b, p.text), " ").otherwise("").alias("blank")))
-    books = books.withColumn("__items", joined)
+    blank = F.when(T.needs_space(F.col("__before"), F.col("text")), " ").otherwise("").alias("blank")
+    books = flagged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(page.alias("p"), blank))).alias("__items"))
 
     def new(s: Column, x: Column) -> Column:
         clean = s.strong & ((s.len > PAGE_SOFT_CHARS) | (s.pages >= PAGE_SOFT_PAGES))

@@ -145,9 +145,14 @@ def by_pages(spark, sf_dir):
 
 @query("d13_repaired")
 def repaired(spark, sf_dir):
+    """Every row on its own, those too that share an id: rows are numbered once, in a table."""
     from quire.operators.repair import repair_line_breaks
+    from quire.plans.stream_queries import place_for
 
-    return repair_line_breaks(read(spark, sf_dir, "documents", "doc_id", "text").dropDuplicates(["doc_id"]))
+    path = place_for(spark, "numbered")
+    read(spark, sf_dir, "documents", "doc_id", "text").withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    return rows.select("row", "doc_id").join(repair_line_breaks(rows, "row"), "row").drop("row")
 
 
 @query("d15_d17_c03_c05_normalized")
@@ -160,12 +165,12 @@ def normalized(spark, sf_dir):
 
 @query("d19_merged_spine")
 def merged_spine(spark, sf_dir):
-    """Every host as a book, its pages in order as spine items."""
+    """The pages of a host as books of up to a hundred spine items, by page ids."""
     from pyspark.sql import Window as W
 
     from quire.functions import reading as R
 
-    pages = read(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("doc_id", F.regexp_extract("url", "://([^/?#]*)", 1))
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("doc_id", F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("#"), F.floor(F.col("page_id") / 100).cast("string")))
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("page_id")) - 1
     spine = pages.select("doc_id", order.alias("spine_index"), F.regexp_extract("url", "([^/?#]*)[?#]*$", 1).alias("title"), F.regexp_extract("url", "://[^/]*/([^/?#]*)/", 1).alias("toc_title"), R.html_to_text(F.col("html")).alias("text"))
     return X.merge_spine_sections(spine)
