@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,11 +38,14 @@ def streamed(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern it may be a file
 
 
-def drained(frame: DataFrame, name: str) -> DataFrame:
-    """What the stream ``frame`` gives once it has taken in all that is there."""
+def drained(frame: DataFrame, name: str, typed: bool = True) -> DataFrame:
+    """What the stream ``frame`` gives once it has taken in all that is there; ``typed`` if it keeps state variables.
+
+    The store of state variables takes a few MB of disk for each partition and side, however little it holds.
+    """
     spark = frame.sparkSession
     place = place_for(spark, name)
-    with typed_state(spark):
+    with typed_state(spark) if typed else nullcontext():
         query_ = frame.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
         query_.awaitTermination()
     return spark.read.schema(frame.schema).parquet(f"{place}/out")
@@ -137,11 +141,11 @@ def waiting_readers(spark, sf_dir):
 @query("k10_readers_stream", f"{_RESUMED} WHERE a.ts IS NOT NULL OR w.ts + INTERVAL 3 DAYS < now")
 def readers_stream(spark, sf_dir):
     """Without readers for whom a section may still come."""
-    out = drained(R.resumed_readers(*_sides(_events(spark, sf_dir)), within="3 days", watermark="0 seconds"), "resumed")
+    out = drained(R.resumed_readers(*_sides(_events(spark, sf_dir)), within="3 days", watermark="0 seconds"), "resumed", typed=False)
     return out.select("book_id", "last_section", "seq", "section_no", F.unix_millis("resumed_at").alias("resumed_ms"))
 
 
 @query("k12_windows_stream", f"WITH {_E} SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM e CROSS JOIN last WHERE epoch_ms(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) + 86400000 <= now GROUP BY 1, 2")
 def windows_stream(spark, sf_dir):
     """Days that the watermark has passed."""
-    return drained(I.windowed_counts(_events(spark, sf_dir), "1 day", by="event_type", watermark="0 seconds"), "windows")
+    return drained(I.windowed_counts(_events(spark, sf_dir), "1 day", by="event_type", watermark="0 seconds"), "windows", typed=False)
