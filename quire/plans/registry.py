@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
@@ -24,9 +25,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Columns of whole texts, on which much work is done for each row.
+TEXTS = {"text", "html"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if TEXTS & set(df.columns) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew if fewer tasks than the cluster runs at once would have rows: a file with one row group is one task.
+
+    Rows are counted from the files' footers. A table of as many row groups as cores, as any large one is, is left as it lies.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    full = df.select(F.spark_partition_id().alias("task")).groupBy("task").count().limit(wanted).count()
+    return df.repartition(wanted) if 0 < full < wanted else df
 
 
 def q(s: str) -> str:
