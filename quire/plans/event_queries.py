@@ -276,3 +276,6 @@ def best_candidate(spark, sf_dir):
     return f(rows, "conv_id", order=["turn", "role"]).select("conv_id", "turn", F.round("score", 6).alias("score"), "retry")
 
 
+@query("h06_first_events", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 8")
+def first_events(spark, sf_dir):
+    return B.first_n(read(spark, sf_dir, "events", "user_id", "event_id", "ts"), "user_id", order=[F.col("ts"), F.col("event_id")], n=8).select("user_id", "event_id")

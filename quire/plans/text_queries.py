@@ -9,6 +9,7 @@ from quire.functions import text as T
 from quire.operators import lines as L
 from quire.plans import registry as S
 from quire.plans.registry import q, query, read
+from quire.sources.books import fallback_file_key, read_spine, read_text_items, read_toc, route_formats
 
 
 @query(
@@ -139,8 +140,9 @@ FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '.TXT' WHEN 1 THEN './
 def paths(spark, sf_dir):
     u, n = F.col("url"), F.col("page_id") % 4
     marked = F.when(n == 0, F.concat(u, F.lit(".TXT"))).when(n == 1, F.concat(F.lit("./"), u, F.lit("#x.epub"))).when(n == 2, F.concat(u, F.lit(".md"))).otherwise(u)
-    pages = read(spark, sf_dir, "pages", "page_id", "url").withColumn("url", marked)
-    return pages.select("page_id", R.strip_extension(u).alias("stem"), R.get_extension(u).alias("extension"), R.guess_mime(u).alias("mime"), R.book_format(u).alias("format"), R.book_format(u).isNull().alias("rejected"), R.normalize_href(u).alias("href"))
+    fine, bad = route_formats(read(spark, sf_dir, "pages", "page_id", "url").withColumn("url", marked), "url")
+    pages = fine.withColumn("rejected", F.lit(False)).unionByName(bad.withColumn("rejected", F.lit(True)), allowMissingColumns=True)
+    return pages.select("page_id", R.strip_extension(u).alias("stem"), R.get_extension(u).alias("extension"), R.guess_mime(u).alias("mime"), "format", "rejected", R.normalize_href(u).alias("href"))
 
 
 def _unescaped(rows: str, key: str) -> str:
@@ -261,3 +263,42 @@ def text_quality(spark, sf_dir):
 def rejoined(spark, sf_dir):
     lines = L.non_empty(L.explode_lines(read(spark, sf_dir, "documents", "doc_id", "text")), "line")
     return L.concat_ordered(lines, "doc_id", "line_no", "line", "\n").withColumn("line", F.md5("line")).withColumnRenamed("line", "text")
+
+
+@query("a06_fallback_keys", f"""SELECT page_id, 'meta-' || lower(to_base(CAST({_ROLL.format(start=5381, seed="(url || '::' || length(html) || '::' || coalesce(page_id * 1000, 0))", factor=33)} AS BIGINT), 36)) || '-' || length(html) AS file_key FROM pages""")
+def fallback_keys(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return pages.select("page_id", fallback_file_key(F.col("url"), F.length("html"), F.col("page_id") * 1000).alias("file_key"))
+
+
+@query("a05_spine_and_toc", """SELECT 'b' || page_id // 10 AS doc_id, CAST(page_id % 10 AS INTEGER) AS spine_index, url AS href, length(html) AS chars, CASE WHEN page_id % 3 = 0 THEN 'Entry ' || page_id END AS label FROM pages""")
+def spine_and_toc(spark, sf_dir):
+    """Both tables written and read again by their readers; other columns of the files are left aside."""
+    from quire.plans.stream_queries import place_for
+
+    place = place_for(spark, "spine")
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    book = F.concat(F.lit("b"), F.floor(F.col("page_id") / 10).cast("string")).alias("doc_id")
+    at = (F.col("page_id") % 10).cast("int")
+    pages.select(book, at.alias("spine_index"), F.col("url").alias("href"), "html", F.lit(1).alias("more")).write.parquet(f"{place}/spine")
+    pages.filter("page_id % 3 = 0").select(book, F.array(at).alias("path"), F.concat(F.lit("Entry "), F.col("page_id").cast("string")).alias("label"), F.col("url").alias("href")).write.parquet(f"{place}/toc")
+    spine, toc = read_spine(spark, f"{place}/spine"), read_toc(spark, f"{place}/toc").withColumn("spine_index", F.get("path", F.lit(0)))
+    return spine.join(toc.drop("path", "href"), ["doc_id", "spine_index"], "left").select("doc_id", "spine_index", "href", F.length("html").alias("chars"), "label")
+
+
+@query("a04_d01_read_items", "SELECT 'v' || vec_id AS doc_id, count(*) AS items, count(*) FILTER (i % 4 <> 1) AS visible FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY vec_id")
+def read_items(spark, sf_dir):
+    """Components of vectors as items of a page, blank ones among them, through the reader of items."""
+    from quire.plans.stream_queries import place_for
+
+    path = place_for(spark, "items")
+    items = read(spark, sf_dir, "embeddings", "vec_id", "embedding").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    items.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("doc_id"), F.lit(1).alias("page_number"), F.col("i").alias("item_no"), F.when(F.col("i") % 4 == 0, " ").otherwise("w").alias("str"), F.col("x").cast("double").alias("x"), F.lit(0.0).alias("y")).write.parquet(path)
+    return read_text_items(spark, path).groupBy("doc_id").agg(F.count("*").alias("items"), F.count_if(T.js_trim(F.col("str")) != "").alias("visible"))
+
+
+@query("b33_section_labels", """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '第 ' || (doc_id % 7 + 1) || ' 章' ELSE '正文' END || ' · ' || source || CASE WHEN coalesce(lang, '') <> '' AND lang <> source THEN ' · ' || lang ELSE '' END || ' · ' || n_chars || ' 段' AS label FROM documents""")
+def section_labels(spark, sf_dir):
+    d = F.col("doc_id")
+    label = R.section_label(d % 7, d % 3 + 1, F.col("source"), F.col("lang"), F.col("n_chars"))
+    return read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars").select("doc_id", label.alias("label"))

@@ -161,7 +161,7 @@ def complete(spark, sf_dir):
 
 
 @query("e05_e13_a07_library", """WITH old AS (SELECT o_custkey AS id, min(o_orderdate) AS added_at, count(*) AS section_count FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), inc AS (SELECT o_custkey AS id, count(*) AS section_count FROM orders WHERE o_orderkey % 5 = 1 GROUP BY 1)
-SELECT id, coalesce(inc.section_count, old.section_count) AS section_count, coalesce(added_at, TIMESTAMP '2020-01-01') AS added_at, CASE WHEN inc.id IS NOT NULL THEN TIMESTAMP '2020-01-01' ELSE added_at END AS last_opened_at FROM old FULL JOIN inc USING (id) WHERE id % 10 <> 0""")
+SELECT id, coalesce(inc.section_count, old.section_count) AS section_count, coalesce(added_at, TIMESTAMP '2020-01-01') AS added_at, CASE WHEN inc.id IS NOT NULL THEN TIMESTAMP '2020-01-01' ELSE added_at END AS last_opened_at, CAST(coalesce(inc.section_count, CASE WHEN id % 3 > 0 THEN old.section_count ELSE 0 END) AS INTEGER) AS loaded FROM old FULL JOIN inc USING (id) WHERE id % 10 <> 0""")
 def library(spark, sf_dir):
     from quire.operators import library as B
 
@@ -173,5 +173,17 @@ def library(spark, sf_dir):
     now = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
     after = B.upsert_meta(meta, incoming, now)
     gone = after.filter("id % 10 = 0").select("id")
-    kept, _ = B.delete_books(after, after.select("id"), gone)
-    return kept.select("id", "section_count", "added_at", "last_opened_at")
+    sections = lambda rows: rows.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list("o_orderkey").alias("sections"))  # noqa: E731  the orders of one customer
+    contents = B.upsert_contents(sections(orders.filter("o_orderkey % 2 = 0 AND o_custkey % 3 > 0")), sections(orders.filter("o_orderkey % 5 = 1")))
+    books = B.load_books(*B.delete_books(after, contents, gone))
+    return books.select("id", "section_count", "added_at", "last_opened_at", F.size("sections").alias("loaded"))
+
+
+@query("b31_voice_uris", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN NULL WHEN c_custkey % 4 = 3 THEN NULL ELSE 'p' || c_nationkey END AS pack, CASE WHEN c_custkey % 4 IN (1, 3) THEN NULL ELSE c_name || CASE WHEN c_custkey % 4 = 2 THEN ':' || c_custkey ELSE '' END END AS voice FROM customer""")
+def voice_uris(spark, sf_dir):
+    """Addresses of pack voices, with colons in the name too; of other voices; and without a voice."""
+    n = F.col("c_custkey") % 4
+    pack = F.concat(F.lit("pack:p"), F.col("c_nationkey").cast("string"))
+    uri = F.when(n == 1, F.concat(F.lit("bridge:"), F.col("c_name"))).when(n == 3, pack).when(n == 2, F.concat(pack, F.lit(":"), F.col("c_name"), F.lit(":"), F.col("c_custkey").cast("string"))).otherwise(F.concat(pack, F.lit(":"), F.col("c_name")))
+    parsed = R.parse_voice_uri(uri)
+    return read(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_name").select("c_custkey", parsed.pack.alias("pack"), parsed.voice.alias("voice"))
