@@ -38,7 +38,7 @@ SILENT = set("noscript template object svg math canvas audio video select datali
 #: What a head can hold; any other element ends it. A block inside these others ends them.
 IN_HEAD, BROKEN_OFF = set("head base basefont bgsound link meta noscript template".split()), {"svg", "math", "select"}
 #: Elements that are never part of an article.
-OUTSIDE = set("nav footer aside form menu dialog button fieldset".split())
+OUTSIDE = set("nav footer aside form menu dialog button fieldset label legend output progress meter".split())
 ROLES = set("navigation banner contentinfo search complementary dialog alert alertdialog menu menubar form".split())
 #: Words of a class or id that name something outside the article.
 NAMES_OUTSIDE = set(
@@ -171,7 +171,7 @@ def parse(html: str) -> tuple[list[Container], list[Block]]:
                 pass
             elif hidden:
                 stack.append((tag, stack[-1][1], True))
-            elif tag in SILENT or (m["attrs"] and tag != "a" and re.search(r"class|id|hidden|role|style", m["attrs"])):
+            elif tag in SILENT or tag in OUTSIDE or (m["attrs"] and tag != "a" and re.search(r"class|id|hidden|role|style", m["attrs"])):
                 attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m["attrs"])}
                 if _outside(tag, attrs, articles > 0):
                     flush()
