@@ -16,6 +16,7 @@ import functools
 import re
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,6 +207,15 @@ FORMS = [
 ]
 
 
+#: What an identifier may end in, and that nothing of a longer one follows.
+LATER = r"(?:-only|-or-later|\+)?(?![\w-]|\.\d)"
+
+
+def _number(version: str) -> str:
+    """``2.0`` as it is written: a last zero may be left out."""
+    return re.escape(version.removesuffix(".0")) + (r"(?:\.0)?" if version.endswith(".0") else "")
+
+
 class Rule(NamedTuple):
     name: str
     label: str
@@ -217,7 +227,10 @@ class Rule(NamedTuple):
 
 def rules() -> list[Rule]:
     """All rules in order: tags, license sentences, then the forms of every name."""
-    out = [Rule(f"tag:{x}", x, b"spdx-license-identifier", rf"spdx-license-identifier: ?{re.escape(x)}(?![\w.-])".encode(), 0, 1.0) for x in dict.fromkeys(f[0] for f in FAMILIES)]
+    ids = dict.fromkeys(f[0] for f in FAMILIES)
+    out = [Rule(f"tag:{x}", x, b"spdx-license-identifier", rf"spdx-license-identifier: ?\(?{re.escape(x)}{LATER}".encode(), 0, 1.0) for x in ids]
+    out += [Rule(f"id:{x}", x, x.encode(), f"{re.escape(x)}{LATER}".encode(), 2, 0.9) for x in ids if re.search(r"[a-z].*-\d", x)]
+    out += [Rule(f"short:{x}", x, x.partition("-")[0].encode(), rf"{x.partition('-')[0]}[ -]?v?\.? ?{_number(x.partition('-')[2])}{LATER}".encode(), 3, 0.8) for x in ids if re.fullmatch(r"[al]?gpl-\d\.\d", x)]
     out += [Rule(f"text:{label}:{i}", label, key.encode(), pattern.encode(), 1, 0.95) for i, (label, key, pattern) in enumerate(SENTENCES)]
     names = list(FAMILIES)
     for code, words in CC_TERMS.items():
@@ -229,19 +242,26 @@ def rules() -> list[Rule]:
     for label, key, name in names:
         for form, priority, confidence, pattern in FORMS:
             out.append(Rule(f"{form}:{label}", label, key.encode(), pattern.replace("{name}", f"(?:{name})").replace("{v}", _V).encode(), priority, confidence))
-        if label.startswith("cc-") or "licen" in name:  # names that need no word behind them
+        if label.startswith("cc-") or "licen" in name or "clause" in name:  # names that need no word behind them
             out.append(Rule(f"code:{label}", label, key.encode(), name.encode(), 6, 0.6))
     return out
 
 
+def squeezed(low: bytes) -> tuple[bytes, np.ndarray]:
+    """``low`` with one space for each run of white space, and where each of its bytes was."""
+    raw = np.frombuffer(low, np.uint8)
+    white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    places = np.flatnonzero(~(white & np.concatenate(([False], white[:-1]))))
+    return np.where(white, np.uint8(32), raw)[places].tobytes(), places
+
+
 class Scanner:
     """Keyword automaton and compiled rules; one per Python worker."""
 
     def __init__(self, phrases: tuple[tuple[str, str], ...]):
         import ahocorasick
 
-        wide = lambda p: p.replace(b" ?", b"\0").replace(b" ", b" +").replace(b"\0", b" *")  # noqa: E731  any run of white space
-        self.rules = [(r, re.compile(rb"(?<![a-z0-9])" + wide(r.pattern))) for r in rules()]
+        self.rules = [(r, re.compile(rb"(?<![a-z0-9])" + r.pattern)) for r in rules()]
         gates: dict[str, list[int]] = {}
         for i, (r, _) in enumerate(self.rules):
             gates.setdefault(b" ".join(r.keyword.translate(LOWER_WORDS).split()).decode(), []).append(i)
@@ -256,8 +276,8 @@ class Scanner:
         gate = {k: ids for _, (k, ids) in self.keywords.iter(words.decode("latin-1"))}
         if not gate:
             return []
-        flat = re.sub(rb"[\t\n\r\x0b\x0c]", b" ", low)
-        hits = [(r, m.start(), m.end()) for i in sorted(i for ids in gate.values() for i in ids) for r, p in [self.rules[i]] for m in p.finditer(flat)]
+        flat, places = squeezed(low)
+        hits = [(r, int(places[m.start()]), int(places[m.end() - 1]) + 1) for i in sorted(i for ids in gate.values() for i in ids) for r, p in [self.rules[i]] for m in p.finditer(flat)]
         hits.sort(key=lambda h: (h[0].priority, h[1] - h[2], h[1], h[0].name))
         taken: list[tuple[Rule, int, int]] = []
         starts: list[int] = []  # of the spans taken that lie in no other one: both ends ascend

@@ -1,6 +1,7 @@
 """Operators that judge each row alone: URL filter, BPE, HTML, licenses."""
 
 import hashlib
+import time
 
 import public_tokenizers
 import pytest
@@ -133,6 +134,36 @@ def test_rules_are_hundreds_and_contained_ones_are_dropped():
     assert [r.label for r, _, _ in found] == ["gpl-2.0"]
 
 
+FORMS = {
+    "Apache-2.0": "apache-2.0",
+    "under BSD-3-Clause.": "bsd-3-clause",
+    "BSD 3-Clause": "bsd-3-clause",
+    "GPLv2+": "gpl-2.0",
+    "GPL v3 or LGPLv2.1+": "gpl-3.0,lgpl-2.1",
+    "AGPLv3": "agpl-3.0",
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0",
+    "SPDX-License-Identifier: (LGPL-2.1-or-later OR MPL-2.0)": "lgpl-2.1,mpl-2.0",
+    "Apache-2.0.1": "",
+    "GPLv20": "",
+    "xGPLv2": "",
+    "MPL-2.0-like": "",
+}
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_short_forms(text):
+    low = text.encode().translate(licenses.LOWER)
+    words = b" " + b" ".join(text.encode().translate(licenses.LOWER_WORDS).split()) + b" "
+    assert ",".join(sorted({r.label for r, _, _ in licenses.scanner(()).detections(low, words)})) == FORMS[text]
+
+
+def test_blanks_take_time_in_proportion_and_spans_count_them():
+    text = b"gpl" + b" " * 1_000_000 + b"licensed \t\n under the  mit\r\nlicense."
+    began = time.time()
+    found = licenses.scanner(()).detections(text, b" gpl licensed under the mit license ")
+    assert [text[a:b].split() for _, a, b in found] == [b"licensed under the mit license".split()] and time.time() - began < 5
+
+
 @pytest.mark.parametrize("text", ["mit license " * 3, ("x " * 50_000) + "mit license"])
 def test_base_places(text):
     words = text.split()
@@ -177,6 +208,8 @@ MARKUP = {
     "<svg/><p>yes": ["yes"],
     "<script src=x />no</script><p>yes": ["yes"],
     "<object>no<p>no</p></object>yes": ["yes"],
+    "<p>a<button>no <b>no</b></button> b": ["a", "b"],
+    "<p>a <label>no</label><output>no</output>b</p><fieldset><legend>no</legend></fieldset>": ["a", "b"],
     '<div class="sidebar-content">no</div><div id="nav2"><p>no</p></div><p>yes': ["yes"],
 }
 
