@@ -3,6 +3,6 @@
 
 def load():
     """The registry with all queries."""
-    from quire.plans import event_queries, flagship, media_queries, registry, section_queries, segment_queries, stream_queries, text_queries, voice_queries  # noqa: F401
+    from quire.plans import event_queries, flagship, media_queries, registry, section_queries, segment_queries, source_queries, stream_queries, text_queries, voice_queries  # noqa: F401
 
     return registry
