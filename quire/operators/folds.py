@@ -26,7 +26,7 @@ def elements(texts: Column, **more: Callable[[Column, Column], Column]) -> Colum
     """
 
     def one(x: Column, before: Column) -> Column:
-        flags = {"t": x, "len": F.length(x), "strong": T.has_strong_ending(x), "standalone": T.is_standalone(x), "colon": x.rlike(T.STANDALONE[0]), "space": T.needs_space(before, x)}
+        flags = {"t": x, "len": F.length(x), "strong": T.has_strong_ending(x), "standalone": T.is_standalone(x), "colon": T.has(x, T.STANDALONE[0]), "space": T.needs_space(before, x)}
         flags |= {name: f(x, before) for name, f in more.items()}
         return F.struct(*(c.alias(name) for name, c in flags.items()))
 

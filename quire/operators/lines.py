@@ -31,7 +31,7 @@ def is_noise(line: Column, near_edge: Column) -> Column:
     def noise(x: Column) -> Column:
         scrap = near_edge & (F.length(x.t) <= 8) & (x.meaningful <= 4)
         symbols = (x.meaningful <= 6) & (T.symbol_ratio(x.t) > 0.5)
-        return (x.t != "") & (x.t.rlike(T.NOISE_LINE) | scrap | symbols)
+        return (x.t != "") & (T.has(x.t, T.NOISE_LINE) | scrap | symbols)
 
     return T.let(T.normalize_whitespace(line), lambda t: T.let(F.struct(t.alias("t"), T.count_meaningful(t).alias("meaningful")), noise))
 
@@ -76,7 +76,7 @@ def concat_ordered(df: DataFrame, key: str, order: str, text: str, sep: str) ->
 
 
 def is_toc_line(c: Column) -> Column:
-    return c.rlike(T.TOC_LINE)
+    return T.has(c, T.TOC_LINE)
 
 
 def _lines_of(c: Column) -> Column:
@@ -96,7 +96,7 @@ def flag_toc_blocks(blocks: DataFrame, block: str = "block") -> DataFrame:
 def drop_blocks(blocks: DataFrame, block: str = "block") -> DataFrame:
     """Without empty blocks, page numbers, reference headings, short boilerplate and tables of contents."""
     t = T.clean_display_text(F.col(block))
-    gone = (t == "") | t.rlike(T.PAGE_ARTIFACT) | t.rlike(T.REFERENCE_HEADING) | ((F.length(t) <= 96) & t.rlike(T.BOILERPLATE_LINE)) | is_toc_block(t)
+    gone = (t == "") | T.has(t, T.PAGE_ARTIFACT) | T.has(t, T.REFERENCE_HEADING) | ((F.length(t) <= 96) & T.has(t, T.BOILERPLATE_LINE)) | is_toc_block(t)
     return blocks.filter(~gone)
 
 
@@ -131,7 +131,7 @@ def low_quality(c: Column) -> Column:
 
     def judged(t: Column) -> Column:
         lines = _lines_of(c)
-        stats = F.struct(t.alias("t"), F.length(F.regexp_replace(t, T.WS, "")).alias("compact"), T.count_meaningful(t).alias("meaningful"), F.size(lines).alias("lines"), lines.alias("all"))
+        stats = F.struct(t.alias("t"), F.length(T.replace(t, f"{T.WS}+", "")).alias("compact"), T.count_meaningful(t).alias("meaningful"), F.size(lines).alias("lines"), lines.alias("all"))
         return T.let(stats, poor)
 
     def poor(x: Column) -> Column:
@@ -142,7 +142,7 @@ def low_quality(c: Column) -> Column:
             | ((x.compact >= 30) & (x.meaningful / F.greatest(x.compact, F.lit(1)) < 0.45))
             | ((x.lines >= 12) & (average < 5))
             | ((x.lines >= 8) & (tiny > 0.45))
-            | x.t.rlike(MOJIBAKE)
+            | T.has(x.t, MOJIBAKE)
             | (T.symbol_ratio(x.t, "page") > 0.32)
         )
 

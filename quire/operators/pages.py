@@ -53,7 +53,7 @@ def best_candidate(attempts: DataFrame, key: str, order: list[str], text: str =
 def narrow_language(pages: DataFrame, key: str, text: str = "text", mixed: str = "eng+chi_sim") -> DataFrame:
     """``key, language``: the recognition models that the first page with enough text asks for."""
     c = F.col(text)
-    cjk, latin = F.regexp_count(c, F.lit(f"[{T.CJK}]")), F.regexp_count(c, F.lit("[A-Za-z]"))
+    cjk, latin = T.count(c, f"[{T.CJK}]"), T.count(c, "[A-Za-z]")
     total = cjk + latin
     language = F.when(cjk >= total * 0.85, "chi_sim").when(cjk >= total * 0.4, "chi_sim+eng").when(latin >= total * 0.95, "eng").otherwise(mixed)
     fit = pages.filter((T.count_meaningful(c) >= 60) & (total > 0))

@@ -69,7 +69,7 @@ def chunk_by_length(df: DataFrame, column: str, out: str, target: int = TARGET_C
 def detect_page_heading(text: Column, first_n: int = 10) -> Column:
     """The first of the first lines of a page that reads like a heading, or null."""
     lines = F.slice(F.filter(F.transform(F.split(text, "\n"), T.js_trim), lambda x: x != ""), 1, first_n)
-    return F.get(F.filter(lines, lambda x: x.rlike(T.PAGE_HEADING)), F.lit(0))
+    return F.get(F.filter(lines, lambda x: T.has(x, T.PAGE_HEADING)), F.lit(0))
 
 
 def strip_leading_heading(text: Column, title: Column) -> Column:
@@ -121,7 +121,7 @@ def split_sections_by_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def section_line_stats(lines: DataFrame, *key: str, line: str = "line") -> DataFrame:
     """Per section: lines, boilerplate and table-of-contents lines, and whether all are one of them."""
-    boiler, toc = F.col(line).rlike(T.BOILERPLATE_LINE), is_toc_line(F.col(line))
+    boiler, toc = T.has(F.col(line), T.BOILERPLATE_LINE), is_toc_line(F.col(line))
     return lines.groupBy(*key).agg(F.count("*").alias("n_lines"), F.count_if(boiler & (F.length(line) <= 120)).alias("boilerplate"), F.count_if(toc).alias("toc"), F.bool_and(boiler | toc).alias("all_furniture"))
 
 

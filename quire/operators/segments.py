@@ -50,9 +50,9 @@ def segments(c: Column) -> Column:
 
 
 def keeps_period(before: Column, x: Column) -> Column:
-    out = (before.rlike(r"[0-9]\.\z") & x.rlike(r"\A[0-9]")) | (before.rlike(SHORT_WORD_PERIOD) & x.rlike(r"\A[a-z]"))
+    out = (T.has(before, r"[0-9]\.\z") & T.has(x, r"\A[0-9]")) | (T.has(before, SHORT_WORD_PERIOD) & T.has(x, r"\A[a-z]"))
     for p in KEEPS_PERIOD:
-        out = out | before.rlike(p)
+        out = out | T.has(before, p)
     return out
 
 
@@ -62,7 +62,7 @@ def merge_fragments(df: DataFrame, pieces: str, out: str, min_len: int = SHORT_F
     def new(s: Column, x: Column) -> Column:
         return ~(x.keeps | ~s.strong | ((s.len < min_len) & ~s.alone) | x.continues)
 
-    return folds.fold(df, pieces, out, new, keeps=lambda x, b: keeps_period(b, x), continues=lambda x, b: x.rlike(CONTINUES))
+    return folds.fold(df, pieces, out, new, keeps=lambda x, b: keeps_period(b, x), continues=lambda x, b: T.has(x, CONTINUES))
 
 
 def sentences(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -78,7 +78,7 @@ def merge_wrapped_lines(df: DataFrame, block: str, out: str) -> DataFrame:
     short = F.size(F.filter(lines, lambda x: F.length(x) <= 48))
     soft = F.size(F.filter(lines, lambda x: ~T.has_strong_ending(x)))
     staged = staged.withColumn("__mode", wrapped(n, total / F.greatest(n, F.lit(1)), short, soft))
-    cut = lambda x: F.regexp_replace(x, rf"-{T.WS}*\z", "")
+    cut = lambda x: T.replace(x, rf"-{T.WS}*\z", "")
     staged = staged.withColumn("__items", folds.elements(lines, cut=lambda x, b: cut(x), hard=lambda x, b: T.is_hard_break(x), blank=lambda x, b: T.needs_space(cut(b), x)))
 
     def new(s: Column, x: Column) -> Column:

@@ -30,7 +30,8 @@ def cleaning(spark, sf_dir):
 )
 def counts(spark, sf_dir):
     c = F.col("text")
-    ratios = [F.round(T.symbol_ratio(c, v), 9).alias(f"{v}_symbols") for v in ("line", "page", "candidate")]
+    compact = T.replace(c, f"{T.WS}+", "")
+    ratios = [F.round(T.symbol_ratio(c, v, compact), 9).alias(f"{v}_symbols") for v in ("line", "page", "candidate")]
     return read(spark, sf_dir, "documents").select("doc_id", T.count_meaningful(c).alias("meaningful"), *ratios, T.detect_lang(c).alias("lang"), T.has_strong_ending(c).alias("strong"), T.has_strong_ending(c, dot_is_strong=True).alias("strong_dot"))
 
 
@@ -47,7 +48,7 @@ SELECT doc_id, line_no, s AS stripped, {S.readable('s')} AS display, {S.rr('t',
 )
 def references(spark, sf_dir):
     """The lines that the SQL can follow; ``b05_b08_all_lines`` has all."""
-    return _references(_marked_lines(spark, sf_dir).filter(~F.col("line").rlike(rf"^{T.WS}*[0-9]|[(（【\[][0-9]")))
+    return _references(_marked_lines(spark, sf_dir).filter(~T.has(F.col("line"), rf"^{T.WS}*[0-9]|[(（【\[][0-9]")))
 
 
 @query("b05_b08_all_lines")
