@@ -247,11 +247,13 @@ SPACE_LEFT = r"[A-Za-z0-9](?:[.!?;:,][\"”’')\]]*)?\z"
 
 def needs_space(left: Column, right: Column) -> Column:
     def ends(t: Column) -> Column:
-        bare = F.rtrim(t, F.lit(CLOSERS))
-        alnum = lambda at: has(F.substring(bare, at, 1), "[A-Za-z0-9]")
-        return ((bare == t) & alnum(-1)) | (F.right(bare, F.lit(1)).isin(*".!?;:,") & (F.length(bare) > 1) & alnum(-2))
+        return let(F.struct(t.alias("t"), F.rtrim(t, F.lit(CLOSERS)).alias("bare")), bare_ends)
 
-    return has(F.left(js_trim(right), F.lit(1)), "[A-Za-z0-9]") & ends(js_trim(left))
+    def bare_ends(x: Column) -> Column:
+        alnum = lambda at: has(F.substring(x.bare, at, 1), "[A-Za-z0-9]")
+        return ((x.bare == x.t) & alnum(-1)) | (F.right(x.bare, F.lit(1)).isin(*".!?;:,") & (F.length(x.bare) > 1) & alnum(-2))
+
+    return has(F.left(js_trim(right), F.lit(1)), "[A-Za-z0-9]") & let(js_trim(left), ends)
 
 
 def join_text(left: Column, right: Column) -> Column:
@@ -262,14 +264,16 @@ def is_heading_line(c: Column) -> Column:
     return has(c, HEADING)
 
 
-def is_short_heading(c: Column) -> Column:
-    t = js_trim(c)
+def _short_heading(t: Column) -> Column:
     return (t != "") & (F.length(t) <= SHORT_HEADING_CHARS) & (has(t, HEADING) | has(t, CAPITAL_HEADING))
 
 
+def is_short_heading(c: Column) -> Column:
+    return let(js_trim(c), _short_heading)
+
+
 def is_hard_break(c: Column) -> Column:
-    t = js_trim(c)
-    return (t == "") | is_short_heading(c) | has(t, HARD_BREAK_LIST) | has(t, HARD_BREAK_CN) | has(t, HARD_BREAK_EN)
+    return let(js_trim(c), lambda t: (t == "") | _short_heading(t) | has(t, HARD_BREAK_LIST) | has(t, HARD_BREAK_CN) | has(t, HARD_BREAK_EN))
 
 
 STANDALONE = [rf"[:：]{WS}*[^{WS[1:-1]}]+\z", r"(?i)^https?://", rf"^[^{WS[1:-1]}]+@[^{WS[1:-1]}]+\.[^{WS[1:-1]}]+\z", r"^\[?[0-9]{1,3}\]?\z"]

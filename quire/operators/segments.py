@@ -191,6 +191,15 @@ def audio_frames(clips: DataFrame, frame: float = 0.04, hop: float = 0.02) -> Da
     return clips.select("clip_id", "sample_rate", "samples", size.alias("n"), F.posexplode(places).alias("frame_no", "at")).select("clip_id", "sample_rate", "frame_no", F.slice("samples", F.col("at") + 1, F.col("n")).alias("frame"))
 
 
+def units_of_sentences(df: DataFrame, units: str, *keys: str) -> DataFrame:
+    """``keys, sentence_no, unit_no``: the unit of each sentence, from the array of ``build_units``, which leaves no sentence out.
+
+    A unit and its sentences are in one row, so nothing is shuffled; ``unit_of_sentence`` is for tables of them.
+    """
+    members = exploded(df, units, "unit_no", "u", *keys).select(*keys, "unit_no", F.sequence("u.first", F.col("u.first") + F.col("u.size") - 1).alias("__of"))
+    return members.select(*keys, F.explode("__of").alias("sentence_no"), "unit_no")
+
+
 def unit_of_sentence(units: DataFrame, sentences: DataFrame, *keys: str) -> DataFrame:
     """``sentences`` (keys, sentence_no) with ``unit_no``: the first unit (keys, unit_no, first, size) that holds each, or null."""
     members = units.select(*keys, "unit_no", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("sentence_no"))

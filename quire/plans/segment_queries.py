@@ -111,5 +111,4 @@ def points(spark, sf_dir):
 @query("e06_sentence_units", f"WITH RECURSIVE {_SEGMENT_LISTS}, {_UNITS} SELECT k AS doc_id, CAST(x.s - 1 AS INTEGER) AS sentence_no, CAST(g - 1 AS INTEGER) AS unit_no FROM un_g, unnest(generate_series(first, first + size - 1)) AS x(s)")
 def sentence_units(spark, sf_dir):
     staged = _docs(spark, sf_dir).withColumn("s", G.segments(F.col("text")))
-    spoken = G.exploded(G.build_units(staged, "s"), "units", "unit_no", "u", "doc_id").select("doc_id", "unit_no", "u.first", "u.size")
-    return G.unit_of_sentence(spoken, G.exploded(staged, "s", "sentence_no", "t", "doc_id").drop("t"), "doc_id")
+    return G.units_of_sentences(G.build_units(staged, "s"), "units", "doc_id")
