@@ -19,14 +19,16 @@ from quire.functions import text as T
 RUN = 64
 
 
-def elements(texts: Column, **more: Callable[[Column, Column], Column]) -> Column:
-    """Array of structs with each text's ``t, len, strong, standalone, colon, space`` and ``more``.
+def elements(texts: Column, alone: bool = True, **more: Callable[[Column, Column], Column]) -> Column:
+    """Array of structs with each text's ``t, len, strong, space``, ``standalone, colon`` if ``alone``, and ``more``.
 
     ``space``: whether a blank joins it to the text before it. ``more`` gets (text, text before).
     """
 
     def one(x: Column, before: Column) -> Column:
-        flags = {"t": x, "len": F.length(x), "strong": T.has_strong_ending(x), "standalone": T.is_standalone(x), "colon": T.has(x, T.STANDALONE[0]), "space": T.needs_space(before, x)}
+        flags = {"t": x, "len": F.length(x), "strong": T.has_strong_ending(x), "space": T.needs_space(before, x)}
+        if alone:
+            flags |= {"standalone": T.is_standalone(x), "colon": T.has(x, T.STANDALONE[0])}
         flags |= {name: f(x, before) for name, f in more.items()}
         return F.struct(*(c.alias(name) for name, c in flags.items()))
 

@@ -46,7 +46,8 @@ def _non_empty(texts: Column) -> Column:
 def segments(c: Column) -> Column:
     """Pieces between sentence boundaries, before any is merged."""
     t = F.regexp_replace(T.normalize_readable(c), "\n+", " ")
-    return _non_empty(F.transform(F.split(T.chain(t, SEGMENT_STEPS), "\x01"), T.normalize_whitespace))
+    # No break of a line is left and no boundary lies inside a run of blanks, so white space is normalized before the split.
+    return _non_empty(F.transform(F.split(T.chain(t, [*SEGMENT_STEPS, T.WHITESPACE[-1]]), "\x01"), T.js_trim))
 
 
 def keeps_period(before: Column, x: Column) -> Column:
@@ -137,7 +138,7 @@ def exploded(df: DataFrame, column: str, number: str, value: str, *keys: str) ->
 
 def build_units(df: DataFrame, column: str, out: str = "units", ideal: int = UNIT_IDEAL, max_: int = UNIT_MAX, sticky: int = STICKY_CHARS) -> DataFrame:
     """Speech units ``array<struct<lang, text, first, size>>`` from an array of sentences: one language each, of bounded length."""
-    items = folds.elements(F.col(column), lang=lambda x, b: T.detect_lang(x))
+    items = folds.elements(F.col(column), alone=False, lang=lambda x, b: T.detect_lang(x))
     staged = df.withColumn("__items", items)
 
     def lang(s: Column, x: Column) -> Column:
@@ -160,7 +161,7 @@ def slice_unit(units: DataFrame, from_sentence: str) -> DataFrame:
     skip = F.greatest(F.col(from_sentence) - F.col("first"), F.lit(0))
     staged = units.withColumn("__skip", F.when(skip < F.size("sentences"), skip).otherwise(0))
     skip = F.col("__skip")
-    staged = staged.withColumn("__items", folds.elements(F.slice("sentences", skip + 1, F.size("sentences"))))
+    staged = staged.withColumn("__items", folds.elements(F.slice("sentences", skip + 1, F.size("sentences")), alone=False))
     items = F.col("__items")
     zero = F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("at"))
     offsets = F.aggregate(items, zero, lambda s, x: F.struct((s.to + F.when((s.to > 0) & x.space, 1).otherwise(0) + x.len).alias("to"), F.array_append(s["at"], s.to + F.when((s.to > 0) & x.space, 1).otherwise(0)).alias("at")))["at"]

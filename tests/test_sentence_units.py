@@ -23,3 +23,21 @@ def test_query_has_no_join(spark, tmp_path):
     spark.createDataFrame([(1, "One. Two. Three.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = load().QUERIES["e06_sentence_units"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_white_space_before_the_split(spark):
+    """Pieces are those of a normalization of each piece, whatever stands between and inside them."""
+    from quire.functions import text as T
+
+    texts = ["One.\n  Two.\t \tThree!  Four", " a \x01 b\x02 c.  D.\r\n\r\n E", "No.\t 5.\n 6. 7", "。 。　 x  y；\n\nz", "\t\n ", "", None, "A. B.  C", "x .  Y\t\t。\t\tz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.regexp_replace(T.normalize_readable(F.col("t")), "\n+", " ")
+    each = F.filter(F.transform(F.split(T.chain(whole, G.SEGMENT_STEPS), "\x01"), T.normalize_whitespace), lambda x: x != "")
+    assert df.filter(~each.eqNullSafe(G.segments(F.col("t")))).count() == 0
+
+
+def test_units_take_no_flags_that_they_do_not_use(spark):
+    """Units and boundaries do not ask whether a sentence stands alone."""
+    df = spark.createDataFrame([(["One.", "See: two."],)], "s array<string>")
+    plan = G.build_units(df, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "references|bibliography" not in plan
