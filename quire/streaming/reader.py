@@ -18,33 +18,49 @@ from quire.streaming.state import Alarm, milliseconds, timed
 
 
 class _Saves(StatefulProcessor):
-    """Updates of a book that may still be followed by another; the timer is moved by what comes."""
+    """Updates of a book that may still be followed by another; the timer is moved by what comes.
+
+    What is held is one value, read and written once for all rows of a batch: a call to the store costs far more than a row.
+    """
 
     def __init__(self, gap: int) -> None:
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "ms long, seq long", "immediate boolean")
+        self.held = handle.getValueState("held", "ms array<long>, seq array<long>, immediate array<boolean>")
         self.alarm = Alarm(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        held = {(ms, seq): immediate for ms, seq, immediate in zip(*(self.held.get() or ((), (), ())), strict=True)}
+        first = None
         for r in rows:
-            if not self.held.containsKey((r.ms, r.seq)):
-                self.held.updateValue((r.ms, r.seq), (r.immediate,))
+            if (r.ms, r.seq) not in held:
+                held[r.ms, r.seq] = r.immediate
                 if r.immediate:
                     yield Row(book_id=key[0], seq=r.seq, saved_ms=r.ms, cause="chapter")
-                self.alarm.by(r.ms + self.gap)
+                first = r.ms if first is None else min(first, r.ms)
+        if first is not None:
+            self._hold([(ms, seq, immediate) for (ms, seq), immediate in held.items()])
+            self.alarm.by(first + self.gap)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         self.alarm.off()
-        held = sorted((ms, seq, v[0]) for (ms, seq), v in self.held.iterator())
+        held, now = sorted(zip(*self.held.get(), strict=True)), timerValues.getCurrentWatermarkInMs()
+        done = 0
         for (ms, seq, immediate), after in zip(held, [*held[1:], None], strict=True):
-            if ms + self.gap > timerValues.getCurrentWatermarkInMs():
+            if ms + self.gap > now:
                 self.alarm.by(ms + self.gap)
                 break
             if not immediate and (after is None or after[0] - ms >= self.gap):
                 yield Row(book_id=key[0], seq=seq, saved_ms=ms + self.gap, cause="pause")
-            self.held.removeKey((ms, seq))
+            done += 1
+        self._hold(held[done:])
+
+    def _hold(self, rows: list[tuple]) -> None:
+        if rows:
+            self.held.update(tuple(map(list, zip(*rows, strict=True))))
+        else:
+            self.held.clear()
 
 
 def saves(updates: DataFrame, gap: str = GAP, watermark: str = "10 seconds") -> DataFrame:
@@ -59,44 +75,60 @@ def saves(updates: DataFrame, gap: str = GAP, watermark: str = "10 seconds") ->
 
 
 class _Newest(StatefulProcessor):
-    """The highest run of a key, and results of it that a newer one may still replace."""
+    """The highest run of a key, and results of it that a newer one may still replace: one value, as in ``_Saves``."""
 
     def __init__(self, wait: int, remember: int) -> None:
         self.wait, self.remember = wait, remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.top = handle.getValueState("top", "gen long, latest long")
-        self.held = handle.getMapState("held", "result long", "ms long")
+        self.held = handle.getValueState("held", "result array<long>, ms array<long>")
         self.alarm = Alarm(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         top, latest = self.top.get() or (None, 0)
+        held, first = self._held(), None
         for r in rows:
             if top is not None and r.gen < top:
                 continue
             if top is None or r.gen > top:
                 top = r.gen
-                self.held.clear()
-            self.held.updateValue((r.result,), (r.ms,))
-            self.alarm.by(r.ms + self.wait)
+                held, first = {}, None
+            held[r.result] = r.ms
+            first = r.ms if first is None else min(first, r.ms)
             latest = max(latest, r.ms)
-        self.top.update((top, latest))
+        if first is not None:
+            self.top.update((top, latest))
+            self._hold(held)
+            self.alarm.by(first + self.wait)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         self.alarm.off()
         (top, latest), now = self.top.get(), timerValues.getCurrentWatermarkInMs()
-        for result, ms in sorted((k[0], v[0]) for k, v in self.held.iterator()):
+        rest = {}
+        for result, ms in sorted(self._held().items()):
             if ms + self.wait <= now:
-                self.held.removeKey((result,))
                 yield Row(doc_id=key[0], gen=top, result=result)
             else:
-                self.alarm.by(ms + self.wait)
+                rest[result] = ms
+        self._hold(rest)
+        if rest:
+            self.alarm.by(min(rest.values()) + self.wait)
         if latest + self.wait + self.remember <= now:
             self.top.clear()
         else:
             self.alarm.by(latest + self.wait + self.remember)
 
+    def _held(self) -> dict[int, int]:
+        return dict(zip(*(self.held.get() or ((), ())), strict=True))
+
+    def _hold(self, held: dict[int, int]) -> None:
+        if held:
+            self.held.update((list(held), list(held.values())))
+        else:
+            self.held.clear()
+
 
 def newest_runs(results: DataFrame, wait: str = "1 hour", remember: str = "1 day", watermark: str = "10 minutes") -> DataFrame:
     """``doc_id, gen, result`` of each document's newest run, from ``doc_id, gen, result, ts``.
@@ -119,14 +151,21 @@ class _Cache(StatefulProcessor):
         self.pages = handle.getMapState("pages", "page_number int", "text string, updated long", ttlDurationMs=self.lifetime)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        for r in sorted(rows, key=lambda r: (r.ms, r.text is None)):
-            found = self.pages.getValue((r.page_number,))
-            if r.text is not None:
-                if found is None or found[1] <= r.ms:
-                    self.pages.updateValue((r.page_number,), (r.text, r.ms))
+        # Each page is read and written once for all rows of a batch: a call to the store costs far more than a row.
+        pages, written = {}, set()
+        for n, text, ms in sorted(((r.page_number, r.text, r.ms) for r in rows), key=lambda r: (r[2], r[1] is None)):
+            if n not in pages:
+                pages[n] = self.pages.getValue((n,))
+            found = pages[n]
+            if text is not None:
+                if found is None or found[1] <= ms:
+                    pages[n] = (text, ms)
+                    written.add(n)
             else:
-                hit = found is not None and found[1] > r.ms - self.lifetime
-                yield Row(file_key=key[0], lang=key[1], page_number=r.page_number, ms=r.ms, cache_hit=hit, cache_text=found[0] if hit else None)
+                hit = found is not None and found[1] > ms - self.lifetime
+                yield Row(file_key=key[0], lang=key[1], page_number=n, ms=ms, cache_hit=hit, cache_text=found[0] if hit else None)
+        for n in written:
+            self.pages.updateValue((n,), pages[n])
 
 
 def cached_pages(rows: DataFrame, lifetime: str = f"{CACHE_DAYS} days") -> DataFrame:
