@@ -5,8 +5,8 @@ number of leading zeros and some mantissa bits; empty buckets borrow from others
 own. Texts with equal sets are one class. Bands of registers deal class representatives into
 buckets; all members of a bucket are compared with its leader, the member that meets the most others,
 first by the collision-corrected Jaccard estimate, then on the full sets of 64-bit shingle hashes.
-A bucket of up to ``FEW`` members that still holds several components is compared in full by the
-estimate, where it lies, and only pairs that may link leave it. A larger one is dealt again, ``SPLITS``
+A bucket of up to ``FEW`` members that still holds several components is compared in full where it lies, by the
+estimate and then on the sets of those that may link; what leaves it is fewer links than it has members. A larger one is dealt again, ``SPLITS``
 independent times, by one more band each, and so on; work grows with the rows of buckets and not with
 their square. With 64 bands of 6 registers a pair at a
 similarity of 0.8 shares no bucket with a probability below 1e-8; that it shares one at first, but
@@ -20,7 +20,7 @@ without ``doc_id`` is linked with nothing, has no component and is kept.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -38,6 +38,8 @@ REGISTERS, SECOND_SALT = BANDS * BAND_REGISTERS, 0x2545F491
 FEW, SPLITS, DEEPEST = 2000, 8, 7
 #: Leaders up to which their registers are broadcast, and pairs of a bucket that are estimated at a time.
 LEADERS, PAIRS = 50_000, 1 << 15
+#: Shingle hashes of a bucket, or of a part of one, that are compared in full at a time.
+PART_HASHES = 2_000_000
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
@@ -165,36 +167,86 @@ def may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Co
     return judged(a, b, n_a, n_b)
 
 
-def near_in_buckets(few: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: members of a bucket with different labels whose estimate leaves a link possible, from ``bucket, id, s, label, folded``.
+def _by_bucket(batches: Iterator[pa.RecordBatch], of: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``of`` each bucket. They come one after the other; a task holds one of them at a time, or an Arrow batch."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        bucket = t.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist()]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            yield from of(t.slice(x, y - x))
+        rest = t.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield from of(rest)
 
-    Buckets come one after the other; a task holds one of them at a time, or an Arrow batch.
-    """
+
+def near_in_buckets(few: DataFrame, percent: int) -> DataFrame:
+    """``bucket, id, label``: members that may link, by the estimate, with another of the bucket that has a different label, from ``bucket, id, s, label, folded``."""
     kind = few.schema["id"].dataType.simpleString()
 
-    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        s, label, ids = t.column("s").to_numpy().astype(float), t.column("label").to_numpy(), t.column("id").combine_chunks()
+    def members_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        s, label = t.column("s").to_numpy().astype(float), t.column("label").to_numpy()
         registers = _matrix(t.column("folded"))
+        near = np.zeros(len(s), bool)
         left, right = np.nonzero(np.triu((label[:, None] != label) & (100 * np.minimum(s[:, None], s) >= percent * np.maximum(s[:, None], s)), 1))
         for at in range(0, len(left), PAIRS):
             i, j = left[at : at + PAIRS], right[at : at + PAIRS]
-            keep_ = possible(registers[i], registers[j], s[i], s[j], percent)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[keep_])) for x in (i, j)], ["a", "b"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            bucket = t.column("bucket").to_numpy()
-            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist()]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                yield from pairs_of(t.slice(x, y - x))
-            rest = t.slice(cuts[-1])
-        if rest is not None and rest.num_rows:
-            yield from pairs_of(rest)
+            open_ = ~(near[i] & near[j])
+            i, j = i[open_], j[open_]
+            ok = possible(registers[i], registers[j], s[i], s[j], percent)
+            near[i[ok]] = near[j[ok]] = True
+        yield pa.RecordBatch.from_arrays([t.column(name).combine_chunks().filter(pa.array(near)) for name in ("bucket", "id", "label")], ["bucket", "id", "label"])
 
     rows = few.select("bucket", "id", "s", F.xxhash64("label").alias("label"), "folded").repartition("bucket").sortWithinPartitions("bucket")
-    found = rows.mapInArrow(compared, f"a {kind}, b {kind}")
+    return rows.mapInArrow(lambda batches: _by_bucket(batches, members_of), f"bucket long, id {kind}, label long")
+
+
+def linking(sets: list[np.ndarray], label: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Places of pairs that link on their sets, as many as join the labels that links join: fewer than there are sets."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    distinct, codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    group, marked = np.unique(label[order], return_inverse=True)[1], np.zeros(len(distinct), np.uint8)
+    # Behind these places sets are too large for a link.
+    ends = np.searchsorted(percent * sizes, 100 * sizes, side="right")
+    for i, end in enumerate(ends.tolist()):
+        others = i + 1 + np.flatnonzero(group[i + 1 : end] != group[i])
+        if not len(others):
+            continue
+        first, last = int(others[0]), int(others[-1]) + 1
+        marked[codes[starts[i] : starts[i + 1]]] = 1
+        common = np.add.reduceat(marked[codes[starts[first] : starts[last]]], starts[first:last] - starts[first], dtype=np.int64)[others - first]
+        marked[codes[starts[i] : starts[i + 1]]] = 0
+        for j in others[100 * common >= percent * (sizes[i] + sizes[others] - common)].tolist():
+            if group[j] != group[i]:
+                yield int(order[i]), int(order[j])
+                group[group == group[j]] = group[i]
+
+
+def links_in_buckets(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` that link on full sets (``id, sh``) and join the labels of each bucket in ``near`` (``bucket, id, label``) as all its links do.
+
+    A bucket of long sets is cut into parts of ``PART_HASHES``, and each two of them are compared as a bucket of their own, so that a task's memory is bounded.
+    """
+    kind = near.schema["id"].dataType.simpleString()
+
+    def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sh, ids = t.column("sh").combine_chunks(), t.column("id").combine_chunks()
+        hashes, at = sh.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sh.value_lengths().to_numpy())))
+        found = list(linking([hashes[x:y] for x, y in zip(at, at[1:], strict=False)], t.column("label").to_numpy(), percent))
+        if found:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    sized = near.join(checked(sets.groupBy("id").agg(F.sum(F.size("sh")).alias("hashes"))), "id")
+    parts = sized.groupBy("bucket").agg(F.ceil(F.sum("hashes") / PART_HASHES).cast("int").alias("parts"))
+    part, other = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.col("other")
+    dealt = near.join(checked(parts), "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least(part, other), F.greatest(part, other))).alias("bucket"), "id", "label")
+    rows = dealt.join(sets, "id").repartition("bucket").sortWithinPartitions("bucket")
+    found = rows.mapInArrow(lambda batches: _by_bucket(batches, pairs_of), f"a {kind}, b {kind}")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -299,7 +351,10 @@ def linked_components(single: DataFrame, signed: DataFrame, docs: DataFrame, edg
         if not few.isEmpty():
             ids = checked(keep(few.select("id").distinct(), "few_ids"))
             some = folded_of.join(ids, "id", "left_semi").distinct()
-            labels = joined(labels, near_in_buckets(few.join(some, ["id", "s"]), percent))
+            near = keep(near_in_buckets(few.join(some, ["id", "s"]), percent), "near_members")
+            if not near.isEmpty():
+                links = keep(links_in_buckets(near, sets_of(near.select("id"), docs, size), percent), "links")
+                labels = components(labels.toDF("a", "b").unionByName(links))
         if unsettled.filter(large).isEmpty():
             break
         twos, level = crowded(deal_again(unsettled.filter(large), signed), "members")
@@ -334,11 +389,16 @@ def estimated(pairs: DataFrame, folded_of: DataFrame, percent: int) -> DataFrame
     return met.filter(may_link(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb"), percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``id, sh``: the full sets of the texts of ``ids``."""
+    ids = checked(keep(ids.distinct(), "near_ids"))
+    # No filter on the sets: it would be pushed below the join, and the function run on every text.
+    return keep(docs.join(ids, "id", "left_semi").filter("text IS NOT NULL").select("id", shingle_set(F.col("text"), size).alias("sh")), "sets")
+
+
 def verified(near: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link on their full sets."""
-    ids = checked(keep(near.select("a").union(near.select("b")).toDF("id").distinct(), "near_ids"))
-    # No filter on the sets: it would be pushed below the join, and the function run on every text.
-    sets = keep(docs.join(ids, "id", "left_semi").filter("text IS NOT NULL").select("id", shingle_set(F.col("text"), size).alias("s")), "sets")
+    sets = sets_of(near.select("a").union(near.select("b")).toDF("id"), docs, size)
     joined = near.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return keep(joined.filter((common > 0) & (100 * common >= percent * (F.size("sa") + F.size("sb") - common))).select("a", "b").distinct(), "links")

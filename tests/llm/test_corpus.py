@@ -468,3 +468,27 @@ def test_suffix_tree_grows_with_the_corpus(spark):
 
 def _behind_home(root):
     return math.log10((5 - lm.DISCOUNT) / 5 + lm.DISCOUNT / 5 * root("</end>"))
+
+
+def test_what_leaves_a_bucket_does_not_grow_with_its_pairs(spark, monkeypatch):
+    """A cloud whose pairs are all close to the threshold; one run with buckets in parts."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(240)]
+    rows = []
+    for g in range(90):
+        t = shared + [f"o{g}_{i}" for i in range(36)]
+        rows.append((2 * g, " ".join(t)))
+        t[rng.randrange(240, 276)] = f"r{g}"
+        rows.append((2 * g + 1, " ".join(t)))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    sets = docs.select("id", neardup.shingle_set(F.col("text"), 4).alias("sh"))
+    few = docs.select(F.lit(1).alias("bucket").cast("long"), "id", neardup.signature(F.col("text"), 4).alias("x")).select("bucket", "id", F.col("x.n_shingles").alias("s"), F.col("id").alias("label"), "x.folded")
+    near = neardup.near_in_buckets(few, 80)
+    assert near.count() <= len(rows)
+    want = {tuple(x) for x in _components(rows, 4)}
+    for most in (neardup.PART_HASHES, 4_000):
+        monkeypatch.setattr(neardup, "PART_HASHES", most)
+        links = neardup.links_in_buckets(near, sets, 80)
+        labels = dict(map(tuple, neardup.components(links).collect()))
+        assert links.count() < len(rows) * (1 if most > 4_000 else 16)
+        assert {(i, c) for i, _, c in want} == {(i, labels.get(i, i)) for i, _ in rows}
