@@ -10,7 +10,8 @@ add-one word distribution. A token is scored at the longest retained suffix of t
 The least counts do not depend on the corpus, so the tree grows with it: words, n-grams and contexts
 are Spark tables, and probabilities come from groupings and joins. For scoring, every chunk asks once
 for each of its words and n-grams, the questions are joined with the tree's entries, and the answers
-meet the chunk again. Two things of a fixed size are broadcast: bitmaps, which keep what surely is not
+meet the chunk again. N-grams are counted and chunks scored in ``ROUNDS``, by their hashes, so that the files of one
+round's shuffles are gone before the next. Two things of a fixed size are broadcast: bitmaps, which keep what surely is not
 in a table from being shuffled, and the commonest entry of each of ``1 << HEAD_BITS`` slots, which need not be
 asked for. The joins behind them are exact.
 
@@ -21,7 +22,7 @@ training; without training rows every token has the probability of the one unsee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.decontaminate import checked
 from quire.llm.language import in_fold
-from quire.llm.store import bound_batches, discard, keep, table
+from quire.llm.store import bound_batches, discard, keep, release, table
 from quire.llm.text import chunks, mix, word_codes
 
 #: Words in the longest contexts.
@@ -44,6 +45,8 @@ LEAST_CONTEXT, LEAST_NEXT = 4, 2
 LEAST_DIVERGENCE, DISCOUNT = 20.0, 0.75
 #: Characters of a chunk, n-grams that are counted at a time, and most bits of a hash that a bitmap and the slots of common entries tell apart.
 CHUNK_CHARS, RUN_GRAMS, BITMAP_BITS, HEAD_BITS = 1_000_000, 1_000_000, 27, 20
+#: Equal parts of the n-grams of a level, and of the chunks, that are shuffled one after the other.
+ROUNDS = 4
 
 #: The end token: no word is empty.
 END = b""
@@ -139,8 +142,18 @@ def possible(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def gram_counts(chunked: DataFrame, bitmaps: Broadcast, length: int) -> DataFrame:
-    """``key, ctx, suf, c``: n-grams of the training texts with a possible context of ``length`` words and a possible suffix of as many, and these two."""
+def in_rounds(made: Callable[[int], DataFrame], name: str) -> list[DataFrame]:
+    """The tables of all rounds, each written, and its shuffle files gone, before the next."""
+    parts = []
+    for turn in range(ROUNDS):
+        parts.append(keep(made(turn), f"{name}_{turn}"))
+        release(parts[-1].sparkSession)
+    return parts
+
+
+def gram_counts(chunked: DataFrame, bitmaps: Broadcast, length: int, turn: int) -> DataFrame:
+    """``key, ctx, suf, c``: n-grams of the training texts with a possible context of ``length`` words and a possible suffix of as many, and these two; those of one round."""
+    rounds = np.uint64(ROUNDS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, suffixes = bitmaps.value
@@ -158,6 +171,7 @@ def gram_counts(chunked: DataFrame, bitmaps: Broadcast, length: int) -> DataFram
                 at = np.flatnonzero(x.trained() & (x.places() >= length))
                 at = at[possible(contexts, short[at - 1])]
                 at = at[possible(suffixes, short[at])]
+                at = at[(long[at] >> np.uint64(32)) % rounds == turn]
                 run.append((long[at], short[at - 1], short[at]))
                 size += len(at)
                 if size >= RUN_GRAMS:
@@ -210,12 +224,12 @@ def fit(chunked: DataFrame, depth: int = DEPTH) -> Tree:
         if not bits[0].any():
             break
         shared = sc.broadcast(bits)
-        counted = keep(gram_counts(chunked, shared, length).filter(F.col("c") >= LEAST_NEXT), f"counted_{length}")
+        counted = in_rounds(lambda turn: gram_counts(chunked, shared, length, turn).filter(F.col("c") >= LEAST_NEXT), f"counted_{length}")  # noqa: B023
         shared.destroy()
-        pairs = keep(counted.join(checked(candidates), "ctx").join(checked(suffixes), "suf").withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
+        pairs = keep(reduce(DataFrame.unionAll, counted).join(checked(candidates), "ctx").join(checked(suffixes), "suf").withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
         weights = keep(pairs.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("backoff"), F.max("n").alias("n")), f"weights_{length}")
         p = F.col("share") + F.col("backoff") * F.col("below")
-        discard(counted)
+        discard(*counted)
         grams = keep(pairs.join(checked(weights.drop("n")), "ctx").select("key", "ctx", "suf", "c", "below", p.alias("p")), f"grams_{length}")
         gain = grams.groupBy("ctx").agg(F.sum(F.col("c") * F.log(F.col("p") / F.col("below"))).alias("gain"), F.sum("c").alias("seen"), F.sum("below").alias("below"))
         rest, other = F.greatest(1 - F.col("seen") / F.col("n"), F.lit(0.0)), F.greatest(1 - F.col("below"), F.lit(1e-9))
@@ -293,7 +307,6 @@ def score(chunked: DataFrame, tree: Tree) -> DataFrame:
         discard(grams, retained)
     discard(tree.counts)
     shared = chunked.sparkSession.sparkContext.broadcast((bitmap(entries), common(entries)))
-    answers = asked(chunked, shared, depth).join(entries.drop("weight"), "key")
     kind = chunked.schema["ids"].dataType.elementType.simpleString()
 
     def scored(chunk: pa.Table, answer: pa.Table) -> pa.Table:
@@ -338,7 +351,16 @@ def score(chunked: DataFrame, tree: Tree) -> DataFrame:
         sums = [pa.array(np.add.reduceat(a, starts)) for a in ((c > 0).astype(np.int64)[x.codes], base, whole)]
         return pa.Table.from_arrays([ids, pa.array(x.sizes), *sums], ["id", "n_tokens", "n_known", "base", "score"])
 
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_tokens long, n_known long, base double, score double")
+    def answered(turn: int) -> DataFrame:
+        own = chunked.filter(F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == turn)
+        answers = asked(own, shared, depth).join(entries.drop("weight"), "key")
+        return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"id {kind}, n_tokens long, n_known long, base double, score double")
+
+    release(chunked.sparkSession)
+    parts = in_rounds(answered, "scores")
+    shared.destroy()
+    discard(entries)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def with_scores(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:

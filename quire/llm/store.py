@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -41,18 +42,24 @@ _kept: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def discard(*kept: DataFrame) -> None:
-    """Delete tables of ``keep`` that nothing reads any more.
-
-    Shuffle files go when the driver's JVM collects the plans that made them, which it seldom does by itself
-    in a long job of small plans; so it is asked to.
-    """
+    """Delete tables of ``keep`` that nothing reads any more."""
     for df in kept:
         if path := _kept.pop(df, None):
             sc = df.sparkSession.sparkContext
             place = sc._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
     if kept:
-        kept[0].sparkSession.sparkContext._jvm.System.gc()
+        release(kept[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go that nothing reads any more.
+
+    They go when the driver's JVM collects the plans that made them, which it seldom does by itself
+    in a long job of small plans; so it is asked to, once Python has let go of its own cycles.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: The setting that ends an Arrow batch by bytes, Spark's default and ours: some texts are very long, and a worker holds a batch or two.

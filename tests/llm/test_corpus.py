@@ -492,3 +492,20 @@ def test_what_leaves_a_bucket_does_not_grow_with_its_pairs(spark, monkeypatch):
         labels = dict(map(tuple, neardup.components(links).collect()))
         assert links.count() < len(rows) * (1 if most > 4_000 else 16)
         assert {(i, c) for i, _, c in want} == {(i, labels.get(i, i)) for i, _ in rows}
+
+
+def test_the_shuffle_files_of_a_round_are_gone_before_the_next(spark, monkeypatch):
+    """Of the n-grams of a level, and of the questions, no more than a round's are shuffled at a time, and none is left out."""
+    docs = spark.createDataFrame([(i, f"a b c d {i % 7} a b c e {i % 5}") for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 200)
+    asked, counted, released = lm.asked, lm.gram_counts, []
+    parts = {"asked": [], "grams": []}
+    monkeypatch.setattr(lm, "release", lambda s: released.append(len(parts["asked"]) + len(parts["grams"])))
+    monkeypatch.setattr(lm, "asked", lambda chunked, *a: parts["asked"].append(chunked.count()) or asked(chunked, *a))
+    monkeypatch.setattr(lm, "gram_counts", lambda chunked, bitmaps, length, turn: parts["grams"].append((length, turn)) or counted(chunked, bitmaps, length, turn))
+    got = {r.doc_id: r.score for r in lm.with_scores(docs, F.lit(True)).collect()}
+    assert parts["grams"] == [(n, t) for n in range(1, lm.DEPTH + 1) for t in range(lm.ROUNDS)] and len(parts["asked"]) == lm.ROUNDS
+    assert max(parts["asked"]) <= 0.5 * sum(parts["asked"]) and len(released) > len(parts["grams"]) + len(parts["asked"])
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    once = {r.doc_id: r.score for r in lm.with_scores(docs, F.lit(True)).collect()}
+    assert len(got) == 400 and got.keys() == once.keys() and all(abs(got[k] - once[k]) < 1e-9 for k in got)
