@@ -33,8 +33,17 @@ SEGMENT_STEPS = [
     (rf"\.([ ]*(?:[“”\"‘’'(\[]?[A-Z0-9{T.CJK}]))", ".\x01$1"),
     ("\x02", "."),
 ]
+#: The same for Java: what stands before a period is looked at from the period, where the steps above try every character. A period that
+#: ends an abbreviation is no lead of the next one (``\G``: where the last match ended); looking back finds initials in a row at once.
+QUICK_STEPS = [
+    (rf"\.(?<=(?:\A|[^A-Za-z0-9_](?!\G))(?i:{ABBREVIATIONS})\.)", "\x02"),
+    (r"\.(?<=(?:\A|[^A-Za-z0-9_])[A-Z]\.)", "\x02"),
+    *SEGMENT_STEPS[3:],
+]
 #: Ends of text after which a period is not the sentence's.
 KEEPS_PERIOD = [rf"(?i)(?:\A|[^A-Za-z0-9_])(?:{ABBREVIATIONS})\.\z", r"(?:\A|[^A-Za-z0-9_])[A-Z]\.\z", rf"(?i)(?:\A|[^A-Za-z0-9_])(?:{NUMBERED}){T.WS}*[:#-]?{T.WS}*[A-Z0-9-]*\.\z"]
+#: The first two of them in one, and as many characters as hold the longest abbreviation, its period and more than one before.
+_KEEPS_SHORT, _SHORT_END = rf"(?:\A|[^A-Za-z0-9_])(?:[A-Z]|(?i:{ABBREVIATIONS}))\.\z", max(map(len, ABBREVIATIONS.split("|"))) + 3
 SHORT_WORD_PERIOD = r"(?:\A|[^A-Za-z0-9_])[A-Za-z]{1,3}\.\z"
 CONTINUES = r"\A[a-z,;:)\]]"
 
@@ -47,14 +56,15 @@ def segments(c: Column) -> Column:
     """Pieces between sentence boundaries, before any is merged."""
     t = F.regexp_replace(T.normalize_readable(c), "\n+", " ")
     # No break of a line is left and no boundary lies inside a run of blanks, so white space is normalized before the split.
-    return _non_empty(F.transform(F.split(T.chain(t, [*SEGMENT_STEPS, T.WHITESPACE[-1]]), "\x01"), T.js_trim))
+    return _non_empty(F.transform(F.split(T.chain(t, [*QUICK_STEPS, T.WHITESPACE[-1]]), "\x01"), T.js_trim))
 
 
 def keeps_period(before: Column, x: Column) -> Column:
-    out = (T.has(before, r"[0-9]\.\z") & T.has(x, r"\A[0-9]")) | (T.has(before, SHORT_WORD_PERIOD) & T.has(x, r"\A[a-z]"))
-    for p in KEEPS_PERIOD:
-        out = out | T.has(before, p)
-    return out
+    """All ways to keep it are ends with a period; but for numbered ones they show in the last few characters."""
+    end = F.substring(before, -_SHORT_END, _SHORT_END)
+    digits = T.has(x, r"\A[0-9]") & T.has(end, r"[0-9]\.\z")
+    word = T.has(x, r"\A[a-z]") & T.has(end, SHORT_WORD_PERIOD)
+    return before.endswith(".") & (digits | word | T.has(end, _KEEPS_SHORT) | T.has(before, KEEPS_PERIOD[2]))
 
 
 def merge_fragments(df: DataFrame, pieces: str, out: str, min_len: int = SHORT_FRAGMENT) -> DataFrame:
