@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.decontaminate import checked
 from quire.llm.store import bound_batches, discard, keep, table
-from quire.llm.text import chunks, mix, word_codes
+from quire.llm.text import chunks, give_back, hold, mix, word_codes
 
 BANDS, BAND_REGISTERS, MANTISSA_BITS = 64, 6, 10
 REGISTERS, SECOND_SALT = BANDS * BAND_REGISTERS, 0x2545F491
@@ -142,6 +142,7 @@ def signature(text: Column, size: int) -> Column:
 
     @F.arrow_udf(_SIGNATURE)
     def signed(batch: pa.Array) -> pa.Array:
+        alone()
         n, c1, c2, packed, small = [], [], [], [], []
         for s in chain.from_iterable(shingle_sets(run, size) for run in chunks(batch)):
             r = registers(s) if len(s) else None
@@ -167,8 +168,14 @@ def may_link(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Co
     return judged(a, b, n_a, n_b)
 
 
+def alone() -> None:
+    """Let this worker's caches of other operators go: near-duplicates keep none, and buckets need the room."""
+    hold("neardup", lambda: None)
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch], of: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """``of`` each bucket. They come one after the other; a task holds one of them at a time, or an Arrow batch."""
+    alone()
     rest = None
     for b in batches:
         t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
@@ -179,6 +186,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], of: Callable[[pa.Table], Itera
         rest = t.slice(cuts[-1])
     if rest is not None and rest.num_rows:
         yield from of(rest)
+    rest = t = None
+    give_back()
 
 
 def near_in_buckets(few: DataFrame, percent: int) -> DataFrame:
@@ -255,6 +264,7 @@ def shingle_set(text: Column, size: int) -> Column:
 
     @F.arrow_udf("array<long>")
     def hashed(batch: pa.Array) -> pa.Array:
+        alone()
         sets = [s for run in chunks(batch) for s in shingle_sets(run, size)]
         at = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         return pa.ListArray.from_arrays(at, np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))
