@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quire.llm.decontaminate import checked
 from quire.llm.language import in_fold
 from quire.llm.store import bound_batches, discard, keep, release, table
-from quire.llm.text import chunks, mix, word_codes
+from quire.llm.text import chunks, give_back, mix, trim, word_codes
 
 #: Words in the longest contexts.
 DEPTH = 3
@@ -45,6 +45,8 @@ LEAST_CONTEXT, LEAST_NEXT = 4, 2
 LEAST_DIVERGENCE, DISCOUNT = 20.0, 0.75
 #: Characters of a chunk, n-grams that are counted at a time, and most bits of a hash that a bitmap and the slots of common entries tell apart.
 CHUNK_CHARS, RUN_GRAMS, BITMAP_BITS, HEAD_BITS = 1_000_000, 1_000_000, 27, 20
+#: Rows of the batches that leave Python: the JVM holds a batch as a whole outside its heap.
+OUT_ROWS = 65_536
 #: Equal parts of the n-grams of a level, and of the chunks, that are shuffled one after the other.
 ROUNDS = 4
 
@@ -70,6 +72,7 @@ def coded(docs: DataFrame) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array([0, len(run)], pa.int32()), pa.concat_arrays([ids]))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *packed], ["chunk", "ids", "train", "sizes", "words", "codes"])
                 at, number = at + len(run), number + 1
+        give_back()
 
     return docs.select("id", "text", "train").mapInArrow(code, f"chunk long, ids array<{kind}>, train binary, sizes binary, words binary, codes binary")
 
@@ -107,6 +110,12 @@ def _longs(*columns: np.ndarray, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names.split())
 
 
+def _pieces(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``rows`` in batches of ``OUT_ROWS``."""
+    for at in range(0, rows.num_rows, OUT_ROWS):
+        yield rows.slice(at, OUT_ROWS)
+
+
 def word_counts(chunked: DataFrame) -> DataFrame:
     """``key, c``: hash and count of every training token."""
 
@@ -115,7 +124,8 @@ def word_counts(chunked: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 x = _chunk(b, i)
                 c = np.bincount(x.codes[x.trained()], minlength=len(x.words))
-                yield _longs(x.words[c > 0], c[c > 0], names="key c")
+                yield from _pieces(_longs(x.words[c > 0], c[c > 0], names="key c"))
+        give_back()
 
     return chunked.select("train", "sizes", "words", "codes").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
@@ -161,6 +171,7 @@ def gram_counts(chunked: DataFrame, bitmaps: Broadcast, length: int, turn: int)
 
         def counted() -> pa.RecordBatch:
             key, ctx, suf = (np.concatenate(x) for x in zip(*run, strict=True))
+            run.clear()
             key, first, c = np.unique(key, return_index=True, return_counts=True)
             return _longs(key, ctx[first], suf[first], c, names="key ctx suf c")
 
@@ -175,10 +186,12 @@ def gram_counts(chunked: DataFrame, bitmaps: Broadcast, length: int, turn: int)
                 run.append((long[at], short[at - 1], short[at]))
                 size += len(at)
                 if size >= RUN_GRAMS:
-                    yield counted()
-                    run, size = [], 0
+                    yield from _pieces(counted())
+                    size = 0
+                    trim()
         if size:
-            yield counted()
+            yield from _pieces(counted())
+        give_back()
 
     grams = chunked.select("train", "sizes", "words", "codes").mapInArrow(count, "key long, ctx long, suf long, c long")
     return grams.groupBy("key").agg(F.max("ctx").alias("ctx"), F.max("suf").alias("suf"), F.sum("c").alias("c"))
@@ -226,7 +239,8 @@ def fit(chunked: DataFrame, depth: int = DEPTH) -> Tree:
         shared = sc.broadcast(bits)
         counted = in_rounds(lambda turn: gram_counts(chunked, shared, length, turn).filter(F.col("c") >= LEAST_NEXT), f"counted_{length}")  # noqa: B023
         shared.destroy()
-        pairs = keep(reduce(DataFrame.unionAll, counted).join(checked(candidates), "ctx").join(checked(suffixes), "suf").withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
+        # By context last: the sums of a context below meet its rows in one task.
+        pairs = keep(reduce(DataFrame.unionAll, counted).join(checked(suffixes), "suf").join(checked(candidates), "ctx").withColumn("share", (F.col("c") - DISCOUNT) / F.col("n")), f"pairs_{length}")
         weights = keep(pairs.groupBy("ctx").agg(F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("backoff"), F.max("n").alias("n")), f"weights_{length}")
         p = F.col("share") + F.col("backoff") * F.col("below")
         discard(*counted)
@@ -294,7 +308,8 @@ def asked(chunked: DataFrame, shared: Broadcast, depth: int) -> DataFrame:
                     key = key[possible(bits, key)]
                     keys.append(np.unique(key[~head.find(key, True)[0]]))
                 keys = np.concatenate(keys)
-                yield _longs(np.full(len(keys), b.column("chunk")[i].as_py()), keys, names="chunk key")
+                yield from _pieces(_longs(np.full(len(keys), b.column("chunk")[i].as_py()), keys, names="chunk key"))
+        give_back()
 
     return chunked.select("chunk", "train", "sizes", "words", "codes").mapInArrow(ask, "chunk long, key long")
 
@@ -310,6 +325,7 @@ def score(chunked: DataFrame, tree: Tree) -> DataFrame:
     kind = chunked.schema["ids"].dataType.elementType.simpleString()
 
     def scored(chunk: pa.Table, answer: pa.Table) -> pa.Table:
+        trim()  # of the chunk before
         bits, head = shared.value
         keys = answer.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)

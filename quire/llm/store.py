@@ -63,7 +63,7 @@ def release(spark: SparkSession) -> None:
 
 
 #: The setting that ends an Arrow batch by bytes, Spark's default and ours: some texts are very long, and a worker holds a batch or two.
-BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -53,7 +53,7 @@ SLICE_ROWS = 256
 
 
 def chunks(batch: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
-    """Runs of whole texts of about ``chars`` characters, in order; null becomes empty."""
+    """Runs of whole texts of about ``chars`` characters, in order; null becomes empty. What the work on them freed goes back to the system behind the last."""
     run, size = [], 0
     for at in range(0, len(batch), SLICE_ROWS):
         for t in batch.slice(at, SLICE_ROWS).to_pylist():
@@ -64,6 +64,8 @@ def chunks(batch: pa.Array, chars: int = 1_000_000) -> Iterator[list[str]]:
                 run, size = [], 0
     if run:
         yield run
+    del run
+    trim()
 
 
 def texts_of(*batches: pa.Array) -> Iterator[tuple]:
@@ -90,6 +92,14 @@ def hold(name: str, clear: Callable[[], None]) -> None:
 def give_back() -> None:
     """Return freed memory to the system: allocators keep it otherwise, and executors count it."""
     gc.collect()
+    trim()
+
+
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def trim() -> None:
+    """The same without a collection of cycles: cheap enough for every batch."""
     pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
-        trim(0)
+    if _malloc_trim:
+        _malloc_trim(0)
