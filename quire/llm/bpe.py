@@ -17,6 +17,7 @@ import hashlib
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import batched
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +31,8 @@ from quire.llm.text import chunks, give_back, hold
 
 #: Distinct matches kept by a worker, and the longest match that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+#: Characters that are split and encoded at a time, and new matches whose encodings are held at a time.
+RUN_CHARS, NEW_MATCHES = 250_000, 4_096
 
 
 def byte_characters() -> list[str]:
@@ -98,7 +101,8 @@ class Codec:
         distinct = set().union(*split)
         known = self.pieces
         new = list(distinct.difference(known))
-        known.update(zip(new, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        for some in batched(new, NEW_MATCHES):
+            known.update(zip(some, (array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False)), strict=True))
         out = [b"".join(map(known.__getitem__, s)) for s in split]
         for long in (p for p in new if len(p) > CACHE_CHARS):
             del known[long]
@@ -162,7 +166,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(batch: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        packed = [ids for run in chunks(batch) for ids in c.encode(run)]
+        packed = [ids for run in chunks(batch, RUN_CHARS) for ids in c.encode(run)]
         at = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
         return pa.ListArray.from_arrays(at, np.frombuffer(b"".join(packed), np.int32))
 
@@ -176,7 +180,7 @@ def encode_spans(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("array<struct<id:int,start:int,stop:int>>")
     def spans(batch: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        out = [[{"id": i, "start": a, "stop": b} for i, a, b in c.spans(t)] for run in chunks(batch) for t in run]
+        out = [[{"id": i, "start": a, "stop": b} for i, a, b in c.spans(t)] for run in chunks(batch, RUN_CHARS) for t in run]
         return pa.array(out, kind)
 
     return spans(text)
@@ -211,7 +215,7 @@ def digest(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digested(batch: pa.Array) -> pa.Array:
         c = codec(path, pattern)
-        rows = [x for run in chunks(batch) for x in c.digests(run)]
+        rows = [x for run in chunks(batch, RUN_CHARS) for x in c.digests(run)]
         columns = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["n_tokens", "ids_sha256", "decoded_sha256"])
 

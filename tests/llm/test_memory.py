@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from quire.llm import lm, neardup, text
+from quire.llm import bpe, lm, neardup, text
 
 
 def test_near_duplicates_let_the_caches_of_other_operators_go(monkeypatch):
@@ -48,6 +48,23 @@ def test_ngrams_leave_python_in_small_batches_and_memory_goes_back(spark, monkey
     assert sorted(c for b in got for c in b.column("c").to_pylist()) == [1] * 3 + [3] * 8
 
 
+def test_encodings_of_new_matches_are_held_a_few_at_a_time(monkeypatch):
+    """The encodings of all new matches of a million characters were held at once."""
+    c = bpe.Codec(*bpe.vocabulary())
+    texts = [" ".join(f"word{i * 7919}" for i in range(500))]
+    whole, seen = c.encode(texts), []
+
+    class Watched:
+        def encode_batch_fast(self, new, **more):
+            seen.append(len(new))
+            return tokenizer.encode_batch_fast(new, **more)
+
+    tokenizer, c.tokenizer = c.tokenizer, Watched()
+    c.pieces.clear()
+    monkeypatch.setattr(bpe, "NEW_MATCHES", 100, raising=False)
+    assert c.encode(texts) == whole and len(seen) > 1 and max(seen) == 100
+
+
 def test_freed_memory_goes_back_behind_each_batch(monkeypatch):
     calls = []
     monkeypatch.setattr(text, "trim", lambda: calls.append(True), raising=False)
