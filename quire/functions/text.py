@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,10 +113,22 @@ def count(c: Column, char_class: str) -> Column:
     return F.length(c) - F.length(replace(c, f"{char_class}+", ""))
 
 
+#: Patterns of single characters, which are replaced without a regex.
+_PLAIN = {"[\u00a0\u3000]": "\u00a0\u3000", "\x02": "\x02"}
+#: A text that a pattern matches holds one of these: looking for them costs less.
+_SIGNS = {"\n{3,}": ["\n\n\n"], "[ \t]+\n": [" \n", "\t"], "[ \t]{2,}": ["  ", "\t"]}
+
+
 def chain(c: Column, steps: list[tuple[str, str]]) -> Column:
     """Replacements one after the other."""
     for pattern, to in steps:
-        c = replace(c, pattern, to)
+        if pattern in _PLAIN:
+            for x in _PLAIN[pattern]:
+                c = F.replace(c, F.lit(x), F.lit(to))
+        elif signs := _SIGNS.get(pattern):
+            c = let(c, lambda x: F.when(reduce(Column.__or__, map(x.contains, signs)), replace(x, pattern, to)).otherwise(x))  # noqa: B023
+        else:
+            c = replace(c, pattern, to)
     return c
 
 

@@ -33,12 +33,16 @@ SEGMENT_STEPS = [
     (rf"\.([ ]*(?:[“”\"‘’'(\[]?[A-Z0-9{T.CJK}]))", ".\x01$1"),
     ("\x02", "."),
 ]
+#: First and second letters of ``NUMBERED``.
+_LEADS = ["".join(sorted({c for x in NUMBERED.split("|") for c in (x[i].lower(), x[i].upper())})) for i in (0, 1)]
 #: The same for Java: what stands before a period is looked at from the period, where the steps above try every character. A period that
 #: ends an abbreviation is no lead of the next one (``\G``: where the last match ended); looking back finds initials in a row at once.
+#: A numbered abbreviation is looked for by its first two letters, and then back from these.
 QUICK_STEPS = [
     (rf"\.(?<=(?:\A|[^A-Za-z0-9_](?!\G))(?i:{ABBREVIATIONS})\.)", "\x02"),
     (r"\.(?<=(?:\A|[^A-Za-z0-9_])[A-Z]\.)", "\x02"),
-    *SEGMENT_STEPS[3:],
+    (rf"(?=[{_LEADS[0]}][{_LEADS[1]}])(?<=(?:\A|[^A-Za-z0-9_](?!\G)))((?i:(?:{NUMBERED})[ ]*[:#-]?[ ]*[A-Z0-9-]*))\.", "$1\x02"),
+    *SEGMENT_STEPS[4:],
 ]
 #: Ends of text after which a period is not the sentence's.
 KEEPS_PERIOD = [rf"(?i)(?:\A|[^A-Za-z0-9_])(?:{ABBREVIATIONS})\.\z", r"(?:\A|[^A-Za-z0-9_])[A-Z]\.\z", rf"(?i)(?:\A|[^A-Za-z0-9_])(?:{NUMBERED}){T.WS}*[:#-]?{T.WS}*[A-Z0-9-]*\.\z"]
@@ -54,7 +58,8 @@ def _non_empty(texts: Column) -> Column:
 
 def segments(c: Column) -> Column:
     """Pieces between sentence boundaries, before any is merged."""
-    t = F.regexp_replace(T.normalize_readable(c), "\n+", " ")
+    # A readable text has two breaks in a row at most.
+    t = F.replace(F.replace(T.normalize_readable(c), F.lit("\n\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
     # No break of a line is left and no boundary lies inside a run of blanks, so white space is normalized before the split.
     return _non_empty(F.transform(F.split(T.chain(t, [*QUICK_STEPS, T.WHITESPACE[-1]]), "\x01"), T.js_trim))
 
