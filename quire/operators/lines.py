@@ -124,6 +124,8 @@ def flag_wrapped_blocks(lines: DataFrame, *key: str, line: str = "line") -> Data
 #: What a wrong decoding leaves behind, and the fewest characters of a page with a text layer.
 MOJIBAKE = f"[□■◆◇\ufffd]{{2,}}|(?:[ÃÂæçèé][^{T.WS[1:-1]}]*){{3,}}"
 MIN_TEXT_CHARS = 36
+#: Found in the first characters of most lines, without counting the rest; and as many characters of a page as mostly settle whether it has text.
+_THREE_MEANINGFUL, _START_CHARS = f"(?:[A-Za-z0-9{T.CJK}][^A-Za-z0-9{T.CJK}]*){{3}}", 512
 
 
 def low_quality(c: Column) -> Column:
@@ -135,7 +137,7 @@ def low_quality(c: Column) -> Column:
         return T.let(stats, poor)
 
     def poor(x: Column) -> Column:
-        tiny = F.size(F.filter(x["all"], lambda y: T.count_meaningful(y) <= 2)) / F.greatest(x.lines, F.lit(1))
+        tiny = F.size(F.filter(x["all"], lambda y: ~T.has(y, _THREE_MEANINGFUL))) / F.greatest(x.lines, F.lit(1))
         average = F.aggregate(x["all"], F.lit(0), lambda a, y: a + F.length(y)) / F.greatest(x.lines, F.lit(1))
         return (
             (x.t == "")
@@ -143,7 +145,7 @@ def low_quality(c: Column) -> Column:
             | ((x.lines >= 12) & (average < 5))
             | ((x.lines >= 8) & (tiny > 0.45))
             | T.has(x.t, MOJIBAKE)
-            | (T.symbol_ratio(x.t, "page") > 0.32)
+            | (F.length(T.replace(x.t, f"[{T.WS[1:-1]}{T.SYMBOL_VARIANTS['page']}]+", "")) / F.greatest(x.compact, F.lit(1)) > 0.32)
         )
 
     return T.let(T.normalize_whitespace(c), judged)
@@ -154,7 +156,8 @@ def needs_ocr(c: Column, mode: str = "auto", min_chars: int = MIN_TEXT_CHARS, lo
     if mode in ("off", "always"):
         return F.lit(mode == "always")
     text = F.coalesce(c, F.lit(""))
-    return (T.count_meaningful(text) < min_chars) | (low_quality(text) if low is None else low)
+    few = F.when(T.count_meaningful(F.left(text, F.lit(_START_CHARS))) >= min_chars, False).otherwise(T.count_meaningful(text) < min_chars)
+    return few | (low_quality(text) if low is None else low)
 
 
 def non_empty(df: DataFrame, column: str) -> DataFrame:
